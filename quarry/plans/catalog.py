@@ -1,0 +1,4 @@
+"""Queries over the driver's tables, each with DuckDB SQL for the same rows."""
+
+QUERIES: dict = {}
+SQL: dict = {}
