@@ -1,6 +1,13 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from quarry.llm import exact_dedup
+from quarry.llm import bpe, exact_dedup, jpeg_media, packing, token_binary, token_counts
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
+QUERIES = {
+    "op1_token_binary": token_binary.op1_token_binary,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_media": jpeg_media.op5_media,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_bpe": bpe.op8_bpe,
+}
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
