@@ -1 +1,24 @@
 """quarry: a PySpark-native engine for building, checking and querying a corpus of sourced claims."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+
+def ship(spark) -> None:
+    """Makes this package importable in the Python workers of the session's executors; once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_quarry_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quarry-"), "quarry.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    context._quarry_shipped = True
