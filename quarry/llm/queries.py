@@ -1,13 +1,26 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
+import functools
+
+from quarry import ship
 from quarry.llm import bpe, exact_dedup, jpeg_media, packing, token_binary, token_counts
 
+
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op1_token_binary": token_binary.op1_token_binary,
+    "op1_token_binary": _shipped(token_binary.op1_token_binary),
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
-    "op4_token_counts": token_counts.op4_token_counts,
-    "op5_media": jpeg_media.op5_media,
-    "op6_best_fit_packing": packing.op6_best_fit_packing,
-    "op8_bpe": bpe.op8_bpe,
+    "op4_token_counts": _shipped(token_counts.op4_token_counts),
+    "op5_media": _shipped(jpeg_media.op5_media),
+    "op6_best_fit_packing": _shipped(packing.op6_best_fit_packing),
+    "op8_bpe": _shipped(bpe.op8_bpe),
 }
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
