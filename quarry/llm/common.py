@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +94,92 @@ class KeyFilter:
             .where(is_set)
             .select(*names)
         )
+
+
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """The groups of consecutive rows with equal first n_keys columns, for batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    key: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)]
+        change = np.zeros(b.num_rows, bool)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            own = tuple(k[lo].item() for k in keys)
+            if own != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = own
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def sum_slices(df: DataFrame, dtype: str) -> dict[int, np.ndarray]:
+    """Sums, on the driver, the arrays of each slice in the rows (part int, slice int, counts binary of dtype).
+
+    Rows are added as they stream by, first per slice and group of parts, then per slice, so no task holds more than
+    two arrays. The caller bounds the number of slices and their length.
+    """
+
+    def add(n_keys: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, total = None, np.zeros(0, np.int64)
+
+            def out() -> pa.RecordBatch:
+                names = ["salt", "slice", "counts"]
+                return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names)
+
+            for b in batches:
+                for salt, part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    if (salt, part) != key:
+                        if key is not None:
+                            yield out()
+                        key, total = (salt, part), np.zeros(0, np.int64)
+                    counts = np.frombuffer(raw.as_buffer(), dtype if n_keys == 2 else "<i8")
+                    if len(counts) > len(total):
+                        total = np.pad(total, (0, len(counts) - len(total)))
+                    total[: len(counts)] += counts
+            if key is not None:
+                yield out()
+
+        return run
+
+    schema = "salt int, slice int, counts binary"
+    rows = df.select((F.col("part") % 64).cast("int").alias("salt"), F.col("slice").cast("int"), "counts")
+    some = rows.repartition("salt", "slice").sortWithinPartitions("salt", "slice").mapInArrow(add(2), schema)
+    all_ = some.select(F.lit(0).alias("salt"), "slice", "counts").repartition("slice").sortWithinPartitions("slice").mapInArrow(add(1), schema)
+    return {r["slice"]: np.frombuffer(r["counts"], "<i8") for r in all_.collect()}
+
+
+def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+    """node, root: the smallest node of each component, for every node of edges (a, b); both long.
+
+    Alternates large-star and small-star steps until the edges no longer change. Each step writes its edges, combines
+    on the map side and joins on a node, so a hub is one row per task or a join that may be split.
+    """
+    both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    current, step, before = scratch.write(both, f"{name}0"), 0, None
+    if current.isEmpty():
+        return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    while True:
+        step += 1
+        # large star: every larger neighbour of a node is linked to the node's smallest neighbour
+        around = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = around.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # small star: a node's smaller neighbours and itself are linked to the smallest
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
+        current = scratch.write(small, f"{name}{step}")
+        after = tuple(current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first())
+        scratch.drop(f"{name}{step - 1}")
+        if after == before:
+            break
+        before = after
+    roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -3,7 +3,7 @@
 import functools
 
 from quarry import ship
-from quarry.llm import bpe, exact_dedup, jpeg_media, packing, token_binary, token_counts
+from quarry.llm import bpe, exact_dedup, jaccard_join, jpeg_media, packing, token_binary, token_counts
 
 
 def _shipped(query):
@@ -17,6 +17,7 @@ def _shipped(query):
 
 QUERIES = {
     "op1_token_binary": _shipped(token_binary.op1_token_binary),
+    "op2_jaccard_join": _shipped(jaccard_join.op2_jaccard_join),
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_counts": _shipped(token_counts.op4_token_counts),
     "op5_media": _shipped(jpeg_media.op5_media),

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, sum_slices
 from quarry.llm.units import library_encoder
 
 MAGIC, HEAD, BLOCK = b"QHF1", struct.Struct("<4sIIQQ"), 256
@@ -171,16 +171,7 @@ def _tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
 def _sum_counts(table: DataFrame) -> np.ndarray:
     """Counts of all ids: at most 8 bytes for each id of the vocabulary come to the driver."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        arrays = [np.frombuffer(x, "<i8") for x in pdf["counts"]]
-        total = np.zeros(max(map(len, arrays)), np.int64)
-        for a in arrays:
-            total[: len(a)] += a
-        return pd.DataFrame({"local": pdf["local"].iloc[:1], "counts": [total.tobytes()]})
-
-    cuts = table.where("n_tokens = -1").select("part", "local", "counts")
-    some = cuts.groupBy("local", (F.col("part") % 32).alias("part")).applyInPandas(add, "local long, counts binary")
-    found = {r["local"]: np.frombuffer(r["counts"], "<i8") for r in some.groupBy("local").applyInPandas(add, "local long, counts binary").collect()}
+    found = sum_slices(table.where("n_tokens = -1").select("part", F.col("local").alias("slice"), "counts"), "<i8")
     total = np.zeros(4096 * (max(found, default=-1) + 1), np.int64)
     for k, a in found.items():
         total[4096 * k : 4096 * k + len(a)] = a
