@@ -84,16 +84,28 @@ class KeyFilter:
 
     def apply(self, df: DataFrame, key: str) -> DataFrame:
         """The rows of df whose key may be in the table."""
-        place, names = self._place(F.col(key)), df.columns
+        return self._tested(df, key).where("_may").select(*df.columns)
+
+    def split(self, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """The rows whose key may be in the table or is null, and the others."""
+        tested, may = self._tested(df, key), F.coalesce("_may", F.lit(False)) | F.col("_null")
+        return tested.where(may).select(*df.columns), tested.where(~may).select(*df.columns)
+
+    def _tested(self, df: DataFrame, key: str) -> DataFrame:
+        place = self._place(F.col(key))
         byte = F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")
         is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.col("_bit") % 8).cast("int")) == 1
-        return (
-            df.withColumn("_bucket", F.bitmap_bucket_number(place))
-            .withColumn("_bit", F.bitmap_bit_position(place))
-            .join(F.broadcast(self.maps), "_bucket")
-            .where(is_set)
-            .select(*names)
-        )
+        placed = df.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place)).withColumn("_null", F.col(key).isNull())
+        return placed.join(F.broadcast(self.maps), "_bucket", "left").withColumn("_may", is_set)
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key is not in `dropped` (one column, of that name). Rows with a null key stay.
+
+    Only rows that a filter of bounded size lets pass are shuffled; the others, with their texts, stay where they are.
+    """
+    maybe, rest = KeyFilter(dropped, key, dropped.count()).split(docs, key)
+    return rest.unionByName(maybe.join(dropped.select(key), key, "left_anti").select(*docs.columns))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:

@@ -94,6 +94,22 @@ def exact_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """docs, with all its columns, without the rows whose text another row has that stays; of rows that repeat an id with one text, one stays."""
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = exact_duplicates(docs, id_col, text_col, keep).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept")
+    found = scratch.write(found, "found")
+    dropped = found.where("not kept").select("_id", "_digest").distinct()
+    repeated = found.where("kept").groupBy("_id", "_digest").count().where("count > 1").select("_id")
+    touched = scratch.write(dropped.select("_id").union(repeated).distinct(), "touched")
+    keyed = docs.withColumn("_id", F.col(id_col).cast("long"))
+    maybe, rest = KeyFilter(touched, "_id", touched.count()).split(keyed, "_id")
+    maybe = maybe.withColumn("_digest", sha256(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
+    gone = dropped.select(F.col("_id").alias("_gone"), F.col("_digest").alias("_gone_digest"))
+    left = maybe.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_gone_digest")), "left_anti")
+    return rest.select(*docs.columns).unionByName(left.dropDuplicates(["_id", "_digest"]).select(*docs.columns))
+
+
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     from quarry.llm.common import documents
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import KeyFilter, Scratch, connected_components, grouped, sum_slices
+from quarry.llm.common import KeyFilter, Scratch, connected_components, grouped, sum_slices, without_rows
 
 _K, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bits and words of the bitmaps that travel with a part.
@@ -467,6 +467,14 @@ def _between_blocks(scratch: Scratch, split: DataFrame, plain: DataFrame, within
     return _link_blocks(both.join(texts, "rep").select("cluster", "block", "other", "sid", "root", "text"), words, percent)
 
 
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all its columns, with one document of each component: the one of smallest id. Rows with a null id stay."""
+    found = Scratch(docs.sparkSession, "keep-one-of-each").write(jaccard_components(docs, words, percent, id_col, text_col), "found")
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct().join(first, id_col, "left_anti")
+    return without_rows(docs, Scratch(docs.sparkSession, "dropped").write(dropped, "ids"), id_col)
+
+
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from quarry.llm.common import documents
 

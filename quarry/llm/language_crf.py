@@ -165,6 +165,31 @@ def fit_language_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return model
 
 
+class _Tagger:
+    def __init__(self, model: LanguageCrf | None):
+        self.model, self.cache = model, Cache(model.emission, 500_000) if model else None
+
+    def tag(self, texts: list[str | None]) -> tuple[list[str], list[float], list[np.ndarray]]:
+        """Language, score and word marginals of each text."""
+        n, own = len(texts), self.model
+        langs, scores = ["und"] * n, [0.0] * n
+        if not own:
+            return langs, scores, [np.zeros((0, 1))] * n
+        weights = [np.frombuffer(b"".join(map(self.cache.__getitem__, (t or "").split())), "<f4").reshape(-1, len(own.languages)) for t in texts]
+        marginals = own.marginals(weights)
+        for i, p in enumerate(marginals):
+            if len(p):
+                mean = p.mean(0, dtype=np.float64)
+                best = int(mean.argmax())
+                langs[i], scores[i] = own.languages[best], float(min(mean[best], 1.0))
+        return langs, scores, marginals
+
+    def spans(self, p: np.ndarray) -> list[dict]:
+        of = p.argmax(1)
+        cuts = np.flatnonzero(np.diff(of, prepend=-1))
+        return [{"lang": self.model.languages[of[c]], "first": int(c), "words": int(e - c)} for c, e in zip(cuts, np.append(cuts[1:], len(of)), strict=True)] if len(of) else []
+
+
 def identify_language(docs: DataFrame, model: LanguageCrf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, spans: one row per input row.
 
@@ -177,31 +202,33 @@ def identify_language(docs: DataFrame, model: LanguageCrf | None, id_col: str =
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        cache = Cache(own.emission, 500_000) if own else None
-        names = ["doc_id", "lang_pred", "score", "spans"]
+        tagger = _Tagger(shared.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
-                n = b.num_rows
-                langs, scores, spans = ["und"] * n, [0.0] * n, [[] for _ in range(n)]
-                if own:
-                    k = len(own.languages)
-                    weights = [np.frombuffer(b"".join(map(cache.__getitem__, (t or "").split())), "<f4").reshape(-1, k) for t in b.column(1).to_pylist()]
-                    for i, p in enumerate(own.marginals(weights)):
-                        if len(p):
-                            mean = p.mean(0, dtype=np.float64)
-                            best = int(mean.argmax())
-                            langs[i], scores[i] = own.languages[best], float(min(mean[best], 1.0))
-                            of = p.argmax(1)
-                            cuts = np.flatnonzero(np.diff(of, prepend=-1))
-                            spans[i] = [{"lang": own.languages[of[c]], "first": int(c), "words": int(e - c)} for c, e in zip(cuts, np.append(cuts[1:], len(of)), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(spans, kind)], names)
+                langs, scores, marginals = tagger.tag(b.column(1).to_pylist())
+                spans = pa.array([tagger.spans(p) for p in marginals], kind)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
 
     schema = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first:int,words:int>>"
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: LanguageCrf | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have a language: some word with a letter, and a score of at least `least`."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = _Tagger(shared.value)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                langs, scores, _ = tagger.tag(b.column(place).to_pylist())
+                yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     from quarry.llm.common import documents
 

@@ -3,7 +3,7 @@
 import functools
 
 from quarry import ship
-from quarry.llm import bpe, exact_dedup, jaccard_join, jpeg_media, language_crf, packing, token_binary, token_counts, toxicity
+from quarry.llm import bpe, exact_dedup, jaccard_join, jpeg_media, language_crf, lbl, packing, token_binary, token_counts, toxicity
 
 
 def _shipped(query):
@@ -24,6 +24,7 @@ QUERIES = {
     "op6_best_fit_packing": _shipped(packing.op6_best_fit_packing),
     "op7_toxicity": _shipped(toxicity.op7_toxicity),
     "op8_bpe": _shipped(bpe.op8_bpe),
+    "op9_lm_scores": _shipped(lbl.op9_lm_scores),
     "op10_language_id": _shipped(language_crf.op10_language_id),
 }
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}

@@ -201,6 +201,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return NeighbourModel(terms, idf, [(r["doc_id"], label, weight, counter.counts(text)) for r, (label, weight, text) in zip(found, rows, strict=True)], k)
 
 
+class _Scorer:
+    """Scores of texts; equal counts are looked up once."""
+
+    def __init__(self, model: NeighbourModel):
+        self.model, self.counter, self.known = model, TermCounter(model.terms), {}
+
+    def score(self, text: str | None) -> tuple[float, list]:
+        counts = self.counter.counts(text or "")
+        key = tuple(sorted(counts.items())) if len(counts) > 1 else tuple(counts)
+        if key not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[key] = self.model.score(counts)
+        return self.known[key]
+
+
 def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, evidence (nearest examples: doc_id, label, similarity): one row per input row.
 
@@ -211,25 +227,28 @@ def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        counter, known = TermCounter(own.terms), {}
+        scorer = _Scorer(shared.value)
         for b in batches:
-            scores, evidence = [], []
-            for text in b.column(1).to_pylist():
-                counts = counter.counts(text or "")
-                key = tuple(sorted(counts.items())) if len(counts) > 1 else tuple(counts)
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[key] = own.score(counts)
-                scores.append(known[key][0])
-                evidence.append([{"doc_id": d, "label": v, "similarity": s} for d, v, s in known[key][1]])
-            score = np.array(scores)
+            found = [scorer.score(t) for t in b.column(1).to_pylist()]
+            score = np.array([x[0] for x in found])
+            evidence = [[{"doc_id": d, "label": v, "similarity": s} for d, v, s in x[1]] for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, kind)], ["doc_id", "score", "predicted", "evidence"])
 
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below threshold."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(t)[0] < threshold for t in b.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     from quarry.llm.common import documents
 
