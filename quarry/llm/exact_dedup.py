@@ -29,12 +29,14 @@ class DigestIndex:
 
     def __init__(self, scratch: Scratch, memtables: int = 4):
         self.scratch, self.memtables, self.level = scratch, memtables, -1
+        self.entries: DataFrame | None = None
 
     def _store(self, entries: DataFrame) -> DataFrame:
         self.level += 1
-        return self.scratch.write(
+        self.entries = self.scratch.write(
             entries.sortWithinPartitions("run", "digest"), f"level{self.level}", "run", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
         )
+        return self.entries
 
     def flush(self, log: DataFrame) -> DataFrame:
         """Level 0: a sorted run for each memtable."""
@@ -43,8 +45,7 @@ class DigestIndex:
 
     def compact(self) -> DataFrame:
         """The next level: one run, one entry per digest, with the smallest identifier."""
-        runs = self.scratch.read(f"level{self.level}")
-        return self._store(runs.groupBy("digest").agg(F.min("ident").alias("ident"), F.sum("copies").alias("copies")).withColumn("run", F.lit(0)))
+        return self._store(self.entries.groupBy("digest").agg(F.min("ident").alias("ident"), F.sum("copies").alias("copies")).withColumn("run", F.lit(0)))
 
 
 def exact_duplicates(

@@ -30,7 +30,7 @@ def attribute(token_ends: np.ndarray, starts: np.ndarray, size: int, rule: str)
     first: a token counts where its first byte lies; last: where its last byte lies; majority: in the section that holds
     most of its bytes, the earliest of equals.
     """
-    begins = np.concatenate([[0], token_ends[:-1]]).astype(np.int64)
+    begins = np.concatenate([[0], token_ends])[:-1].astype(np.int64)
     first = np.searchsorted(starts, begins, "right") - 1
     last = np.searchsorted(starts, np.maximum(token_ends - 1, begins), "right") - 1
     place = last if rule == "last" else first
