@@ -190,6 +190,15 @@ class _Tagger:
         return [{"lang": self.model.languages[of[c]], "first": int(c), "words": int(e - c)} for c, e in zip(cuts, np.append(cuts[1:], len(of)), strict=True)] if len(of) else []
 
 
+def _tagger(model: LanguageCrf | None) -> _Tagger:
+    """Made once per worker, with its cache of words."""
+    if model is None:
+        return _Tagger(None)
+    if "_made" not in model.__dict__:
+        model._made = _Tagger(model)
+    return model._made
+
+
 def identify_language(docs: DataFrame, model: LanguageCrf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, spans: one row per input row.
 
@@ -202,7 +211,7 @@ def identify_language(docs: DataFrame, model: LanguageCrf | None, id_col: str =
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _Tagger(shared.value)
+        tagger = _tagger(shared.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
@@ -219,7 +228,7 @@ def keep_identified(docs: DataFrame, model: LanguageCrf | None, least: float = 0
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _Tagger(shared.value)
+        tagger = _tagger(shared.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)

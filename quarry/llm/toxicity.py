@@ -10,6 +10,7 @@ calibrated by isotonic regression of the examples' own votes, each without itsel
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -49,20 +50,20 @@ class TermCounter:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: ascending x where the fitted mean changes, and the means."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # first x, weight, weighted sum
-    for k in order:
-        if pools and pools[-1][0] == x[k]:
-            pools[-1][1] += w[k]
-            pools[-1][2] += w[k] * y[k]
+    """Pool-adjacent-violators: the pools' first and last x, ascending, and their means; between pools, interpolate."""
+    pools: list[list[float]] = []  # first x, last x, weight, weighted sum
+    for k in np.argsort(x, kind="stable"):
+        if pools and pools[-1][1] == x[k]:
+            pools[-1][2] += w[k]
+            pools[-1][3] += w[k] * y[k]
         else:
-            pools.append([x[k], w[k], w[k] * y[k]])
-        while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
-            _, b, c = pools.pop()
-            pools[-1][1] += b
-            pools[-1][2] += c
-    return np.array([p[0] for p in pools]), np.array([p[2] / p[1] for p in pools])
+            pools.append([x[k], x[k], w[k], w[k] * y[k]])
+        while len(pools) > 1 and pools[-2][3] * pools[-1][2] >= pools[-1][3] * pools[-2][2]:
+            _, last, b, c = pools.pop()
+            pools[-1][1] = last
+            pools[-1][2] += b
+            pools[-1][3] += c
+    return np.array([v for p in pools for v in p[:2]]), np.array([p[3] / p[2] for p in pools for _ in (0, 1)])
 
 
 class NeighbourModel:
@@ -110,25 +111,52 @@ class NeighbourModel:
         for t, q in known:
             bounds += q * self.best[t]
         ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        floor = -1.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if len(ids) == self.k and bounds[b] < floor - 1e-12:
+        order = np.argsort(-bounds, kind="stable")
+        done, take = 0, 2
+        while done < self.n_blocks:
+            floor = sims[-1] if len(ids) == self.k else -1.0
+            left = order[done:]
+            fits = int(np.searchsorted(-bounds[left], -(floor - 1e-12), "right"))  # blocks whose bound reaches the k-th best
+            if not fits:
                 break
+            blocks = left[: min(fits, take)]
+            at, score = self._exact(known, blocks)
+            ids, sims = np.append(ids, at), np.append(sims, score)
+            if len(ids) > self.k:
+                least = np.partition(-sims, self.k - 1)[self.k - 1]
+                near = np.flatnonzero(-sims <= least)
+                ids, sims = ids[near], sims[near]
+            top = np.lexsort((ids, -sims))[: self.k]
+            ids, sims = ids[top], sims[top]
+            done, take = done + len(blocks), take * 8
+        return ids, sims
+
+    def _exact(self, known: list[tuple[int, float]], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the blocks and their cosines: posting by posting for a few blocks, whole lists for many."""
+        if len(blocks) > 4:
+            score = np.zeros(len(self.names))
+            for t, q in known:
+                at, v = self.postings[t]
+                score[at] += q * v
+            ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            ids = ids[ids < len(score)]
+            return ids, score[ids]
+        ids, scores = [], []
+        for b in blocks.tolist():
             score = np.zeros(min(BLOCK, len(self.names) - b * BLOCK))
             for t, q in known:
                 lo, hi = self.cut[t][b], self.cut[t][b + 1]
                 if lo < hi:
                     at, v = self.postings[t]
                     score[at[lo:hi] - b * BLOCK] += q * v[lo:hi]
-            ids, sims = np.append(ids, np.arange(len(score)) + b * BLOCK), np.append(sims, score)
-            top = np.lexsort((ids, -sims))[: self.k]
-            ids, sims = ids[top], sims[top]
-            floor = sims[-1]
-        return ids, sims
+            ids.append(np.arange(len(score)) + b * BLOCK)
+            scores.append(score)
+        return np.concatenate(ids), np.concatenate(scores)
 
     def vote(self, vector: list[tuple[int, float]], without: tuple[int, float] | None = None) -> tuple[float, list]:
         """Share of the distance-weighted votes for label 1, and the three nearest entries as evidence."""
         ids, sims = self.nearest(vector)
+        ids, sims = ids[sims > 0], sims[sims > 0]
         if not len(ids):
             return self.prior, []
         votes = self.votes[ids]
@@ -145,15 +173,24 @@ class NeighbourModel:
 
     def score(self, counts: dict[int, int]) -> tuple[float, list]:
         raw, evidence = self.vote(self.vector(counts))
-        at = np.searchsorted(self.steps, raw, "right") - 1
-        return float(np.clip(self.means[max(at, 0)], 0.0, 1.0)), evidence
+        return float(np.clip(np.interp(raw, self.steps, self.means), 0.0, 1.0)), evidence
+
+
+def likeness(text: str) -> int:
+    """The smallest hash of the text's word pairs: mostly the same for near copies, hardly ever for others."""
+    words = text.lower().split()
+    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)), default=zlib.crc32(text.lower().encode()))
 
 
 def choose_terms(rows: list[tuple[int, float, str]], least: float, most: int) -> list[str]:
-    """Terms by chi-square of presence against label, at least `least`, the strongest `most` of them."""
+    """Terms by chi-square of presence against label, at least `least`, the strongest `most` of them; near copies count once."""
     n = np.zeros(2)
     seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    known = set()
     for label, _, text in rows:
+        if (label, like := likeness(text)) in known:
+            continue  # a group of copies would make all its words telling
+        known.add((label, like))
         n[label] += 1
         for t in {t for w in set(text.lower().split()) for t in word_terms(w)}:
             seen[t][label] += 1
@@ -201,6 +238,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return NeighbourModel(terms, idf, [(r["doc_id"], label, weight, counter.counts(text)) for r, (label, weight, text) in zip(found, rows, strict=True)], k)
 
 
+def _lasting(model, make):
+    """make(model), made once per worker."""
+    if "_made" not in model.__dict__:
+        model._made = make(model)
+    return model._made
+
+
 class _Scorer:
     """Scores of texts; equal counts are looked up once."""
 
@@ -220,14 +264,14 @@ class _Scorer:
 def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, evidence (nearest examples: doc_id, label, similarity): one row per input row.
 
-    A null text is scored as empty, like other texts without any chosen term. Repeated rows and null ids give their own rows.
+    A null text is scored as empty; an empty text has no neighbours and gets the examples' share of label 1, calibrated. Repeated rows and null ids give their own rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most two thousand terms and twice most_examples vectors
     schema = "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,label:int,similarity:double>>"
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(shared.value)
+        scorer = _lasting(shared.value, _Scorer)
         for b in batches:
             found = [scorer.score(t) for t in b.column(1).to_pylist()]
             score = np.array([x[0] for x in found])
@@ -242,7 +286,7 @@ def drop_toxic(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, t
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(shared.value)
+        scorer = _lasting(shared.value, _Scorer)
         for b in batches:
             yield b.filter(pa.array([scorer.score(t)[0] < threshold for t in b.column(place).to_pylist()], pa.bool_()))
 
