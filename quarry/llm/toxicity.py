@@ -177,9 +177,9 @@ class NeighbourModel:
 
 
 def likeness(text: str) -> int:
-    """The smallest hash of the text's word pairs: mostly the same for near copies, hardly ever for others."""
+    """The smallest hash of the text's five-word shingles: mostly the same for near copies, hardly ever for others."""
     words = text.lower().split()
-    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)), default=zlib.crc32(text.lower().encode()))
+    return min((zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))))
 
 
 def choose_terms(rows: list[tuple[int, float, str]], least: float, most: int) -> list[str]:
