@@ -103,7 +103,7 @@ def sitemap_url(kind: str, key: Column, modified: Column, base: str = BASE) -> C
 
 def relative_time(ts: Column, as_of: Column) -> Column:
     """just now, minutes, hours, days under a week, else the date."""
-    minutes = F.floor((F.unix_micros(as_of) - F.unix_micros(ts)) / F.lit(60_000_000))
+    minutes = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(60_000_000))
     hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
     say = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
     return F.when(minutes < 1, "just now").when(minutes < 60, say(minutes, "m")).when(hours < 24, say(hours, "h")).when(days < 7, say(days, "d")).otherwise(F.date_format(ts, "yyyy-MM-dd"))

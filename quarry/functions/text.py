@@ -41,6 +41,11 @@ CLEANING = [
 ]
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
@@ -48,16 +53,23 @@ def js_trim(text: Column) -> Column:
 def _numeric(text: Column, pattern: str, base: int) -> Column:
     """Numeric entities as UTF-16 code units, modulo 2^16; a unit that is half a pair becomes U+FFFD."""
     unit = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.conv(x, base, 10).cast("long") % 65536), 4, "0")), "UTF-16BE")
-    codes, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.split(text, pattern, -1)
-    joined = F.array_join(F.zip_with(parts, codes, lambda p, c: F.concat(p, F.coalesce(unit(c), F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    def decoded(t: Column) -> Column:
+        codes, parts = F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), F.split(t, pattern, -1)
+        return F.array_join(F.zip_with(parts, codes, lambda p, c: F.concat(p, F.coalesce(unit(c), F.lit("")))), "")
+
+    return let(text, lambda t: F.when(t.contains("&#"), decoded(t)).otherwise(t))
 
 
 def decode_entities(text: Column) -> Column:
     """Named entities, then decimal, then hexadecimal ones; unknown names stay."""
-    for name, char in ENTITIES:
-        text = F.regexp_replace(text, f"(?i){name}", char)
-    return _numeric(_numeric(text, r"&#(\d+);", 10), r"(?i)&#x([0-9a-f]+);", 16)
+
+    def decoded(t: Column) -> Column:
+        for name, char in ENTITIES:
+            t = F.regexp_replace(t, f"(?i){name}", char)
+        return _numeric(_numeric(t, r"&#(\d+);", 10), r"(?i)&#x([0-9a-f]+);", 16)
+
+    return let(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def clean_text(html: Column) -> Column:
@@ -85,9 +97,14 @@ def meta_content(html: Column, name: str) -> Column:
     return decode_entities(F.coalesce(*[first_group(html, f) for f in forms]))
 
 
+def filled(value: Column) -> Column:
+    """value, or null if it is empty."""
+    return let(value, lambda v: F.when(v != "", v))
+
+
 def page_title(html: Column) -> Column:
     own = decode_entities(js_trim(first_group(html, r"(?i)<title[^>]*>([^<]*)</title>")))
-    return F.coalesce(F.nullif(meta_content(html, "og:title"), F.lit("")), own, F.lit(""))
+    return F.coalesce(filled(meta_content(html, "og:title")), own, F.lit(""))
 
 
 def page_language(html: Column) -> Column:
@@ -97,10 +114,10 @@ def page_language(html: Column) -> Column:
 def page_metadata(html: Column) -> Column:
     """A struct of title, description, canonical URL, language, Open Graph fields, author and dates."""
     empty = F.lit("")
-    either = lambda a, b: F.coalesce(F.nullif(meta_content(html, a), empty), meta_content(html, b))
+    either = lambda a, b: F.coalesce(filled(meta_content(html, a)), meta_content(html, b))
     return F.struct(
         page_title(html).alias("title"),
-        F.coalesce(F.nullif(meta_content(html, "og:description"), empty), meta_content(html, "description"), empty).alias("description"),
+        F.coalesce(filled(meta_content(html, "og:description")), meta_content(html, "description"), empty).alias("description"),
         F.coalesce(
             first_group(html, r"(?i)<link[^>]+rel\s*=\s*[\"']canonical[\"'][^>]+href\s*=\s*[\"']([^\"']*)[\"']"),
             first_group(html, r"(?i)<link[^>]+href\s*=\s*[\"']([^\"']*)[\"'][^>]+rel\s*=\s*[\"']canonical[\"']"),
@@ -116,16 +133,19 @@ def page_metadata(html: Column) -> Column:
 
 def page_type(path: Column, title: Column, og_type: Column) -> Column:
     """The first type whose path pattern or title part fits; a root path is the homepage."""
-    path, title = F.lower(path), F.lower(title)
-    out = F.when((path == "/") | (path == ""), "homepage")
-    for name, pattern, parts in PAGE_TYPES:
-        hit = path.rlike(pattern)
-        for part in parts:
-            hit = hit | title.contains(part)
-        if name == "news":
-            hit = hit | F.coalesce(og_type == "article", F.lit(False))
-        out = out.when(hit, name)
-    return out.otherwise("other")
+
+    def chosen(path: Column, title: Column) -> Column:
+        out = F.when((path == "/") | (path == ""), "homepage")
+        for name, pattern, parts in PAGE_TYPES:
+            hit = path.rlike(pattern)
+            for part in parts:
+                hit = hit | title.contains(part)
+            if name == "news":
+                hit = hit | F.coalesce(og_type == "article", F.lit(False))
+            out = out.when(hit, name)
+        return out.otherwise("other")
+
+    return let(F.lower(path), lambda p: let(F.lower(title), lambda t: chosen(p, t)))
 
 
 def json_ld(html: Column) -> Column:

@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsp
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Scheme, authority, path, query, fragment.
 SHAPE = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#[\s\S]*)?\z"
@@ -102,7 +103,7 @@ def normalize_any(url: str) -> str:
     return urlunsplit((scheme, site, own, query, ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized_full(url: pd.Series) -> pd.Series:
     """normalize_any for rows that `normalized` does not cover."""
     return url.map(normalize_any, na_action="ignore")
