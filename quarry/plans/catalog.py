@@ -345,7 +345,7 @@ def platform_name(t: Tables) -> DataFrame:
     return t.events.select("event_id", render.choose(C("event_type"), _PLATFORM, C("event_type")).alias("platform_name"))
 
 
-@query("SELECT event_id, replace(replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_ms(ts) % 1000)::VARCHAR, 3, '0') || 'Z', ':', '-'), '.', '-') AS token, strftime(ts, '%Y%m%d_%H%M%S') AS crawl_id, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') AS rfc FROM events")
+@query("SELECT event_id, replace(replace(strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') || 'Z', ':', '-'), '.', '-') AS token, strftime(ts, '%Y%m%d_%H%M%S') AS crawl_id, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') AS rfc FROM events")
 def time_tokens(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.translate(render.iso_date(C("ts")), ":.", "--").alias("token"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("crawl_id"), render.rfc_date(C("ts")).alias("rfc"))
 

@@ -23,6 +23,7 @@ def counts(visits: DataFrame) -> DataFrame:
 
 def daily(visits: DataFrame, late: str | None = None) -> DataFrame:
     """day, crawler, visits by event time. `late` is the watermark for streams in append or update mode."""
+    visits = visits.withColumn("ts", F.col("ts").cast("timestamp"))
     if late:
         visits = visits.withWatermark("ts", late)
     return visits.groupBy(F.window("ts", "1 day").alias("w"), "crawler").agg(F.count(F.lit(1)).alias("visits")).select(F.col("w.start").alias("day"), "crawler", "visits")
