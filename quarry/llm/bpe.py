@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,9 +26,7 @@ class LinkedBpe:
     """vocab: token string to id; merges in order of rank; both over the printable stand-ins of bytes."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], specials: dict[str, int]):
-        self.pairs: dict[int, tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(merges):
-            self.pairs.setdefault(vocab[a] << _SHIFT | vocab[b], (rank, vocab[a + b]))
+        self.vocab, self.merges, self.specials = vocab, merges, specials
         chars = byte_chars()
         self.byte_ids = [vocab.get(c) for c in chars]
         to_byte = {c: b for b, c in enumerate(chars)}
@@ -35,7 +34,19 @@ class LinkedBpe:
         self.strings = [b""] * size
         for token, i in (vocab | specials).items():
             self.strings[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
-        self.encoder = ByteEncoder(self.merge, "<u4", specials)
+
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged id by pair of ids; made when something is first encoded, as decoding needs none."""
+        found: dict[int, tuple[int, int]] = {}
+        for rank, (a, b) in enumerate(self.merges):
+            found.setdefault(self.vocab[a] << _SHIFT | self.vocab[b], (rank, self.vocab[a + b]))
+        self.vocab, self.merges = {}, []
+        return found
+
+    @cached_property
+    def encoder(self) -> ByteEncoder:
+        return ByteEncoder(self.merge, "<u4", self.specials, 400_000, 200_000)
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one pre-token. Bytes without a vocabulary entry are left out, as the vocabulary has no id for them."""
@@ -83,6 +94,12 @@ def load(path: str) -> LinkedBpe:
     return _made[path]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (packed little-endian unsigned 32-bit integers): one row per input row.
 
@@ -92,7 +109,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for b in batches:
+        for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.encode(t or "") for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, ids binary")
@@ -103,7 +120,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for b in batches:
+        for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bpe.decode(x or b"") for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

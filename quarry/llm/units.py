@@ -54,10 +54,10 @@ class Cache(dict):
 class ByteEncoder:
     """Byte-level BPE by a function from pre-token to ids."""
 
-    def __init__(self, piece: Callable[[str], list[int]], dtype: str, specials: dict[str, int]):
+    def __init__(self, piece: Callable[[str], list[int]], dtype: str, specials: dict[str, int], most_units: int = MOST_UNITS, most_pieces: int = MOST_PIECES):
         self.dtype, self.find, self.specials = np.dtype(dtype), regex.compile(PATTERN).findall, specials
-        self.pieces = Cache(lambda p: np.array(piece(p), self.dtype).tobytes(), MOST_PIECES)
-        self.units = Cache(self._unit, MOST_UNITS)
+        self.pieces = Cache(lambda p: np.array(piece(p), self.dtype).tobytes(), most_pieces)
+        self.units = Cache(self._unit, most_units)
         self.units[""] = b""
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
