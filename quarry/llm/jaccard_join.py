@@ -188,36 +188,53 @@ def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
 
 
-def _sets(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """A row per document (doc_id, n, sid, check), and a task's sketch in rows with a slice."""
+_KINDS = {"doc": 0, "part": 1, "sketch": 2}
+_SETS = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("check", pa.int64()), ("entity", pa.int64()), ("bitmap", pa.binary()), ("part", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary()), ("kind", pa.int32())]
+)
+
+
+def _rows(kind: str, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    columns["kind"] = np.full(n, _KINDS[kind], np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SETS], schema=_SETS)
+
+
+def _sets(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+    """In one pass: a row per document (doc_id, n, sid, check), a row per part of a set (entity, sid, n, bitmap), and each task's sketch in slices.
+
+    Equal sets in one task give their parts once. Sets of one or two n-grams link to equal sets only and have no parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, part = np.zeros(1 << bits, np.int64), TaskContext.get().partitionId()
-        names = ["doc_id", "n", "sid", "check", "part", "slice", "counts"]
-        shift = np.uint64(64 - bits)
-        for b in batches:
-            found = [shingles(t or "", words) for t in b.column(1).to_pylist()]
-            for k in range(0, len(found), 512):
-                own = np.concatenate(found[k : k + 512]) >> shift
+        shift, seen = np.uint64(64 - bits), set()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                found = [shingles(t or "", words) for t in b.column(1).to_pylist()]
+                own = (np.concatenate(found) >> shift).astype(np.int64)
                 if len(own) * 8 < len(sketch):
-                    at, c = np.unique(own.astype(np.int64), return_counts=True)
+                    at, c = np.unique(own, return_counts=True)
                     sketch[at] += c
                 else:
-                    sketch += np.bincount(own.astype(np.int64), minlength=len(sketch))
-            prints = [fingerprint(h) for h in found]
-            n = len(found)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
-            )
+                    sketch += np.bincount(own, minlength=len(sketch))
+                prints = [fingerprint(h) for h in found]
+                yield _rows("doc", doc_id=b.column(0).to_pylist(), n=[len(h) for h in found], sid=[p[0] for p in prints], check=[p[1] for p in prints])
+                parts = []
+                for h, (sid, _) in zip(found, prints, strict=True):
+                    if len(h) > 2 and sid not in seen:
+                        seen.add(sid)
+                        parts += [(entity, sid, len(x), bitmap(x, BITS).tobytes()) for entity, _, x in set_parts(h, sid, percent)]
+                if parts:
+                    entity, sid, n, maps = zip(*parts, strict=True)
+                    yield _rows("part", entity=entity, sid=sid, n=n, bitmap=maps)
         if sketch.any():
             # counts of a task over 65535 are cut there; the order they give stays the same for all documents
             cuts = np.minimum(sketch, 65535).astype("<u2").reshape(-1, min(SLICE, len(sketch)))
-            n = len(cuts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array([c.tobytes() for c in cuts], pa.binary())], names
-            )
+            yield _rows("sketch", part=np.full(len(cuts), part), slice=np.arange(len(cuts)), counts=[c.tobytes() for c in cuts])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, check long, part int, slice int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, check long, entity long, bitmap binary, part int, slice int, counts binary, kind int")
 
 
 def size_classes(n: int, percent: int) -> list[int]:
@@ -245,72 +262,65 @@ def set_parts(h: np.ndarray, sid: int, percent: int) -> Iterator[tuple[int, np.u
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, bits: int, levels, hot) -> DataFrame:
-    """Rows (key, entity, hot) of the parts' prefixes, and rows (entity, sid, n, bitmap) of the parts themselves.
-
-    Sets of one or two n-grams link to equal sets only and are left out. Equal sets in one task appear once.
-    """
+    """Rows (key, salt, entity) of the parts' prefixes. salt is -1, or for keys that may be in many sets one of 64 numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, is_hot, shift = levels.value, hot.value, np.uint64(64 - bits)
         seen: set[int] = set()
-        names = ["key", "entity", "hot", "sid", "n", "bitmap"]
-
-        def out(keys, entities, flags, parts) -> Iterator[pa.RecordBatch]:
-            counts = [len(k) for k in keys]
-            if keys:
-                n = sum(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(entities), counts)), pa.array(np.concatenate(flags)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
-                )
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), pa.array([p[0] for p in parts], pa.int64()), pa.nulls(n, pa.bool_()), pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2] for p in parts], pa.int32()), pa.array([p[3] for p in parts], pa.binary())], names
-                )
-
-        for b in batches:
-            keys, entities, flags, parts = [], [], [], []
-            for text in b.column(1).to_pylist():
-                h = shingles(text or "", words)
-                if len(h) < 3:
-                    continue
-                sid = fingerprint(h)[0]
-                if sid in seen:
-                    continue
-                seen.add(sid)
-                for entity, seed, own in set_parts(h, sid, percent):
-                    at = (own >> shift).astype(np.int64)
-                    take = len(own) - -(-percent * len(own) // 100) + 1
-                    first = np.argsort(level[at].astype(np.uint64) << np.uint64(58) | own >> np.uint64(6), kind="stable")[:take]
-                    keys.append(own[first] ^ seed)
-                    entities.append(entity)
-                    flags.append(is_hot[at[first]])
-                    parts.append((entity, sid, len(own), bitmap(own, BITS).tobytes()))
-                if len(parts) >= 8192:
-                    yield from out(keys, entities, flags, parts)
-                    keys, entities, flags, parts = [], [], [], []
-            yield from out(keys, entities, flags, parts)
-
-    return docs.mapInArrow(run, "key long, entity long, hot boolean, sid long, n int, bitmap binary")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                keys, salts, entities, counts = [], [], [], []
+                for text in whole.column(1).slice(lo, 512).to_pylist():
+                    h = shingles(text or "", words)
+                    if len(h) < 3 or (sid := fingerprint(h)[0]) in seen:
+                        continue
+                    seen.add(sid)
+                    for entity, seed, own in set_parts(h, sid, percent):
+                        at = (own >> shift).astype(np.int64)
+                        take = len(own) - -(-percent * len(own) // 100) + 1
+                        first = np.argsort(level[at].astype(np.uint64) << np.uint64(58) | own >> np.uint64(6), kind="stable")[:take]
+                        keys.append(own[first] ^ seed)
+                        salts.append(np.where(is_hot[at[first]], entity & 63, -1).astype(np.int32))
+                        entities.append(entity)
+                        counts.append(take)
+                if keys:
+                    columns = [np.concatenate(keys).view(np.int64), np.concatenate(salts), np.repeat(np.array(entities), counts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "salt", "entity"])
+
+    return docs.mapInArrow(run, "key long, salt int, entity long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows (key, entity) whose key another entity has too. Rows come sorted by key; a key has a bounded number of them."""
+    """Rows (hot, group, entity): of keys that several entities have.
+
+    Keys with the same entities give one and the same group number, so that what is compared for one isn't compared again. Keys that
+    may be in many sets keep their own number and all their rows, and are dealt out by salt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray = np.zeros((2, 0), np.int64)
+        held = np.zeros((2, 0), np.int64)
 
         def chosen(a: np.ndarray) -> pa.RecordBatch:
-            same_key = a[0, 1:] == a[0, :-1]
-            new = np.append(True, ~(same_key & (a[1, 1:] == a[1, :-1])))  # equal sets of several tasks
-            a = a[:, new]
-            same_key = a[0, 1:] == a[0, :-1]
-            keep = np.append(same_key, False) | np.append(False, same_key)
-            return pa.RecordBatch.from_arrays([pa.array(a[0, keep]), pa.array(a[1, keep])], ["key", "entity"])
+            new = np.append(True, (a[0, 1:] != a[0, :-1]) | (a[1, 1:] != a[1, :-1]))  # equal sets of several tasks
+            key, entity = a[:, new]
+            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(cut, append=len(key))
+            number = np.add.reduceat(_mix(entity.view(np.uint64)), cut) ^ _mix(size.astype(np.uint64))
+            keep = np.repeat(size > 1, size)
+            return out(False, np.repeat(number.view(np.int64), size)[keep], entity[keep])
+
+        def out(flag: bool, group: np.ndarray, entity: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(group), flag)), pa.array(group), pa.array(entity)], ["hot", "group", "entity"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            a = np.concatenate([held, np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])], 1)
+            key, salt, entity = (b.column(k).to_numpy() for k in range(3))
+            if (salt >= 0).any():
+                yield out(True, key[salt >= 0], entity[salt >= 0])
+            a = np.concatenate([held, np.stack([key, entity])[:, salt < 0]], 1)
+            if not a.shape[1]:
+                continue
             cut = int(np.searchsorted(a[0], a[0, -1], "left"))  # the last key may go on
             held = a[:, cut:]
             if cut:
@@ -318,11 +328,11 @@ def _shared(rows: DataFrame) -> DataFrame:
         if held.shape[1]:
             yield chosen(held)
 
-    return rows.repartition("key").sortWithinPartitions("key", "entity").mapInArrow(run, "key long, entity long")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "entity").mapInArrow(run, "hot boolean, group long, entity long")
 
 
 def _candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect the sets which a signature tree per key can't tell apart; rows (key, sid, n, bitmap)."""
+    """Edges (a, b) that connect the sets which a signature tree per group can't tell apart; rows (group, sid, n, bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -344,7 +354,7 @@ def _candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "sid", "n", "bitmap").mapInArrow(run, "a long, b long")
+    return rows.repartition("group").sortWithinPartitions("group").select("group", "sid", "n", "bitmap").mapInArrow(run, "a long, b long")
 
 
 def _link_blocks(rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -391,7 +401,7 @@ def jaccard_components(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_shingles: int = 2_000_000,
-    block_sets: int = 4096,
+    block_sets: int = 1024,
     few: int = 4096,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
@@ -408,29 +418,27 @@ def jaccard_components(
     scratch, plain = Scratch(docs.sparkSession, "jaccard"), _docs(docs, id_col, text_col)
     context = docs.sparkSession.sparkContext
     bits = int(np.clip(np.ceil(np.log2(4 * max(docs.count(), 1))), 14, 24))
-    all_rows = scratch.write(_sets(plain, words, bits), "sets", compression="zstd")
+    all_rows = scratch.write(_sets(plain, words, percent, bits), "sets", "kind", compression="zstd")
     counts = np.zeros(1 << bits, np.int64)
-    for k, own in sum_slices(all_rows.where("slice is not null").select("part", "slice", "counts"), "<u2").items():
+    for k, own in sum_slices(all_rows.where("kind = 2").select("part", "slice", "counts"), "<u2").items():
         counts[k * SLICE : k * SLICE + len(own)] = own
     level = np.log2(counts + 1).astype(np.uint8)
     is_hot = counts > max(few, 4 * int(counts.mean()))
-    levels, hot = context.broadcast(level), context.broadcast(is_hot)
-    rows = all_rows.where("slice is null").select("doc_id", "n", "sid", "check")
+    levels, hot = context.broadcast(level), context.broadcast(is_hot)  # at most 2^24 bytes each
+    rows = all_rows.where("kind = 0").select("doc_id", "n", "sid", "check")
+    parts = all_rows.where("kind = 1").select("entity", "sid", "n", "bitmap").dropDuplicates(["entity"])
     names = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), (F.min("check") != F.max("check")).alias("clash"))
     names = scratch.write(names, "names")
     if not names.where("clash").isEmpty():
         raise ValueError("two different sets have one 64-bit name")
 
-    both = scratch.write(_prefixes(plain, words, percent, bits, levels, hot), "prefixes", "hot")
-    parts = both.where("hot is null").select("entity", "sid", "n", "bitmap").dropDuplicates(["entity"])
-    shared = _shared(both.where("not hot").select("key", "entity"))
-    signed = shared.join(parts, "entity").select("key", "sid", "n", "bitmap")
-    edges = _candidate_edges(signed, percent)
-    common = both.where("hot").select("key", "entity").join(parts.select("entity", "sid"), "entity").select("key", "sid")
-    lowest = common.groupBy("key").agg(F.min("sid").alias("b"))
-    edges = edges.union(common.join(lowest, "key").select(F.col("sid").alias("a"), "b").where("a <> b"))
+    shared = scratch.write(_shared(_prefixes(plain, words, percent, bits, levels, hot)), "shared", compression="zstd")
+    groups = shared.where("not hot").select("group", "entity").distinct()
+    edges = _candidate_edges(groups.join(parts, "entity").select("group", "sid", "n", "bitmap"), percent)
+    common = shared.where("hot").select("group", "entity").join(parts.select("entity", "sid"), "entity").select("group", "sid")
+    lowest = common.groupBy("group").agg(F.min("sid").alias("b"))
+    edges = edges.union(common.join(lowest, "group").select(F.col("sid").alias("a"), "b").where("a <> b"))
     clusters = connected_components(scratch, edges, "candidates")
-    scratch.drop("prefixes")
 
     members = clusters.join(names, F.col("node") == F.col("sid")).select("sid", F.col("root").alias("cluster"), "rep", names["n"])
     size = members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / block_shingles, F.count(F.lit(1)) / block_sets)).alias("blocks"))
