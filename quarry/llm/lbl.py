@@ -13,6 +13,7 @@ cut: they are summed at once); every other word's count comes by a join on its 6
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,9 @@ CLASSES, START = END + 1, END + 1
 #: The end's key: no word has a space.
 END_KEY = xxhash.xxh3_64_intdigest(b" ")
 FIXED = 1 << 16
-_WORD = np.dtype([("id", "<i4"), ("key", "<i8"), ("class", "<i4")])
+_WORD, _PACK = np.dtype([("id", "<i4"), ("key", "<i8"), ("class", "<i4")]), struct.Struct("<iqi").pack
+#: Parameters in one slice of the sums.
+PIECE = 4096
 
 
 def _signed(x: int) -> int:
@@ -50,6 +53,7 @@ class Vocabulary:
     def __init__(self, keys: list[int], counts: list[int], total: int, distinct: int, rest: dict[int, tuple[int, int]]):
         order = sorted(range(len(keys)), key=lambda k: (-counts[k], keys[k]))
         self.total, self.distinct = total, distinct
+        self._cache: Cache | None = None
         self.end_count = 0
         self.place: dict[int, int] = {}
         head = []
@@ -66,7 +70,16 @@ class Vocabulary:
         """Place in the head, or -1 less the ending class; the key; the class."""
         key = _signed(xxhash.xxh3_64_intdigest(word))
         at, end = self.place.get(key, -1), ending(word)
-        return np.array([(at if at >= 0 else -1 - end, key, at if 0 <= at < OWN else OWN + end)], _WORD).tobytes()
+        return _PACK(at if at >= 0 else -1 - end, key, at if 0 <= at < OWN else OWN + end)
+
+    def cache(self) -> Cache:
+        """packed by word; it lasts as long as this object does in a worker."""
+        if self._cache is None:
+            self._cache = Cache(self.packed, 600_000)
+        return self._cache
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_cache": None}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -130,7 +143,7 @@ class LogBilinear:
 
 def _by_class(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by class."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")  # 16 bits sort by radix
     own = at[order]
     cut = np.flatnonzero(np.diff(own, prepend=-1))
     out = np.zeros((n, values.shape[1]), np.float32)
@@ -182,7 +195,15 @@ def read_vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     """At most `head` words' keys and counts, and 64 classes' totals, come to the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     end = counts.where(F.col("ending") == -1).select("key", "n").collect()  # one row
-    top = counts.where("ending >= 0").orderBy(F.desc("n"), "key").limit(head).toPandas()
+    size = F.floor(F.log2("n") * 32).cast("int")  # at most 2048 steps; whole steps are taken while they fit
+    steps = sorted(counts.where("ending >= 0").groupBy(size.alias("step")).agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r["step"])
+    least, held = 1 << 30, 0
+    for r in steps:
+        held += r["v"]
+        if held > head:
+            break
+        least = r["step"]
+    top = counts.where("ending >= 0").where(size >= least).toPandas().sort_values(["n", "key"], ascending=[False, True], ignore_index=True)
     rest = {r["ending"]: [r["n"], r["v"]] for r in counts.where("ending >= 0").groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     for e, n in zip(top["ending"][:OWN].tolist(), top["n"][:OWN].tolist(), strict=True):
         rest[e][0] -= n
@@ -190,8 +211,8 @@ def read_vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary([r["key"] for r in end] + top["key"].tolist(), [r["n"] for r in end] + top["n"].tolist(), total, distinct, {k: tuple(v) for k, v in rest.items()})
 
 
-def train_model(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2, batch: int = 8192, seed: int = 1) -> LogBilinear:
-    """Trains on all texts of docs (one column, text)."""
+def train_model(docs: DataFrame, vocabulary: Vocabulary, shared, rounds: int = 2, batch: int = 8192, seed: int = 1) -> LogBilinear:
+    """Trains on all texts of docs (one column, text); shared is the broadcast vocabulary."""
     context = docs.sparkSession.sparkContext
     noise = np.ones(CLASSES)
     own = vocabulary.head[:OWN]
@@ -199,12 +220,11 @@ def train_model(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2, batch:
     noise[OWN:END] += vocabulary.mass[:, 0]
     noise[END] += vocabulary.end_count
     model = LogBilinear(noise, seed)
-    shared = context.broadcast(vocabulary)
     for turn in range(rounds):
         start = context.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            cache, tokens, state = Cache(shared.value.packed, 600_000), 0, {}
+            cache, tokens, state = shared.value.cache(), 0, {}
             own, part = LogBilinear(start.value.noise), TaskContext.get().partitionId()
             own.set_flat(start.value.flat())
             rng = np.random.default_rng([seed, turn, part])
@@ -221,23 +241,25 @@ def train_model(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2, batch:
                     own.train(w1[pick], w2[pick], classes[pick], state, rng)
             if tokens:
                 values = np.append(np.rint(own.flat().astype(np.float64) * FIXED) * tokens, tokens).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["part", "slice", "counts"])
+                cuts = [values[k : k + PIECE].tobytes() for k in range(0, len(values), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), part, np.int32)), pa.array(np.arange(len(cuts), dtype=np.int32)), pa.array(cuts, pa.binary())], ["part", "slice", "counts"])
 
-        sums = sum_slices(docs.mapInArrow(run, "part int, slice int, counts binary"), "<i8").get(0)
-        if sums is None:
+        found = sum_slices(docs.mapInArrow(run, "part int, slice int, counts binary"), "<i8")
+        if not found:
             break
+        sums = np.concatenate([found[k] for k in sorted(found)])
         model.set_flat(sums[:-1] / (FIXED * float(sums[-1])))
     return model
 
 
-def score_texts(scratch: Scratch, docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: LogBilinear) -> DataFrame:
+def score_texts(scratch: Scratch, docs: DataFrame, counts: DataFrame, shared, model: LogBilinear) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row (doc_id, text)."""
     context = docs.sparkSession.sparkContext
-    shared, parts = context.broadcast(vocabulary), context.broadcast(model.tables())
+    parts = context.broadcast(model.tables())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, (first, second, bias, log_sum) = shared.value, parts.value
-        cache, row = Cache(v.packed, 600_000), TaskContext.get().partitionId() << 33
+        cache, row = v.cache(), TaskContext.get().partitionId() << 33
         floor = math.log10(v.total + v.distinct + 1)
         end = np.array([(len(v.head), 0, END)], _WORD).tobytes()
         counts_ = np.append(v.head, v.end_count)
@@ -303,8 +325,9 @@ def language_model_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id"
     training = plain.where("learn").select("text")
     counts = scratch.write(corpus_counts(training), "counts")
     vocabulary = read_vocabulary(counts, head)
-    model = train_model(training, vocabulary, rounds)
-    return score_texts(scratch, plain, counts, vocabulary, model).withColumn("train_tokens", F.lit(vocabulary.total).cast("long"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most `head` words
+    model = train_model(training, vocabulary, shared, rounds)
+    return score_texts(scratch, plain, counts, shared, model).withColumn("train_tokens", F.lit(vocabulary.total).cast("long"))
 
 
 def op9_lm_scores(spark, sf_dir: str) -> DataFrame:
