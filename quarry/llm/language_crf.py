@@ -29,19 +29,31 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
+#: Buckets of features by kind: beginnings, endings, inner n-grams, words. Caches of bounded size.
+_BUCKETS = {kind: Cache(lambda gram, kind=kind: zlib.crc32(f"{kind}{gram}".encode()) % BUCKETS, 200_000) for kind in "psnw"}
+
+
+def letters(word: str) -> str:
+    """The word in lower case; only its letters, apostrophes and hyphens."""
+    word = word.lower()
+    return word if word.isalpha() else "".join([c for c in word if c.isalpha() or c in "'-"])
+
+
 def word_features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:
-    """Hashed features of a word in lower case; only its letters, apostrophes and hyphens count."""
-    word = "".join(c for c in word.lower() if c.isalpha() or c in "'-")
+    """Hashed features of a word's letters."""
+    word = letters(word)
     marked = f"^{word}$"
-    found = {f"p{marked[:n]}" for n in (2, 3, 4)} | {f"s{marked[-n:]}" for n in (2, 3, 4)}
-    found |= {f"n{marked[k : k + n]}" for n in (2, 3) for k in range(len(marked) - n + 1)}
+    p, s, n = _BUCKETS["p"], _BUCKETS["s"], _BUCKETS["n"]
+    found = {p[marked[:2]], p[marked[:3]], p[marked[:4]], s[marked[-2:]], s[marked[-3:]], s[marked[-4:]]}
+    found.update([n[marked[k : k + 2]] for k in range(len(marked) - 1)])
+    found.update([n[marked[k : k + 3]] for k in range(len(marked) - 2)])
     if word in lexicon:
-        found.add(f"w{word}")
-    return [zlib.crc32(f.encode()) % BUCKETS for f in found]
+        found.add(_BUCKETS["w"][word])
+    return list(found)
 
 
-def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """Word marginals (time, sequence, label), and the expected transitions summed over all sequences.
+def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, lengths: np.ndarray, with_transitions: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word marginals (time, sequence, label), and, if asked for, the expected transitions summed over all sequences.
 
     emission (time, sequence, label) holds log weights; sequences are sorted by falling length.
     """
@@ -59,8 +71,9 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.nda
         m = live[t]
         after = local[t, :m] * beta[t, :m]
         b = after @ move.T
-        expected_t = (alpha[t - 1, :m, :, None] * move) * after[:, None, :]
-        expected += (expected_t / expected_t.sum((1, 2), keepdims=True)).sum(0) if n <= 512 and steps <= SEGMENT else 0
+        if with_transitions:
+            expected_t = (alpha[t - 1, :m, :, None] * move) * after[:, None, :]
+            expected += (expected_t / expected_t.sum((1, 2), keepdims=True)).sum(0)
         beta[t - 1, :m] = b / b.sum(1, keepdims=True)
     both = alpha * beta
     return both / np.maximum(both.sum(2, keepdims=True), 1e-30), expected
@@ -76,6 +89,23 @@ class LanguageCrf:
         """A word's label weights as packed 32-bit floats; none for a word without letters."""
         return self.weights[word_features(word, self.lexicon)].sum(0).astype("<f4").tobytes() if has_letter(word) else b""
 
+    def fill(self, cache: Cache, words: set[str]) -> None:
+        """Puts the words that the cache lacks into it, all in one sum."""
+        new = list(words.difference(cache))
+        if len(cache) + len(new) > cache.most:
+            cache.clear()
+            new = list(words)
+        some = [w for w in new if has_letter(w)]
+        cache.update(dict.fromkeys(set(new).difference(some), b""))
+        if some:
+            flat, ends = [], []
+            for w in some:
+                flat += word_features(w, self.lexicon)
+                ends.append(len(flat))
+            sums = np.add.reduceat(self.weights[flat], [0, *ends[:-1]], 0).astype("<f4")
+            width, raw = 4 * sums.shape[1], sums.tobytes()
+            cache.update((w, raw[k * width : (k + 1) * width]) for k, w in enumerate(some))
+
     def fit(self, sequences: list[tuple[list[str], list[int]]], epochs: int, seed: int, rate: float = 0.05, decay: float = 1e-4) -> None:
         """Adam on the conditional likelihood of sequences of exactly SEGMENT words."""
         rng, k = np.random.default_rng(seed), len(self.languages)
@@ -97,7 +127,7 @@ class LanguageCrf:
                 used, of = flat[at], np.repeat(np.arange(len(own)), n)
                 by_word = np.add.reduceat(params[0][used], np.cumsum(n) - n, 0)
                 emission = by_word[inverse].reshape(SEGMENT, len(pick), k)
-                marginal, expected = forward_backward(emission, params[1], params[2], np.full(len(pick), SEGMENT))
+                marginal, expected = forward_backward(emission, params[1], params[2], np.full(len(pick), SEGMENT), True)
                 gold = labels[pick].T
                 error = np.eye(k)[gold] - marginal
                 word_grad = np.stack([np.bincount(inverse, error[:, :, c].ravel(), len(own)) for c in range(k)], 1)
@@ -148,7 +178,7 @@ def fit_language_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not words:
         return None
     languages = sorted({lang for _, lang in words})
-    counts = Counter(word for w, _ in words for word in {"".join(c for c in x.lower() if c.isalpha() or c in "'-") for x in w})
+    counts = Counter(word for w, _ in words for word in {letters(x) for x in w})
     model = LanguageCrf(languages, {w for w, n in counts.items() if n >= 3})
     rng = np.random.default_rng(seed)
     sequences, halves = [], []
@@ -167,7 +197,7 @@ def fit_language_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 class _Tagger:
     def __init__(self, model: LanguageCrf | None):
-        self.model, self.cache = model, Cache(model.emission, 500_000) if model else None
+        self.model, self.cache = model, Cache(model.emission, 600_000) if model else None
 
     def tag(self, texts: list[str | None]) -> tuple[list[str], list[float], list[np.ndarray]]:
         """Language, score and word marginals of each text."""
@@ -175,7 +205,9 @@ class _Tagger:
         langs, scores = ["und"] * n, [0.0] * n
         if not own:
             return langs, scores, [np.zeros((0, 1))] * n
-        weights = [np.frombuffer(b"".join(map(self.cache.__getitem__, (t or "").split())), "<f4").reshape(-1, len(own.languages)) for t in texts]
+        words = [(t or "").split() for t in texts]
+        own.fill(self.cache, set().union(*words))
+        weights = [np.frombuffer(b"".join(map(self.cache.__getitem__, w)), "<f4").reshape(-1, len(own.languages)) for w in words]
         marginals = own.marginals(weights)
         for i, p in enumerate(marginals):
             if len(p):
