@@ -173,6 +173,8 @@ class NeighbourModel:
 
     def score(self, counts: dict[int, int]) -> tuple[float, list]:
         raw, evidence = self.vote(self.vector(counts))
+        if not evidence:
+            return self.prior, evidence  # a share already
         return float(np.clip(np.interp(raw, self.steps, self.means), 0.0, 1.0)), evidence
 
 
@@ -264,7 +266,7 @@ class _Scorer:
 def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, evidence (nearest examples: doc_id, label, similarity): one row per input row.
 
-    A null text is scored as empty; an empty text has no neighbours and gets the examples' share of label 1, calibrated. Repeated rows and null ids give their own rows.
+    A null text is scored as empty; an empty text has no neighbours and gets the examples' share of label 1. Repeated rows and null ids give their own rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most two thousand terms and twice most_examples vectors
     schema = "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,label:int,similarity:double>>"
