@@ -1,18 +1,21 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
-Terms are words and word beginnings that the labelled examples show to go with a label (chi-square), and one term for all other
-words, so a term's share of the text counts. Document frequencies are counted over all documents. Examples with equal
-vectors are one entry of the index with the sum of their votes. A query adds up, for each block of entries, the largest
-weights its terms have there, visits blocks from the highest bound down and stops at the first whose bound is
-below the k-th best similarity: the k neighbours are exact. The nearest k votes are weighted by 1 / (distance + 0.02) and
-calibrated by isotonic regression of the examples' own votes, each without itself.
+Terms are all words of the examples and their beginnings, and one term for the words of a text without any of them. Document
+frequencies are counted over all documents. A term's weight is its TF-IDF times log2(2 + how many times more often examples of
+label 1 have it than those of label 0), smoothed: terms that go with the label weigh more, and none is left out. Examples with
+equal vectors are one entry of the index with the sum of their votes; entries that share common terms stand together. A
+query adds up its rare terms' postings, bounds each block of entries by the largest such sum in it and the largest weights of the
+common terms there, visits blocks from the highest bound down and stops at the first whose bound is below the k-th best
+similarity: the k neighbours are exact. The nearest k votes are weighted by 1 / (distance + 0.02) and calibrated by isotonic
+regression of the examples' own votes, each without itself.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,12 @@ from quarry.llm.common import sum_slices
 from quarry.llm.units import Cache
 
 BLOCK, OTHER = 64, 0
+#: Terms that most examples have: their weights are a matrix, those of all other terms are postings.
+COMMON = 256
+#: Terms in one slice of the document frequencies.
+SLICE = 1 << 16
+#: Examples by which each term's frequency in a label is smoothed.
+SMOOTH = 4.0
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’…"
 
 
@@ -33,20 +42,25 @@ def word_terms(word: str) -> list[str]:
     return [word] + [f"{word[:n]}*" for n in range(4, min(8, len(word)))] if word else []
 
 
+class Terms:
+    """The examples' terms, as shared with workers."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
 class TermCounter:
-    """Counts of the chosen terms in a text; term 0 counts the words without any."""
+    """Counts of the known terms in a text; term 0 counts the words without any."""
 
     def __init__(self, terms: list[str]):
         self.ids = {t: k + 1 for k, t in enumerate(terms)}
-        self.words = Cache(lambda w: tuple(i for t in word_terms(w) if (i := self.ids.get(t))), 500_000)
+        self.words = Cache(lambda w: tuple(i for t in word_terms(w) if (i := self.ids.get(t))) or (OTHER,), 250_000)
+
+    def present(self, text: str) -> set[int]:
+        return set(chain.from_iterable(map(self.words.__getitem__, text.lower().split())))
 
     def counts(self, text: str) -> dict[int, int]:
-        words = text.lower().split()
-        found = [x for x in map(self.words.__getitem__, words) if x]
-        counts = Counter(i for x in found for i in x)
-        if other := len(words) - len(found):
-            counts[OTHER] = other
-        return counts
+        return Counter(chain.from_iterable(map(self.words.__getitem__, text.lower().split())))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,100 +81,135 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class NeighbourModel:
-    """terms; idf by term number; examples as (doc_id, label, weight, counts)."""
+    """terms; idf (times any weight of their own) by term number; examples as (doc_id, label, weight, counts)."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple], k: int):
         self.terms, self.idf, self.k = terms, idf, k
-        entries: dict[tuple, list] = {}
+        entries: dict[bytes, list] = {}
         for doc_id, label, weight, counts in examples:
-            vector = self.vector(counts)
-            entry = entries.setdefault(tuple((t, round(v, 6)) for t, v in vector), [vector, 0.0, 0.0, doc_id, label])
-            entry[1 + label] += weight
-        # entries with the same strongest term stand together, so that blocks have tight bounds
-        own = sorted(entries.values(), key=lambda e: (max(e[0], key=lambda p: p[1], default=(-1, 0)), e[0]))
-        self.votes = np.array([[e[1], e[2]] for e in own]).reshape(-1, 2)
-        self.names = [(e[3], e[4]) for e in own]
-        self.n_blocks = -(-len(own) // BLOCK)
-        postings: dict[int, list] = defaultdict(list)
-        for k_, e in enumerate(own):
-            for t, v in e[0]:
-                postings[t].append((k_, v))
-        self.postings, self.best, self.cut = {}, {}, {}
-        for t, p in postings.items():
-            at, v = np.array([x[0] for x in p]), np.array([x[1] for x in p])
-            best = np.zeros(self.n_blocks)
-            np.maximum.at(best, at // BLOCK, v)
-            self.postings[t], self.best[t], self.cut[t] = (at, v), best, np.searchsorted(at, np.arange(self.n_blocks + 1) * BLOCK)
-        self.index = {tuple((t, round(v, 6)) for t, v in e[0]): k_ for k_, e in enumerate(own)}
-        total = self.votes.sum(0) if len(own) else np.zeros(2)
+            ids, v = self._weights(counts)
+            entry = entries.setdefault(self._key(ids, v), [ids, v, 0.0, 0.0, doc_id, label])
+            entry[2 + label] += weight
+        own, n = list(entries.values()), len(entries)
+        keys = list(entries)
+        entries.clear()
+        at = np.repeat(np.arange(n, dtype=np.int32), [len(e[0]) for e in own])
+        ids = np.concatenate([e[0] for e in own]) if own else np.zeros(0, np.int32)
+        v = np.concatenate([e[1] for e in own]) if own else np.zeros(0)
+        for e in own:
+            e[0] = e[1] = None
+        held = np.bincount(ids, minlength=len(idf))
+        common = np.sort(np.argsort(-held, kind="stable")[:COMMON])
+        self.column = np.full(len(idf), -1, np.int32)  # of the matrix, for common terms
+        self.column[common] = np.arange(len(common))
+        place = self._together(at, self.column[ids], v, n, len(common))
+        own, at = [own[i] for i in np.argsort(place)], place[at]
+        self.votes = np.array([[e[2], e[3]] for e in own]).reshape(-1, 2)
+        self.names = [(e[4], e[5]) for e in own]
+        self.index = dict(zip(keys, place.tolist(), strict=True))
+        self.n_blocks = -(-n // BLOCK)
+        self.matrix = np.zeros((self.n_blocks * BLOCK, len(common)), np.float32)
+        in_matrix = self.column[ids] >= 0
+        self.matrix[at[in_matrix], self.column[ids[in_matrix]]] = v[in_matrix]
+        self.best = self.matrix.reshape(self.n_blocks, BLOCK, len(common)).max(1)
+        rare = np.flatnonzero(~in_matrix)
+        rare = rare[np.lexsort((at[rare], ids[rare]))]
+        self.rare_at, self.rare_v = at[rare].astype(np.int32), v[rare].astype(np.float32)
+        self.cut = np.searchsorted(ids[rare], np.arange(len(idf) + 1))
+        total = self.votes.sum(0) if n else np.zeros(2)
         self.prior = float(total[1] / total.sum()) if total.sum() else 0.0
         self.steps, self.means = np.zeros(1), np.full(1, self.prior)
         if examples:
-            raw = [self.vote(self.vector(c), without=(label, weight))[0] for _, label, weight, c in examples]
+            raw = [self.vote(c, without=(label, weight))[0] for _, label, weight, c in examples]
             self.steps, self.means = isotonic(np.array(raw), np.array([float(e[1]) for e in examples]), np.array([e[2] for e in examples]))
+        self.index = {}  # only for the examples' own votes
+
+    @staticmethod
+    def _key(ids: np.ndarray, v: np.ndarray) -> bytes:
+        return blake2b(ids.astype("<i4").tobytes() + np.round(v, 6).tobytes(), digest_size=16).digest()
+
+    @staticmethod
+    def _together(at: np.ndarray, column: np.ndarray, v: np.ndarray, n: int, width: int) -> np.ndarray:
+        """A place for each entry: those next to the same pivot by common terms stand together, so that blocks have tight bounds."""
+        matrix, own = np.zeros((n, width), np.float32), column >= 0
+        matrix[at[own], column[own]] = v[own]
+        pivots = matrix[:: max(1, int(np.sqrt(n)))]
+        near = matrix @ pivots.T
+        first = near.argmax(1) if n else np.zeros(0, np.int64)
+        place = np.zeros(n, np.int32)
+        if n:
+            place[np.lexsort((-near.max(1), first, (pivots @ matrix.mean(0))[first]))] = np.arange(n)
+        return place
+
+    @property
+    def postings(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Entries and weights by term."""
+        out = {int(t): (at := np.flatnonzero(self.matrix[:, c]), self.matrix[at, c]) for t, c in enumerate(self.column) if c >= 0 and self.matrix[:, c].any()}
+        out |= {int(t): (self.rare_at[lo:hi], self.rare_v[lo:hi]) for t, (lo, hi) in enumerate(zip(self.cut, self.cut[1:], strict=False)) if lo < hi}
+        return out
+
+    def _weights(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, ascending, and their weights of norm 1."""
+        if isinstance(counts, dict):
+            ids, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+            order = np.argsort(ids)
+            ids, n = ids[order], n[order]
+        else:
+            ids, n = counts
+        w = (1 + np.log(n)) * self.idf[ids]
+        norm = np.sqrt((w * w).sum())
+        return (ids, w / norm) if norm else (ids[:0], w[:0])
 
     def vector(self, counts: dict[int, int]) -> list[tuple[int, float]]:
-        weights = [(t, (1 + np.log(n)) * self.idf[t]) for t, n in sorted(counts.items())]
-        norm = np.sqrt(sum(w * w for _, w in weights))
-        return [(t, float(w / norm)) for t, w in weights] if norm else []
+        return list(zip(*(x.tolist() for x in self._weights(counts)), strict=True))
 
     def nearest(self, vector: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of largest cosine, and the cosines; of equal ones the first in the index."""
-        bounds = np.zeros(self.n_blocks)
-        known = [(t, q) for t, q in vector if t in self.best]
-        for t, q in known:
-            bounds += q * self.best[t]
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
+        return self._nearest(np.array([t for t, _ in vector], np.int64), np.array([v for _, v in vector]))
+
+    def _nearest(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.n_blocks or not len(ids):
+            return np.zeros(0, np.int64), np.zeros(0)
+        column = self.column[ids]
+        common = np.zeros(self.best.shape[1])
+        common[column[column >= 0]] = q[column >= 0]
+        low = self.cut[ids]
+        size = self.cut[ids + 1] - low
+        ends = np.cumsum(size)
+        pick = np.repeat(low - ends + size, size) + np.arange(ends[-1])
+        part = np.bincount(self.rare_at[pick], np.repeat(q, size) * self.rare_v[pick], len(self.matrix)).reshape(self.n_blocks, BLOCK)
+        fast = common.astype(np.float32)
+        bounds = part.max(1) + self.best @ fast
         order = np.argsort(-bounds, kind="stable")
+        ids, sims = np.zeros(0, np.int64), np.zeros(0)
         done, take = 0, 2
         while done < self.n_blocks:
-            floor = sims[-1] if len(ids) == self.k else -1.0
+            floor = np.partition(sims, -self.k)[-self.k] - 1e-5 if len(ids) >= self.k else -1.0  # single precision errs by less
             left = order[done:]
-            fits = int(np.searchsorted(-bounds[left], -(floor - 1e-12), "right"))  # blocks whose bound reaches the k-th best
+            fits = int(np.searchsorted(-bounds[left], -floor, "right"))  # blocks whose bound reaches the k-th best
             if not fits:
                 break
             blocks = left[: min(fits, take)]
-            at, score = self._exact(known, blocks)
-            ids, sims = np.append(ids, at), np.append(sims, score)
-            if len(ids) > self.k:
-                least = np.partition(-sims, self.k - 1)[self.k - 1]
-                near = np.flatnonzero(-sims <= least)
-                ids, sims = ids[near], sims[near]
-            top = np.lexsort((ids, -sims))[: self.k]
-            ids, sims = ids[top], sims[top]
-            done, take = done + len(blocks), take * 8
-        return ids, sims
-
-    def _exact(self, known: list[tuple[int, float]], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of the blocks and their cosines: posting by posting for a few blocks, whole lists for many."""
-        if len(blocks) > 4:
-            score = np.zeros(len(self.names))
-            for t, q in known:
-                at, v = self.postings[t]
-                score[at] += q * v
-            ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            ids = ids[ids < len(score)]
-            return ids, score[ids]
-        ids, scores = [], []
-        for b in blocks.tolist():
-            score = np.zeros(min(BLOCK, len(self.names) - b * BLOCK))
-            for t, q in known:
-                lo, hi = self.cut[t][b], self.cut[t][b + 1]
-                if lo < hi:
-                    at, v = self.postings[t]
-                    score[at[lo:hi] - b * BLOCK] += q * v[lo:hi]
-            ids.append(np.arange(len(score)) + b * BLOCK)
-            scores.append(score)
-        return np.concatenate(ids), np.concatenate(scores)
-
-    def vote(self, vector: list[tuple[int, float]], without: tuple[int, float] | None = None) -> tuple[float, list]:
+            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            score = np.concatenate([part[b] + self.matrix[b * BLOCK : (b + 1) * BLOCK] @ fast for b in blocks.tolist()])
+            some = np.flatnonzero((score >= floor) & (rows < len(self.names)))
+            ids, sims = np.append(ids, rows[some]), np.append(sims, score[some])
+            done, take = done + len(blocks), take * 4
+        if len(ids) > self.k:
+            ids = ids[sims >= np.partition(sims, -self.k)[-self.k] - 1e-5]
+        sims = part.ravel()[ids] + self.matrix[ids].astype(np.float64) @ common
+        top = np.lexsort((ids, -sims))[: self.k]
+        return ids[top], sims[top]
+
+    def vote(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray], without: tuple[int, float] | None = None) -> tuple[float, list]:
         """Share of the distance-weighted votes for label 1, and the three nearest entries as evidence."""
-        ids, sims = self.nearest(vector)
+        vector = self._weights(counts)
+        ids, sims = self._nearest(*vector)
         ids, sims = ids[sims > 0], sims[sims > 0]
         if not len(ids):
             return self.prior, []
         votes = self.votes[ids]
-        if without and (own := self.index.get(tuple((t, round(v, 6)) for t, v in vector))) is not None:
+        if without and (own := self.index.get(self._key(*vector))) is not None:
             votes = votes.copy()
             votes[ids == own, without[0]] -= without[1]
         votes = np.maximum(votes, 0)
@@ -172,42 +221,30 @@ class NeighbourModel:
         return (float(weighted[:, 1].sum() / total) if total > 0 else self.prior), evidence
 
     def score(self, counts: dict[int, int]) -> tuple[float, list]:
-        raw, evidence = self.vote(self.vector(counts))
+        raw, evidence = self.vote(counts)
         if not evidence:
             return self.prior, evidence  # a share already
         return float(np.clip(np.interp(raw, self.steps, self.means), 0.0, 1.0)), evidence
 
 
-def likeness(text: str) -> int:
-    """The smallest hash of the text's five-word shingles: mostly the same for near copies, hardly ever for others."""
-    words = text.lower().split()
-    return min((zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))))
-
-
-def choose_terms(rows: list[tuple[int, float, str]], least: float, most: int) -> list[str]:
-    """Terms by chi-square of presence against label, at least `least`, the strongest `most` of them; near copies count once."""
-    n = np.zeros(2)
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    known = set()
-    for label, _, text in rows:
-        if (label, like := likeness(text)) in known:
-            continue  # a group of copies would make all its words telling
-        known.add((label, like))
-        n[label] += 1
-        for t in {t for w in set(text.lower().split()) for t in word_terms(w)}:
-            seen[t][label] += 1
-    scored = []
-    for t, (clean, bad) in seen.items():
-        if clean + bad >= 4 and n.all():
-            both, total = clean + bad, n.sum()
-            expected = both * n[1] / total
-            chi = (abs(bad - expected) - 0.5) ** 2 * total**2 / (both * (total - both) * n[1] * n[0] / total) if both < total else 0
-            if abs(bad - expected) > 0.5 and chi >= least and bad > expected:
-                scored.append((-chi, t))
-    return [t for _, t in sorted(scored)[:most]]
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_examples: int = 4000, k: int = 25, least_chi: float = 30.0, most_terms: int = 2000) -> NeighbourModel:
+def leaning(labels: list[int], counts: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
+    """By term, log2(2 + r) with r the smoothed ratio of its frequency in examples of label 1 to that in those of label 0.
+
+    Examples with the same counts are one. Without both labels there is no ratio and every term has the same weight.
+    """
+    seen, n, known = np.zeros((2, n_terms)), np.zeros(2), set()
+    for label, (ids, times) in zip(labels, counts, strict=True):
+        if (key := (label, ids.tobytes(), times.tobytes())) not in known:
+            known.add(key)
+            seen[label, ids] += 1
+            n[label] += 1
+    if not n.all():
+        return np.ones(n_terms)
+    share = n / n.sum()
+    return np.log2(2 + (seen[1] + SMOOTH * share[1]) / n[1] / ((seen[0] + SMOOTH * share[0]) / n[0]))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_examples: int = 4000, k: int = 25) -> NeighbourModel:
     """Learns from at most `most_examples` labelled rows of each label, chosen by hash of their id.
 
     Their votes are weighted so that each label has its share of all labelled rows. Rows without id or label are left out; an id with
@@ -223,21 +260,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     per = Counter(r["label"] for r in found)
     scale = len(found) / max(sum(sizes[v] for v in per), 1)  # so that votes average 1
     rows = [(r["label"], scale * sizes[r["label"]] / per[r["label"]], r["text"] or "") for r in found]
-    terms = choose_terms(rows, least_chi, most_terms)
+    names: dict[str, None] = {}
+    for _, _, text in rows:
+        names.update(dict.fromkeys(chain.from_iterable(map(word_terms, set(text.lower().split())))))
+    terms = sorted(names)
+    shared, width = docs.sparkSession.sparkContext.broadcast(Terms(terms)), len(terms) + 2
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, df = TermCounter(terms), np.zeros(len(terms) + 2, np.int64)
+        counter, df = _lasting(shared.value, lambda t: TermCounter(t.names)), np.zeros(width, np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                for t in counter.counts(text or ""):
-                    df[t] += 1
+                own = counter.present(text or "")
+                df[np.fromiter(own, np.int64, len(own))] += 1
             df[-1] += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([df.astype("<i8").tobytes()], pa.binary())], ["part", "slice", "counts"])
+        part, slices = TaskContext.get().partitionId(), range(-(-width // SLICE))
+        for x in slices:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x], pa.int32()), pa.array([df[x * SLICE : (x + 1) * SLICE].astype("<i8").tobytes()], pa.binary())], ["part", "slice", "counts"])
 
-    df = sum_slices(plain.select("text").mapInArrow(frequencies, "part int, slice int, counts binary"), "<i8").get(0, np.zeros(len(terms) + 2))
+    found_df = sum_slices(plain.select("text").mapInArrow(frequencies, "part int, slice int, counts binary"), "<i8")
+    df = np.concatenate([found_df[x] for x in sorted(found_df)]) if found_df else np.zeros(width)
     idf = np.log1p(df[-1] / np.maximum(df[:-1], 1))
-    counter = TermCounter(terms)
-    return NeighbourModel(terms, idf, [(r["doc_id"], label, weight, counter.counts(text)) for r, (label, weight, text) in zip(found, rows, strict=True)], k)
+    shared.destroy()
+    del names, found_df
+    counter, counts = TermCounter(terms), []
+    for _, _, text in rows:
+        own = sorted(counter.counts(text).items())
+        counts.append((np.array([t for t, _ in own], np.int32), np.array([n for _, n in own], np.int32)))
+    del counter
+    weight = idf * leaning([r[0] for r in rows], counts, len(idf))
+    examples = [(r["doc_id"], label, w, c) for r, (label, w, _), c in zip(found, rows, counts, strict=True)]
+    del found, rows  # the texts
+    return NeighbourModel(terms, weight, examples, k)
 
 
 def _lasting(model, make):
@@ -248,19 +301,13 @@ def _lasting(model, make):
 
 
 class _Scorer:
-    """Scores of texts; equal counts are looked up once."""
+    """Scores of texts."""
 
     def __init__(self, model: NeighbourModel):
-        self.model, self.counter, self.known = model, TermCounter(model.terms), {}
+        self.model, self.counter = model, TermCounter(model.terms)
 
     def score(self, text: str | None) -> tuple[float, list]:
-        counts = self.counter.counts(text or "")
-        key = tuple(sorted(counts.items())) if len(counts) > 1 else tuple(counts)
-        if key not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[key] = self.model.score(counts)
-        return self.known[key]
+        return self.model.score(self.counter.counts(text or ""))
 
 
 def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +315,7 @@ def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.
 
     A null text is scored as empty; an empty text has no neighbours and gets the examples' share of label 1. Repeated rows and null ids give their own rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most two thousand terms and twice most_examples vectors
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms and vectors of at most twice most_examples texts
     schema = "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,label:int,similarity:double>>"
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 

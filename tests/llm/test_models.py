@@ -73,6 +73,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["doc_id"] for r in toxicity.drop_toxic(docs, model).collect()} == {k for k in found if not found[k]["predicted"]}
 
 
+def test_toxicity_finds_a_copy_whose_words_are_in_one_example_only(spark):
+    rnd = random.Random(9)
+    texts = [" ".join([*rnd.sample(CLEAN, 4), *(f"w{k}x{j}" for j in range(20))]) for k in range(60)]
+    data = [(100 * copy + k, t, *[None] * 5, 1) for copy in range(3) for k, t in enumerate(texts)]
+    docs, known = frame(spark, data), spark.createDataFrame([(d, int(d % 100 < 12)) for d, *_ in data if d < 200], "doc_id long, toxic int")
+    found = toxicity.score_toxicity(docs.where("doc_id >= 200"), toxicity.fit_toxicity(docs, known)).collect()
+    assert len(found) == 60
+    for r in found:
+        assert r["predicted"] == (r["doc_id"] < 212)
+        assert r["evidence"][0]["doc_id"] % 100 == r["doc_id"] % 100 and math.isclose(r["evidence"][0]["similarity"], 1, rel_tol=1e-6)
+
+
 def test_toxicity_without_examples_and_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(frame(spark), none)
