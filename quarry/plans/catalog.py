@@ -435,8 +435,17 @@ def claim_citations_named(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(p_name, l_partkey::VARCHAR) AS topic FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey WHERE l_orderkey < 500")
 def topic_names(t: Tables) -> DataFrame:
+    return _topic_names(t, t.lineitem.where("l_orderkey < 500"))
+
+
+@query(None)
+def topic_names_whole(t: Tables) -> DataFrame:
+    return _topic_names(t, t.lineitem)
+
+
+def _topic_names(t: Tables, lines: DataFrame) -> DataFrame:
     known = t.part.where("p_size > 10").select(C("p_partkey").alias("l_partkey"), "p_name")
-    return corpus.named(t.lineitem.where("l_orderkey < 500").select("l_orderkey", "l_linenumber", "l_partkey"), known, "l_partkey", "p_name", "topic")
+    return corpus.named(lines.select("l_orderkey", "l_linenumber", "l_partkey"), known, "l_partkey", "p_name", "topic")
 
 
 @query("SELECT l_orderkey, string_agg('Unknown source: ' || l_suppkey, ';' ORDER BY l_suppkey) AS errors FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 <> 0) GROUP BY l_orderkey")
@@ -450,7 +459,16 @@ def xref_missing(t: Tables) -> DataFrame:
 @query("""SELECT o_orderkey, l_suppkey, l_partkey, NOT topic_known AS topic_warning, NOT source_known AS source_error FROM (SELECT o_orderkey, l_suppkey, l_partkey, l_suppkey % 5 <> 0 OR l_suppkey % 10 = 0 AS source_known, l_partkey % 4 <> 0 OR l_partkey % 8 = 0 AS topic_known
  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 2000) WHERE NOT topic_known OR NOT source_known""")
 def draft_refs_missing(t: Tables) -> DataFrame:
-    refs = t.orders.where("o_orderkey < 2000").join(t.lineitem, C("o_orderkey") == C("l_orderkey")).select("o_orderkey", "l_suppkey", "l_partkey")
+    return _draft_refs_missing(t, t.orders.where("o_orderkey < 2000"))
+
+
+@query(None)
+def draft_refs_missing_whole(t: Tables) -> DataFrame:
+    return _draft_refs_missing(t, t.orders)
+
+
+def _draft_refs_missing(t: Tables, orders: DataFrame) -> DataFrame:
+    refs = orders.join(t.lineitem, C("o_orderkey") == C("l_orderkey")).select("o_orderkey", "l_suppkey", "l_partkey")
     sources, topics = t.supplier.select(C("s_suppkey").alias("l_suppkey")), t.part.select(C("p_partkey").alias("l_partkey"))
     known_s = sources.where("l_suppkey % 5 <> 0").union(sources.where("l_suppkey % 10 = 0")).distinct().withColumn("_s", F.lit(True))
     known_t = topics.where("l_partkey % 4 <> 0").union(topics.where("l_partkey % 8 = 0")).distinct().withColumn("_t", F.lit(True))
@@ -784,8 +802,16 @@ def parse_overview(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, 'Note ' || doc_id AS title, trim(regexp_extract(coalesce(text, ''), '^[\\s]*([^\\n]*)', 1)) AS statement, 'https://example.org/' || doc_id AS source, 'said' AS quote FROM documents WHERE doc_id % 3 = 0 AND regexp_matches(text, '^[A-ZÀ-Ý]')")
 def ingest_parse(t: Tables) -> DataFrame:
+    return _ingest_parse(t.documents.where("doc_id % 3 = 0").where(C("text").rlike("^[A-ZÀ-Ý]")))
+
+
+@query(None)
+def ingest_parse_whole(t: Tables) -> DataFrame:
+    return _ingest_parse(t.documents)
+
+
+def _ingest_parse(rows: DataFrame) -> DataFrame:
     note = F.concat(F.lit("skipped line\n# Note "), C("doc_id").cast("string"), F.lit("\n\nSource: https://example.org/"), C("doc_id").cast("string"), F.lit('\nQUOTE: "said"\n'), "text")
-    rows = t.documents.where("doc_id % 3 = 0").where(C("text").rlike("^[A-ZÀ-Ý]"))
     return rows.select("doc_id", mentions.parse_note(note).alias("n")).select("doc_id", "n.title", "n.statement", "n.source", "n.quote")
 
 
@@ -810,8 +836,17 @@ def token_accounting(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, platform FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id < 50) CROSS JOIN (VALUES ('a'), ('b'), ('c')) p(platform)")
 def monitor_checks(t: Tables) -> DataFrame:
+    return _monitor_checks(t, t.documents.where("doc_id < 50"))
+
+
+@query(None)
+def monitor_checks_whole(t: Tables) -> DataFrame:
+    return _monitor_checks(t, t.documents)
+
+
+def _monitor_checks(t: Tables, documents: DataFrame) -> DataFrame:
     platforms = t.spark.createDataFrame([("a",), ("b",), ("c",)], "platform string")
-    return t.documents.where("doc_id < 50").select("doc_id").distinct().crossJoin(F.broadcast(platforms))
+    return documents.select("doc_id").distinct().crossJoin(F.broadcast(platforms))
 
 
 @query("SELECT s_suppkey, len AS n_snapshots FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END AS len FROM supplier)")

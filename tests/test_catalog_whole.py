@@ -1,0 +1,30 @@
+"""Queries without SQL of their own that run over whole tables, against the SQL of their limited forms without its limits."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from quarry.plans import catalog
+from tests.test_catalog import canonical
+
+DIR = "/root/testdata/sf0.01"  # the smallest with rows beyond every limit
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are not here")
+
+LIMITS = {"topic_names": " WHERE l_orderkey < 500", "draft_refs_missing": " WHERE o_orderkey < 2000", "ingest_parse": "doc_id % 3 = 0 AND ", "monitor_checks": " WHERE doc_id < 50"}
+
+
+@pytest.mark.parametrize("name", sorted(LIMITS))
+def test_whole_query_equals_unlimited_sql(spark, name):
+    duck = duckdb.connect()
+    for p in glob.glob(f"{DIR}/*.parquet"):
+        duck.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+    sql = catalog.SQL[name].replace(LIMITS[name], "")
+    assert sql != catalog.SQL[name]
+    ours, theirs = catalog.QUERIES[f"{name}_whole"](spark, DIR).toPandas(), duck.execute(sql).df()
+    if name == "ingest_parse":  # the SQL knows only texts that begin with a capital letter
+        assert len(ours) == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
+        ours = ours[ours["doc_id"].isin(theirs["doc_id"])]
+    assert len(theirs) > len(catalog.QUERIES[name](spark, DIR).toPandas())
+    assert canonical(ours) == canonical(theirs)
