@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those in which no language holds two fifths of the words' probability."""
+    """Drops documents without a letter, and those whose words' likeliest languages have a mean probability below two fifths."""
     ship(spark)
     return language_crf.keep_identified(docs, language_crf.fit_language_crf(docs.where(_remainder(3) != 1)))
 

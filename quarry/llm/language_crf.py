@@ -256,7 +256,7 @@ def identify_language(docs: DataFrame, model: LanguageCrf | None, id_col: str =
 
 
 def keep_identified(docs: DataFrame, model: LanguageCrf | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that have a language: some word with a letter, and a score of at least `least`."""
+    """The rows of docs, with all their columns, that have a language: some word with a letter, and words whose likeliest languages have a mean probability of at least `least`."""
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +264,8 @@ def keep_identified(docs: DataFrame, model: LanguageCrf | None, least: float = 0
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
-                langs, scores, _ = tagger.tag(b.column(place).to_pylist())
-                yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+                langs, _, marginals = tagger.tag(b.column(place).to_pylist())
+                yield b.filter(pa.array([x != "und" and float(p.max(1).mean()) >= least for x, p in zip(langs, marginals, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

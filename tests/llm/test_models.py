@@ -139,6 +139,13 @@ def test_language_on_held_out_rows_and_code_switching(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5] and kept.columns == frame(spark).columns
 
 
+def test_a_text_of_three_languages_is_kept(spark):
+    model = language_crf.fit_language_crf(frame(spark, language_rows()))
+    docs = frame(spark, [(1, " ".join(WORDS[x] for x in ("en", "de", "fr")), *[None] * 5, 1)])
+    assert language_crf.identify_language(docs, model).first()["score"] < 0.4
+    assert language_crf.keep_identified(docs, model).count() == 1
+
+
 def test_language_without_examples(spark):
     model = language_crf.fit_language_crf(frame(spark).where("false"))
     assert model is None
