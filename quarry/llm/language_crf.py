@@ -185,7 +185,7 @@ def fit_language_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for w, lang in words:
         label = languages.index(lang)
         w = w * -(-SEGMENT // len(w)) if len(w) < SEGMENT else w  # short texts are repeated to one sequence
-        for k in range(0, len(w) - SEGMENT + 1, SEGMENT):
+        for k in sorted({*range(0, len(w) - SEGMENT + 1, SEGMENT), len(w) - SEGMENT}):  # the last may overlap the one before
             sequences.append((w[k : k + SEGMENT], [label] * SEGMENT))
     for _ in range(len(sequences) // 4):
         (a, la), (b, lb) = (sequences[i] for i in rng.integers(0, len(sequences), 2))

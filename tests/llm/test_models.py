@@ -139,6 +139,15 @@ def test_language_on_held_out_rows_and_code_switching(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5] and kept.columns == frame(spark).columns
 
 
+def test_language_learns_from_the_whole_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_crf.LanguageCrf, "fit", lambda self, sequences, epochs, seed: seen.extend(sequences))
+    n = 2 * language_crf.SEGMENT - 1
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(n)]
+    language_crf.fit_language_crf(frame(spark, [(1, " ".join(words), "en", *[None] * 4, 1)]))
+    assert {w for s, _ in seen for w in s} == set(words) and {len(s) for s, _ in seen} == {language_crf.SEGMENT}
+
+
 def test_a_text_of_three_languages_is_kept(spark):
     model = language_crf.fit_language_crf(frame(spark, language_rows()))
     docs = frame(spark, [(1, " ".join(WORDS[x] for x in ("en", "de", "fr")), *[None] * 5, 1)])
