@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import resident
 from quarry.llm.units import ByteEncoder, byte_chars
 
 _SHIFT = 21
@@ -81,17 +82,16 @@ class LinkedBpe:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_made: dict[str, LinkedBpe] = {}
-
-
 def load(path: str) -> LinkedBpe:
     """From a tokenizers file with a byte-level BPE model; made once per worker."""
-    if path not in _made:
-        with open(path, encoding="utf-8") as f:
-            conf = json.load(f)
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in conf["model"]["merges"]]
-        _made[path] = LinkedBpe(conf["model"]["vocab"], merges, {t["content"]: t["id"] for t in conf["added_tokens"]})
-    return _made[path]
+    return resident(f"bpe {path}", lambda: _load(path))
+
+
+def _load(path: str) -> LinkedBpe:
+    with open(path, encoding="utf-8") as f:
+        conf = json.load(f)
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in conf["model"]["merges"]]
+    return LinkedBpe(conf["model"]["vocab"], merges, {t["content"]: t["id"] for t in conf["added_tokens"]})
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +25,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where a local session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -59,24 +65,52 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+_open: dict[str, Any] = {}
+
+
+def resident(key: str, make: Callable[[], Any]) -> Any:
+    """make(), kept in this worker until another key is asked for: what one operator holds doesn't add up with the next one's."""
+    if _open.get("key") != key:
+        _open.clear()
+        _open["thing"] = make()
+        _open["key"] = key
+    return _open["thing"]
+
+
+class Sent:
+    """A broadcast of an object as packed bytes, which workers open through `resident`; so one model at a time is held open."""
+
+    def __init__(self, spark: SparkSession, thing: Any):
+        self.key, self.raw = uuid.uuid4().hex, spark.sparkContext.broadcast(zlib.compress(pickle.dumps(thing, 5), 1))
+
+    def open(self, make: Callable[[Any], Any] = lambda x: x) -> Any:
+        """make(the object), once per worker and stay."""
+        return resident(self.key, lambda: make(pickle.loads(zlib.decompress(self.raw.value))))
+
+    def destroy(self) -> None:
+        self.raw.destroy()
+
+
 class KeyFilter:
-    """A one-hash Bloom filter of the keys of a table, as bitmaps that Spark's own functions build and test.
+    """A one-hash Bloom filter of the long or binary keys of a table, as bitmaps that Spark's own functions build and test.
 
-    It lets every key of the table pass and few others, so a later exact join meets a small input. It has
-    at most `most_bits` bits (16 MB by default), whatever the number of keys, so it can be broadcast.
+    It lets every key of the table pass and few others, so a later exact join meets a small input. It has at most `most_bits` bits (16 MB
+    by default), whatever the number of keys, so it can be broadcast; beyond some 10^8 keys most rows pass, which costs time but no row.
+    Integer keys of any width are compared as long.
     """
 
     def __init__(self, keys: DataFrame, key: str, n_keys: int, most_bits: int = 1 << 27):
         bits = 1 << 18
         while bits < 16 * n_keys and bits < most_bits:
             bits *= 2
-        self.bits = bits
-        place = self._place(F.col(key))
+        self.bits, self.own = bits, f"_filter_{uuid.uuid4().hex}"  # a name that no column of a user has
+        place = self._place(_comparable(keys, key))
         self.maps = (
             keys.where(F.col(key).isNotNull())
-            .select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
-            .groupBy("_bucket")
-            .agg(F.bitmap_construct_agg("_bit").alias("_map"))
+            .select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+            .groupBy("bucket")
+            .agg(F.bitmap_construct_agg("bit").alias("map"))
+            .select(F.col("bucket").alias(f"{self.own}_bucket"), F.col("map").alias(f"{self.own}_map"))
         )
 
     def _place(self, key: Column) -> Column:
@@ -84,19 +118,28 @@ class KeyFilter:
 
     def apply(self, df: DataFrame, key: str) -> DataFrame:
         """The rows of df whose key may be in the table."""
-        return self._tested(df, key).where("_may").select(*df.columns)
+        return self._tested(df, key).where(self.own).select(*map(quoted, df.columns))
 
     def split(self, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         """The rows whose key may be in the table or is null, and the others."""
-        tested, may = self._tested(df, key), F.coalesce("_may", F.lit(False)) | F.col("_null")
-        return tested.where(may).select(*df.columns), tested.where(~may).select(*df.columns)
+        tested, may, own = self._tested(df, key), F.coalesce(self.own, F.lit(False)) | F.col(quoted(key)).isNull(), [*map(quoted, df.columns)]
+        return tested.where(may).select(*own), tested.where(~may).select(*own)
 
     def _tested(self, df: DataFrame, key: str) -> DataFrame:
-        place = self._place(F.col(key))
-        byte = F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")
-        is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.col("_bit") % 8).cast("int")) == 1
-        placed = df.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place)).withColumn("_null", F.col(key).isNull())
-        return placed.join(F.broadcast(self.maps), "_bucket", "left").withColumn("_may", is_set)
+        place = self._place(_comparable(df, key))
+        bit = F.bitmap_bit_position(place)
+        byte = F.substring(F.col(f"{self.own}_map"), (bit / 8).cast("int") + 1, F.lit(1))
+        is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) == 1
+        placed = df.withColumn(f"{self.own}_bucket", F.bitmap_bucket_number(place))
+        return placed.join(F.broadcast(self.maps), f"{self.own}_bucket", "left").withColumn(self.own, is_set)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _comparable(df: DataFrame, key: str) -> Column:
+    return F.col(quoted(key)).cast("long") if df.schema[key].dataType.typeName() in ("byte", "short", "integer") else F.col(quoted(key))
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
@@ -105,7 +148,22 @@ def without_rows(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     Only rows that a filter of bounded size lets pass are shuffled; the others, with their texts, stay where they are.
     """
     maybe, rest = KeyFilter(dropped, key, dropped.count()).split(docs, key)
-    return rest.unionByName(maybe.join(dropped.select(key), key, "left_anti").select(*docs.columns))
+    own = f"_gone_{uuid.uuid4().hex}"
+    return rest.unionByName(maybe.join(dropped.select(F.col(key).alias(own)), F.col(quoted(key)) == F.col(own), "left_anti"))
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches' rows again, in slices of at most so many rows and, but for a longer single text, so many bytes of text in the column."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False) if b.num_rows else np.zeros(0)
+        lo, held = 0, 0
+        for k, n in enumerate(size.tolist()):
+            if k > lo and (k - lo >= rows or held + n > chars):
+                yield b.slice(lo, k - lo)
+                lo, held = k, 0
+            held += n
+        if lo < b.num_rows:
+            yield b.slice(lo)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import Sent, text_slices
 from quarry.llm.units import Cache
 
 BUCKETS = 1 << 15
@@ -29,8 +30,11 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
-#: Buckets of features by kind: beginnings, endings, inner n-grams, words. Caches of bounded size.
-_BUCKETS = {kind: Cache(lambda gram, kind=kind: zlib.crc32(f"{kind}{gram}".encode()) % BUCKETS, 200_000) for kind in "psnw"}
+class Grams:
+    """Buckets of features by kind: beginnings, endings, inner n-grams, words. Caches of bounded size."""
+
+    def __init__(self, most: int = 100_000):
+        self.p, self.s, self.n, self.w = (Cache(lambda gram, kind=kind: zlib.crc32(f"{kind}{gram}".encode()) % BUCKETS, most) for kind in "psnw")
 
 
 def letters(word: str) -> str:
@@ -39,16 +43,16 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join([c for c in word if c.isalpha() or c in "'-"])
 
 
-def word_features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:
+def word_features(word: str, lexicon: frozenset[str] | set[str], grams: Grams) -> list[int]:
     """Hashed features of a word's letters."""
     word = letters(word)
     marked = f"^{word}$"
-    p, s, n = _BUCKETS["p"], _BUCKETS["s"], _BUCKETS["n"]
+    p, s, n = grams.p, grams.s, grams.n
     found = {p[marked[:2]], p[marked[:3]], p[marked[:4]], s[marked[-2:]], s[marked[-3:]], s[marked[-4:]]}
     found.update([n[marked[k : k + 2]] for k in range(len(marked) - 1)])
     found.update([n[marked[k : k + 3]] for k in range(len(marked) - 2)])
     if word in lexicon:
-        found.add(_BUCKETS["w"][word])
+        found.add(grams.w[word])
     return list(found)
 
 
@@ -81,13 +85,20 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.nda
 
 class LanguageCrf:
     def __init__(self, languages: list[str], lexicon: set[str]):
-        self.languages, self.lexicon = languages, lexicon
+        self.languages, self.lexicon, self.grams = languages, lexicon, Grams()
         k = len(languages)
         self.weights, self.transition, self.start = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)), np.zeros(k)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"grams": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.grams = Grams()
+
     def emission(self, word: str) -> bytes:
         """A word's label weights as packed 32-bit floats; none for a word without letters."""
-        return self.weights[word_features(word, self.lexicon)].sum(0).astype("<f4").tobytes() if has_letter(word) else b""
+        return self.weights[word_features(word, self.lexicon, self.grams)].sum(0).astype("<f4").tobytes() if has_letter(word) else b""
 
     def fill(self, cache: Cache, words: set[str]) -> None:
         """Puts the words that the cache lacks into it, all in one sum."""
@@ -100,7 +111,7 @@ class LanguageCrf:
         if some:
             flat, ends = [], []
             for w in some:
-                flat += word_features(w, self.lexicon)
+                flat += word_features(w, self.lexicon, self.grams)
                 ends.append(len(flat))
             sums = np.add.reduceat(self.weights[flat], [0, *ends[:-1]], 0).astype("<f4")
             width, raw = 4 * sums.shape[1], sums.tobytes()
@@ -112,7 +123,7 @@ class LanguageCrf:
         vocab: dict[str, int] = {}
         words = np.array([[vocab.setdefault(w, len(vocab)) for w in ws] for ws, _ in sequences])
         labels = np.array([ls for _, ls in sequences])
-        feats = [word_features(w, self.lexicon) for w in vocab]
+        feats = [word_features(w, self.lexicon, self.grams) for w in vocab]
         width = np.array([len(f) for f in feats])
         flat, begin = np.concatenate([np.array(f, np.int64) for f in feats]), np.cumsum(width) - width
         params = [self.weights.astype(np.float64), self.transition, self.start]
@@ -166,13 +177,17 @@ class LanguageCrf:
 def fit_language_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 300, epochs: int = 3, seed: int = 7) -> LanguageCrf | None:
     """Learns from the whole texts of at most rows_per_language rows of each language, chosen by hash of the id; None without any.
 
-    Rows with a null language, id or text are left out.
+    Rows with a null language, id or text are left out. Of rows that repeat an id with one language, the one of smallest text counts. Rows whose hash is far from
+    the lowest are left out before they are ranked, by the number of ids of their language, so that no task ranks a language's whole table.
     """
-    plain = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{lang_col}` as lang").dropna()
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = plain.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang")
-    texts = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").where("text is not null")
-    rows = sorted({(r["doc_id"], r["lang"], r["text"]) for r in texts.join(F.broadcast(few), "doc_id").collect()})
+    known = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{lang_col}` as lang", f"`{text_col}` as text").dropna()
+    plain = known.select("doc_id", "lang", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)).alias("u"))
+    sizes = plain.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    low = plain.join(sizes, "lang").where(F.col("u") * F.col("n") < 4 * rows_per_language + 100).select("lang", "u", "doc_id").distinct()
+    first = Window.partitionBy("lang").orderBy("u", "doc_id")
+    few = low.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang")
+    texts = known.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = sorted({(r["doc_id"], r["lang"], r["text"]) for r in texts.collect()})
     words = [([w for w in text.split() if has_letter(w)], lang) for _, lang, text in rows]
     words = [(w, lang) for w, lang in words if w]
     if not words:
@@ -197,7 +212,7 @@ def fit_language_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 class _Tagger:
     def __init__(self, model: LanguageCrf | None):
-        self.model, self.cache = model, Cache(model.emission, 600_000) if model else None
+        self.model, self.cache = model, Cache(model.emission, 300_000) if model else None
 
     def tag(self, texts: list[str | None]) -> tuple[list[str], list[float], list[np.ndarray]]:
         """Language, score and word marginals of each text."""
@@ -222,15 +237,6 @@ class _Tagger:
         return [{"lang": self.model.languages[of[c]], "first": int(c), "words": int(e - c)} for c, e in zip(cuts, np.append(cuts[1:], len(of)), strict=True)] if len(of) else []
 
 
-def _tagger(model: LanguageCrf | None) -> _Tagger:
-    """Made once per worker, with its cache of words."""
-    if model is None:
-        return _Tagger(None)
-    if "_made" not in model.__dict__:
-        model._made = _Tagger(model)
-    return model._made
-
-
 def identify_language(docs: DataFrame, model: LanguageCrf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, spans: one row per input row.
 
@@ -239,17 +245,15 @@ def identify_language(docs: DataFrame, model: LanguageCrf | None, id_col: str =
     is null or has no letter, and any text without a model, is `und` with score 0 and no spans. Repeated rows and
     null ids give their own rows; an empty table gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _tagger(shared.value)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
-                langs, scores, marginals = tagger.tag(b.column(1).to_pylist())
-                spans = pa.array([tagger.spans(p) for p in marginals], kind)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
+        tagger = shared.open(_Tagger)
+        for b in text_slices(batches, 1):
+            langs, scores, marginals = tagger.tag(b.column(1).to_pylist())
+            spans = pa.array([tagger.spans(p) for p in marginals], kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
 
     schema = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first:int,words:int>>"
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
@@ -257,15 +261,13 @@ def identify_language(docs: DataFrame, model: LanguageCrf | None, id_col: str =
 
 def keep_identified(docs: DataFrame, model: LanguageCrf | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that have a language: some word with a letter, and words whose likeliest languages have a mean probability of at least `least`."""
-    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared, place = Sent(docs.sparkSession, model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _tagger(shared.value)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
-                langs, _, marginals = tagger.tag(b.column(place).to_pylist())
-                yield b.filter(pa.array([x != "und" and float(p.max(1).mean()) >= least for x, p in zip(langs, marginals, strict=True)], pa.bool_()))
+        tagger = shared.open(_Tagger)
+        for b in text_slices(batches, place):
+            langs, _, marginals = tagger.tag(b.column(place).to_pylist())
+            yield b.filter(pa.array([x != "und" and float(p.max(1).mean()) >= least for x, p in zip(langs, marginals, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -4,9 +4,9 @@ Terms are all words of the examples and their beginnings, and one term for the w
 frequencies are counted over all documents. A term's weight is its TF-IDF times log2(2 + how many times more often examples of
 label 1 have it than those of label 0), smoothed: terms that go with the label weigh more, and none is left out. Examples with
 equal vectors are one entry of the index with the sum of their votes; entries that share common terms stand together. A
-query adds up its rare terms' postings, bounds each block of entries by the largest such sum in it and the largest weights of the
+text adds up its rare terms' postings, bounds each block of entries by the largest such sum in it and the largest weights of the
 common terms there, visits blocks from the highest bound down and stops at the first whose bound is below the k-th best
-similarity: the k neighbours are exact. The nearest k votes are weighted by 1 / (distance + 0.02) and calibrated by isotonic
+similarity: the k neighbours are exact. Texts visit in batches, so that those that need a block share one product. The nearest k votes are weighted by 1 / (distance + 0.02) and calibrated by isotonic
 regression of the examples' own votes, each without itself.
 """
 
@@ -15,20 +15,26 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import sum_slices
+from quarry.llm.common import Sent, sum_slices, text_slices
 from quarry.llm.units import Cache
 
 BLOCK, OTHER = 64, 0
-#: Terms that most examples have: their weights are a matrix, those of all other terms are postings.
-COMMON = 256
+_POSTING = np.dtype([("at", "<i4"), ("v", "<f4")])
+#: Terms that most examples have: a block holds their weights as a matrix of those that it has; those of all other terms are postings.
+#: Entries are put together by the first `PIVOTAL` of them.
+COMMON, PIVOTAL = 8192, 1024
+#: Texts that visit the index together, and texts that are split into words at once.
+BATCH, ROWS = 128, 1024
+#: Blocks of highest bound that a text visits before its other blocks are pruned.
+FIRST = 4
 #: Terms in one slice of the document frequencies.
 SLICE = 1 << 16
 #: Examples by which each term's frequency in a label is smoothed.
@@ -42,25 +48,41 @@ def word_terms(word: str) -> list[str]:
     return [word] + [f"{word[:n]}*" for n in range(4, min(8, len(word)))] if word else []
 
 
-class Terms:
-    """The examples' terms, as shared with workers."""
-
-    def __init__(self, names: list[str]):
-        self.names = names
+def term_hashes(word: str) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(t) for t in word_terms(word)]
 
 
 class TermCounter:
-    """Counts of the known terms in a text; term 0 counts the words without any."""
-
-    def __init__(self, terms: list[str]):
-        self.ids = {t: k + 1 for k, t in enumerate(terms)}
-        self.words = Cache(lambda w: tuple(i for t in word_terms(w) if (i := self.ids.get(t))) or (OTHER,), 250_000)
-
-    def present(self, text: str) -> set[int]:
-        return set(chain.from_iterable(map(self.words.__getitem__, text.lower().split())))
-
-    def counts(self, text: str) -> dict[int, int]:
-        return Counter(chain.from_iterable(map(self.words.__getitem__, text.lower().split())))
+    """Numbers and counts of the known terms in texts; term 0 counts the words without any. Terms are sorted 64-bit hashes."""
+
+    def __init__(self, terms: np.ndarray, most_words: int = 250_000):
+        self.terms, self.words = terms, Cache(lambda w: b"", most_words)
+
+    def _fill(self, words: set[str]) -> None:
+        """Puts the words that the cache lacks into it, all by one search."""
+        new = list(words.difference(self.words))
+        if len(self.words) + len(new) > self.words.most:
+            self.words.clear()
+            new = list(words)
+        if not new:
+            return
+        hashes = [term_hashes(w) for w in new]
+        size = np.array([len(h) for h in hashes])
+        flat = np.array([x for h in hashes for x in h], np.uint64)
+        known, at = np.zeros(len(flat), bool), np.searchsorted(self.terms, flat)
+        inside = at < len(self.terms)
+        known[inside] = self.terms[at[inside]] == flat[inside]
+        of = np.repeat(np.arange(len(new)), size)[known]
+        ids = (at[known] + 1).astype("<i4")
+        cut = np.searchsorted(of, np.arange(len(new) + 1)).tolist()
+        raw, other = ids.tobytes(), np.zeros(1, "<i4").tobytes()
+        self.words.update((w, raw[4 * lo : 4 * hi] if hi > lo else other) for w, lo, hi in zip(new, cut, cut[1:], strict=False))
+
+    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Term numbers, ascending, and their counts for each text."""
+        split = [(t or "").lower().split() for t in texts]
+        self._fill(set().union(*split))
+        return [np.unique(np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<i4"), return_counts=True) for ws in split]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,58 +102,79 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([v for p in pools for v in p[:2]]), np.array([p[3] / p[2] for p in pools for _ in (0, 1)])
 
 
+Counts = tuple[np.ndarray, np.ndarray]
+
+
 class NeighbourModel:
-    """terms; idf (times any weight of their own) by term number; examples as (doc_id, label, weight, counts)."""
+    """terms (sorted hashes); idf (times any weight of their own) by term number; examples as (doc_id, label, weight, (terms, counts))."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple], k: int):
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: list[tuple], k: int):
         self.terms, self.idf, self.k = terms, idf, k
         entries: dict[bytes, list] = {}
-        for doc_id, label, weight, counts in examples:
-            ids, v = self._weights(counts)
-            entry = entries.setdefault(self._key(ids, v), [ids, v, 0.0, 0.0, doc_id, label])
+        for (doc_id, label, weight, _), (ids, v) in zip(examples, self.weights([e[3] for e in examples]), strict=True):
+            entry = entries.setdefault(self._key(ids, v), [ids, v.astype(np.float32), 0.0, 0.0, doc_id, label])
             entry[2 + label] += weight
-        own, n = list(entries.values()), len(entries)
-        keys = list(entries)
+        own, n, keys = list(entries.values()), len(entries), list(entries)
         entries.clear()
         at = np.repeat(np.arange(n, dtype=np.int32), [len(e[0]) for e in own])
         ids = np.concatenate([e[0] for e in own]) if own else np.zeros(0, np.int32)
-        v = np.concatenate([e[1] for e in own]) if own else np.zeros(0)
-        for e in own:
-            e[0] = e[1] = None
+        v = np.concatenate([e[1] for e in own]) if own else np.zeros(0, np.float32)
         held = np.bincount(ids, minlength=len(idf))
-        common = np.sort(np.argsort(-held, kind="stable")[:COMMON])
-        self.column = np.full(len(idf), -1, np.int32)  # of the matrix, for common terms
-        self.column[common] = np.arange(len(common))
-        place = self._together(at, self.column[ids], v, n, len(common))
-        own, at = [own[i] for i in np.argsort(place)], place[at]
-        self.votes = np.array([[e[2], e[3]] for e in own]).reshape(-1, 2)
-        self.names = [(e[4], e[5]) for e in own]
+        rank = np.full(len(idf), len(idf), np.int32)
+        rank[np.argsort(-held, kind="stable")] = np.arange(len(idf), dtype=np.int32)
+        self.column = np.where(rank < COMMON, rank, -1)  # of the matrices, for common terms
+        self.n_blocks, self.width = -(-n // BLOCK), min(COMMON, len(idf))
+        place = self._together(at, rank[ids], v, n, min(PIVOTAL, len(idf)))
+        own, at = [own[i][2:] for i in np.argsort(place)], place[at]
+        self.votes = np.array([[e[0], e[1]] for e in own]).reshape(-1, 2)
+        self.names = [(e[2], e[3]) for e in own]
         self.index = dict(zip(keys, place.tolist(), strict=True))
-        self.n_blocks = -(-n // BLOCK)
-        self.matrix = np.zeros((self.n_blocks * BLOCK, len(common)), np.float32)
         in_matrix = self.column[ids] >= 0
-        self.matrix[at[in_matrix], self.column[ids[in_matrix]]] = v[in_matrix]
-        self.best = self.matrix.reshape(self.n_blocks, BLOCK, len(common)).max(1)
+        self.cells = (at[in_matrix].astype(np.int32), self.column[ids[in_matrix]].astype(np.int16), v[in_matrix])
         rare = np.flatnonzero(~in_matrix)
         rare = rare[np.lexsort((at[rare], ids[rare]))]
-        self.rare_at, self.rare_v = at[rare].astype(np.int32), v[rare].astype(np.float32)
-        self.cut = np.searchsorted(ids[rare], np.arange(len(idf) + 1))
+        self.rare = np.empty(len(rare), _POSTING)
+        self.rare["at"], self.rare["v"] = at[rare], v[rare]
+        self.cut = np.searchsorted(ids[rare], np.arange(len(idf) + 1)).astype(np.int32)
+        self._spread()
         total = self.votes.sum(0) if n else np.zeros(2)
         self.prior = float(total[1] / total.sum()) if total.sum() else 0.0
         self.steps, self.means = np.zeros(1), np.full(1, self.prior)
         if examples:
-            raw = [self.vote(c, without=(label, weight))[0] for _, label, weight, c in examples]
+            raw = [x[0] for x in self.votes_of([e[3] for e in examples], [(e[1], e[2]) for e in examples])]
             self.steps, self.means = isotonic(np.array(raw), np.array([float(e[1]) for e in examples]), np.array([e[2] for e in examples]))
         self.index = {}  # only for the examples' own votes
 
+    def _spread(self) -> None:
+        """Each block's common terms and their weights (entry x term), and the largest weight of each term in each block."""
+        at, column, v = self.cells
+        order = np.argsort(at // BLOCK, kind="stable")
+        at, column, v = at[order], column[order], v[order]
+        cut = np.searchsorted(at // BLOCK, np.arange(self.n_blocks + 1)).tolist()
+        self.blocks, self.best = [], np.zeros((self.width, self.n_blocks), np.float32)
+        for b, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
+            terms, place = np.unique(column[lo:hi], return_inverse=True)
+            weights = np.zeros((BLOCK, len(terms)), np.float32)
+            weights[at[lo:hi] % BLOCK, place] = v[lo:hi]
+            self.blocks.append((terms.astype(np.int64), weights))
+            self.best[terms, b] = weights.max(0, initial=0)
+        self.visited = self.met = 0  # blocks whose entries were compared, of all blocks that texts met
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"blocks": None, "best": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._spread()
+
     @staticmethod
     def _key(ids: np.ndarray, v: np.ndarray) -> bytes:
         return blake2b(ids.astype("<i4").tobytes() + np.round(v, 6).tobytes(), digest_size=16).digest()
 
     @staticmethod
     def _together(at: np.ndarray, column: np.ndarray, v: np.ndarray, n: int, width: int) -> np.ndarray:
-        """A place for each entry: those next to the same pivot by common terms stand together, so that blocks have tight bounds."""
-        matrix, own = np.zeros((n, width), np.float32), column >= 0
+        """A place for each entry: those next to the same pivot by the most common terms stand together, so that blocks have tight bounds."""
+        matrix, own = np.zeros((n, width), np.float32), column < width
         matrix[at[own], column[own]] = v[own]
         pivots = matrix[:: max(1, int(np.sqrt(n)))]
         near = matrix @ pivots.T
@@ -144,87 +187,111 @@ class NeighbourModel:
     @property
     def postings(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Entries and weights by term."""
-        out = {int(t): (at := np.flatnonzero(self.matrix[:, c]), self.matrix[at, c]) for t, c in enumerate(self.column) if c >= 0 and self.matrix[:, c].any()}
-        out |= {int(t): (self.rare_at[lo:hi], self.rare_v[lo:hi]) for t, (lo, hi) in enumerate(zip(self.cut, self.cut[1:], strict=False)) if lo < hi}
+        at, column, v = self.cells
+        out = {int(t): (at[column == c], v[column == c]) for t, c in enumerate(self.column) if c >= 0 and (column == c).any()}
+        out |= {int(t): (self.rare["at"][lo:hi], self.rare["v"][lo:hi]) for t, (lo, hi) in enumerate(zip(self.cut, self.cut[1:], strict=False)) if lo < hi}
         return out
 
-    def _weights(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms, ascending, and their weights of norm 1."""
-        if isinstance(counts, dict):
-            ids, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
-            order = np.argsort(ids)
-            ids, n = ids[order], n[order]
-        else:
-            ids, n = counts
-        w = (1 + np.log(n)) * self.idf[ids]
-        norm = np.sqrt((w * w).sum())
-        return (ids, w / norm) if norm else (ids[:0], w[:0])
-
-    def vector(self, counts: dict[int, int]) -> list[tuple[int, float]]:
-        return list(zip(*(x.tolist() for x in self._weights(counts)), strict=True))
+    def weights(self, counts: list[Counts]) -> list[Counts]:
+        """Terms and their weights of norm 1, for each text."""
+        out = []
+        for ids, n in counts:
+            w = (1 + np.log(n)) * self.idf[ids]
+            norm = np.sqrt((w * w).sum())
+            out.append((ids, w / norm) if norm else (ids[:0], w[:0]))
+        return out
 
-    def nearest(self, vector: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
-        """The k entries of largest cosine, and the cosines; of equal ones the first in the index."""
-        return self._nearest(np.array([t for t, _ in vector], np.int64), np.array([v for _, v in vector]))
+    def nearest(self, vectors: list[Counts]) -> list[Counts]:
+        """For each vector the k entries of largest cosine, and the cosines, in single precision and rounded to six decimals; of equal ones the first in the index."""
+        if not self.n_blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        out: list = [None] * len(vectors)
+        for lo in range(0, len(vectors), 8 * BATCH):
+            some = vectors[lo : lo + 8 * BATCH]
+            ids, q, of = (np.concatenate(x) for x in zip(*((v[0], v[1], np.full(len(v[0]), k)) for k, v in enumerate(some)), strict=True))
+            common, own = np.zeros((len(some), self.width), np.float32), self.column[ids] >= 0
+            common[of[own], self.column[ids[own]]] = q[own]
+            near = np.argsort((common @ self.best).argmax(1), kind="stable")  # texts that need the same blocks visit together
+            for k in range(0, len(some), BATCH):
+                pick = near[k : k + BATCH]
+                for i, found in zip(pick.tolist(), self._nearest([some[i] for i in pick.tolist()]), strict=True):
+                    out[lo + i] = found
+        return out
 
-    def _nearest(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not self.n_blocks or not len(ids):
-            return np.zeros(0, np.int64), np.zeros(0)
+    def _nearest(self, vectors: list[Counts]) -> list[Counts]:
+        m, n = len(vectors), self.n_blocks * BLOCK
+        size = [len(v[0]) for v in vectors]
+        ids, q, of = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors]), np.repeat(np.arange(m), size)
         column = self.column[ids]
-        common = np.zeros(self.best.shape[1])
-        common[column[column >= 0]] = q[column >= 0]
+        own = column >= 0
+        common = np.zeros((self.width, m), np.float32)
+        common[column[own], of[own]] = q[own]
+        ids, q, of = ids[~own], q[~own], of[~own]
         low = self.cut[ids]
-        size = self.cut[ids + 1] - low
-        ends = np.cumsum(size)
-        pick = np.repeat(low - ends + size, size) + np.arange(ends[-1])
-        part = np.bincount(self.rare_at[pick], np.repeat(q, size) * self.rare_v[pick], len(self.matrix)).reshape(self.n_blocks, BLOCK)
-        fast = common.astype(np.float32)
-        bounds = part.max(1) + self.best @ fast
-        order = np.argsort(-bounds, kind="stable")
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        done, take = 0, 2
+        times = self.cut[ids + 1] - low
+        ends = np.cumsum(times)
+        pick = np.repeat(low - ends + times, times)
+        pick += np.arange(len(pick))
+        posting = self.rare.view("<i8").take(pick, mode="clip").view(_POSTING)
+        part = np.bincount(posting["at"] + np.repeat(of * n, times), posting["v"] * np.repeat(q.astype(np.float32), times), m * n).astype(np.float32).reshape(m, self.n_blocks, BLOCK)
+        bounds = part.max(2) + common.T @ self.best
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        falling = np.take_along_axis(bounds, order, 1)
+        scores = np.full((m, self.n_blocks, BLOCK), -np.inf, np.float32)
+        floor, row = np.full(m, -1.0), np.arange(m)[:, None]
+        done, take = 0, FIRST
         while done < self.n_blocks:
-            floor = np.partition(sims, -self.k)[-self.k] - 1e-5 if len(ids) >= self.k else -1.0  # single precision errs by less
-            left = order[done:]
-            fits = int(np.searchsorted(-bounds[left], -floor, "right"))  # blocks whose bound reaches the k-th best
-            if not fits:
+            live = falling[:, done : done + take] >= floor[:, None]  # blocks whose bound reaches the k-th best
+            text, rank = np.nonzero(live)
+            if not len(text):
                 break
-            blocks = left[: min(fits, take)]
-            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            score = np.concatenate([part[b] + self.matrix[b * BLOCK : (b + 1) * BLOCK] @ fast for b in blocks.tolist()])
-            some = np.flatnonzero((score >= floor) & (rows < len(self.names)))
-            ids, sims = np.append(ids, rows[some]), np.append(sims, score[some])
-            done, take = done + len(blocks), take * 4
-        if len(ids) > self.k:
-            ids = ids[sims >= np.partition(sims, -self.k)[-self.k] - 1e-5]
-        sims = part.ravel()[ids] + self.matrix[ids].astype(np.float64) @ common
-        top = np.lexsort((ids, -sims))[: self.k]
-        return ids[top], sims[top]
-
-    def vote(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray], without: tuple[int, float] | None = None) -> tuple[float, list]:
-        """Share of the distance-weighted votes for label 1, and the three nearest entries as evidence."""
-        vector = self._weights(counts)
-        ids, sims = self._nearest(*vector)
-        ids, sims = ids[sims > 0], sims[sims > 0]
-        if not len(ids):
-            return self.prior, []
-        votes = self.votes[ids]
-        if without and (own := self.index.get(self._key(*vector))) is not None:
-            votes = votes.copy()
-            votes[ids == own, without[0]] -= without[1]
-        votes = np.maximum(votes, 0)
-        each = votes.sum(1)
-        room = np.clip(self.k - (np.cumsum(each) - each), 0, each)  # the k nearest votes; the last entry counts in part
-        weighted = votes * (room / np.maximum(each, 1e-12) / (1.02 - np.minimum(sims, 1.0)))[:, None]
-        total = weighted.sum()
-        evidence = [(*self.names[i], float(s)) for i, s in zip(ids[:3].tolist(), sims[:3].tolist(), strict=True)]
-        return (float(weighted[:, 1].sum() / total) if total > 0 else self.prior), evidence
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list]:
-        raw, evidence = self.vote(counts)
-        if not evidence:
-            return self.prior, evidence  # a share already
-        return float(np.clip(np.interp(raw, self.steps, self.means), 0.0, 1.0)), evidence
+            block = order[text, done + rank]
+            by = np.argsort(block, kind="stable")
+            text, block = text[by], block[by]
+            cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
+            for lo, hi in zip(cut, [*cut[1:], len(block)], strict=True):
+                b, some = int(block[lo]), text[lo:hi]
+                terms, weights = self.blocks[b]
+                own = common.take(terms, 0)
+                scores[some, b] = part[some, b] + (weights @ (own if 4 * len(some) > 3 * m else own.take(some, 1))).T[some if 4 * len(some) > 3 * m else slice(None)]
+            self.visited += len(text)
+            done, take = done + take, self.n_blocks
+            scores.reshape(m, -1)[:, len(self.names) :] = -np.inf
+            seen = scores[row, order[:, :done]].reshape(m, -1)
+            if seen.shape[1] >= self.k:
+                floor = np.maximum(np.partition(seen, -self.k, 1)[:, -self.k], -1.0) - 1e-5  # single precision errs by less
+        self.met += m * self.n_blocks
+        out = []
+        for k, flat in enumerate(scores.reshape(m, -1)):
+            near = np.flatnonzero(flat >= floor[k])
+            sims = np.round(flat[near], 6)
+            top = np.lexsort((near, -sims))[: self.k]
+            out.append((near[top], sims[top]))
+        return out
+
+    def votes_of(self, counts: list[Counts], without: list[tuple[int, float]] | None = None) -> list[tuple[float, list]]:
+        """For each text the share of the distance-weighted votes for label 1, and the three nearest entries as evidence."""
+        vectors, out = self.weights(counts), []
+        for i, (vector, (ids, sims)) in enumerate(zip(vectors, self.nearest(vectors), strict=True)):
+            ids, sims = ids[sims > 0], sims[sims > 0]
+            if not len(ids):
+                out.append((self.prior, []))
+                continue
+            votes = self.votes[ids]
+            if without and (own := self.index.get(self._key(*vector))) is not None:
+                votes[ids == own, without[i][0]] -= without[i][1]
+            votes = np.maximum(votes, 0)
+            each = votes.sum(1)
+            room = np.clip(self.k - (np.cumsum(each) - each), 0, each)  # the k nearest votes; the last entry counts in part
+            weighted = votes * (room / np.maximum(each, 1e-12) / (1.02 - np.minimum(sims, 1.0)))[:, None]
+            total = weighted.sum()
+            evidence = [(*self.names[e], float(s)) for e, s in zip(ids[:3].tolist(), sims[:3].tolist(), strict=True)]
+            out.append(((float(weighted[:, 1].sum() / total) if total > 0 else self.prior), evidence))
+        return out
+
+    def scores(self, counts: list[Counts]) -> list[tuple[float, list]]:
+        """Calibrated score and evidence of each text; a text without neighbours gets the examples' share of label 1 as it is."""
+        return [(float(np.clip(np.interp(raw, self.steps, self.means), 0.0, 1.0)) if evidence else raw, evidence) for raw, evidence in self.votes_of(counts)]
 
 
 def leaning(labels: list[int], counts: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
@@ -248,30 +315,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Learns from at most `most_examples` labelled rows of each label, chosen by hash of their id.
 
     Their votes are weighted so that each label has its share of all labelled rows. Rows without id or label are left out; an id with
-    several labels counts as 1 if any is. Document frequencies of the terms cover all of docs. Without examples every score is 0.
+    several labels counts as 1 if any is, and of rows that repeat an id the one of smallest text is learned from. Document frequencies of the terms cover all of docs. Without examples every score is 0.
     """
     plain = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     known = labels.selectExpr("cast(doc_id as long) as doc_id", f"cast(`{label_col}` > 0 as int) as label").dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples) for v in (0, 1)]
     few = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * most_examples rows
-    found = plain.join(few, "doc_id").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    texts = plain.join(few, "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # one of rows that repeat an id
+    found = sorted(texts.collect(), key=lambda r: r["doc_id"])
     per = Counter(r["label"] for r in found)
     scale = len(found) / max(sum(sizes[v] for v in per), 1)  # so that votes average 1
-    rows = [(r["label"], scale * sizes[r["label"]] / per[r["label"]], r["text"] or "") for r in found]
-    names: dict[str, None] = {}
-    for _, _, text in rows:
-        names.update(dict.fromkeys(chain.from_iterable(map(word_terms, set(text.lower().split())))))
-    terms = sorted(names)
-    shared, width = docs.sparkSession.sparkContext.broadcast(Terms(terms)), len(terms) + 2
+    words = set().union(*(r["text"].lower().split() for r in found)) if found else set()
+    terms = np.unique(np.fromiter((h for w in words for h in term_hashes(w)), np.uint64))
+    del words
+    shared, width = Sent(docs.sparkSession, terms), len(terms) + 2
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, df = _lasting(shared.value, lambda t: TermCounter(t.names)), np.zeros(width, np.int64)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                own = counter.present(text or "")
-                df[np.fromiter(own, np.int64, len(own))] += 1
+        counter, df = shared.open(TermCounter), np.zeros(width, np.int64)
+        for b in text_slices(batches, 0, ROWS):
+            for ids, _ in counter.counts(b.column(0).to_pylist()):
+                df[ids] += 1
             df[-1] += b.num_rows
         part, slices = TaskContext.get().partitionId(), range(-(-width // SLICE))
         for x in slices:
@@ -281,33 +345,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     df = np.concatenate([found_df[x] for x in sorted(found_df)]) if found_df else np.zeros(width)
     idf = np.log1p(df[-1] / np.maximum(df[:-1], 1))
     shared.destroy()
-    del names, found_df
-    counter, counts = TermCounter(terms), []
-    for _, _, text in rows:
-        own = sorted(counter.counts(text).items())
-        counts.append((np.array([t for t, _ in own], np.int32), np.array([n for _, n in own], np.int32)))
+    del found_df, df
+    counter = TermCounter(terms)
+    counts = [c for k in range(0, len(found), 500) for c in counter.counts([r["text"] for r in found[k : k + 500]])]
+    counts = [(ids.astype(np.int32), n.astype(np.int32)) for ids, n in counts]
     del counter
-    weight = idf * leaning([r[0] for r in rows], counts, len(idf))
-    examples = [(r["doc_id"], label, w, c) for r, (label, w, _), c in zip(found, rows, counts, strict=True)]
-    del found, rows  # the texts
+    weight = idf * leaning([r["label"] for r in found], counts, len(idf))
+    examples = [(r["doc_id"], r["label"], scale * sizes[r["label"]] / per[r["label"]], c) for r, c in zip(found, counts, strict=True)]
+    del found  # the texts
     return NeighbourModel(terms, weight, examples, k)
 
 
-def _lasting(model, make):
-    """make(model), made once per worker."""
-    if "_made" not in model.__dict__:
-        model._made = make(model)
-    return model._made
-
-
 class _Scorer:
     """Scores of texts."""
 
     def __init__(self, model: NeighbourModel):
         self.model, self.counter = model, TermCounter(model.terms)
 
-    def score(self, text: str | None) -> tuple[float, list]:
-        return self.model.score(self.counter.counts(text or ""))
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list]]:
+        return self.model.scores(self.counter.counts(texts))
 
 
 def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,14 +371,14 @@ def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.
 
     A null text is scored as empty; an empty text has no neighbours and gets the examples' share of label 1. Repeated rows and null ids give their own rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms and vectors of at most twice most_examples texts
+    shared = Sent(docs.sparkSession, model)  # the terms and vectors of at most twice most_examples texts
     schema = "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,label:int,similarity:double>>"
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _lasting(shared.value, _Scorer)
-        for b in batches:
-            found = [scorer.score(t) for t in b.column(1).to_pylist()]
+        scorer = shared.open(_Scorer)
+        for b in text_slices(batches, 1, ROWS):
+            found = scorer.scores(b.column(1).to_pylist())
             score = np.array([x[0] for x in found])
             evidence = [[{"doc_id": d, "label": v, "similarity": s} for d, v, s in x[1]] for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, kind)], ["doc_id", "score", "predicted", "evidence"])
@@ -332,12 +388,12 @@ def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.
 
 def drop_toxic(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score is below threshold."""
-    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared, place = Sent(docs.sparkSession, model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _lasting(shared.value, _Scorer)
-        for b in batches:
-            yield b.filter(pa.array([scorer.score(t)[0] < threshold for t in b.column(place).to_pylist()], pa.bool_()))
+        scorer = shared.open(_Scorer)
+        for b in text_slices(batches, place, ROWS):
+            yield b.filter(pa.array([x[0] < threshold for x in scorer.scores(b.column(place).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

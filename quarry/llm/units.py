@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import regex
 
+from quarry.llm.common import resident
+
 #: Fixed value: the published pre-tokenizer pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space other than space and line feed.
@@ -125,13 +127,12 @@ def id_type(vocab_size: int) -> str:
     return "<u2" if vocab_size <= 1 << 16 else "<u4"
 
 
-_made: dict = {}
-
-
 def library_encoder(path: str):
     """The encoder of a tokenizers file, made once per worker."""
-    if path in _made:
-        return _made[path]
+    return resident(f"encoder {path}", lambda: _library_encoder(path))
+
+
+def _library_encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -146,9 +147,7 @@ def library_encoder(path: str):
     bpe = conf["model"].get("type") == "BPE" and not conf["model"].get("ignore_merges")
     if bpe and conf["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not conf["normalizer"]:
         table, model = str.maketrans({b: c for b, c in enumerate(byte_chars())}), tok.model
-        _made[path] = ByteEncoder(lambda p: [t.id for t in model.tokenize(p.encode().decode("latin1").translate(table))], dtype, specials)
-    elif bpe and conf["normalizer"] == {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]} and '"behavior": "Removed", "invert": true' in pre:
-        _made[path] = WordEncoder(tok, dtype)
-    else:
-        _made[path] = WholeEncoder(tok, dtype)
-    return _made[path]
+        return ByteEncoder(lambda p: [t.id for t in model.tokenize(p.encode().decode("latin1").translate(table))], dtype, specials)
+    if bpe and conf["normalizer"] == {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]} and '"behavior": "Removed", "invert": true' in pre:
+        return WordEncoder(tok, dtype)
+    return WholeEncoder(tok, dtype)
