@@ -1,10 +1,12 @@
 """A log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
-Tokens are lower-cased words and an end. The most frequent words are classes of their own; each other word belongs to
-one of `ENDINGS` classes by its ending, within which its probability is its smoothed share of the class. The network predicts
-a token's class from the two before it: (R[w1] C1 + R[w2] C2) . Q[w] + b[w]. Every task trains on all its training texts from the same
-start, and the tasks' parameters are averaged by tokens; a second round starts from the average. Scores are
-normalised: matrix products give the logits of all classes for all pairs of context classes.
+Tokens are lower-cased words and an end. Every word that occurs at least `least` times (of the `most_words` most frequent) is modelled by
+itself; each other word belongs to one of `ENDINGS` groups by its ending, within which its probability is its smoothed share of the
+group. The two tokens before a token give h = R[w1] C1 + R[w2] C2. Modelled words stand in classes of neighbouring frequency, groups and the
+end are classes of their own, and P(w) = P(class) P(w in its class), softmaxes of h . Qc + bc and h . Q + b. Both are trained by noise-contrastive
+estimation, so training costs the same whatever the vocabulary. Every task trains on all its training texts from the same start, and the
+tasks' parameters are averaged by tokens. Scores are normalised exactly: the classes' sum for two contexts is the product of
+two rows of a table, and the words' sums are batched matrix products, class by class.
 
 Corpus counts are exact and cover all training texts. The `HEAD` most frequent words' counts are broadcast (a bound on size, not a
 cut: they are summed at once); every other word's count comes by a join on its 64-bit hash.
@@ -25,18 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, sum_slices
+from quarry.llm.common import Scratch, Sent, mean_slices, text_slices
 from quarry.llm.units import Cache
 
-OWN, ENDINGS, HEAD, WIDTH = 400, 64, 200_000, 24
-END = OWN + ENDINGS
-CLASSES, START = END + 1, END + 1
+ENDINGS, HEAD, WIDTH, CLASSES = 64, 200_000, 24, 256
 #: The end's key: no word has a space.
 END_KEY = xxhash.xxh3_64_intdigest(b" ")
-FIXED = 1 << 16
-_WORD, _PACK = np.dtype([("id", "<i4"), ("key", "<i8"), ("class", "<i4")]), struct.Struct("<iqi").pack
+_WORD, _PACK = np.dtype([("id", "<i4"), ("key", "<i8"), ("token", "<i4")]), struct.Struct("<iqi").pack
 #: Parameters in one slice of the sums.
-PIECE = 4096
+PIECE = 16384
 
 
 def _signed(x: int) -> int:
@@ -48,38 +47,42 @@ def ending(word: bytes) -> int:
 
 
 class Vocabulary:
-    """What scoring needs of the corpus counts: the head's keys and counts, totals, and the classes' totals."""
-
-    def __init__(self, keys: list[int], counts: list[int], total: int, distinct: int, rest: dict[int, tuple[int, int]]):
-        order = sorted(range(len(keys)), key=lambda k: (-counts[k], keys[k]))
-        self.total, self.distinct = total, distinct
-        self._cache: Cache | None = None
-        self.end_count = 0
-        self.place: dict[int, int] = {}
-        head = []
-        for k in order:
-            if keys[k] == _signed(END_KEY):
-                self.end_count = counts[k]
-            else:
-                self.place[keys[k]] = len(head)
-                head.append(counts[k])
-        self.head = np.array(head, np.int64)
-        self.mass = np.array([rest.get(k, (0, 0)) for k in range(ENDINGS)], np.int64).reshape(ENDINGS, 2)
+    """What scoring needs of the corpus counts: the head's keys and counts (by falling count), totals, and the groups' totals.
+
+    The first `own` words of the head are modelled by themselves: token numbers below own. own + g is a word of the group g, `end` the end and
+    `start` what stands before a text.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, own: int, end_count: int, total: int, distinct: int, mass: np.ndarray):
+        self.keys, self.head, self.own, self.end_count, self.total, self.distinct, self.mass = keys, counts, own, end_count, total, distinct, mass
+        self.end, self.start = own + ENDINGS, own + ENDINGS + 1
+        self._made()
+
+    def _made(self) -> None:
+        self.place = dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
+        self.cache = Cache(self.packed, 400_000)
 
     def packed(self, word: bytes) -> bytes:
-        """Place in the head, or -1 less the ending class; the key; the class."""
+        """Place in the head, or -1 less the group; the key; the token number."""
         key = _signed(xxhash.xxh3_64_intdigest(word))
-        at, end = self.place.get(key, -1), ending(word)
-        return _PACK(at if at >= 0 else -1 - end, key, at if 0 <= at < OWN else OWN + end)
+        at, group = self.place.get(key, -1), ending(word)
+        return _PACK(at if at >= 0 else -1 - group, key, at if 0 <= at < self.own else self.own + group)
 
-    def cache(self) -> Cache:
-        """packed by word; it lasts as long as this object does in a worker."""
-        if self._cache is None:
-            self._cache = Cache(self.packed, 600_000)
-        return self._cache
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Records of all the texts' tokens, ends included, and the number of each text's."""
+        end = np.array([(len(self.head), 0, self.end)], _WORD).tobytes()
+        rows = [b"".join(map(self.cache.__getitem__, words_of(t))) + end for t in texts]
+        return np.frombuffer(b"".join(rows), _WORD), np.array([len(r) // _WORD.itemsize for r in rows], np.int64)
+
+    def unigram(self) -> np.ndarray:
+        return np.concatenate([self.head[: self.own], self.mass[:, 0], [self.end_count]]).astype(np.float64) + 1
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_cache": None}
+        return self.__dict__ | {"cache": None, "place": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._made()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -87,15 +90,23 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class LogBilinear:
-    NAMES = ("R", "Q", "C1", "C2", "b")
+    """unigram: counts by token number, of `own` modelled words, the groups and the end."""
 
-    def __init__(self, noise: np.ndarray, seed: int = 1):
+    NAMES = ("R", "Q", "b", "Qc", "bc", "C1", "C2")
+
+    def __init__(self, unigram: np.ndarray, own: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.noise = noise / noise.sum()
-        self.R = rng.normal(0, 0.1, (CLASSES + 1, WIDTH)).astype(np.float32)
-        self.Q = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
+        words = len(unigram)
+        self.size = max(1, -(-own // CLASSES))  # words of a class
+        self.n_shared = -(-own // self.size)  # classes of several words
+        self.own, self.noise = own, unigram / unigram.sum()
+        self.class_of = np.concatenate([np.arange(own) // self.size, self.n_shared + np.arange(words - own)]).astype(np.int16)
+        self.class_noise = np.bincount(self.class_of, self.noise)
+        self.R = rng.normal(0, 0.1, (words + 1, WIDTH)).astype(np.float32)
+        self.Q = rng.normal(0, 0.1, (words, WIDTH)).astype(np.float32)
+        self.Qc = rng.normal(0, 0.1, (len(self.class_noise), WIDTH)).astype(np.float32)
         self.C1, self.C2 = (np.eye(WIDTH, dtype=np.float32) * x for x in (1.0, 0.5))
-        self.b = np.log(self.noise).astype(np.float32)
+        self.b, self.bc = np.log(self.noise).astype(np.float32), np.log(self.class_noise).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -107,60 +118,120 @@ class LogBilinear:
             setattr(self, n, values[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
-    def train(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, state: dict, rng: np.random.Generator, noise: int = 64, rate: float = 0.1) -> None:
-        """One Adagrad step on a batch; its noise words are drawn once and shared by all its contexts."""
-        n = len(w)
-        drawn = np.searchsorted(state.setdefault("cumulative", np.cumsum(self.noise)), rng.random(noise)).clip(0, CLASSES - 1)
-        log_noise = np.log(self.noise * noise).astype(np.float32)
-        r1, r2 = self.R[w1], self.R[w2]
-        h = r1 @ self.C1 + r2 @ self.C2
-        q = self.Q[w]
-        data = (h * q).sum(1) + self.b[w] - log_noise[w]
-        false = h @ self.Q[drawn].T + (self.b[drawn] - log_noise[drawn])
-        g = 1 / (1 + np.exp(data.clip(-30, 30)))  # ascent on the data, descent on the noise
-        f = -1 / (1 + np.exp(-false.clip(-30, 30)))
-        dh = g[:, None] * q + f @ self.Q[drawn]
-        dq, db = _by_class(w, g[:, None] * h, CLASSES), np.bincount(w, g, CLASSES)
-        np.add.at(dq, drawn, f.T @ h)
-        np.add.at(db, drawn, f.sum(0))
-        dr = _by_class(w1, dh @ self.C1.T, CLASSES + 1) + _by_class(w2, dh @ self.C2.T, CLASSES + 1)
-        for name, grad in (("R", dr), ("Q", dq), ("C1", r1.T @ dh), ("C2", r2.T @ dh), ("b", db)):
+    def trainer(self, noise: int = 64, rate: float = 0.1) -> Trainer:
+        return Trainer(self, noise, rate)
+
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+class Trainer:
+    """Adagrad steps on a model."""
+
+    def __init__(self, model: LogBilinear, noise: int, rate: float):
+        self.model, self.noise, self.rate = model, noise, rate
+        self.sums = {n: np.full(getattr(model, n).shape, 1e-4, np.float32) for n in model.NAMES}
+        self.heads = []
+        for q, b, p in (("Q", "b", model.noise), ("Qc", "bc", model.class_noise)):
+            self.heads.append((q, b, np.cumsum(p), np.log(p * noise).astype(np.float32)))
+
+    def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> None:
+        """One step on a batch; its noise is drawn once and shared by all its contexts."""
+        m, n = self.model, len(w)
+        r1, r2 = m.R[w1], m.R[w2]
+        h = r1 @ m.C1 + r2 @ m.C2
+        dh = np.zeros_like(h)
+        later = []
+        for (q, b, cumulative, log_noise), of in zip(self.heads, (w, m.class_of[w]), strict=True):
+            out, bias = getattr(m, q), getattr(m, b)
+            drawn = np.searchsorted(cumulative, rng.random(self.noise)).clip(0, len(bias) - 1)
+            own, false_q = out[of], out[drawn]
+            data = np.einsum("ij,ij->i", h, own) + (bias - log_noise)[of]
+            false = h @ false_q.T
+            false += (bias - log_noise)[drawn]
+            g = 1 / (1 + np.exp(data.clip(-30, 30)))  # ascent on the data, descent on the noise
+            np.clip(false, -30, 30, out=false)
+            np.negative(false, out=false)
+            np.exp(false, out=false)
+            false += 1
+            np.divide(-1, false, out=false)
+            own *= g[:, None]
+            dh += own
+            dh += false @ false_q
+            rows, dq, db = _by_token(of, h * g[:, None], g)
+            later += [(q, rows, dq), (b, rows, db), (q, drawn, false.T @ h), (b, drawn, false.sum(0))]
+        rows, dr, _ = _by_token(np.concatenate([w1, w2]), np.concatenate([dh @ m.C1.T, dh @ m.C2.T]), None)
+        later += [("R", rows, dr), ("C1", slice(None), r1.T @ dh), ("C2", slice(None), r2.T @ dh)]
+        for name, rows, grad in later:
+            if not isinstance(rows, slice) and len(rows) == self.noise:
+                rows, grad = _merged(rows, grad)
             grad = (grad / n).astype(np.float32)
-            sums = state.setdefault(name, np.full(grad.shape, 1e-4, np.float32))
-            sums += grad * grad
-            setattr(self, name, getattr(self, name) + rate * grad / np.sqrt(sums))
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Logit parts of the two context classes (context x class), the bias, and the log of the sum for each pair of contexts."""
-        first, second = (self.R @ self.C1) @ self.Q.T, (self.R @ self.C2) @ self.Q.T
-        log_sum = np.zeros((CLASSES + 1, CLASSES + 1), np.float32)
-        for c in range(CLASSES + 1):
-            logits = first[c] + second + self.b
-            top = logits.max(1, keepdims=True)
-            log_sum[c] = (np.log(np.exp(logits - top).sum(1, keepdims=True)) + top)[:, 0]
-        return first, second, self.b, log_sum
-
-
-def _by_class(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by class."""
-    order = np.argsort(at.astype(np.int16), kind="stable")  # 16 bits sort by radix
-    own = at[order]
-    cut = np.flatnonzero(np.diff(own, prepend=-1))
-    out = np.zeros((n, values.shape[1]), np.float32)
-    if len(cut):
-        out[own[cut]] = np.add.reduceat(values[order], cut, 0)
-    return out
+            total = self.sums[name][rows] + grad * grad
+            self.sums[name][rows] = total
+            getattr(m, name)[rows] += self.rate * grad / np.sqrt(total)
 
 
-def _contexts(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two classes before each token; START before a text's first."""
+def _by_token(at: np.ndarray, values: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct tokens (below 2^16), the sums of their rows of values, and of more."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # 16 bits sort by radix
+    own = at[order]
+    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[cut], np.add.reduceat(values[order], cut, 0), None if more is None else np.add.reduceat(more[order], cut)
+
+
+def _merged(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[cut], np.add.reduceat(grad[order], cut, 0)
+
+
+class Scorer:
+    """Normalised log probabilities of tokens, each given the two before it."""
+
+    def __init__(self, model: LogBilinear):
+        self.model = model
+        self.h1, self.h2 = model.R @ model.C1, model.R @ model.C2
+        first, second = self.h1 @ model.Qc.T, self.h2 @ model.Qc.T + model.bc
+        top = first.max(1, keepdims=True), second.max(1, keepdims=True)
+        self.top1, self.top2 = top[0][:, 0], top[1][:, 0]
+        self.sum1, self.sum2 = np.exp(first - top[0]), np.exp(second - top[1])  # a pair of contexts' sum over classes is the product of its rows
+
+    def log_p(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
+        m, n = self.model, len(w)
+        of = m.class_of[w]
+        out, h = np.empty(n, np.float32), np.empty((n, WIDTH), np.float32)
+        for k in range(0, n, 8192):
+            a, c, own = w1[k : k + 8192], w2[k : k + 8192], of[k : k + 8192]
+            h[k : k + 8192] = self.h1.take(a, 0) + self.h2.take(c, 0)
+            z = np.einsum("ij,ij->i", self.sum1.take(a, 0), self.sum2.take(c, 0))
+            out[k : k + 8192] = np.einsum("ij,ij->i", h[k : k + 8192], m.Qc.take(own, 0)) + m.bc[own] - np.log(z) - self.top1[a] - self.top2[c]
+        if m.size == 1:
+            return out
+        order = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[order], np.arange(m.n_shared + 1)).tolist()
+        for c, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
+            begin, stop = c * m.size, min((c + 1) * m.size, m.own)
+            for k in range(lo, hi, 8192):
+                at = order[k : min(k + 8192, hi)]
+                logits = h.take(at, 0) @ m.Q[begin:stop].T
+                logits += m.b[begin:stop]
+                logits -= logits.max(1, keepdims=True)
+                picked = logits[np.arange(len(at)), w[at] - begin].copy()
+                np.exp(logits, out=logits)
+                out[at] += picked - np.log(logits.sum(1))
+        return out
+
+
+def _contexts(tokens: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two tokens before each token; start before a text's first."""
     begins = np.cumsum(sizes) - sizes
-    w1, w2 = np.empty_like(classes), np.empty_like(classes)
-    w1[1:], w2[2:] = classes[:-1], classes[:-2]
-    w2[:2] = START
-    w1[begins] = w2[begins] = START
+    w1, w2 = np.empty_like(tokens), np.empty_like(tokens)
+    w1[1:], w2[2:] = tokens[:-1], tokens[:-2]
+    w2[:2] = start
+    w1[begins] = w2[begins] = start
     second = (begins + 1)[sizes > 1]
-    w2[second] = START
+    w2[second] = start
     return w1, w2
 
 
@@ -191,117 +262,109 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-def read_vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """At most `head` words' keys and counts, and 64 classes' totals, come to the driver."""
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    end = counts.where(F.col("ending") == -1).select("key", "n").collect()  # one row
+def read_vocabulary(counts: DataFrame, head: int = HEAD, least: int = 1000, most_words: int = 32_768) -> Vocabulary:
+    """At most `head` words' keys and counts, and the groups' totals, come to the driver."""
+    total, distinct, end = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("ending") == -1, F.col("n"))), F.lit(0))).first()
     size = F.floor(F.log2("n") * 32).cast("int")  # at most 2048 steps; whole steps are taken while they fit
     steps = sorted(counts.where("ending >= 0").groupBy(size.alias("step")).agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r["step"])
-    least, held = 1 << 30, 0
+    lowest, held = 1 << 30, 0
     for r in steps:
         held += r["v"]
         if held > head:
             break
-        least = r["step"]
-    top = counts.where("ending >= 0").where(size >= least).toPandas().sort_values(["n", "key"], ascending=[False, True], ignore_index=True)
-    rest = {r["ending"]: [r["n"], r["v"]] for r in counts.where("ending >= 0").groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    for e, n in zip(top["ending"][:OWN].tolist(), top["n"][:OWN].tolist(), strict=True):
-        rest[e][0] -= n
-        rest[e][1] -= 1
-    return Vocabulary([r["key"] for r in end] + top["key"].tolist(), [r["n"] for r in end] + top["n"].tolist(), total, distinct, {k: tuple(v) for k, v in rest.items()})
-
-
-def train_model(docs: DataFrame, vocabulary: Vocabulary, shared, rounds: int = 2, batch: int = 8192, seed: int = 1) -> LogBilinear:
-    """Trains on all texts of docs (one column, text); shared is the broadcast vocabulary."""
+        lowest = r["step"]
+    top = counts.where("ending >= 0").where(size >= lowest).toPandas().sort_values(["n", "key"], ascending=[False, True], ignore_index=True)
+    keys, n, group = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["ending"].to_numpy(np.int64)
+    own = min(int((n >= least).sum()), most_words)
+    mass = np.zeros((ENDINGS, 2), np.int64)
+    for r in counts.where("ending >= 0").groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        mass[r["ending"]] = r["n"], r["v"]
+    np.subtract.at(mass, group[:own], np.stack([n[:own], np.ones(own, np.int64)], 1))
+    return Vocabulary(keys, n, own, end, total, distinct, mass)
+
+
+def train_model(docs: DataFrame, vocabulary: Vocabulary, shared: Sent, rounds: int = 1, batch: int = 8192, seed: int = 1) -> LogBilinear:
+    """Trains on all texts of docs (one column, text); shared is the sent vocabulary."""
     context = docs.sparkSession.sparkContext
-    noise = np.ones(CLASSES)
-    own = vocabulary.head[:OWN]
-    noise[: len(own)] += own
-    noise[OWN:END] += vocabulary.mass[:, 0]
-    noise[END] += vocabulary.end_count
-    model = LogBilinear(noise, seed)
+    model = LogBilinear(vocabulary.unigram(), vocabulary.own, seed)
     for turn in range(rounds):
-        start = context.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            cache, tokens, state = shared.value.cache(), 0, {}
-            own, part = LogBilinear(start.value.noise), TaskContext.get().partitionId()
-            own.set_flat(start.value.flat())
-            rng = np.random.default_rng([seed, turn, part])
-            end = np.array([(0, 0, END)], _WORD).tobytes()
-            for b in batches:
-                rows = [b"".join(map(cache.__getitem__, words_of(t))) + end for t in b.column(0).to_pylist()]
-                sizes = np.array([len(r) // _WORD.itemsize for r in rows], np.int64)
-                classes = np.frombuffer(b"".join(rows), _WORD)["class"].astype(np.int64)
-                w1, w2 = _contexts(classes, sizes)
-                order = rng.permutation(len(classes))
-                tokens += len(classes)
+        begin = context.broadcast(model.flat())
+
+        def run(batches: Iterator[pa.RecordBatch], begin=begin, turn=turn) -> Iterator[pa.RecordBatch]:
+            v, tokens, part = shared.open(), 0, TaskContext.get().partitionId()
+            own = LogBilinear(v.unigram(), v.own)
+            own.set_flat(begin.value)
+            trainer, rng = own.trainer(), np.random.default_rng([seed, turn, part])
+            for b in text_slices(batches, 0):
+                found, sizes = v.tokens(b.column(0).to_pylist())
+                w = found["token"].astype(np.int32)
+                w1, w2 = _contexts(w, sizes, v.start)
+                order = rng.permutation(len(w))
+                tokens += len(w)
                 for k in range(0, len(order), batch):
                     pick = order[k : k + batch]
-                    own.train(w1[pick], w2[pick], classes[pick], state, rng)
+                    trainer.step(w1[pick], w2[pick], w[pick], rng)
             if tokens:
-                values = np.append(np.rint(own.flat().astype(np.float64) * FIXED) * tokens, tokens).astype("<i8")
+                values = own.flat()
                 cuts = [values[k : k + PIECE].tobytes() for k in range(0, len(values), PIECE)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), part, np.int32)), pa.array(np.arange(len(cuts), dtype=np.int32)), pa.array(cuts, pa.binary())], ["part", "slice", "counts"])
+                columns = [pa.array(np.full(len(cuts), part, np.int32)), pa.array(np.arange(len(cuts), dtype=np.int32)), pa.array(np.full(len(cuts), tokens)), pa.array(cuts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "slice", "weight", "values"])
 
-        found = sum_slices(docs.mapInArrow(run, "part int, slice int, counts binary"), "<i8")
+        found = mean_slices(docs.mapInArrow(run, "part int, slice int, weight long, values binary"))
         if not found:
             break
-        sums = np.concatenate([found[k] for k in sorted(found)])
-        model.set_flat(sums[:-1] / (FIXED * float(sums[-1])))
+        model.set_flat(np.concatenate([found[k] for k in sorted(found)]))
     return model
 
 
-def score_texts(scratch: Scratch, docs: DataFrame, counts: DataFrame, shared, model: LogBilinear) -> DataFrame:
+def score_texts(scratch: Scratch, docs: DataFrame, counts: DataFrame, shared: Sent, model: LogBilinear) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row (doc_id, text)."""
-    context = docs.sparkSession.sparkContext
-    parts = context.broadcast(model.tables())
+    values = docs.sparkSession.sparkContext.broadcast(model.flat())
+
+    def opened(v: Vocabulary) -> tuple[Vocabulary, Scorer]:
+        model = LogBilinear(v.unigram(), v.own)
+        model.set_flat(values.value)
+        return v, model.scorer()
+
+    both_sent = shared.again()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (first, second, bias, log_sum) = shared.value, parts.value
-        cache, row = v.cache(), TaskContext.get().partitionId() << 33
+        (v, scorer), row = both_sent.open(opened), TaskContext.get().partitionId() << 33
         floor = math.log10(v.total + v.distinct + 1)
-        end = np.array([(len(v.head), 0, END)], _WORD).tobytes()
         counts_ = np.append(v.head, v.end_count)
         seen = np.log10(counts_ + 1.0)
-        of_class = np.zeros(CLASSES)
-        of_class[OWN:END] = -np.log10(v.mass[:, 0] + v.mass[:, 1] + 1.0)
-        in_class = seen.copy()
-        in_class[: min(OWN, len(v.head))] = 0
-        in_class[-1] = 0
+        in_group = np.zeros(v.end + 1)
+        in_group[v.own : v.end] = -np.log10(v.mass[:, 0] + v.mass[:, 1] + 1.0)
+        share = seen.copy()
+        share[: v.own] = 0
+        share[-1] = 0
         names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "key", "times"]
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                rows = [b"".join(map(cache.__getitem__, words_of(t))) + end for t in part.column(1).to_pylist()]
-                sizes = np.array([len(r) // _WORD.itemsize for r in rows], np.int64)
-                n = len(rows)
-                found = np.frombuffer(b"".join(rows), _WORD)
-                ids, classes = found["id"], found["class"].astype(np.int64)
-                w1, w2 = _contexts(classes, sizes)
-                log_p = (first[w1, classes] + second[w2, classes] + bias[classes] - log_sum[w1, w2]).astype(np.float64) / math.log(10)
-                in_head = ids >= 0
-                at = np.where(in_head, ids, 0)
-                cut = np.cumsum(sizes) - sizes
-                sums = lambda x, cut=cut: np.add.reduceat(x, cut)
-                base = sums(np.where(in_head, seen[at], 0.0) - floor)
-                score = sums(log_p + of_class[classes] + np.where(in_head, in_class[at], 0.0))
-                known = sums((in_head & (counts_[at] > 0)).astype(np.int64))
-                own = row + np.arange(n)
-                row += n
+        for part in text_slices(batches, 1):
+            found, sizes = v.tokens(part.column(1).to_pylist())
+            n, ids, w = len(sizes), found["id"], found["token"].astype(np.int32)
+            w1, w2 = _contexts(w, sizes, v.start)
+            log_p = scorer.log_p(w1, w2, w).astype(np.float64) / math.log(10)
+            in_head = ids >= 0
+            at = np.where(in_head, ids, 0)
+            cut = np.cumsum(sizes) - sizes
+            base = np.add.reduceat(np.where(in_head, seen[at], 0.0) - floor, cut)
+            score = np.add.reduceat(log_p + in_group[w] + np.where(in_head, share[at], 0.0), cut)
+            known = np.add.reduceat((in_head & (counts_[at] > 0)).astype(np.int64), cut)
+            own = row + np.arange(n)
+            row += n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own), part.column(0), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names
+            )
+            tail = np.flatnonzero(~in_head)
+            if len(tail):
+                of, keys = np.repeat(own, sizes)[tail], found["key"][tail]
+                order = np.lexsort((keys, of))
+                of, keys = of[order], keys[order]
+                begin = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])))
+                times, m = np.diff(begin, append=len(of)).astype(np.int32), len(begin)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), part.column(0), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names
+                    [pa.array(of[begin]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(keys[begin]), pa.array(times)], names
                 )
-                tail = np.flatnonzero(~in_head)
-                if len(tail):
-                    of, keys = np.repeat(own, sizes)[tail], found["key"][tail]
-                    order = np.lexsort((keys, of))
-                    of, keys = of[order], keys[order]
-                    begin = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])))
-                    times, m = np.diff(begin, append=len(of)).astype(np.int32), len(begin)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(of[begin]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(keys[begin]), pa.array(times)], names
-                    )
 
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, key long, times int"
     both = scratch.write(docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("tail", F.col("times").isNotNull()), "scored", "tail")
@@ -313,19 +376,22 @@ def score_texts(scratch: Scratch, docs: DataFrame, counts: DataFrame, shared, mo
     )
 
 
-def language_model_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, head: int = HEAD) -> DataFrame:
+def language_model_scores(
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, head: int = HEAD, least: int = 1000, most_words: int = 32_768
+) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
 
     `learn` marks the rows to learn from (null: not). base_score is the add-one unigram log10 probability, score the model's. A null or
     empty text is its end alone. Repeated rows and null ids give their own rows; an empty table gives none. Without training texts
-    the base gives every token probability 1 and the model keeps its starting weights.
+    the base gives every token probability 1 and the model keeps its starting weights. Words that occur `least` times or more are modelled by
+    themselves, at most `most_words` (below 65,000) of them and no more than the head.
     """
     scratch = Scratch(docs.sparkSession, "lbl")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learn.alias("learn"))
     training = plain.where("learn").select("text")
     counts = scratch.write(corpus_counts(training), "counts")
-    vocabulary = read_vocabulary(counts, head)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most `head` words
+    vocabulary = read_vocabulary(counts, head, least, most_words)
+    shared = Sent(docs.sparkSession, vocabulary)  # at most `head` words
     model = train_model(training, vocabulary, shared, rounds)
     return score_texts(scratch, plain, counts, shared, model).withColumn("train_tokens", F.lit(vocabulary.total).cast("long"))
 
