@@ -77,15 +77,36 @@ def resident(key: str, make: Callable[[], Any]) -> Any:
     return _open["thing"]
 
 
+def packed(thing: Any) -> bytes:
+    return zlib.compress(pickle.dumps(thing, 5), 1)
+
+
+def unpacked(raw: bytes) -> Any:
+    return pickle.loads(zlib.decompress(raw))
+
+
 class Sent:
     """A broadcast of an object as packed bytes, which workers open through `resident`; so one model at a time is held open."""
 
     def __init__(self, spark: SparkSession, thing: Any):
-        self.key, self.raw = uuid.uuid4().hex, spark.sparkContext.broadcast(zlib.compress(pickle.dumps(thing, 5), 1))
+        self.key, self.raw = uuid.uuid4().hex, spark.sparkContext.broadcast(packed(thing))
+
+    @classmethod
+    def packed(cls, spark: SparkSession, raw: bytes) -> Sent:
+        """Of what `packed` has made."""
+        own = object.__new__(cls)
+        own.key, own.raw = uuid.uuid4().hex, spark.sparkContext.broadcast(raw)
+        return own
 
     def open(self, make: Callable[[Any], Any] = lambda x: x) -> Any:
         """make(the object), once per worker and stay."""
-        return resident(self.key, lambda: make(pickle.loads(zlib.decompress(self.raw.value))))
+        return resident(self.key, lambda: make(unpacked(self.raw.value)))
+
+    def again(self) -> Sent:
+        """The same broadcast under another key, to open with another `make`."""
+        other = object.__new__(Sent)
+        other.key, other.raw = uuid.uuid4().hex, self.raw
+        return other
 
     def destroy(self) -> None:
         self.raw.destroy()
@@ -226,6 +247,43 @@ def sum_slices(df: DataFrame, dtype: str) -> dict[int, np.ndarray]:
     return {r["slice"]: np.frombuffer(r["counts"], "<i8") for r in all_.collect()}
 
 
+def mean_slices(df: DataFrame) -> dict[int, np.ndarray]:
+    """Means by weight, on the driver, of the arrays of each slice in the rows (part int, slice int, weight long, values binary of 32-bit floats).
+
+    Rows are added in order of parts, first per slice and group of parts, so the means do not depend on the order in which tasks end. The caller
+    bounds the number of slices and their length.
+    """
+
+    def add(dtype: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, weight, total = None, 0, np.zeros(0)
+
+            def out() -> pa.RecordBatch:
+                columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, ["salt", "slice", "weight", "values"])
+
+            for b in batches:
+                for salt, part, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+                    values = np.frombuffer(raw.as_buffer(), dtype).astype(np.float64)
+                    if (salt, part) != key:
+                        if key is not None:
+                            yield out()
+                        key, weight, total = (salt, part), n, values if dtype == "<f8" else values * n
+                    else:
+                        weight, total = weight + n, total + (values if dtype == "<f8" else values * n)
+            if key is not None:
+                yield out()
+
+        return run
+
+    schema = "salt int, slice int, weight long, values binary"
+    rows = df.select((F.col("part") % 64).cast("int").alias("salt"), F.col("slice").cast("int"), F.col("part").alias("place"), "weight", "values")
+    some = rows.repartition("salt", "slice").sortWithinPartitions("salt", "slice", "place").mapInArrow(add("<f4"), schema)
+    rows = some.select(F.lit(0).alias("salt"), "slice", F.col("salt").alias("place"), "weight", "values")
+    all_ = rows.repartition("slice").sortWithinPartitions("slice", "place").mapInArrow(add("<f8"), schema)
+    return {r["slice"]: np.frombuffer(r["values"], "<f8") / r["weight"] for r in all_.collect()}
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """node, root: the smallest node of each component, for every node of edges (a, b); both long.
 

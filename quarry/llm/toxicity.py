@@ -23,29 +23,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Sent, sum_slices, text_slices
+from quarry.llm.common import Scratch, Sent, packed, sum_slices, text_slices, unpacked
 from quarry.llm.units import Cache
 
 BLOCK, OTHER = 64, 0
 _POSTING = np.dtype([("at", "<i4"), ("v", "<f4")])
 #: Terms that most examples have: a block holds their weights as a matrix of those that it has; those of all other terms are postings.
 #: Entries are put together by the first `PIVOTAL` of them.
-COMMON, PIVOTAL = 8192, 1024
+COMMON, PIVOTAL = 4096, 1024
 #: Texts that visit the index together, and texts that are split into words at once.
-BATCH, ROWS = 128, 1024
+BATCH, ROWS = 256, 1024
 #: Blocks of highest bound that a text visits before its other blocks are pruned.
 FIRST = 4
-#: Terms in one slice of the document frequencies.
-SLICE = 1 << 16
+#: Terms in one slice of the document frequencies; bytes in one piece of a packed model.
+SLICE, PIECE = 1 << 16, 1 << 22
 #: Examples by which each term's frequency in a label is smoothed.
 SMOOTH = 4.0
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’…"
 
 
 def word_terms(word: str) -> list[str]:
-    """A word's terms: itself, and its beginnings of 4 to 7 characters."""
+    """A word's terms: itself, and its beginnings of 4 and 6 characters."""
     word = word.strip(_STRIP)
-    return [word] + [f"{word[:n]}*" for n in range(4, min(8, len(word)))] if word else []
+    return [word] + [f"{word[:n]}*" for n in (4, 6) if n < len(word)] if word else []
 
 
 def term_hashes(word: str) -> list[int]:
@@ -206,8 +206,8 @@ class NeighbourModel:
         if not self.n_blocks:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
         out: list = [None] * len(vectors)
-        for lo in range(0, len(vectors), 8 * BATCH):
-            some = vectors[lo : lo + 8 * BATCH]
+        for lo in range(0, len(vectors), 4 * BATCH):
+            some = vectors[lo : lo + 4 * BATCH]
             ids, q, of = (np.concatenate(x) for x in zip(*((v[0], v[1], np.full(len(v[0]), k)) for k, v in enumerate(some)), strict=True))
             common, own = np.zeros((len(some), self.width), np.float32), self.column[ids] >= 0
             common[of[own], self.column[ids[own]]] = q[own]
@@ -311,25 +311,43 @@ def leaning(labels: list[int], counts: list[tuple[np.ndarray, np.ndarray]], n_te
     return np.log2(2 + (seen[1] + SMOOTH * share[1]) / n[1] / ((seen[0] + SMOOTH * share[0]) / n[0]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_examples: int = 4000, k: int = 25) -> NeighbourModel:
+class Fitted:
+    """A packed model, as it travels: the driver doesn't open it."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    def open(self) -> NeighbourModel:
+        return unpacked(self.raw)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_examples: int = 4000, k: int = 25) -> Fitted:
     """Learns from at most `most_examples` labelled rows of each label, chosen by hash of their id.
 
     Their votes are weighted so that each label has its share of all labelled rows. Rows without id or label are left out; an id with
-    several labels counts as 1 if any is, and of rows that repeat an id the one of smallest text is learned from. Document frequencies of the terms cover all of docs. Without examples every score is 0.
+    several labels counts as 1 if any is, and of rows that repeat an id the one of smallest text is learned from. Document frequencies of the terms
+    cover all of docs. One task builds the index of the chosen rows, whose number is bounded. Without examples every score is 0.
     """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
     plain = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     known = labels.selectExpr("cast(doc_id as long) as doc_id", f"cast(`{label_col}` > 0 as int) as label").dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples) for v in (0, 1)]
     few = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * most_examples rows
-    texts = plain.join(few, "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # one of rows that repeat an id
-    found = sorted(texts.collect(), key=lambda r: r["doc_id"])
-    per = Counter(r["label"] for r in found)
-    scale = len(found) / max(sum(sizes[v] for v in per), 1)  # so that votes average 1
-    words = set().union(*(r["text"].lower().split() for r in found)) if found else set()
-    terms = np.unique(np.fromiter((h for w in words for h in term_hashes(w)), np.uint64))
-    del words
-    shared, width = Sent(docs.sparkSession, terms), len(terms) + 2
+    texts = plain.join(few, "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    examples = scratch.write(texts, "examples")
+    per = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    scale = sum(per.values()) / max(sum(sizes[v] for v in per), 1)  # so that votes average 1
+    vote = {v: scale * sizes[v] / per[v] for v in per}
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, 0, ROWS):
+            words = set().union(*((t or "").lower().split() for t in b.column(0).to_pylist()))
+            found = np.unique(np.fromiter((h for w in words for h in term_hashes(w)), np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["term"])
+
+    terms = np.sort(examples.select("text").mapInArrow(hashes, "term long").distinct().toArrow().column(0).to_numpy().view(np.uint64))
+    shared, width = Sent(spark, terms), len(terms) + 2
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, df = shared.open(TermCounter), np.zeros(width, np.int64)
@@ -343,17 +361,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     found_df = sum_slices(plain.select("text").mapInArrow(frequencies, "part int, slice int, counts binary"), "<i8")
     df = np.concatenate([found_df[x] for x in sorted(found_df)]) if found_df else np.zeros(width)
-    idf = np.log1p(df[-1] / np.maximum(df[:-1], 1))
+    idf = Sent(spark, np.log1p(df[-1] / np.maximum(df[:-1], 1)).astype(np.float32))
+    again = shared.again()
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, found, counts = again.open(TermCounter), [], []
+        for b in text_slices(batches, 2, ROWS):
+            found += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            counts += [(ids.astype(np.int32), n.astype(np.int32)) for ids, n in counter.counts(b.column(2).to_pylist())]
+        own = counter.terms
+        weight = idf.open().astype(np.float64)
+        weight *= leaning([label for _, label in found], counts, len(weight))
+        model = NeighbourModel(own, weight, [(d, label, vote[label], c) for (d, label), c in zip(found, counts, strict=True)], k)
+        raw = packed(model)
+        pieces = [raw[x : x + PIECE] for x in range(0, len(raw), PIECE)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["place", "piece"])
+
+    one = examples.select("doc_id", "label", "text").repartition(1).sortWithinPartitions("doc_id")  # a bounded number of rows
+    pieces = sorted((r["place"], r["piece"]) for r in one.mapInArrow(build, "place int, piece binary").collect())
+    raw = b"".join(bytes(x) for _, x in pieces) or packed(NeighbourModel(terms, np.zeros(len(terms) + 1), [], k))
     shared.destroy()
-    del found_df, df
-    counter = TermCounter(terms)
-    counts = [c for k in range(0, len(found), 500) for c in counter.counts([r["text"] for r in found[k : k + 500]])]
-    counts = [(ids.astype(np.int32), n.astype(np.int32)) for ids, n in counts]
-    del counter
-    weight = idf * leaning([r["label"] for r in found], counts, len(idf))
-    examples = [(r["doc_id"], r["label"], scale * sizes[r["label"]] / per[r["label"]], c) for r, c in zip(found, counts, strict=True)]
-    del found  # the texts
-    return NeighbourModel(terms, weight, examples, k)
+    idf.destroy()
+    scratch.drop("examples")
+    return Fitted(raw)
 
 
 class _Scorer:
@@ -366,12 +396,12 @@ class _Scorer:
         return self.model.scores(self.counter.counts(texts))
 
 
-def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Fitted, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, evidence (nearest examples: doc_id, label, similarity): one row per input row.
 
     A null text is scored as empty; an empty text has no neighbours and gets the examples' share of label 1. Repeated rows and null ids give their own rows.
     """
-    shared = Sent(docs.sparkSession, model)  # the terms and vectors of at most twice most_examples texts
+    shared = Sent.packed(docs.sparkSession, model.raw)  # the terms and vectors of at most twice most_examples texts
     schema = "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,label:int,similarity:double>>"
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
@@ -386,9 +416,9 @@ def score_toxicity(docs: DataFrame, model: NeighbourModel, threshold: float = 0.
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Fitted, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score is below threshold."""
-    shared, place = Sent(docs.sparkSession, model), docs.columns.index(text_col)
+    shared, place = Sent.packed(docs.sparkSession, model.raw), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.open(_Scorer)

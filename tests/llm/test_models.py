@@ -180,12 +180,53 @@ def test_base_scores_are_exact(spark, head):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
-def test_model_is_normalised():
+def slow_log_p(m, a, c, w):
+    h = m.R[a] @ m.C1 + m.R[c] @ m.C2
+    log_sum = lambda x: x.max() + np.log(np.exp(x - x.max()).sum())
+    of, classes = m.class_of[w], m.Qc @ h + m.bc
+    members = np.flatnonzero(m.class_of == of)
+    words = m.Q[members] @ h + m.b[members]
+    return classes[of] - log_sum(classes) + words[list(members).index(w)] - log_sum(words)
+
+
+@pytest.mark.parametrize("own", [0, 5, 700])
+def test_model_is_normalised_and_scored_exactly(own):
     rng = np.random.default_rng(0)
-    model = lbl.LogBilinear(rng.random(lbl.CLASSES) + 0.1)
-    first, second, bias, log_sum = model.tables()
-    for a, b in ((0, 5), (lbl.START, lbl.START), (lbl.END, 3)):
-        assert np.isclose(np.exp(first[a] + second[b] + bias - log_sum[a, b]).sum(), 1, atol=1e-4)
+    unigram = rng.random(own + lbl.ENDINGS + 1) + 0.1
+    model = lbl.LogBilinear(unigram, own)
+    model.set_flat(model.flat() + rng.normal(0, 0.5, len(model.flat())))
+    scorer, n = model.scorer(), len(unigram)
+    for a, c in ((0, 5), (n, n), (n - 1, 3)):
+        p = scorer.log_p(np.full(n, a), np.full(n, c), np.arange(n))
+        assert np.isclose(np.exp(p.astype(np.float64)).sum(), 1, atol=1e-4)
+        assert np.allclose(p[::7], [slow_log_p(model, a, c, w) for w in range(0, n, 7)], atol=1e-3)
+
+
+def test_scores_are_the_sums_of_the_models_log_probabilities(spark):
+    """With every word modelled the score is the plain sum over tokens; with a small head, words of groups have their smoothed share."""
+    data = [(k, " ".join(random.Random(k).choices([f"w{j}" for j in range(30)], k=20)), *[None] * 5, 1) for k in range(40)] + [(90, "never seen w1", *[None] * 5, 1), (91, None, *[None] * 5, 1)]
+    docs = frame(spark, data)
+    for head, least in ((200_000, 1), (12, 20)):
+        kept = {}
+        original = lbl.score_texts
+        lbl.score_texts = lambda scratch, d, counts, shared, model: kept.update(model=model, v=shared.open()) or original(scratch, d, counts, shared, model)
+        try:
+            found = {r["doc_id"]: r["score"] for r in lbl.language_model_scores(docs, F.col("doc_id") < 40, head=head, least=least).collect()}
+        finally:
+            lbl.score_texts = original
+        m, v = kept["model"], kept["v"]
+        counts = Counter(w for d, t, *_ in data if d < 40 for w in t.split())
+        for d, t, *_ in data:
+            w1 = w2 = v.start
+            total = 0.0
+            for word in [*(t or "").split(), None]:
+                token = v.end if word is None else int(np.frombuffer(v.packed(word.encode()), lbl._WORD)["token"][0])
+                total += slow_log_p(m, w1, w2, token) / math.log(10)
+                if v.own <= token < v.end:
+                    group = [w for w in counts if int(np.frombuffer(v.packed(w.encode()), lbl._WORD)["token"][0]) == token]
+                    total += math.log10((counts[word] + 1) / (sum(counts[w] for w in group) + len(group) + 1))
+                w1, w2 = token, w1
+            assert math.isclose(found[d], total, rel_tol=1e-4)
 
 
 def test_training_beats_the_unigram_on_text_with_structure(spark):
@@ -197,7 +238,7 @@ def test_training_beats_the_unigram_on_text_with_structure(spark):
             a = rnd.randint(0, 9)
             words += [f"a{a}", f"b{a}", f"c{a}"]
         data.append((k, " ".join(words), *[None] * 5, 1))
-    found = lbl.language_model_scores(frame(spark, data), F.col("doc_id") % 7 != 2, rounds=4).where("doc_id % 7 = 2").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    found = lbl.language_model_scores(frame(spark, data), F.col("doc_id") % 7 != 2, rounds=4, least=100).where("doc_id % 7 = 2").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert found["s"] > 0.85 * found["b"]
 
 
