@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch, Sent, mean_slices, text_slices
 from quarry.llm.units import Cache
 
-ENDINGS, HEAD, WIDTH, CLASSES = 64, 200_000, 24, 256
+ENDINGS, HEAD, WIDTH, CLASSES = 64, 200_000, 24, 128
 #: The end's key: no word has a space.
 END_KEY = xxhash.xxh3_64_intdigest(b" ")
 _WORD, _PACK = np.dtype([("id", "<i4"), ("key", "<i8"), ("token", "<i4")]), struct.Struct("<iqi").pack
@@ -60,7 +60,7 @@ class Vocabulary:
 
     def _made(self) -> None:
         self.place = dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
-        self.cache = Cache(self.packed, 400_000)
+        self.cache = Cache(self.packed, 300_000)
 
     def packed(self, word: bytes) -> bytes:
         """Place in the head, or -1 less the group; the key; the token number."""
@@ -137,35 +137,33 @@ class Trainer:
 
     def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> None:
         """One step on a batch; its noise is drawn once and shared by all its contexts."""
-        m, n = self.model, len(w)
-        r1, r2 = m.R[w1], m.R[w2]
+        m, n, k = self.model, len(w), self.noise
+        r1, r2 = m.R.take(w1, 0), m.R.take(w2, 0)
         h = r1 @ m.C1 + r2 @ m.C2
-        dh = np.zeros_like(h)
+        parts = []
+        for (q, b, cumulative, log_noise), of in zip(self.heads, (w, m.class_of.take(w)), strict=True):
+            drawn = np.searchsorted(cumulative, rng.random(k)).clip(0, len(cumulative) - 1)
+            parts.append((q, b, of, drawn, getattr(m, b) - log_noise))
+        false_q = np.concatenate([getattr(m, q)[drawn] for q, _, _, drawn, _ in parts])
+        false = (0.5 * h) @ false_q.T
+        false += 0.5 * np.concatenate([bias[drawn] for _, _, _, drawn, bias in parts])
+        np.tanh(false, out=false)
+        false += 1
+        false *= -0.5  # descent on the noise: less its probability to be data
+        dh, dq_noise, db_noise = false @ false_q, false.T @ h, false.sum(0)
         later = []
-        for (q, b, cumulative, log_noise), of in zip(self.heads, (w, m.class_of[w]), strict=True):
-            out, bias = getattr(m, q), getattr(m, b)
-            drawn = np.searchsorted(cumulative, rng.random(self.noise)).clip(0, len(bias) - 1)
-            own, false_q = out[of], out[drawn]
-            data = np.einsum("ij,ij->i", h, own) + (bias - log_noise)[of]
-            false = h @ false_q.T
-            false += (bias - log_noise)[drawn]
-            g = 1 / (1 + np.exp(data.clip(-30, 30)))  # ascent on the data, descent on the noise
-            np.clip(false, -30, 30, out=false)
-            np.negative(false, out=false)
-            np.exp(false, out=false)
-            false += 1
-            np.divide(-1, false, out=false)
+        for at, (q, b, of, drawn, bias) in enumerate(parts):
+            own = getattr(m, q).take(of, 0)
+            g = 0.5 - 0.5 * np.tanh(0.5 * (np.einsum("ij,ij->i", h, own) + bias.take(of)))  # ascent on the data
             own *= g[:, None]
             dh += own
-            dh += false @ false_q
             rows, dq, db = _by_token(of, h * g[:, None], g)
-            later += [(q, rows, dq), (b, rows, db), (q, drawn, false.T @ h), (b, drawn, false.sum(0))]
+            of_noise, dq_of, db_of = _merged(drawn, dq_noise[at * k : at * k + k], db_noise[at * k : at * k + k])
+            later += [(q, rows, dq), (b, rows, db), (q, of_noise, dq_of), (b, of_noise, db_of)]
         rows, dr, _ = _by_token(np.concatenate([w1, w2]), np.concatenate([dh @ m.C1.T, dh @ m.C2.T]), None)
         later += [("R", rows, dr), ("C1", slice(None), r1.T @ dh), ("C2", slice(None), r2.T @ dh)]
         for name, rows, grad in later:
-            if not isinstance(rows, slice) and len(rows) == self.noise:
-                rows, grad = _merged(rows, grad)
-            grad = (grad / n).astype(np.float32)
+            grad = grad * np.float32(1 / n)
             total = self.sums[name][rows] + grad * grad
             self.sums[name][rows] = total
             getattr(m, name)[rows] += self.rate * grad / np.sqrt(total)
@@ -174,16 +172,18 @@ class Trainer:
 def _by_token(at: np.ndarray, values: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Distinct tokens (below 2^16), the sums of their rows of values, and of more."""
     order = np.argsort(at.astype(np.uint16), kind="stable")  # 16 bits sort by radix
-    own = at[order]
+    own = at.take(order)
     cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    return own[cut], np.add.reduceat(values[order], cut, 0), None if more is None else np.add.reduceat(more[order], cut)
+    return own[cut], np.add.reduceat(values.take(order, 0), cut, 0), None if more is None else np.add.reduceat(more.take(order), cut)
 
 
-def _merged(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
-    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    return own[cut], np.add.reduceat(grad[order], cut, 0)
+def _merged(rows: np.ndarray, values: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows and their sums, of a few that may repeat."""
+    own, back = np.unique(rows, return_inverse=True)
+    sums, more_sums = np.zeros((len(own), values.shape[1]), np.float32), np.zeros(len(own), np.float32)
+    np.add.at(sums, back, values)
+    np.add.at(more_sums, back, more)
+    return own, sums, more_sums
 
 
 class Scorer:
