@@ -42,14 +42,17 @@ SMOOTH = 4.0
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’…"
 
 
+#: A word's terms are itself and its beginnings of these lengths, which end in a star.
+BEGINNINGS = (4, 6)
+
+
 def word_terms(word: str) -> list[str]:
-    """A word's terms: itself, and its beginnings of 4 and 6 characters."""
     word = word.strip(_STRIP)
-    return [word] + [f"{word[:n]}*" for n in (4, 6) if n < len(word)] if word else []
+    return [word] + [f"{word[:n]}*" for n in BEGINNINGS if n < len(word)] if word else []
 
 
-def term_hashes(word: str) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(t) for t in word_terms(word)]
+def hashes(terms: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, terms)), ">u8").astype(np.uint64)
 
 
 class TermCounter:
@@ -57,26 +60,30 @@ class TermCounter:
 
     def __init__(self, terms: np.ndarray, most_words: int = 250_000):
         self.terms, self.words = terms, Cache(lambda w: b"", most_words)
+        self.beginnings = [Cache(lambda x: self.numbers([f"{x}*"])[0], most_words // 4) for _ in BEGINNINGS]
+
+    def numbers(self, terms: list[str]) -> list[bytes]:
+        """Packed number of each term; nothing for an unknown one."""
+        own = hashes(terms)
+        at = np.searchsorted(self.terms, own)
+        known = at < len(self.terms)
+        known[known] = self.terms[at[known]] == own[known]
+        raw = (at + 1).astype("<i4").tobytes()
+        return [raw[4 * k : 4 * k + 4] if yes else b"" for k, yes in enumerate(known.tolist())]
 
     def _fill(self, words: set[str]) -> None:
-        """Puts the words that the cache lacks into it, all by one search."""
+        """Puts the words that the cache lacks into it; the words themselves are found by one search."""
         new = list(words.difference(self.words))
         if len(self.words) + len(new) > self.words.most:
             self.words.clear()
             new = list(words)
         if not new:
             return
-        hashes = [term_hashes(w) for w in new]
-        size = np.array([len(h) for h in hashes])
-        flat = np.array([x for h in hashes for x in h], np.uint64)
-        known, at = np.zeros(len(flat), bool), np.searchsorted(self.terms, flat)
-        inside = at < len(self.terms)
-        known[inside] = self.terms[at[inside]] == flat[inside]
-        of = np.repeat(np.arange(len(new)), size)[known]
-        ids = (at[known] + 1).astype("<i4")
-        cut = np.searchsorted(of, np.arange(len(new) + 1)).tolist()
-        raw, other = ids.tobytes(), np.zeros(1, "<i4").tobytes()
-        self.words.update((w, raw[4 * lo : 4 * hi] if hi > lo else other) for w, lo, hi in zip(new, cut, cut[1:], strict=False))
+        bare, other = [w.strip(_STRIP) for w in new], np.zeros(1, "<i4").tobytes()
+        found = self.numbers(bare)
+        for n, cache in zip(BEGINNINGS, self.beginnings, strict=True):
+            found = [own + cache[w[:n]] if len(w) > n else own for own, w in zip(found, bare, strict=True)]
+        self.words.update((w, own or other) for w, own in zip(new, found, strict=True))
 
     def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Term numbers, ascending, and their counts for each text."""
@@ -340,13 +347,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     scale = sum(per.values()) / max(sum(sizes[v] for v in per), 1)  # so that votes average 1
     vote = {v: scale * sizes[v] / per[v] for v in per}
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 0, ROWS):
             words = set().union(*((t or "").lower().split() for t in b.column(0).to_pylist()))
-            found = np.unique(np.fromiter((h for w in words for h in term_hashes(w)), np.uint64))
+            found = np.unique(hashes([x for w in words for x in word_terms(w)]))
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["term"])
 
-    terms = np.sort(examples.select("text").mapInArrow(hashes, "term long").distinct().toArrow().column(0).to_numpy().view(np.uint64))
+    terms = np.sort(examples.select("text").mapInArrow(distinct, "term long").distinct().toArrow().column(0).to_numpy().view(np.uint64))
     shared, width = Sent(spark, terms), len(terms) + 2
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
