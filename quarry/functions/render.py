@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = "https://example.org"
@@ -89,6 +89,73 @@ def entity_json_ld(slug: Column, name: Column, description: Column, type_: Colum
     )
 
 
+def topic_json_ld(slug: Column, name: Column, description: Column, base: str = BASE) -> Column:
+    return F.to_json(
+        F.struct(
+            F.lit("https://schema.org").alias("@context"), F.lit("DefinedTerm").alias("@type"), F.concat(F.lit(f"{base}/topics/"), slug).alias("@id"),
+            name.alias("name"), description.alias("description"),
+        )
+    )
+
+
+def website_json_ld(name: str, description: str, base: str = BASE) -> Column:
+    publisher = F.struct(F.lit("Organization").alias("@type"), F.lit(name).alias("name"))
+    return F.to_json(
+        F.struct(
+            F.lit("https://schema.org").alias("@context"), F.lit("WebSite").alias("@type"), F.lit(base).alias("@id"), F.lit(name).alias("name"),
+            F.lit(description).alias("description"), F.lit(base).alias("url"), publisher.alias("publisher"),
+        )
+    )
+
+
+def script_tag(json: Column) -> Column:
+    return F.concat(F.lit('<script type="application/ld+json">'), json, F.lit("</script>"))
+
+
+def document(spark, head: str, lines: DataFrame, foot: str) -> DataFrame:
+    """place, line: a document's head, its lines (order: any sortable column, line) and its foot; sorted by (place, order) it can be written as text of any size."""
+    ends = spark.createDataFrame([(0, head), (2, foot)], "place int, line string").withColumn("order", F.lit(None).cast(lines.schema["order"].dataType))
+    return ends.select("place", "order", "line").unionByName(lines.select(F.lit(1).alias("place"), "order", "line"))
+
+
+def rss_document(spark, items: DataFrame, title: str, description: str, built: str, base: str = BASE) -> DataFrame:
+    """items: order, line (rss_item)."""
+    head = (
+        '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel>'
+        f"<title>{title}</title><link>{base}</link><description>{description}</description><language>en-us</language><lastBuildDate>{built}</lastBuildDate>"
+        f'<atom:link href="{base}/rss.xml" rel="self" type="application/rss+xml"/>'
+    )
+    return document(spark, head, items, "</channel></rss>")
+
+
+SITEMAP = "http://www.sitemaps.org/schemas/sitemap/0.9"
+
+
+def sitemap_document(spark, kind: str, entries: DataFrame, base: str = BASE) -> DataFrame:
+    """entries: order, key, modified (text, or null for none)."""
+    changed = F.when(F.col("modified").isNull(), F.lit("")).otherwise(F.concat(F.lit("<lastmod>"), F.col("modified"), F.lit("</lastmod>")))
+    line = F.concat(F.lit(f"<url><loc>{base}/{kind}/"), F.col("key"), F.lit("</loc>"), changed, F.lit("<changefreq>weekly</changefreq><priority>0.9</priority></url>"))
+    head = f'<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="{SITEMAP}"><url><loc>{base}/{kind}</loc><changefreq>daily</changefreq><priority>0.8</priority></url>'
+    return document(spark, head, entries.select("order", line.alias("line")), "</urlset>")
+
+
+def sitemap_index(kinds: list[str], base: str = BASE) -> str:
+    listed = "".join(f"<sitemap><loc>{base}/sitemaps/{k}.xml</loc></sitemap>" for k in kinds)
+    return f'<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="{SITEMAP}">{listed}</sitemapindex>'
+
+
+def llms_text(counts: DataFrame, title: str, about: str, base: str = BASE) -> DataFrame:
+    """One row, body: what the site holds (counts: kind, n), where it is, and how its addresses are made."""
+    lines = counts.agg(F.array_sort(F.collect_list(F.struct("kind", F.concat(F.lit("- "), F.col("n").cast("string"), F.lit(" "), F.col("kind")).alias("line"))))["line"].alias("lines"))
+    pages = "\n".join(f"- {name}: {base}/{path}" for name, path in (("Claims", "claims"), ("Entities", "entities"), ("Sources", "sources"), ("Corrections", "corrections"), ("Feed", "rss.xml"), ("Sitemap", "sitemap.xml")))
+    shapes = "\n".join(f"- {name}: {base}/{path}" for name, path in (("claim", "claims/{claim_id}"), ("entity", "entities/{entity_slug}"), ("source", "sources/{source_id}")))
+    return lines.select(F.concat(F.lit(f"# {title}\n\n> {about}\n\n## Content\n\n"), F.array_join("lines", "\n"), F.lit(f"\n\n## Key URLs\n\n{pages}\n\n## URL Patterns\n\n{shapes}\n")).alias("body"))
+
+
+def shown_url(url: Column) -> Column:
+    return F.regexp_replace(url, "https?://", "")
+
+
 def rss_item(id_: Column, title: Column, statement: Column, status: Column, updated: Column, base: str = BASE) -> Column:
     link = F.concat(F.lit(f"{base}/claims/"), id_)
     return F.concat(

@@ -6,7 +6,7 @@ import re
 from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -136,34 +136,45 @@ def glob_allowed(url: Column, include: list[str], exclude: list[str]) -> Column:
     return F.coalesce(url.rlike(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]") & allowed, F.lit(False))
 
 
+_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
+
+
+def _directives(text: str) -> list[tuple[str, str]]:
+    """Names in lower case and values, in order; lines without a colon or a value don't count."""
+    pairs = (line.split("#", 1)[0].partition(":") for line in text.split("\n"))
+    return [(name.strip().lower(), value.strip()) for name, colon, value in pairs if colon and value.strip()]
+
+
 def parse_robots(text: str) -> list[dict]:
-    """Groups of a robots.txt: agents, rules as (allow, pattern), crawl delay. Agent lines in a row share a group; empty values are ignored."""
+    """Groups of a robots.txt: agents, rules as (allow, pattern), crawl delay.
+
+    An agent joins the group before it until that has a rule or a delay. A delay is the number that its value begins with, if it isn't negative.
+    """
     groups: list[dict] = []
-    open_for_agents = False
-    for line in text.splitlines():
-        line = line.split("#", 1)[0].strip()
-        name, colon, value = line.partition(":")
-        name, value = name.strip().lower(), value.strip()
-        if not colon:
-            continue
+    for name, value in _directives(text):
+        last = groups[-1] if groups else None
         if name == "user-agent":
-            if not open_for_agents:
-                groups.append({"agents": [], "rules": [], "delay": None})
-                open_for_agents = True
-            groups[-1]["agents"].append(value.lower())
-        elif groups and name in ("allow", "disallow"):
-            open_for_agents = False
-            if value:
-                groups[-1]["rules"].append((name == "allow", value))
-        elif groups and name == "crawl-delay":
-            open_for_agents = False
-            try:
-                groups[-1]["delay"] = float(value)
-            except ValueError:
-                pass
+            if last is None or last["rules"] or last["delay"] is not None:
+                last = {"agents": [], "rules": [], "delay": None}
+                groups.append(last)
+            last["agents"].append(value.lower())
+        elif last is not None and name in ("allow", "disallow"):
+            last["rules"].append((name == "allow", value))
+        elif last is not None and name == "crawl-delay" and (number := _NUMBER.match(value)) and float(number[0]) >= 0:
+            last["delay"] = float(number[0])
     return groups
 
 
+def robots_sitemaps(text: str) -> list[str]:
+    return [value for name, value in _directives(text) if name == "sitemap"]
+
+
+def crawl_delay_ms(groups: list[dict], agent: str, configured: int) -> int:
+    """The delay of the agent's group where it is longer than the configured one."""
+    group = robots_group(groups, agent)
+    return max(configured, int(1000 * (group["delay"] or 0))) if group else configured
+
+
 def robots_group(groups: list[dict], agent: str) -> dict | None:
     """The group with the longest agent name inside `agent` (the first of equals), else the first for all agents."""
     named = [(len(a), -k, g) for k, g in enumerate(groups) for a in g["agents"] if a != "*" and a in agent.lower()]
@@ -178,6 +189,47 @@ def robots_pattern(pattern: str) -> str:
     return "^" + body + (r"\z" if end else "")
 
 
+#: A robots.txt as rows: a rule per agent and pattern.
+ROBOTS_ROWS = "array<struct<group:int,agent:string,allow:boolean,pattern:string,delay:double>>"
+
+
+def robots_rows(text: pd.Series) -> pd.Series:
+    """The groups of each robots.txt as rows (group, agent, allow, pattern, delay); a group without rules has one without a pattern."""
+
+    def rows(t: str | None) -> list[dict]:
+        out = []
+        for k, g in enumerate(parse_robots(t or "")):
+            for agent in g["agents"]:
+                out += [{"group": k, "agent": agent, "allow": a, "pattern": p, "delay": g["delay"]} for a, p in g["rules"] or [(True, None)]]
+        return out
+
+    return text.map(rows)
+
+
+def rule_pattern(pattern: Column) -> Column:
+    """robots_pattern of a column of patterns."""
+    end = pattern.endswith("$")
+    body = F.when(end, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern)
+    quoted = F.array_join(F.transform(F.split(body, "\\*"), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), ".*")
+    return F.concat(F.lit("^"), quoted, F.when(end, F.lit("\\z")).otherwise(F.lit("")))
+
+
+def robots_verdicts(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """pages (url, host and other columns) with `allowed`, by the rules of robots (host, text), one robots.txt a host.
+
+    The rules of the agent's group are rows that join on the host; a host without robots.txt, and a URL that no rule fits, is allowed.
+    """
+    rows = robots.select("host", F.explode(F.pandas_udf(robots_rows, ROBOTS_ROWS)("text")).alias("r")).select("host", "r.*")
+    fits = rows.withColumn("named", F.when(F.col("agent") == "*", F.lit(0)).when(F.lit(agent.lower()).contains(F.col("agent")), F.length("agent"))).where("named IS NOT NULL")
+    best = fits.groupBy("host").agg(F.max_by("group", F.struct("named", -F.col("group"))).alias("group"))
+    rules = fits.join(best, ["host", "group"], "left_semi").where("pattern IS NOT NULL").select("host", "allow", "pattern").distinct()
+    rules = rules.select("host", "allow", rule_pattern(F.col("pattern")).alias("rule"), F.length(F.replace("pattern", F.lit("*"), F.lit(""))).alias("weight"))
+    per = rules.groupBy("host").agg(F.collect_list(F.struct("allow", "rule", "weight")).alias("rules"))  # a robots.txt each
+    subject = F.concat(path(F.col("url")), part(F.col("url"), 4))
+    best_of = lambda allow: F.coalesce(F.array_max(F.transform(F.filter("rules", lambda r: (r["allow"] == allow) & F.call_function("rlike", subject, r["rule"])), lambda r: r["weight"])), F.lit(-1))
+    return pages.join(per, "host", "left").withColumn("allowed", F.coalesce(best_of(True) >= best_of(False), F.lit(True))).drop("rules")
+
+
 def robots_allowed(url: Column, rules: list[tuple[bool, str]]) -> Column:
     """The rule with the most characters besides * decides; allow wins ties; no rule allows; no URL is denied."""
     subject = F.concat(path(url), part(url, 4))

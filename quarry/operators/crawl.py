@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import urls
+from quarry.sources.shared import new_folder
+
 TYPES = ["homepage", "about", "team", "product", "news", "contact", "legal", "other"]
 
 
@@ -14,12 +20,9 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFra
     One level at a time: the frontier's links, without what was visited. Every level is cut with checkpoint(), so the plan doesn't grow
     and a lost executor doesn't cost earlier levels.
     """
-    spark = edges.sparkSession
-    context = spark.sparkContext
+    context = edges.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-crawl-"))
+        context.setCheckpointDir(new_folder(edges.sparkSession, "crawl"))
     visited = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = visited
     for depth in range(1, max_depth + 1):
@@ -37,3 +40,111 @@ def crawl_statistics(pages: DataFrame) -> DataFrame:
     by_type = [F.count_if(ok & (F.col("type") == t)).alias(f"type_{t}") for t in TYPES]
     mean = F.coalesce(F.floor(F.avg(F.when(ok, F.col("ms"))) + 0.5), F.lit(0)).cast("long")
     return pages.agg(F.count_if(ok).alias("pages_ok"), F.count_if(~ok).alias("pages_failed"), F.coalesce(F.sum(F.when(ok, F.col("bytes"))), F.lit(0)).alias("total_bytes"), mean.alias("mean_ms"), *by_type)
+
+
+@dataclass(frozen=True)
+class CrawlConfig:
+    """What a crawl may do; fields that are not given have the usual values."""
+
+    seed: str
+    max_pages: int = 50
+    max_depth: int = 3
+    delay_ms: int = 1000
+    timeout_ms: int = 30_000
+    agent: str = "quarry/1.0"
+    include: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+    respect_robots: bool = True
+
+    @classmethod
+    def of(cls, seed: str, **given) -> CrawlConfig:
+        """Values that are None count as not given."""
+        return cls(seed, **{k: v for k, v in given.items() if v is not None})
+
+    def with_robots(self, text: str) -> CrawlConfig:
+        """With the robots.txt's delay where it is longer."""
+        return replace(self, delay_ms=urls.crawl_delay_ms(urls.parse_robots(text), self.agent, self.delay_ms)) if self.respect_robots else self
+
+    def allows(self, url: Column, robots: str) -> Column:
+        group = urls.robots_group(urls.parse_robots(robots), self.agent) if self.respect_robots else None
+        rules = group["rules"] if group else []
+        return urls.robots_allowed(url, rules) & urls.glob_allowed(url, list(self.include), list(self.exclude))
+
+
+def error_status(error: Column) -> Column:
+    """A status code for the text of an error."""
+    out = F.when(error.contains("404"), 404)
+    for part, code in (("403", 403), ("500", 500), ("timeout", 408)):
+        out = out.when(error.contains(part), code)
+    return out.otherwise(0)
+
+
+STATE = "url string, depth int, place array<int>, status int, ok boolean"
+
+
+def crawl(spark: SparkSession, pages: DataFrame, config: CrawlConfig, robots: str = "", folder: str | None = None, levels: int | None = None) -> DataFrame:
+    """url, depth, place, status, ok of the URLs that a crawl visits, in the order of place within a depth.
+
+    pages: url (normal form), error (null for a page that was fetched), links (array of normal forms); a URL without a row is an error. First come, first served: a
+    level's URLs stand in the order of the pages that link to them and of their links; visited, too deep and forbidden URLs are passed over, and the crawl ends
+    with max_pages pages that were fetched. Each level is written below folder, so the crawl can be resumed there: a call with a folder that has levels goes on after the last. `levels`
+    ends it after so many more.
+    """
+    folder = folder or new_folder(spark, "crawl")
+    done, last = _levels(spark, folder), -1
+    if done:
+        last = max(done)
+    for depth in range(last + 1, config.max_depth + 1 if levels is None else min(config.max_depth, last + levels) + 1):
+        visited = spark.read.schema(STATE).parquet(*[f"{folder}/level{d}" for d in done]) if done else spark.createDataFrame([], STATE)
+        fetched = visited.agg(F.count_if("ok")).first()[0]
+        if fetched >= config.max_pages:
+            break
+        if depth == 0:
+            queue = spark.createDataFrame([(config.seed, [0])], "url string, place array<int>").select(urls.normalized(F.col("url")).alias("url"), "place")
+        else:
+            parents = visited.where(f"depth = {depth - 1} AND ok").select("url", "place").join(pages.select("url", "links"), "url")
+            found = parents.select("place", F.posexplode("links").alias("at", "link")).select(F.col("link").alias("url"), F.concat("place", F.array("at")).alias("place"))
+            queue = found.groupBy("url").agg(F.min("place").alias("place")).join(visited.select("url"), "url", "left_anti")
+        queue = queue.where(config.allows(F.col("url"), robots))
+        tried = queue.join(pages.select("url", "error", F.lit(True).alias("known")), "url", "left").withColumn("error", F.when(F.col("known"), F.col("error")).otherwise("not recorded"))
+        tried = tried.select("url", F.lit(depth).alias("depth"), "place", F.when(F.col("error").isNull(), 200).otherwise(error_status(F.col("error"))).alias("status"), F.col("error").isNull().alias("ok"))
+        tried.write.mode("overwrite").parquet(f"{folder}/queue{depth}")
+        tried = spark.read.schema(STATE).parquet(f"{folder}/queue{depth}")
+        ends = tried.where("ok").select("place").orderBy("place").limit(config.max_pages - fetched)  # bounded by the page limit
+        cut = ends.agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("end"))
+        own = tried.join(F.broadcast(cut), (F.col("n") < config.max_pages - fetched) | (F.col("place") <= F.col("end"))).drop("n", "end")
+        own.write.mode("overwrite").parquet(f"{folder}/level{depth}")
+        done.append(depth)
+        if spark.read.schema(STATE).parquet(f"{folder}/level{depth}").isEmpty():
+            break
+    return spark.read.schema(STATE).parquet(*[f"{folder}/level{d}" for d in done]) if done else spark.createDataFrame([], STATE)
+
+
+def _levels(spark: SparkSession, folder: str) -> list[int]:
+    """Depths whose level was written to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, depth = [], 0
+    while system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/level{depth}/_SUCCESS")):
+        found.append(depth)
+        depth += 1
+    return found
+
+
+def manifest(pages: DataFrame, domain: str, crawl_id: str, completed: str | None) -> DataFrame:
+    """One row: domain, crawlId, status, completedAt, stats and the list of pages; pages: url, urlHash, status, type, title, depth, bytes, ms.
+
+    The list is the feature; a crawl's size is bounded by its page limit.
+    """
+    entry = F.struct("urlHash", "url", "status", "type", "title", "depth", "bytes")
+    stats = crawl_statistics(pages)
+    listed = pages.where("status = 200").agg(F.array_sort(F.collect_list(entry)).alias("pages"))
+    head = stats.select(F.struct(*stats.columns).alias("stats"))
+    status = F.lit("completed" if completed else "in progress")
+    return head.join(listed).select(F.lit(domain).alias("domain"), F.lit(crawl_id).alias("crawlId"), status.alias("status"), F.lit(completed).cast("string").alias("completedAt"), "stats", "pages")  # one row each
+
+
+def save_crawl(pages: DataFrame, texts: DataFrame, folder: str, domain: str, crawl_id: str, completed: str | None) -> None:
+    """Pages (with html, text and metadata) and the manifest below folder; texts: urlHash, cleanText."""
+    pages.join(texts, "urlHash", "left").write.mode("overwrite").parquet(f"{folder}/pages")
+    manifest(pages, domain, crawl_id, completed).write.mode("overwrite").parquet(f"{folder}/manifest")

@@ -99,12 +99,3 @@ def parse_note(text: Column) -> Column:
         F.trim(F.substring(last(safe(F.filter(lines, lambda x: starts(x, "source:")))), 8, 1 << 20)).alias("source"),
         F.regexp_replace(F.trim(F.substring(last(safe(F.filter(lines, lambda x: starts(x, "quote:")))), 7, 1 << 20)), r"^[\"']|[\"']\z", "").alias("quote"),
     )
-
-
-def extraction(answer: Column) -> Column:
-    """The JSON of a model's answer: the first ```json block, else the whole text; null unless it has entities and claims."""
-    block = F.regexp_extract(answer, r"```json\s*([\s\S]*?)\s*```", 1)
-    schema = "entities array<struct<name:string,type:string,description:string,confidence:string>>, claims array<struct<title:string,statement:string,quote:string,entityRole:string,confidence:string>>, sourceInfo struct<title:string,publisher:string,type:string>"
-    parsed = F.from_json(F.coalesce(F.nullif(block, F.lit("")), answer), schema)
-    levels = lambda xs: F.forall(xs, lambda x: x["confidence"].isin("high", "medium", "low"))
-    return F.when(parsed["entities"].isNotNull() & parsed["claims"].isNotNull() & levels(parsed["entities"]) & levels(parsed["claims"]), parsed)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import names, noise, render, text, urls
-from quarry.operators import corpus, crawl, drafts, mentions
+from quarry.operators import corpus, crawl, drafts, extraction, mentions
 from quarry.streaming import visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,14 +198,11 @@ def pages_latest_per_host(t: Tables) -> DataFrame:
 ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nUser-agent: quarry\nDisallow: /en/\nAllow: /en/6\nDisallow: /*.html$\nDisallow:\nCrawl-delay: 2\n"
 
 
-def _rule_sql(rules: list[tuple[bool, str]], allow: bool) -> str:
-    return "greatest(-1, " + ", ".join(f"CASE WHEN regexp_matches(subject, {_quoted(urls.robots_pattern(p))}) THEN {len(p.replace('*', ''))} ELSE -1 END" for a, p in rules if a == allow) + ")"
-
-
 _RULES = urls.robots_group(urls.parse_robots(ROBOTS), "Quarry/1.0")["rules"]
+_ALLOWED = "CASE WHEN regexp_matches(subject, '^/.*\\.html\\z') THEN false WHEN starts_with(subject, '/en/6') THEN true ELSE NOT starts_with(subject, '/en/') END"
 
 
-@query(f"SELECT page_id, {_rule_sql(_RULES, True)} >= {_rule_sql(_RULES, False)} AS allowed FROM (SELECT page_id, ({_PATH}) || regexp_extract(url, '{S}', 4) AS subject FROM pages)")
+@query(f"SELECT page_id, {_ALLOWED} AS allowed FROM (SELECT page_id, ({_PATH}) || regexp_extract(url, '{S}', 4) AS subject FROM pages)")
 def robots_allowed(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.robots_allowed(C("url"), _RULES).alias("allowed"))
 
@@ -213,11 +210,11 @@ def robots_allowed(t: Tables) -> DataFrame:
 _INCLUDE, _EXCLUDE = ["/en/**", "**/fr/8*"], ["**?page=*", "*.html", "https://m.**"]
 
 
-def _glob_sql(globs: list[str]) -> str:
-    return "(" + " OR ".join(f"regexp_matches({s}, {_quoted(urls.glob_pattern(g))})" for g in globs for s in ("subject", "url")) + ")"
+_KEPT = "(regexp_matches(subject, '(?i)^/en/') OR regexp_matches(url, '(?i)^/en/') OR regexp_matches(subject, '(?i)^.*/fr/8[^/]*\\z') OR regexp_matches(url, '(?i)^.*/fr/8[^/]*\\z'))"
+_LEFT_OUT = "(contains(lower(url), '?page=') OR regexp_matches(subject, '(?i)^[^/]*\\.html\\z') OR regexp_matches(url, '(?i)^[^/]*\\.html\\z') OR starts_with(lower(url), 'https://m.'))"
 
 
-@query(f"SELECT page_id, NOT {_glob_sql(_EXCLUDE)} AND {_glob_sql(_INCLUDE)} AS allowed FROM (SELECT page_id, url, ({_PATH}) || regexp_extract(url, '{S}', 4) AS subject FROM pages)")
+@query(f"SELECT page_id, NOT {_LEFT_OUT} AND {_KEPT} AS allowed FROM (SELECT page_id, url, ({_PATH}) || regexp_extract(url, '{S}', 4) AS subject FROM pages)")
 def glob_filter(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.glob_allowed(C("url"), _INCLUDE, _EXCLUDE).alias("allowed"))
 
@@ -366,9 +363,20 @@ def stream_recent_visits(t: Tables) -> DataFrame:
     return visits.recent_by_stream(t.spark, f"{t.sf_dir}/events.parquet", lambda s: visits.detected(s.withColumn("agent", F.expr(_AGENT))).select("event_id", "ts", "crawler"), 1000).select("event_id", "crawler")
 
 
-@query(_DAILY.replace("coalesce(c.cited_entities, '') AS cited_entities", "d.citations AS again").replace("d.platforms, ", ""))
+_LAST_RUNS = f"SELECT * FROM (SELECT *, CASE WHEN hour(ts) < 20 THEN 'a' ELSE 'b' END AS run FROM ({_CHECKS})) QUALIFY run = max(run) OVER (PARTITION BY day)"
+
+
+@query(f"SELECT day, total_checks, citations, cited_entities FROM ({_DAILY.replace(_CHECKS, _LAST_RUNS)})")
 def stream_daily_upsert(t: Tables) -> DataFrame:
-    return visits.upsert_daily_by_stream(t.spark, f"{t.sf_dir}/events.parquet", lambda s: s.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.get_json_object("props", "$.k").cast("int") % 5 == 0).alias("cited"))).withColumn("again", C("citations"))
+    """A day has two runs, of which the last one counts."""
+
+    def checks(s: DataFrame) -> DataFrame:
+        cited = F.get_json_object("props", "$.k").cast("int") % 5 == 0
+        run = F.when(F.hour("ts") < 20, "a").otherwise("b")
+        return s.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), run.alias("run"), C("event_type").alias("platform"), F.concat(F.lit("entity-"), "user_id").alias("entity"), cited.alias("cited"))
+
+    found = visits.upsert_daily_by_stream(t.spark, f"{t.sf_dir}/events.parquet", checks)
+    return found.select("day", "total_checks", "citations", F.array_join("cited_entities", ",").alias("cited_entities"))
 
 
 # --- corpus ----------------------------------------------------------------------------------------------------------
@@ -410,8 +418,7 @@ def claims_for_entity(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey = 11")
 def claims_for_topic(t: Tables) -> DataFrame:
-    topics = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("topics"))
-    return topics.where(F.array_contains("topics", 11)).select("l_orderkey")
+    return t.lineitem.where("l_partkey = 11").select("l_orderkey").distinct()
 
 
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey = 5")
@@ -433,19 +440,10 @@ def claim_citations_named(t: Tables) -> DataFrame:
     return rows.groupBy("l_orderkey").agg(F.array_join(ordered["source"], ";").alias("sources"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(p_name, l_partkey::VARCHAR) AS topic FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey WHERE l_orderkey < 500")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(p_name, l_partkey::VARCHAR) AS topic FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey")
 def topic_names(t: Tables) -> DataFrame:
-    return _topic_names(t, t.lineitem.where("l_orderkey < 500"))
-
-
-@query(None)
-def topic_names_whole(t: Tables) -> DataFrame:
-    return _topic_names(t, t.lineitem)
-
-
-def _topic_names(t: Tables, lines: DataFrame) -> DataFrame:
     known = t.part.where("p_size > 10").select(C("p_partkey").alias("l_partkey"), "p_name")
-    return corpus.named(lines.select("l_orderkey", "l_linenumber", "l_partkey"), known, "l_partkey", "p_name", "topic")
+    return corpus.named(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), known, "l_partkey", "p_name", "topic")
 
 
 @query("SELECT l_orderkey, string_agg('Unknown source: ' || l_suppkey, ';' ORDER BY l_suppkey) AS errors FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 <> 0) GROUP BY l_orderkey")
@@ -457,18 +455,9 @@ def xref_missing(t: Tables) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, l_suppkey, l_partkey, NOT topic_known AS topic_warning, NOT source_known AS source_error FROM (SELECT o_orderkey, l_suppkey, l_partkey, l_suppkey % 5 <> 0 OR l_suppkey % 10 = 0 AS source_known, l_partkey % 4 <> 0 OR l_partkey % 8 = 0 AS topic_known
- FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 2000) WHERE NOT topic_known OR NOT source_known""")
+ FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE NOT topic_known OR NOT source_known""")
 def draft_refs_missing(t: Tables) -> DataFrame:
-    return _draft_refs_missing(t, t.orders.where("o_orderkey < 2000"))
-
-
-@query(None)
-def draft_refs_missing_whole(t: Tables) -> DataFrame:
-    return _draft_refs_missing(t, t.orders)
-
-
-def _draft_refs_missing(t: Tables, orders: DataFrame) -> DataFrame:
-    refs = orders.join(t.lineitem, C("o_orderkey") == C("l_orderkey")).select("o_orderkey", "l_suppkey", "l_partkey")
+    refs = t.orders.join(t.lineitem, C("o_orderkey") == C("l_orderkey")).select("o_orderkey", "l_suppkey", "l_partkey")
     sources, topics = t.supplier.select(C("s_suppkey").alias("l_suppkey")), t.part.select(C("p_partkey").alias("l_partkey"))
     known_s = sources.where("l_suppkey % 5 <> 0").union(sources.where("l_suppkey % 10 = 0")).distinct().withColumn("_s", F.lit(True))
     known_t = topics.where("l_partkey % 4 <> 0").union(topics.where("l_partkey % 8 = 0")).distinct().withColumn("_t", F.lit(True))
@@ -519,8 +508,8 @@ def entity_index(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber AS version, strftime(l_shipdate, '%Y-%m-%d') AS date FROM lineitem WHERE l_linenumber > 1")
 def corrections_log(t: Tables) -> DataFrame:
-    log = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(C("l_linenumber").alias("version"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))).alias("changelog"))
-    return corpus.corrections(log.select("l_orderkey", F.inline("changelog"))).orderBy(F.desc("date"))
+    log = t.lineitem.select("l_orderkey", C("l_linenumber").alias("version"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))
+    return corpus.corrections(log).orderBy(F.desc("date"))
 
 
 @query(f"""SELECT c_custkey, count(DISTINCT o_orderkey) AS claims, count(DISTINCT CASE WHEN status = 'asserted' THEN o_orderkey END) AS asserted, count(DISTINCT CASE WHEN status = 'corrected' THEN o_orderkey END) AS corrections,
@@ -636,8 +625,7 @@ _NOISY = "SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN {_qu
 
 @query(f"SELECT p_partkey FROM (SELECT *, {_SLUG('name')} AS slug FROM ({_NOISY})) WHERE {_noise_sql('slug', 'name', 'type', 'description')}")
 def noise_filter(t: Tables) -> DataFrame:
-    t.part.createOrReplaceTempView("part")
-    rows = t.spark.sql(_NOISY)
+    rows = t.spark.sql(_NOISY.replace("FROM part", "FROM {part}"), part=t.part)
     return rows.where(noise.is_noise(names.slug(C("name")), C("name"), C("type"), C("description"))).select("p_partkey")
 
 
@@ -664,8 +652,10 @@ _ACTION = "CASE WHEN slug IN ('entity-1', 'entity-2', 'entity-90') THEN 'merge'
 
 @query(f"SELECT action, count(*) AS n FROM (SELECT {_ACTION} AS action FROM ({_DRAFT})) GROUP BY action")
 def dedup_summary(t: Tables) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("slug").orderBy("doc_id")) > 1
-    return _drafts(t).select(F.when(C("slug").isin([a for a, _ in _MOVES]), "merge").when(first, "duplicate").otherwise("keep").alias("action")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    per = _drafts(t).groupBy("slug").agg(F.count(F.lit(1)).alias("n"))  # one of a slug's drafts is kept, the others are duplicates
+    moved = C("slug").isin([a for a, _ in _MOVES])
+    kinds = F.array(F.struct(F.lit("merge").alias("action"), F.when(moved, C("n")).otherwise(0).alias("n")), F.struct(F.lit("keep").alias("action"), F.when(moved, 0).otherwise(1).alias("n")), F.struct(F.lit("duplicate").alias("action"), F.when(moved, 0).otherwise(C("n") - 1).alias("n")))
+    return per.select(F.inline(kinds)).groupBy("action").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 @query(f"SELECT count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low FROM ({_DRAFT})")
@@ -693,18 +683,22 @@ _ERRORS = "concat_ws(',', CASE WHEN NOT regexp_matches(id, '^src_[a-z0-9]{8}\\z'
 
 @query(f"SELECT doc_id, {_ERRORS} AS errors FROM ({_RECORD})")
 def validate_records(t: Tables) -> DataFrame:
-    return drafts.check_rules(_records(t), drafts.source_rules()).select("doc_id", F.array_join("errors", ",").alias("errors"))
+    return drafts.check_rules(_records(t), drafts.some_source_rules()).select("doc_id", F.array_join("errors", ",").alias("errors"))
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (errors = '') AS valid, count(*) FILTER (errors <> '') AS invalid FROM (SELECT {_ERRORS} AS errors FROM ({_RECORD}))")
 def validation_summary(t: Tables) -> DataFrame:
-    checked = drafts.check_rules(_records(t), drafts.source_rules())
+    checked = drafts.check_rules(_records(t), drafts.some_source_rules())
     return checked.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size("errors") == 0).alias("valid"), F.count_if(F.size("errors") > 0).alias("invalid"))
 
 
-@query(f"SELECT doc_id FROM ({_RECORD}) WHERE false")
+@query(f"""SELECT 'all' AS batch, doc_id FROM ({_RECORD}) WHERE (SELECT count(*) FROM (SELECT {_ERRORS} AS errors FROM ({_RECORD})) WHERE errors <> '') = 0
+ UNION ALL SELECT 'good', doc_id FROM (SELECT doc_id, {_ERRORS} AS errors FROM ({_RECORD})) WHERE errors = ''""")
 def approval_gate(t: Tables) -> DataFrame:
-    return drafts.all_or_nothing(drafts.check_rules(_records(t), drafts.source_rules())).select("doc_id")
+    """A batch with any bad record gives none of its records; one without gives all of them."""
+    checked = drafts.check_rules(_records(t), drafts.some_source_rules())
+    some = drafts.all_or_nothing(checked).select(F.lit("all").alias("batch"), "doc_id")
+    return some.union(drafts.all_or_nothing(checked.where(F.size("errors") == 0)).select(F.lit("good").alias("batch"), "doc_id"))
 
 
 @query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'old' ELSE 'new' END AS version FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)")
@@ -800,58 +794,27 @@ def parse_overview(t: Tables) -> DataFrame:
     return parsed.select("conv_id", "turn", "a.answer", F.array_join(F.transform("a.sources", lambda s: F.concat(s["title"], F.lit("="), s["url"])), ";").alias("sources"))
 
 
-@query("SELECT doc_id, 'Note ' || doc_id AS title, trim(regexp_extract(coalesce(text, ''), '^[\\s]*([^\\n]*)', 1)) AS statement, 'https://example.org/' || doc_id AS source, 'said' AS quote FROM documents WHERE doc_id % 3 = 0 AND regexp_matches(text, '^[A-ZÀ-Ý]')")
-def ingest_parse(t: Tables) -> DataFrame:
-    return _ingest_parse(t.documents.where("doc_id % 3 = 0").where(C("text").rlike("^[A-ZÀ-Ý]")))
-
+_NOTE_LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')"
+_NOTE_REST = f"list_filter({_NOTE_LINES}, lambda x: NOT starts_with(x, '# ') AND NOT starts_with(lower(x), 'source:') AND NOT starts_with(lower(x), 'quote:'))"
 
-@query(None)
-def ingest_parse_whole(t: Tables) -> DataFrame:
-    return _ingest_parse(t.documents)
 
-
-def _ingest_parse(rows: DataFrame) -> DataFrame:
-    note = F.concat(F.lit("skipped line\n# Note "), C("doc_id").cast("string"), F.lit("\n\nSource: https://example.org/"), C("doc_id").cast("string"), F.lit('\nQUOTE: "said"\n'), "text")
-    return rows.select("doc_id", mentions.parse_note(note).alias("n")).select("doc_id", "n.title", "n.statement", "n.source", "n.quote")
+@query(f"SELECT doc_id, 'Note ' || doc_id AS title, coalesce(trim({_NOTE_REST}[1]), '') AS statement, 'https://example.org/' || doc_id AS source, 'said' AS quote FROM documents")
+def ingest_parse(t: Tables) -> DataFrame:
+    """A note around each text; no text has lines of a note's own forms."""
+    note = F.concat(F.lit("skipped line\n# Note "), C("doc_id").cast("string"), F.lit("\n\nSource: https://example.org/"), C("doc_id").cast("string"), F.lit('\nQUOTE: "said"\n'), F.coalesce("text", F.lit("")))
+    return t.documents.select("doc_id", mentions.parse_note(note).alias("n")).select("doc_id", "n.title", "n.statement", "n.source", "n.quote")
 
 
 @query("SELECT doc_id, doc_id % 4 <> 0 AS valid, CASE WHEN doc_id % 4 <> 0 THEN 'N' || doc_id END AS first_entity FROM documents")
 def extraction_parse(t: Tables) -> DataFrame:
     level = F.when(C("doc_id") % 4 == 0, "certain").otherwise("high")
     entity = F.struct(F.concat(F.lit("N"), "doc_id").alias("name"), F.lit("product").alias("type"), F.lit("d").alias("description"), level.alias("confidence"))
-    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(F.array(entity).alias("entities"), F.from_json(F.lit("[]"), "array<struct<title:string>>").alias("claims"))), F.lit("\n```\nthanks"))
-    parsed = t.documents.select("doc_id", mentions.extraction(reply).alias("x"))
+    info = F.struct(F.lit("T").alias("title"), F.lit("P").alias("publisher"), F.lit("webpage").alias("type"), F.lit("high").alias("confidence"))
+    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(F.array(entity).alias("entities"), F.from_json(F.lit("[]"), "array<struct<title:string>>").alias("claims"), info.alias("sourceInfo"))), F.lit("\n```\nthanks"))
+    parsed = t.documents.select("doc_id", extraction.reply(reply).alias("x"))
     return parsed.select("doc_id", C("x").isNotNull().alias("valid"), F.get("x.entities", F.lit(0))["name"].alias("first_entity"))
 
 
-@query("SELECT doc_id, md5('Source: ' || source || chr(10) || left(text, 8000)) AS prompt_md5, 'What is ' || source || '?' AS question FROM documents")
-def prompt_build(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(F.concat(F.lit("Source: "), "source", F.lit("\n"), F.left("text", F.lit(8000)))).alias("prompt_md5"), F.concat(F.lit("What is "), "source", F.lit("?")).alias("question"))
-
-
-@query("SELECT role, count(*) AS calls, sum(length(text))::BIGINT AS tokens FROM conversations GROUP BY role")
-def token_accounting(t: Tables) -> DataFrame:
-    return t.conversations.groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.length("text")).alias("tokens"))
-
-
-@query("SELECT doc_id, platform FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id < 50) CROSS JOIN (VALUES ('a'), ('b'), ('c')) p(platform)")
+@query("SELECT doc_id, platform FROM (SELECT DISTINCT doc_id FROM documents) CROSS JOIN (VALUES ('a'), ('b'), ('c')) p(platform)")
 def monitor_checks(t: Tables) -> DataFrame:
-    return _monitor_checks(t, t.documents.where("doc_id < 50"))
-
-
-@query(None)
-def monitor_checks_whole(t: Tables) -> DataFrame:
-    return _monitor_checks(t, t.documents)
-
-
-def _monitor_checks(t: Tables, documents: DataFrame) -> DataFrame:
-    platforms = t.spark.createDataFrame([("a",), ("b",), ("c",)], "platform string")
-    return documents.select("doc_id").distinct().crossJoin(F.broadcast(platforms))
-
-
-@query("SELECT s_suppkey, len AS n_snapshots FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END AS len FROM supplier)")
-def snapshot_append(t: Tables) -> DataFrame:
-    made = lambda path: F.struct(F.lit("2026-01-01T00:00:00.000Z").alias("timestamp"), F.lit(path).alias("artifactPath"), F.lit("manual").alias("method"))
-    before = F.when(C("s_suppkey") % 2 == 1, F.array(made("old.html")))
-    after = F.array_append(F.coalesce(before, F.from_json(F.lit("[]"), "array<struct<timestamp:string,artifactPath:string,method:string>>")), made("new.html"))
-    return t.supplier.select("s_suppkey", F.size(after).alias("n_snapshots"))
+    return t.documents.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, "abc"))).alias("platform"))

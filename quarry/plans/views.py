@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import render
-from quarry.operators import corpus
+from quarry.functions import render, text
+from quarry.operators import corpus, monitor
 from quarry.sources import records
 
 C = F.col
@@ -59,6 +59,14 @@ def claim_detail(c: Corpus, key: str) -> DataFrame:
     return claim.join(titles, C("id") == titles["claim"], "left").drop("claim").join(names, C("id") == names["claim"], "left").drop("claim")
 
 
+def claim_page(c: Corpus, key: str) -> DataFrame:
+    """claim_detail with the claim's JSON-LD; its sources are those that its citations name, once each, by id."""
+    detail = claim_detail(c, key)
+    cited = c.sources.join(c.citations().where(C("claim") == key).select("id"), "id", "left_semi").agg(F.array_sort(F.collect_list(F.struct("id", "title", "url", "publisher"))).alias("works"))
+    made = render.claim_json_ld(C("id"), C("title"), C("statement"), C("status"), C("provenance.author"), C("provenance.createdAt"), C("provenance.updatedAt"), C("works"))
+    return detail.join(cited).withColumn("json_ld", made).drop("works")  # one row each
+
+
 def entities_index(c: Corpus) -> DataFrame:
     """slug, name, n_claims in the names' collation order; entities without claims have 0."""
     found = corpus.references_per_key(c.entities.select("slug", "name"), c.entity_refs(), "slug", "claim")
@@ -78,6 +86,26 @@ def entity_family(c: Corpus) -> DataFrame:
     return rows.select("slug", "parent_name", F.coalesce("names", F.array().cast("array<string>")).alias("subsidiaries"))
 
 
+def entity_page(c: Corpus, slug: str) -> DataFrame:
+    """One row: the entity with its number of claims, its family and its JSON-LD."""
+    one = records.point(c.entities, "entities", slug)
+    refs = lambda df: F.struct(df["slug"], df["name"], df["type"])
+    above = c.entities.select(C("slug").alias("parentEntity"), refs(c.entities).alias("parent"))
+    below = c.entities.where(C("parentEntity") == slug).agg(F.array_sort(F.collect_list(F.struct("slug", "name", "type"))).alias("children"))
+    n = c.claims.where(F.exists("entities", lambda e: e["slug"] == slug)).agg(F.count(F.lit(1)).alias("n_claims"))
+    links = F.array(*[C(f"links.{x}") for x in ("wikipedia", "linkedin", "twitter", "crunchbase")])
+    rows = one.join(above, "parentEntity", "left").join(below).join(n)  # one row each
+    made = render.entity_json_ld(C("slug"), C("name"), C("description"), C("type"), C("links.officialSite"), links, C("parent"), C("children"))
+    return rows.select("slug", "name", "n_claims", C("parent.name").alias("parent_name"), C("children.name").alias("subsidiaries"), made.alias("json_ld"))
+
+
+def client_claims(c: Corpus, slug: str) -> DataFrame:
+    """The client's claims that are not asserted any more, or have a history: id, title, status, history (versions and dates where there is more than one)."""
+    own = c.claims.where(F.exists("entities", lambda e: e["slug"] == slug))
+    shown = F.when(F.size("changelog") > 1, F.transform("changelog", lambda x: F.concat(F.lit("v"), x["version"].cast("string"), F.lit(" "), x["date"])))
+    return c.by_status(own.where((C("status") != "asserted") | (F.size("changelog") > 1))).select("id", "title", "status", shown.alias("history"))
+
+
 def client_dashboard(c: Corpus, slug: str) -> DataFrame:
     """One row: claims, asserted, corrections, and distinct topics and sources that exist."""
     claims = c.claims.where(F.exists("entities", lambda e: e["slug"] == slug))
@@ -96,6 +124,47 @@ def topic_detail(c: Corpus, slug: str) -> DataFrame:
     return c.by_status(c.claims.where(F.array_contains("topics", slug)))
 
 
+def topic_page(c: Corpus, slug: str) -> DataFrame:
+    """One row: the topic with its number of claims and its JSON-LD."""
+    n = c.claims.where(F.array_contains("topics", slug)).agg(F.count(F.lit(1)).alias("n_claims"))
+    return records.point(c.topics, "topics", slug).join(n).select("slug", "name", "n_claims", render.topic_json_ld(C("slug"), C("name"), C("description")).alias("json_ld"))  # one row each
+
+
+def source_snapshots(c: Corpus) -> DataFrame:
+    """id, place, timestamp, artifactPath, method of every snapshot of every source."""
+    return c.sources.select("id", F.posexplode("snapshots").alias("place", "s")).select("id", "place", "s.timestamp", "s.artifactPath", "s.method")
+
+
+def source_page(c: Corpus, key: str) -> DataFrame:
+    """source_detail with the source's JSON-LD."""
+    made = render.source_json_ld(C("id"), C("title"), C("url"), C("accessDate"), C("publishedDate"), C("publisher"), C("type"), C("author"), C("excerpt"))
+    return source_detail(c, key).withColumn("json_ld", made)
+
+
+def stats(visits: DataFrame, crawlers: DataFrame, results: DataFrame | None, days: DataFrame, as_of, recent: int = 50, newest: int = 30) -> DataFrame:
+    """section, item, shown: what the statistics page says.
+
+    visits: crawler, ts, event_id; crawlers: name, ordinal (all that are known); results: the latest run's (None for none); days: the daily aggregates.
+    """
+    row = lambda df, section, item, shown: df.select(F.lit(section).alias("section"), item.alias("item"), shown.alias("shown"))
+    totals = crawlers.join(visits.groupBy(C("crawler").alias("name")).agg(F.count(F.lit(1)).alias("n")), "name")
+    out = row(totals, "crawler", C("name"), C("n").cast("string"))
+    out = out.union(row(totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "visits", F.lit("total"), C("n").cast("string")))
+    latest = visits.orderBy(F.desc("ts"), F.desc("event_id")).limit(recent)
+    out = out.union(row(latest, "recent", F.concat(C("crawler"), F.lit("#"), C("event_id").cast("string")), render.relative_time(C("ts"), as_of)))
+    first = days.where("citations > 0").orderBy("day").limit(1)
+    out = out.union(row(first, "first citation", C("day"), F.array_join("cited_entities", ", ")))
+    window = days.orderBy(F.desc("day")).limit(newest)
+    out = out.union(row(window, "day", C("day"), F.concat(C("citations").cast("string"), F.lit("/"), C("total_checks").cast("string"))))
+    out = out.union(row(window.agg(F.coalesce(F.sum("citations"), F.lit(0)).alias("c"), F.coalesce(F.sum("total_checks"), F.lit(0)).alias("n")), "days", F.lit("total"), F.concat(C("c").cast("string"), F.lit("/"), C("n").cast("string"))))
+    if results is not None:
+        name = render.choose(C("platform"), monitor.NAMES, C("platform"))
+        per = monitor.platform_breakdown(results)
+        out = out.union(row(per, "platform", name, F.concat(C("cited").cast("string"), F.lit("/"), C("checked").cast("string"))))
+        out = out.union(row(results, "result", F.concat(C("entity"), F.lit("@"), name), F.concat(F.when(C("cited"), "Yes").otherwise("No"), F.lit(" "), text.truncated(C("answerExcerpt"), 100))))
+    return out
+
+
 def sources_index(c: Corpus) -> DataFrame:
     return c.sources.orderBy(F.desc("accessDate"), "id")
 

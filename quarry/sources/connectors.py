@@ -1,54 +1,47 @@
-"""Connectors as Python data sources. Without a network they replay recorded tables; they never make up an answer."""
+"""Connectors to the network, by recorded responses: a recording is a table, and a request without a row in it fails. Nothing is made up.
 
-from __future__ import annotations
-
-import json
-
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+Fetching at a rate (a second a page, half a second a model call, two seconds a platform) is the business of what makes a recording, not of a query.
+"""
 
+from __future__ import annotations
 
-class _Part(InputPartition):
-    def __init__(self, urls: list[str]):
-        super().__init__(0)
-        self.urls = urls
-
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-class RecordedFetch(DataSource):
-    """Format `recorded_fetch`: options `urls` (a JSON array), `recording` (a JSON object from URL to status and body) and `parts`.
+from quarry.functions import urls
+from quarry.operators import extraction
 
-    Rows: url, status, body, error. A status of 400 or more is an error, as is a URL that the recording doesn't have.
-    """
 
-    @classmethod
-    def name(cls) -> str:
-        return "recorded_fetch"
+def fetch(requests: DataFrame, recording: DataFrame) -> DataFrame:
+    """requests (url) with status, body and error; recording: url, status, body. A status of 400 or more, or no recording, is an error with status and text."""
+    both = requests.join(recording.select("url", F.col("status").alias("_status"), F.col("body").alias("_body")), "url", "left")
+    failed = F.coalesce(F.col("_status") >= 400, F.lit(True))
+    said = F.when(F.col("_status").isNull(), F.lit("not recorded")).when(failed, F.concat(F.lit("HTTP "), F.col("_status").cast("string")))
+    return both.select(*requests.columns, F.coalesce("_status", F.lit(0)).alias("status"), F.when(~failed, F.col("_body")).alias("body"), said.alias("error"))
 
-    def schema(self) -> str:
-        return "url string, status int, body string, error string"
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+def rendered_request(url: Column) -> Column:
+    """The JSON of a request to a rendering proxy."""
+    return F.to_json(F.struct(F.lit("universal").alias("source"), url.alias("url"), F.lit("html").alias("render")))
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.urls, self.recording, self.parts = json.loads(options["urls"]), json.loads(options["recording"]), int(options.get("parts", 4))
+def rendered_fetch(requests: DataFrame, recording: DataFrame) -> DataFrame:
+    """requests (url) with body and error; recording: payload, status, response (JSON with results). The first result's content is the page."""
+    both = requests.withColumn("payload", rendered_request(F.col("url"))).join(recording.select("payload", F.col("status").alias("_status"), "response"), "payload", "left")
+    body = F.when(F.col("_status") == 200, F.get_json_object("response", "$.results[0].content"))
+    said = F.when(F.col("_status").isNull(), F.lit("not recorded")).when(F.col("_status") != 200, F.concat(F.lit("HTTP "), F.col("_status").cast("string"))).when(body.isNull(), F.lit("no content"))
+    return both.select(*requests.columns, body.alias("body"), said.alias("error"))
 
-    def partitions(self):
-        return [_Part(self.urls[k :: self.parts]) for k in range(self.parts) if self.urls[k :: self.parts]] or [_Part([])]
 
-    def read(self, partition):
-        for url in partition.urls:
-            found = self.recording.get(url)
-            if found is None:
-                yield (url, 0, None, "not recorded")
-            elif found["status"] >= 400:
-                yield (url, found["status"], None, f"HTTP {found['status']}")
-            else:
-                yield (url, found["status"], found["body"], None)
+def robots_fetch(sites: DataFrame, recording: DataFrame) -> DataFrame:
+    """host, text: the robots.txt of each site (url); empty, so that all is allowed, for one that isn't there. A URL without a host fails and has no row."""
+    asked = sites.where(urls.part(F.col("url"), 2) != "").select(urls.host(F.col("url")).alias("host"), F.concat(urls.part(F.col("url"), 1), F.lit("://"), urls.part(F.col("url"), 2), F.lit("/robots.txt")).alias("url"))
+    one = asked.groupBy("host").agg(F.min("url").alias("url"))
+    return fetch(one, recording).select("host", F.when(F.col("status") == 200, F.coalesce("body", F.lit(""))).otherwise(F.lit("")).alias("text"))
 
 
-def recorded_fetch(spark: SparkSession, urls: list[str], recording: dict):
-    spark.dataSource.register(RecordedFetch)
-    return spark.read.format("recorded_fetch").option("urls", json.dumps(urls)).option("recording", json.dumps(recording)).load()
+def extraction_replies(pages: DataFrame, recording: DataFrame) -> DataFrame:
+    """pages (url, text, ...) with x, the checked reply, and its tokens; recording: url, answer, input_tokens, output_tokens. Pages with little text aren't asked about."""
+    asked = pages.withColumn("_key", F.when(extraction.enough_text(F.col("text")), F.col("url")))
+    both = asked.join(recording.withColumnRenamed("url", "_key"), "_key", "left")
+    return both.select(*pages.columns, extraction.reply(F.col("answer")).alias("x"), "input_tokens", "output_tokens")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import exists
+
 #: The declared schemas.
 SCHEMAS = {
     "claims": "id STRING, title STRING, statement STRING, status STRING, entities ARRAY<STRUCT<slug:STRING,role:STRING>>, topics ARRAY<STRING>, citations ARRAY<STRUCT<sourceId:STRING,locator:STRING,quote:STRING,note:STRING>>, provenance STRUCT<author:STRING,createdAt:STRING,updatedAt:STRING>, version INT, changelog ARRAY<STRUCT<version:INT,date:STRING,summary:STRING>>",
@@ -16,9 +18,11 @@ KEYS = {"claims": "id", "sources": "id", "entities": "slug", "topics": "slug"}
 DRAFT = "_draft STRUCT<confidence:STRING,sourcePages:ARRAY<STRING>,notes:STRING,model:STRING,extractedAt:STRING>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+#: Enumerations of the schemas.
+STATUSES = ["asserted", "disputed", "corrected", "tombstoned"]
+ENTITY_TYPES = ["organization", "person", "product", "project", "event", "place", "concept", "other"]
+SOURCE_TYPES = ["webpage", "pdf", "academic-paper", "press-release", "news-article", "government-document", "social-media", "video", "podcast", "book", "report", "other"]
+SNAPSHOT_METHODS = ["manual", "oxylabs", "wayback", "other"]
 
 
 def scan(spark: SparkSession, folder: str, table: str, mode: str = "FAILFAST", draft: bool = False) -> DataFrame:
@@ -28,7 +32,7 @@ def scan(spark: SparkSession, folder: str, table: str, mode: str = "FAILFAST", d
     """
     schema = SCHEMAS[table] + (f", {DRAFT}" if draft else "")
     path = f"{folder}/{table}"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     found = spark.read.schema(schema).option("multiLine", True).option("mode", mode).option("pathGlobFilter", "*.json").json(path)
     return found.where(F.col(KEYS[table]).isNotNull()) if mode == "DROPMALFORMED" else found
@@ -41,6 +45,33 @@ def scan_with_errors(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return found.withColumn("file", F.col("_metadata.file_name"))
 
 
+def scan_checked(spark: SparkSession, folder: str, table: str, rules: dict[str, Column]) -> DataFrame:
+    """file, errors of every file: `unparsable` alone for one that doesn't parse, else the names of the rules that its record breaks."""
+    found = scan_with_errors(spark, folder, table)
+    named = [F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(F.lit(name)) for name, ok in rules.items()]
+    broken = F.when(F.col("_corrupt_record").isNotNull(), F.array(F.lit("unparsable"))).otherwise(F.array_compact(F.array(*named)))
+    return found.select("file", broken.alias("errors"))
+
+
+def load_json(text: Column, schema: str) -> Column:
+    """The record of a JSON text; null for a text that is null or doesn't parse as an object."""
+    kept = F.from_json(text, f"{schema}, _corrupt_record STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return F.when(kept["_corrupt_record"].isNull() & F.trim(text).startswith("{"), kept.dropFields("_corrupt_record"))
+
+
+def write_records(df: DataFrame, folder: str, table: str) -> None:
+    """One JSON file per record, in a folder named by its key: <folder>/<table>/<key column>=<key>/part-*.json."""
+    key = KEYS[table]
+    df.select(key, F.to_json(F.struct(*df.columns)).alias("value")).repartition(key).write.partitionBy(key).mode("overwrite").text(f"{folder}/{table}")
+
+
+def read_records(spark: SparkSession, folder: str, table: str, draft: bool = False) -> DataFrame:
+    """What write_records wrote."""
+    schema = SCHEMAS[table] + (f", {DRAFT}" if draft else "")
+    whole = spark.read.text(f"{folder}/{table}", wholetext=True, recursiveFileLookup=True)
+    return whole.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def keys_only(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Keys from file names; no file is parsed."""
     names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{folder}/{table}").select("path")
@@ -59,12 +90,52 @@ def draft_inventory(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.element_at(path, -3).alias("batch"), F.regexp_replace(F.element_at(path, -1), r"\.json\z", "").alias("file_slug"), F.struct(*found.columns).alias("entity"))
 
 
+def draft_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """batch: the folders of draft batches, without hidden ones, from the file listing alone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if s.isDirectory()] if exists(spark, folder) else []
+    return spark.createDataFrame([(n,) for n in sorted(found) if not n.startswith(".")], "batch string")
+
+
+def save_drafts(df: DataFrame, folder: str) -> None:
+    """Draft records (crawl_id, kind, id, record: JSON) as Parquet by batch and kind; a batch that is saved again is replaced."""
+    df.write.option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id", "kind").mode("overwrite").parquet(folder)
+
+
+def archive_batch(spark: SparkSession, folder: str, batch: str, at: str) -> str:
+    """Moves a batch below .archive, where scans don't look; the new place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    to = f"{folder}/.archive/{batch}_{at}"
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(f"{folder}/.archive"))
+    if not system.rename(path(f"{folder}/{batch}"), path(to)):
+        raise OSError(f"{folder}/{batch} can't be moved to {to}")
+    return to
+
+
+def add_snapshot(sources: DataFrame, taken: DataFrame) -> DataFrame:
+    """sources with a snapshot appended where taken (id, timestamp, artifactPath, method) has one of them."""
+    made = F.struct("timestamp", "artifactPath", "method", F.lit(None).cast("string").alias("jobId"), F.lit(None).cast("string").alias("notes"))
+    new = taken.select("id", made.alias("_new"))
+    none = F.from_json(F.lit("[]"), "array<struct<timestamp:string,artifactPath:string,method:string,jobId:string,notes:string>>")
+    both = F.when(F.col("_new").isNull(), F.col("snapshots")).otherwise(F.array_append(F.coalesce("snapshots", none), F.col("_new")))
+    return sources.join(new, "id", "left").withColumn("snapshots", both).drop("_new")
+
+
 def page_texts(pages: DataFrame, texts: DataFrame) -> DataFrame:
     """pages (urlHash, text, ...) with the text of `texts` (urlHash, body) where their own is blank."""
     joined = pages.join(texts.select("urlHash", "body"), "urlHash", "left")
     return joined.withColumn("text", F.when(F.trim("text") != "", F.col("text")).otherwise(F.coalesce("body", "text"))).drop("body")
 
 
+def load_crawl(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of a saved crawl that its manifest lists, with the separate text where their own is blank."""
+    listed = spark.read.parquet(f"{folder}/manifest").select(F.explode("pages").alias("p")).select(F.col("p.urlHash").alias("urlHash")).distinct()
+    pages = spark.read.parquet(f"{folder}/pages")
+    texts = pages.select("urlHash", F.col("cleanText").alias("body"))
+    return page_texts(pages.drop("cleanText").join(listed, "urlHash", "left_semi"), texts)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     out = df.write.mode("overwrite")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.mentions import crawler_of
+from quarry.sources.shared import new_folder
 
 
 def detected(requests: DataFrame) -> DataFrame:
@@ -57,8 +56,7 @@ def _source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def run_once(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
@@ -94,12 +92,40 @@ def recent_by_stream(spark: SparkSession, path: str, build: Callable[[DataFrame]
     return _upserted(spark, path, build, lambda old, new: newest(new if old is None else old.unionByName(new)))
 
 
-def upsert_daily_by_stream(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """day, total_checks, citations: a table keyed by day that each batch adds to."""
+def upsert_daily_by_stream(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], keep_days: int | None = None) -> DataFrame:
+    """The daily aggregates of runs as they arrive: a table keyed by day in which the last run of a day replaces the ones before it.
+
+    build gives day, run (text that sorts by time) and the columns of daily_aggregates. A day's row holds that run alone. With keep_days, days that are
+    older than that before the newest day go.
+    """
 
     def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        day = new.groupBy("day").agg(F.count(F.lit(1)).alias("total_checks"), F.count_if("cited").alias("citations"))
+        last = new.groupBy("day").agg(F.max("run").alias("run"))
+        runs = new.join(last, ["day", "run"])
+        day = daily_aggregates(runs).join(last, "day")
         both = day if old is None else old.unionByName(day)
-        return both.groupBy("day").agg(F.sum("total_checks").alias("total_checks"), F.sum("citations").alias("citations"))
+        best = both.groupBy("day").agg(F.max_by(F.struct(*[c for c in both.columns if c != "day"]), "run").alias("r")).select("day", "r.*")
+        if keep_days is None:
+            return best
+        newest = best.agg(F.max("day").cast("date").alias("_newest"))
+        return best.join(F.broadcast(newest)).where(F.col("day").cast("date") > F.date_sub("_newest", keep_days)).drop("_newest")  # one row
 
     return _upserted(spark, path, build, merge)
+
+
+def list_range(rows: DataFrame, newest: list[Column], first: int, last: int) -> DataFrame:
+    """Rows first to last (counted from 0, both included) of a list whose head is the newest."""
+    return rows.orderBy(*newest).limit(last + 1).offset(first)
+
+
+def decoded(rows: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """A list's JSON values as columns; a value that doesn't parse has nulls."""
+    return rows.select(F.from_json(column, schema).alias("v")).select("v.*")
+
+
+def next_run(as_of: Column, weekday: int = 2, hour: int = 9) -> Column:
+    """The next run at or after as_of (UTC) of a weekly schedule: weekday 1 is Sunday, so 2 is Monday."""
+    day = F.date_trunc("day", as_of)
+    ahead = (F.lit(weekday + 7) - F.dayofweek(as_of)) % 7
+    on = lambda days: F.timestamp_add("HOUR", F.lit(hour), F.timestamp_add("DAY", days, day))
+    return F.when(on(ahead) >= as_of, on(ahead)).otherwise(on(ahead + 7))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans import catalog
+from quarry.plans import catalog, record_catalog  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are not here")

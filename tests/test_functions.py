@@ -96,5 +96,6 @@ def test_record_scans_and_connector(spark, tmp_path):
     assert {r["file"]: r["_corrupt_record"] is not None for r in records.scan_with_errors(spark, root, "topics").collect()} == {"a.json": False, "b.json": True}
     assert sorted(r["slug"] for r in records.keys_only(spark, root, "topics").collect()) == ["a", "b"]
     assert records.scan(spark, root, "claims").count() == 0
-    found = connectors.recorded_fetch(spark, ["u", "v", "w"], {"u": {"status": 200, "body": "x"}, "v": {"status": 404, "body": ""}}).collect()
+    recording = spark.createDataFrame([("u", 200, "x"), ("v", 404, "")], "url string, status int, body string")
+    found = connectors.fetch(spark.createDataFrame([("u",), ("v",), ("w",)], "url string"), recording).collect()
     assert sorted((r["url"], r["status"], r["error"]) for r in found) == [("u", 200, None), ("v", 404, "HTTP 404"), ("w", 0, "not recorded")]
