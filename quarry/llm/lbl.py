@@ -34,6 +34,7 @@ ENDINGS, HEAD, WIDTH, CLASSES = 64, 200_000, 24, 128
 #: The end's key: no word has a space.
 END_KEY = xxhash.xxh3_64_intdigest(b" ")
 _WORD, _PACK = np.dtype([("id", "<i4"), ("key", "<i8"), ("token", "<i4")]), struct.Struct("<iqi").pack
+_TOKEN_AT, _TOKEN_END = _WORD.fields["token"][1], _WORD.itemsize
 #: Parameters in one slice of the sums.
 PIECE = 16384
 
@@ -61,6 +62,7 @@ class Vocabulary:
     def _made(self) -> None:
         self.place = dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
         self.cache = Cache(self.packed, 300_000)
+        self.numbers = Cache(lambda word: self.packed(word)[_TOKEN_AT:_TOKEN_END], 300_000)
 
     def packed(self, word: bytes) -> bytes:
         """Place in the head, or -1 less the group; the key; the token number."""
@@ -74,11 +76,17 @@ class Vocabulary:
         rows = [b"".join(map(self.cache.__getitem__, words_of(t))) + end for t in texts]
         return np.frombuffer(b"".join(rows), _WORD), np.array([len(r) // _WORD.itemsize for r in rows], np.int64)
 
+    def token_numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers alone."""
+        end = np.array([self.end], "<i4").tobytes()
+        rows = [b"".join(map(self.numbers.__getitem__, words_of(t))) + end for t in texts]
+        return np.frombuffer(b"".join(rows), "<i4").astype(np.int64), np.array([len(r) // 4 for r in rows], np.int64)
+
     def unigram(self) -> np.ndarray:
         return np.concatenate([self.head[: self.own], self.mass[:, 0], [self.end_count]]).astype(np.float64) + 1
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": None, "place": None}
+        return self.__dict__ | {"cache": None, "numbers": None, "place": None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -296,14 +304,12 @@ def train_model(docs: DataFrame, vocabulary: Vocabulary, shared: Sent, rounds: i
             own.set_flat(begin.value)
             trainer, rng = own.trainer(), np.random.default_rng([seed, turn, part])
             for b in text_slices(batches, 0):
-                found, sizes = v.tokens(b.column(0).to_pylist())
-                w = found["token"].astype(np.int32)
+                w, sizes = v.token_numbers(b.column(0).to_pylist())
                 w1, w2 = _contexts(w, sizes, v.start)
-                order = rng.permutation(len(w))
                 tokens += len(w)
-                for k in range(0, len(order), batch):
-                    pick = order[k : k + batch]
-                    trainer.step(w1[pick], w2[pick], w[pick], rng)
+                steps = -(-len(w) // batch)
+                for k in range(steps):  # every batch has tokens of all these texts
+                    trainer.step(w1[k::steps], w2[k::steps], w[k::steps], rng)
             if tokens:
                 values = own.flat()
                 cuts = [values[k : k + PIECE].tobytes() for k in range(0, len(values), PIECE)]
@@ -341,7 +347,7 @@ def score_texts(scratch: Scratch, docs: DataFrame, counts: DataFrame, shared: Se
         names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "key", "times"]
         for part in text_slices(batches, 1):
             found, sizes = v.tokens(part.column(1).to_pylist())
-            n, ids, w = len(sizes), found["id"], found["token"].astype(np.int32)
+            n, ids, w = len(sizes), found["id"], found["token"].astype(np.int64)
             w1, w2 = _contexts(w, sizes, v.start)
             log_p = scorer.log_p(w1, w2, w).astype(np.float64) / math.log(10)
             in_head = ids >= 0
