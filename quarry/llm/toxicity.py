@@ -18,13 +18,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Scratch, Sent, packed, sum_slices, text_slices, unpacked
-from quarry.llm.units import Cache
 
 BLOCK, OTHER = 64, 0
 _POSTING = np.dtype([("at", "<i4"), ("v", "<f4")])
@@ -42,54 +41,53 @@ SMOOTH = 4.0
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’…"
 
 
-#: A word's terms are itself and its beginnings of these lengths, which end in a star.
+#: A word's terms are itself and its beginnings of these lengths.
 BEGINNINGS = (4, 6)
 
 
-def word_terms(word: str) -> list[str]:
-    word = word.strip(_STRIP)
-    return [word] + [f"{word[:n]}*" for n in BEGINNINGS if n < len(word)] if word else []
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words in lower case of all the texts, the number of each word in order, and the text of each; null is empty. Arrow's kernels do it all."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    of = pc.list_parent_indices(lists)
+    words = pc.list_flatten(lists)
+    some = pc.greater(pc.binary_length(words), 0)
+    words = words.filter(some).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), of.filter(some).to_numpy().astype(np.int64)
 
 
-def hashes(terms: list[str]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, terms)), ">u8").astype(np.uint64)
+def word_terms(words: pa.Array) -> list[pa.Array]:
+    """For each kind of term (the word itself, its beginnings) the term of each word; null where it is too short to have one."""
+    bare = pc.utf8_trim(words, characters=_STRIP)
+    size = pc.utf8_length(bare)
+    none = pa.scalar(None, bare.type)
+    return [pc.if_else(pc.greater(size, n), pc.utf8_slice_codeunits(bare, 0, n) if n else bare, none) for n in (0, *BEGINNINGS)]
+
+
+def distinct_terms(texts: pa.Array) -> list[pa.Array]:
+    return [pc.unique(pc.drop_null(x)) for x in word_terms(split_words(texts)[0])]
 
 
 class TermCounter:
-    """Numbers and counts of the known terms in texts; term 0 counts the words without any. Terms are sorted 64-bit hashes."""
-
-    def __init__(self, terms: np.ndarray, most_words: int = 250_000):
-        self.terms, self.words = terms, Cache(lambda w: b"", most_words)
-        self.beginnings = [Cache(lambda x: self.numbers([f"{x}*"])[0], most_words // 4) for _ in BEGINNINGS]
-
-    def numbers(self, terms: list[str]) -> list[bytes]:
-        """Packed number of each term; nothing for an unknown one."""
-        own = hashes(terms)
-        at = np.searchsorted(self.terms, own)
-        known = at < len(self.terms)
-        known[known] = self.terms[at[known]] == own[known]
-        raw = (at + 1).astype("<i4").tobytes()
-        return [raw[4 * k : 4 * k + 4] if yes else b"" for k, yes in enumerate(known.tolist())]
-
-    def _fill(self, words: set[str]) -> None:
-        """Puts the words that the cache lacks into it; the words themselves are found by one search."""
-        new = list(words.difference(self.words))
-        if len(self.words) + len(new) > self.words.most:
-            self.words.clear()
-            new = list(words)
-        if not new:
-            return
-        bare, other = [w.strip(_STRIP) for w in new], np.zeros(1, "<i4").tobytes()
-        found = self.numbers(bare)
-        for n, cache in zip(BEGINNINGS, self.beginnings, strict=True):
-            found = [own + cache[w[:n]] if len(w) > n else own for own, w in zip(found, bare, strict=True)]
-        self.words.update((w, own or other) for w, own in zip(new, found, strict=True))
-
-    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Term numbers, ascending, and their counts for each text."""
-        split = [(t or "").lower().split() for t in texts]
-        self._fill(set().union(*split))
-        return [np.unique(np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<i4"), return_counts=True) for ws in split]
+    """Numbers and counts of the known terms in texts; term 0 counts the words without any. terms: the known ones of each kind, numbered on from 1."""
+
+    def __init__(self, terms: list[pa.Array]):
+        self.terms, self.first = terms, np.cumsum([1, *map(len, terms)]).tolist()
+        self.width = self.first[-1]
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Term numbers, ascending within a text, their counts, and where each text's begin (and the last one's end)."""
+        words, at, of = split_words(texts)
+        found = [pc.fill_null(pc.index_in(x, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64) if len(known) else np.full(len(words), -1) for x, known in zip(word_terms(words), self.terms, strict=True)]
+        numbers = np.stack([np.where(x >= 0, x + first, -1) for x, first in zip(found, self.first, strict=False)], 1)
+        numbers[(numbers < 0).all(1), 0] = OTHER
+        keys = (of[:, None] * self.width + numbers[at])[numbers[at] >= 0]
+        keys, counts = np.unique(keys, return_counts=True)
+        text, ids = np.divmod(keys, self.width)
+        return ids, counts, np.searchsorted(text, np.arange(len(texts) + 1))
+
+    def counts(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        ids, counts, cut = self.flat(texts)
+        return [(ids[lo:hi], counts[lo:hi]) for lo, hi in zip(cut.tolist(), cut.tolist()[1:], strict=False)]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +111,9 @@ Counts = tuple[np.ndarray, np.ndarray]
 
 
 class NeighbourModel:
-    """terms (sorted hashes); idf (times any weight of their own) by term number; examples as (doc_id, label, weight, (terms, counts))."""
+    """terms (as of TermCounter); idf (times any weight of their own) by term number; examples as (doc_id, label, weight, (terms, counts))."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: list[tuple], k: int):
+    def __init__(self, terms: list[pa.Array], idf: np.ndarray, examples: list[tuple], k: int):
         self.terms, self.idf, self.k = terms, idf, k
         entries: dict[bytes, list] = {}
         for (doc_id, label, weight, _), (ids, v) in zip(examples, self.weights([e[3] for e in examples]), strict=True):
@@ -246,26 +244,21 @@ class NeighbourModel:
         falling = np.take_along_axis(bounds, order, 1)
         scores = np.full((m, self.n_blocks, BLOCK), -np.inf, np.float32)
         floor, row = np.full(m, -1.0), np.arange(m)[:, None]
-        done, take = 0, FIRST
-        while done < self.n_blocks:
-            live = falling[:, done : done + take] >= floor[:, None]  # blocks whose bound reaches the k-th best
-            text, rank = np.nonzero(live)
-            if not len(text):
-                break
+        for done, stop in ((0, FIRST), (FIRST, self.n_blocks)):
+            text, rank = np.nonzero(falling[:, done:stop] >= floor[:, None])  # blocks whose bound reaches the k-th best so far
             block = order[text, done + rank]
             by = np.argsort(block, kind="stable")
             text, block = text[by], block[by]
-            cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
-            for lo, hi in zip(cut, [*cut[1:], len(block)], strict=True):
+            cut = [*np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist(), len(block)] if len(block) else []
+            for lo, hi in zip(cut, cut[1:], strict=False):
                 b, some = int(block[lo]), text[lo:hi]
                 terms, weights = self.blocks[b]
                 own = common.take(terms, 0)
-                scores[some, b] = part[some, b] + (weights @ (own if 4 * len(some) > 3 * m else own.take(some, 1))).T[some if 4 * len(some) > 3 * m else slice(None)]
+                many = 4 * len(some) > 3 * m
+                scores[some, b] = part[some, b] + (weights @ (own if many else own.take(some, 1))).T[some if many else slice(None)]
             self.visited += len(text)
-            done, take = done + take, self.n_blocks
             scores.reshape(m, -1)[:, len(self.names) :] = -np.inf
-            seen = scores[row, order[:, :done]].reshape(m, -1)
-            if seen.shape[1] >= self.k:
+            if done == 0 and (seen := scores[row, order[:, :stop]].reshape(m, -1)).shape[1] >= self.k:
                 floor = np.maximum(np.partition(seen, -self.k, 1)[:, -self.k], -1.0) - 1e-5  # single precision errs by less
         self.met += m * self.n_blocks
         out = []
@@ -349,18 +342,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 0, ROWS):
-            words = set().union(*((t or "").lower().split() for t in b.column(0).to_pylist()))
-            found = np.unique(hashes([x for w in words for x in word_terms(w)]))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["term"])
+            for kind, found in enumerate(distinct_terms(b.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), kind, np.int32)), found], ["kind", "term"])
 
-    terms = np.sort(examples.select("text").mapInArrow(distinct, "term long").distinct().toArrow().column(0).to_numpy().view(np.uint64))
-    shared, width = Sent(spark, terms), len(terms) + 2
+    listed = examples.select("text").mapInArrow(distinct, "kind int, term string").distinct().orderBy("kind", "term").toArrow()
+    terms = [listed.filter(pc.equal(listed.column("kind"), k)).column("term").combine_chunks() for k in range(1 + len(BEGINNINGS))]
+    shared, width = Sent(spark, terms), sum(map(len, terms)) + 2
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, df = shared.open(TermCounter), np.zeros(width, np.int64)
         for b in text_slices(batches, 0, ROWS):
-            for ids, _ in counter.counts(b.column(0).to_pylist()):
-                df[ids] += 1
+            df[:-1] += np.bincount(counter.flat(b.column(0))[0], minlength=width - 1)
             df[-1] += b.num_rows
         part, slices = TaskContext.get().partitionId(), range(-(-width // SLICE))
         for x in slices:
@@ -375,7 +367,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         counter, found, counts = again.open(TermCounter), [], []
         for b in text_slices(batches, 2, ROWS):
             found += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            counts += [(ids.astype(np.int32), n.astype(np.int32)) for ids, n in counter.counts(b.column(2).to_pylist())]
+            counts += [(ids.astype(np.int32), n.astype(np.int32)) for ids, n in counter.counts(b.column(2))]
         own = counter.terms
         weight = idf.open().astype(np.float64)
         weight *= leaning([label for _, label in found], counts, len(weight))
@@ -386,7 +378,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     one = examples.select("doc_id", "label", "text").repartition(1).sortWithinPartitions("doc_id")  # a bounded number of rows
     pieces = sorted((r["place"], r["piece"]) for r in one.mapInArrow(build, "place int, piece binary").collect())
-    raw = b"".join(bytes(x) for _, x in pieces) or packed(NeighbourModel(terms, np.zeros(len(terms) + 1), [], k))
+    raw = b"".join(bytes(x) for _, x in pieces) or packed(NeighbourModel(terms, np.zeros(width - 1), [], k))
     shared.destroy()
     idf.destroy()
     scratch.drop("examples")
@@ -399,7 +391,7 @@ class _Scorer:
     def __init__(self, model: NeighbourModel):
         self.model, self.counter = model, TermCounter(model.terms)
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list]]:
+    def scores(self, texts: pa.Array) -> list[tuple[float, list]]:
         return self.model.scores(self.counter.counts(texts))
 
 
@@ -415,7 +407,7 @@ def score_toxicity(docs: DataFrame, model: Fitted, threshold: float = 0.3, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.open(_Scorer)
         for b in text_slices(batches, 1, ROWS):
-            found = scorer.scores(b.column(1).to_pylist())
+            found = scorer.scores(b.column(1))
             score = np.array([x[0] for x in found])
             evidence = [[{"doc_id": d, "label": v, "similarity": s} for d, v, s in x[1]] for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, kind)], ["doc_id", "score", "predicted", "evidence"])
@@ -430,7 +422,7 @@ def drop_toxic(docs: DataFrame, model: Fitted, threshold: float = 0.3, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.open(_Scorer)
         for b in text_slices(batches, place, ROWS):
-            yield b.filter(pa.array([x[0] < threshold for x in scorer.scores(b.column(place).to_pylist())], pa.bool_()))
+            yield b.filter(pa.array([x[0] < threshold for x in scorer.scores(b.column(place))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

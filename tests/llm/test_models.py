@@ -44,7 +44,7 @@ def test_nearest_is_exact(monkeypatch):
     counts = [dict(zip(rng.choice(40, rng.integers(1, 6), False).tolist(), rng.integers(1, 5, 6).tolist(), strict=False)) for _ in range(400)]
     monkeypatch.setattr(toxicity, "COMMON", 16)
     counts = [(np.array(sorted(c)), np.array([c[t] for t in sorted(c)])) for c in counts]
-    model = toxicity.NeighbourModel(np.arange(39, dtype=np.uint64), idf, [(k, k % 2, 1.0, c) for k, c in enumerate(counts)], 9)
+    model = toxicity.NeighbourModel([], idf, [(k, k % 2, 1.0, c) for k, c in enumerate(counts)], 9)
     stored = {}
     for t, (at, v) in model.postings.items():
         for a, x in zip(at, v, strict=True):
