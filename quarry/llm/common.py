@@ -124,16 +124,32 @@ class KeyFilter:
         bits = 1 << 18
         while bits < 16 * n_keys and bits < most_bits:
             bits *= 2
-        self.bits, self.own = bits, f"_filter_{uuid.uuid4().hex}"  # a name that no column of a user has
+        self._named(bits)
         place = self._place(_comparable(keys, key))
         self.maps = (
-            keys.where(F.col(key).isNotNull())
-            .select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-            .groupBy("bucket")
-            .agg(F.bitmap_construct_agg("bit").alias("map"))
-            .select(F.col("bucket").alias(f"{self.own}_bucket"), F.col("map").alias(f"{self.own}_map"))
+            keys.where(F.col(quoted(key)).isNotNull())
+            .select(F.bitmap_bucket_number(place).alias(f"{self.own}_bucket"), F.bitmap_bit_position(place).alias("bit"))
+            .groupBy(f"{self.own}_bucket")
+            .agg(F.bitmap_construct_agg("bit").alias(f"{self.own}_map"))
         )
 
+    def _named(self, bits: int) -> None:
+        self.bits, self.own = bits, f"_filter_{uuid.uuid4().hex}"  # a name that no column of a user has
+
+    def stored(self, write: Callable[[DataFrame], DataFrame]) -> KeyFilter:
+        """The same filter over its written bitmaps: write takes and returns (bucket, map)."""
+        kept, own = write(self.maps.toDF("bucket", "map")), object.__new__(KeyFilter)
+        own._named(self.bits)
+        own.maps = kept.toDF(f"{own.own}_bucket", f"{own.own}_map")
+        return own
+
+    @classmethod
+    def opened(cls, maps: DataFrame, bits: int) -> KeyFilter:
+        own = object.__new__(cls)
+        own._named(bits)
+        own.maps = maps.select("bucket", "map").toDF(f"{own.own}_bucket", f"{own.own}_map")
+        return own
+
     def _place(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.bits)) + F.lit(1)
 

@@ -1,23 +1,25 @@
 """Exact deduplication over a log-structured merge index of digests. DataFrame operations only.
 
-Rows are hashed once into a log. Slices of the log are memtables: each is reduced to one entry per digest
-(smallest identifier, number of rows) by map-side combining and flushed as a sorted run, with Parquet Bloom filters
-and min/max statistics on the digest. Compaction merges all runs of a level into one of the next and keeps the smallest
-identifier of each digest. A digest that was hit more than once is verified on the bytes: its texts' binary minimum and
-maximum must be the same string. Digests that fail are resolved by grouping on digest and text together.
-
-Skew: every grouping combines on the map side, so a text that a third of the rows share arrives as one row a task; the
-only join that sees all rows brings (digest, entry) to (id, digest) and may be split by adaptive skew handling.
+Rows are hashed once into a log. Slices of the log are memtables: each is reduced to one entry per digest (smallest identifier, number of
+rows) by map-side combining, and flushed as a run that is sorted and bucketed by digest, with a filter of its digests. A flush looks its
+digests up in the older runs: those that a run's filter lets pass are joined with the run, bucket by bucket. What repeats in a memtable or is found in an older run is
+a hit. When a level has `fan` runs, compaction merges them, bucket by bucket and without a shuffle, into one run of the next level and keeps
+the smallest identifier of each digest. Hits are verified on the bytes: the texts' binary minimum and maximum must be the same string.
+Digests that fail are resolved by grouping on digest and text together.
+
+Skew: every grouping combines on the map side, so a text that a third of the rows share arrives as one row a task. Rows without a hit stay where they are; the
+join of the others to their entry may be split by adaptive skew handling.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import KeyFilter, Scratch, ascii_lower
+from quarry.llm.common import KeyFilter, Scratch, ascii_lower, quoted
 
 
 def sha256(text: Column) -> Column:
@@ -25,27 +27,97 @@ def sha256(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Sorted runs of (digest, ident, copies) in levels below one folder."""
+    """Runs of (digest, ident, copies) in levels below one folder, which can be opened again by another session.
 
-    def __init__(self, scratch: Scratch, memtables: int = 4):
-        self.scratch, self.memtables, self.level = scratch, memtables, -1
-        self.entries: DataFrame | None = None
-
-    def _store(self, entries: DataFrame) -> DataFrame:
-        self.level += 1
-        self.entries = self.scratch.write(
-            entries.sortWithinPartitions("run", "digest"), f"level{self.level}", "run", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
-        )
-        return self.entries
-
-    def flush(self, log: DataFrame) -> DataFrame:
-        """Level 0: a sorted run for each memtable."""
-        run = F.pmod(F.xxhash64("ident"), F.lit(self.memtables)).cast("int").alias("run")
-        return self._store(log.groupBy(run, "digest").agg(F.min("ident").alias("ident"), F.count(F.lit(1)).alias("copies")))
+    A run is a Parquet table sorted and bucketed by digest; beside it is its filter. `buckets` is fixed when the index is made, and
+    bounds how much of a run one task merges or probes.
+    """
 
-    def compact(self) -> DataFrame:
-        """The next level: one run, one entry per digest, with the smallest identifier."""
-        return self._store(self.entries.groupBy("digest").agg(F.min("ident").alias("ident"), F.sum("copies").alias("copies")).withColumn("run", F.lit(0)))
+    SCHEMA = "digest BINARY, ident BIGINT, copies BIGINT"
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16, fan: int = 4):
+        self.spark, self.folder, self.buckets, self.fan = spark, folder, buckets, fan
+        self.runs: list[tuple[int, DataFrame, KeyFilter]] = []  # level, entries, filter; oldest first
+
+    @classmethod
+    def opened(cls, spark: SparkSession, folder: str) -> DigestIndex:
+        """The index that `save` described."""
+        head = spark.read.json(f"{folder}/head").first()
+        index = cls(spark, folder, head["buckets"], head["fan"])
+        for r in head["runs"] or []:
+            name = f"quarry_run_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {name} ({cls.SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {index.buckets} BUCKETS LOCATION '{folder}/{r['run']}'")
+            index.runs.append((r["level"], spark.table(name), KeyFilter.opened(spark.read.parquet(f"{folder}/{r['run']}-filter"), r["bits"])))
+            index._names[r["run"]] = len(index.runs) - 1
+        return index
+
+    @property
+    def _names(self) -> dict[str, int]:
+        return self.__dict__.setdefault("_run_names", {})
+
+    def save(self) -> None:
+        """Writes what `opened` reads; runs that compaction has merged are not part of it."""
+        rows = [(level, run, self.runs[k][2].bits) for run, k in sorted(self._names.items(), key=lambda x: x[1]) for level in [self.runs[k][0]]]
+        one = self.spark.createDataFrame([(self.buckets, self.fan, rows)], "buckets int, fan int, runs array<struct<level:int,run:string,bits:long>>")
+        one.write.mode("overwrite").json(f"{self.folder}/head")
+
+    def _store(self, entries: DataFrame, level: int) -> tuple[int, DataFrame, KeyFilter]:
+        run = f"run-{uuid.uuid4().hex}"
+        name = f"quarry_{run.replace('-', '_')}"
+        dealt = entries.repartition(self.buckets, "digest") if level == 0 else entries
+        dealt.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.folder}/{run}").saveAsTable(name)
+        table = self.spark.table(name)
+        made = KeyFilter(table.select("digest"), "digest", table.count()).stored(lambda maps: self._written(maps, f"{run}-filter"))
+        self._made = run
+        return level, table, made
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """The rows of digests (one column) that some run has: those that its filter lets pass, joined with the run."""
+        found = digests.where("false")
+        for _, table, known in self.runs:
+            found = found.unionByName(known.apply(digests, "digest").join(table.select("digest"), "digest", "left_semi"))
+        return found
+
+    def add(self, log: DataFrame) -> DataFrame:
+        """Flushes a memtable (rows ident, digest); the digests that were hit by it: repeated in it or found in an older run."""
+        entries = log.groupBy("digest").agg(F.min("ident").alias("ident"), F.count(F.lit(1)).alias("copies"))
+        level, table, known = self._store(entries, 0)
+        hits = table.where("copies > 1").select("digest").unionByName(self.lookup(table.select("digest")))
+        self.runs.append((level, table, known))
+        self._names[self._made] = len(self.runs) - 1
+        hits = self._written(hits.distinct(), f"hits-{uuid.uuid4().hex}")
+        while len(last := [r for r in self.runs if r[0] == self.runs[-1][0]]) >= self.fan:
+            self._merge(len(last))
+        return hits
+
+    def _merge(self, n: int) -> None:
+        """The last n runs as one of the next level."""
+        merged = None
+        for _, table, _ in self.runs[-n:]:
+            merged = table if merged is None else _joined(merged, table)
+        stored = self._store(merged, max(r[0] for r in self.runs[-n:]) + 1)
+        gone = range(len(self.runs) - n, len(self.runs))
+        self.__dict__["_run_names"] = {run: k for run, k in self._names.items() if k not in gone}
+        self.runs[-n:] = [stored]
+        self._names[self._made] = len(self.runs) - 1
+
+    def entries(self) -> DataFrame:
+        """One entry per digest, after merging all runs into one."""
+        if len(self.runs) > 1:
+            self._merge(len(self.runs))
+        return self.runs[0][1] if self.runs else self.spark.createDataFrame([], self.SCHEMA)
+
+
+def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs merged in order of their digests: the smaller identifier, the sum of the copies. Both are sorted and bucketed alike, so nothing is shuffled."""
+    other = b.select("digest", F.col("ident").alias("ident_b"), F.col("copies").alias("copies_b"))
+    both = a.hint("merge").join(other.hint("merge"), "digest", "full_outer")
+    zero = F.lit(0).cast("long")
+    return both.select("digest", F.least("ident", "ident_b").alias("ident"), (F.coalesce("copies", zero) + F.coalesce("copies_b", zero)).alias("copies"))
 
 
 def exact_duplicates(
@@ -56,6 +128,7 @@ def exact_duplicates(
     normalise: Callable[[Column], Column] = ascii_lower,
     digest: Callable[[Column], Column] = sha256,
     memtables: int = 4,
+    buckets: int = 16,
 ) -> DataFrame:
     """doc_id, keep_id, group_size, kept, digest: one row for each input row, those that are dropped included.
 
@@ -64,28 +137,29 @@ def exact_duplicates(
     Rows that repeat an id with the same text stay or go together. An empty table gives an empty result; other columns
     of the input, whatever their names, are not looked at. Nothing is read by prefix: a text is hashed and compared whole.
     """
-    scratch, sign = Scratch(docs.sparkSession, "exact"), -1 if keep == "largest" else 1
-    rows = docs.select((F.col(id_col).cast("long") * sign).alias("ident"), normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    log = scratch.write(rows.select("ident", digest(F.col("norm")).alias("digest")), "log")
-    index = DigestIndex(scratch, memtables)
-    index.flush(log)
-    entries = index.compact().drop("run")
-    hits = entries.where("copies > 1")
-    n_hits = hits.count()
-    clash = None
-    if n_hits:
-        hit_rows = KeyFilter(hits.select("digest"), "digest", n_hits).apply(rows.withColumn("digest", digest(F.col("norm"))), "digest")
-        clashes = hit_rows.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest")
-        clash = scratch.write(clashes, "clashes")
-        clash = None if clash.isEmpty() else clash
-    if clash is not None:
-        exact = scratch.write(rows.withColumn("digest", digest(F.col("norm"))).join(clash, "digest", "left_semi"), "clash_rows")
+    spark, scratch, sign = docs.sparkSession, Scratch(docs.sparkSession, "exact"), -1 if keep == "largest" else 1
+    rows = docs.select((F.col(quoted(id_col)).cast("long") * sign).alias("ident"), normalise(F.coalesce(F.col(quoted(text_col)), F.lit(""))).alias("norm"))
+    memtable = F.pmod(F.xxhash64("ident"), F.lit(memtables)).cast("int").alias("memtable")
+    log = scratch.write(rows.select("ident", digest(F.col("norm")).alias("digest"), memtable), "log", "memtable")
+    index, hits = DigestIndex(spark, f"{scratch.path}/index", buckets), None
+    for k in range(memtables):
+        found = index.add(log.where(F.col("memtable") == k).select("ident", "digest"))
+        hits = found if hits is None else hits.unionByName(found)
+    entries = index.entries().withColumnRenamed("ident", "first")
+    hit = scratch.write(entries.join(hits.distinct(), "digest", "left_semi"), "hit")
+    n_hits = hit.count()
+    known = KeyFilter(hit.select("digest"), "digest", n_hits)
+    hashed = rows.withColumn("digest", digest(F.col("norm")))
+    clashes = known.apply(hashed, "digest").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest")
+    clash = scratch.write(clashes, "clashes")
+    maybe, alone = known.split(log.select("ident", "digest"), "digest")
+    found = maybe.join(hit, "digest", "left").select("ident", "digest", F.when(F.col("copies").isNull(), F.col("ident")).otherwise(F.col("first")).alias("first"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+    found = found.unionByName(alone.select("ident", "digest", F.col("ident").alias("first"), F.lit(1).cast("long").alias("copies")))
+    if not clash.isEmpty():
+        exact = scratch.write(hashed.join(clash, "digest", "left_semi"), "clash_rows")
         by_text = exact.groupBy("digest", "norm").agg(F.min("ident").alias("first"), F.count(F.lit(1)).alias("copies"))
         split = exact.join(by_text, ["digest", "norm"]).select("ident", "digest", "first", "copies")
-        clean = log.join(clash, "digest", "left_anti").join(entries.withColumnRenamed("ident", "first"), "digest").select("ident", "digest", "first", "copies")
-        found = clean.unionByName(split)
-    else:
-        found = log.join(entries.withColumnRenamed("ident", "first"), "digest").select("ident", "digest", "first", "copies")
+        found = found.join(clash, "digest", "left_anti").unionByName(split)
     return found.select(
         (F.col("ident") * sign).alias("doc_id"),
         (F.col("first") * sign).alias("keep_id"),
@@ -95,20 +169,35 @@ def exact_duplicates(
     )
 
 
+def drop_known(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = ascii_lower) -> DataFrame:
+    """docs, with all its columns, without the rows whose text's digest the index has from earlier batches; then the batch itself is added to the index.
+
+    Texts of earlier batches aren't kept, so what they hit is by SHA-256 alone. Copies within the batch stay: see keep_one.
+    """
+    own = f"_digest_{uuid.uuid4().hex}"
+    scratch = Scratch(docs.sparkSession, "known")
+    hashed = docs.withColumn(own, sha256(normalise(F.coalesce(F.col(quoted(text_col)), F.lit("")))))
+    found = scratch.write(index.lookup(hashed.select(F.col(own).alias("digest")).distinct()).distinct().withColumnRenamed("digest", own), "found")
+    maybe, rest = KeyFilter(found, own, found.count()).split(hashed, own)
+    left = scratch.write(rest.unionByName(maybe.join(found, own, "left_anti")).drop(own), "left")
+    index.add(hashed.select(F.col(quoted(id_col)).cast("long").alias("ident"), F.col(own).alias("digest")))
+    return left
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """docs, with all its columns, without the rows whose text another row has that stays; of rows that repeat an id with one text, one stays."""
-    scratch = Scratch(docs.sparkSession, "keep-one")
-    found = exact_duplicates(docs, id_col, text_col, keep).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept")
+    scratch, mark = Scratch(docs.sparkSession, "keep-one"), uuid.uuid4().hex
+    ident, own, gone, gone_digest = (f"_{name}_{mark}" for name in ("ident", "digest", "gone", "gone_digest"))  # names that docs doesn't have
+    found = exact_duplicates(docs, id_col, text_col, keep).select(F.col("doc_id").alias(ident), F.col("digest").alias(own), "kept")
     found = scratch.write(found, "found")
-    dropped = found.where("not kept").select("_id", "_digest").distinct()
-    repeated = found.where("kept").groupBy("_id", "_digest").count().where("count > 1").select("_id")
-    touched = scratch.write(dropped.select("_id").union(repeated).distinct(), "touched")
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long"))
-    maybe, rest = KeyFilter(touched, "_id", touched.count()).split(keyed, "_id")
-    maybe = maybe.withColumn("_digest", sha256(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
-    gone = dropped.select(F.col("_id").alias("_gone"), F.col("_digest").alias("_gone_digest"))
-    left = maybe.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_gone_digest")), "left_anti")
-    return rest.select(*docs.columns).unionByName(left.dropDuplicates(["_id", "_digest"]).select(*docs.columns))
+    dropped = found.where("not kept").select(ident, own).distinct()
+    repeated = found.where("kept").groupBy(ident, own).count().where("count > 1").select(ident)
+    touched = scratch.write(dropped.select(ident).union(repeated).distinct(), "touched")
+    maybe, rest = KeyFilter(touched, ident, touched.count()).split(docs.withColumn(ident, F.col(quoted(id_col)).cast("long")), ident)
+    maybe = maybe.withColumn(own, sha256(ascii_lower(F.coalesce(F.col(quoted(text_col)), F.lit("")))))
+    out = dropped.select(F.col(ident).alias(gone), F.col(own).alias(gone_digest))
+    left = maybe.join(out, F.col(ident).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(gone_digest)), "left_anti")
+    return rest.drop(ident).unionByName(left.dropDuplicates([ident, own]).drop(ident, own))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

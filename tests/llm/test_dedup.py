@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Scratch, connected_components, without_rows
-from quarry.llm.exact_dedup import exact_duplicates, keep_one
+from quarry.llm.exact_dedup import DigestIndex, drop_known, exact_duplicates, keep_one, sha256
 from quarry.llm.jaccard_join import jaccard_components, keep_one_of_each
 from tests.llm.texts import SCHEMA, frame, rows
 
@@ -57,6 +57,66 @@ def test_keep_one(spark):
     assert Counter((r["doc_id"], (r["text"] or "").translate(LOWER)) for r in kept.collect()) == Counter((d, t) for t, d in best.items())
 
 
+CLASHING = "doc_id int, text string, _bucket string, _bit string, _null string, _may string, _map string, _id string, _digest string, digest string, bucket string, map string, kept string"
+
+
+@pytest.mark.parametrize("keep", [keep_one, keep_one_of_each])
+def test_stages_keep_int_ids_and_clashing_columns(spark, keep):
+    texts = ["one two three four five six seven"] * 2 + ["other words stand in this text here", "x"]
+    data = [(k + 1, t, *"abcdefghijk") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(data, CLASHING)
+    left = keep(docs)
+    assert left.schema == docs.schema
+    assert sorted(map(tuple, left.collect())) == [r for r in data if r[0] != (1 if keep is keep_one else 2)]
+    assert keep(docs.where("false")).count() == 0 and keep(docs.where("false")).columns == docs.columns
+
+
+def test_index_levels_and_lookup(spark):
+    """Runs are merged level by level, keep the smallest identifier, and answer through their filters; a stored index is opened again."""
+    index = DigestIndex(spark, Scratch(spark, "index").path, buckets=3, fan=2)
+    rnd, want, seen = random.Random(2), {}, Counter()
+    for batch in range(5):
+        rows_ = [(rnd.randint(0, 10**6), f"t{rnd.randint(0, 60)}") for _ in range(40)]
+        log = spark.createDataFrame(rows_, "ident long, text string").select("ident", sha256(F.col("text")).alias("digest"))
+        hits = {bytes(r["digest"]) for r in index.add(log).collect()}
+        own = Counter(t for _, t in rows_)
+        assert hits == {hashlib.sha256(t.encode()).digest() for t, n in own.items() if n > 1 or t in seen}
+        seen.update(own)
+        for k, t in rows_:
+            want[t] = min(k, want.get(t, k))
+    assert [level for level, _, _ in index.runs] == [2, 0]  # 4 runs of level 0 and one more
+    index.save()
+    again = DigestIndex.opened(spark, index.folder)
+    asked = spark.createDataFrame([("t1",), ("nowhere",), ("t2",)], "text string").select(sha256(F.col("text")).alias("digest"))
+    assert {bytes(r["digest"]) for r in again.lookup(asked).collect()} == {hashlib.sha256(t.encode()).digest() for t in ("t1", "t2") if t in want}
+    found = {bytes(r["digest"]): (r["ident"], r["copies"]) for r in again.entries().collect()}
+    assert found == {hashlib.sha256(t.encode()).digest(): (k, seen[t]) for t, k in want.items()}
+
+
+def test_a_merge_of_runs_shuffles_nothing(spark):
+    index = DigestIndex(spark, Scratch(spark, "index").path, buckets=4, fan=9)
+    for k in range(2):
+        index.add(spark.range(2000).select(F.col("id").alias("ident"), sha256((F.col("id") + k).cast("string")).alias("digest")))
+    from quarry.llm.exact_dedup import _joined
+
+    plan = _joined(index.runs[0][1], index.runs[1][1])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_second_batch_against_a_stored_index(spark):
+    index = DigestIndex(spark, Scratch(spark, "index").path)
+    first = spark.createDataFrame([(1, "A b"), (2, None), (3, "c")], "doc_id int, text string")
+    assert drop_known(first, index).count() == 3
+    index.save()
+    second = spark.createDataFrame([(4, "a B"), (5, ""), (6, "d"), (7, "C"), (8, "d")], "doc_id int, text string")
+    assert sorted(r["doc_id"] for r in drop_known(second, DigestIndex.opened(spark, index.folder)).collect()) == [6, 8]
+
+
+def test_exact_duplicates_runs_no_python(spark):
+    plan = exact_duplicates(frame(spark, rows()))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
 def test_without_rows(spark):
     gone = spark.createDataFrame([(1,), (4,)], "doc_id long")
     left = without_rows(frame(spark), gone, "doc_id")
