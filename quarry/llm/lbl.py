@@ -15,26 +15,24 @@ cut: they are summed at once); every other word's count comes by a join on its 6
 from __future__ import annotations
 
 import math
-import struct
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Scratch, Sent, mean_slices, text_slices
-from quarry.llm.units import Cache
 
 ENDINGS, HEAD, WIDTH, CLASSES = 64, 200_000, 24, 128
 #: The end's key: no word has a space.
 END_KEY = xxhash.xxh3_64_intdigest(b" ")
-_WORD, _PACK = np.dtype([("id", "<i4"), ("key", "<i8"), ("token", "<i4")]), struct.Struct("<iqi").pack
-_TOKEN_AT, _TOKEN_END = _WORD.fields["token"][1], _WORD.itemsize
+#: Texts whose words are told apart together.
+ROWS = 1024
 #: Parameters in one slice of the sums.
 PIECE = 16384
 
@@ -43,8 +41,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word.strip(b".,;:!?\"'()|#$%&*-")[-2:]) % ENDINGS
+def split_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of all the texts, A-Z lower-cased and cut at ASCII white space; the number of each word in order; the number of words of each text. Null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    of, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
+    some = pc.greater(pc.binary_length(words), 0)
+    words = words.filter(some).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy().astype(np.int64), np.bincount(of.filter(some).to_numpy(), minlength=len(texts))
+
+
+def word_keys(words: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words.cast(pa.binary()).to_pylist())), ">u8").astype(np.uint64).view(np.int64)
+
+
+def word_endings(words: pa.Array) -> np.ndarray:
+    """The group of each word: by the last two bytes that are not punctuation."""
+    last = pc.binary_slice(pc.ascii_trim(words, characters=".,;:!?\"'()|#$%&*-").cast(pa.binary()), -2, None).dictionary_encode()
+    groups = np.array([zlib.crc32(x) % ENDINGS for x in last.dictionary.to_pylist()], np.int64)
+    return groups[last.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
 
 
 class Vocabulary:
@@ -60,43 +74,43 @@ class Vocabulary:
         self._made()
 
     def _made(self) -> None:
-        self.place = dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
-        self.cache = Cache(self.packed, 300_000)
-        self.numbers = Cache(lambda word: self.packed(word)[_TOKEN_AT:_TOKEN_END], 300_000)
-
-    def packed(self, word: bytes) -> bytes:
-        """Place in the head, or -1 less the group; the key; the token number."""
-        key = _signed(xxhash.xxh3_64_intdigest(word))
-        at, group = self.place.get(key, -1), ending(word)
-        return _PACK(at if at >= 0 else -1 - group, key, at if 0 <= at < self.own else self.own + group)
-
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Records of all the texts' tokens, ends included, and the number of each text's."""
-        end = np.array([(len(self.head), 0, self.end)], _WORD).tobytes()
-        rows = [b"".join(map(self.cache.__getitem__, words_of(t))) + end for t in texts]
-        return np.frombuffer(b"".join(rows), _WORD), np.array([len(r) // _WORD.itemsize for r in rows], np.int64)
-
-    def token_numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers alone."""
-        end = np.array([self.end], "<i4").tobytes()
-        rows = [b"".join(map(self.numbers.__getitem__, words_of(t))) + end for t in texts]
-        return np.frombuffer(b"".join(rows), "<i4").astype(np.int64), np.array([len(r) // 4 for r in rows], np.int64)
+        self.order = np.argsort(self.keys)
+        self.sorted = self.keys[self.order]
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the head, or -1; key; token number of each word."""
+        keys = word_keys(words)
+        at = np.searchsorted(self.sorted, keys)
+        known = at < len(self.sorted)
+        known[known] = self.sorted[at[known]] == keys[known]
+        place = np.full(len(keys), -1)
+        place[known] = self.order[at[known]]
+        return place, keys, np.where((place >= 0) & (place < self.own), place, self.own + word_endings(words))
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the head (its length for the end, -1 for none), keys and numbers of all the texts' tokens, ends included, and the number of each text's."""
+        words, at, sizes = split_tokens(texts)
+        own = [np.append(x, end) for x, end in zip(self.words(words), (len(self.head), 0, self.end), strict=True)]
+        at = np.insert(at, np.cumsum(sizes), len(words))
+        return *(x[at] for x in own), sizes + 1
+
+    def token_numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers alone, and the number of each text's tokens."""
+        words, at, sizes = split_tokens(texts)
+        own = np.append(self.words(words)[2], self.end)
+        return own[np.insert(at, np.cumsum(sizes), len(words))], sizes + 1
 
     def unigram(self) -> np.ndarray:
         return np.concatenate([self.head[: self.own], self.mass[:, 0], [self.end_count]]).astype(np.float64) + 1
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": None, "numbers": None, "place": None}
+        return self.__dict__ | {"order": None, "sorted": None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._made()
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
 class LogBilinear:
     """unigram: counts by token number, of `own` modelled words, the groups and the end."""
 
@@ -146,30 +160,34 @@ class Trainer:
     def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> None:
         """One step on a batch; its noise is drawn once and shared by all its contexts."""
         m, n, k = self.model, len(w), self.noise
-        r1, r2 = m.R.take(w1, 0), m.R.take(w2, 0)
-        h = r1 @ m.C1 + r2 @ m.C2
+        (rows1, back1, sum1), (rows2, back2, sum2) = _distinct(w1), _distinct(w2)
+        r1, r2 = m.R[rows1], m.R[rows2]
+        h = np.ones((n, WIDTH + 1), np.float32)  # the last column sums the biases' gradients
+        np.add((r1 @ m.C1).take(back1, 0), (r2 @ m.C2).take(back2, 0), out=h[:, :WIDTH])
         parts = []
         for (q, b, cumulative, log_noise), of in zip(self.heads, (w, m.class_of.take(w)), strict=True):
             drawn = np.searchsorted(cumulative, rng.random(k)).clip(0, len(cumulative) - 1)
             parts.append((q, b, of, drawn, getattr(m, b) - log_noise))
-        false_q = np.concatenate([getattr(m, q)[drawn] for q, _, _, drawn, _ in parts])
-        false = (0.5 * h) @ false_q.T
-        false += 0.5 * np.concatenate([bias[drawn] for _, _, _, drawn, bias in parts])
+        false_q = np.concatenate([np.concatenate([getattr(m, q)[drawn], bias[drawn, None]], 1) for q, _, _, drawn, bias in parts])
+        false = h @ (0.5 * false_q).T
         np.tanh(false, out=false)
         false += 1
         false *= -0.5  # descent on the noise: less its probability to be data
-        dh, dq_noise, db_noise = false @ false_q, false.T @ h, false.sum(0)
+        dh, dq_noise = false @ false_q[:, :WIDTH], false.T @ h
         later = []
+        order = np.argsort(w.astype(np.uint16), kind="stable")  # 16 bits sort by radix; classes are in the order of words
         for at, (q, b, of, drawn, bias) in enumerate(parts):
             own = getattr(m, q).take(of, 0)
-            g = 0.5 - 0.5 * np.tanh(0.5 * (np.einsum("ij,ij->i", h, own) + bias.take(of)))  # ascent on the data
+            g = 0.5 - 0.5 * np.tanh(0.5 * (np.einsum("ij,ij->i", h[:, :WIDTH], own) + bias.take(of)))  # ascent on the data
             own *= g[:, None]
             dh += own
-            rows, dq, db = _by_token(of, h * g[:, None], g)
-            of_noise, dq_of, db_of = _merged(drawn, dq_noise[at * k : at * k + k], db_noise[at * k : at * k + k])
-            later += [(q, rows, dq), (b, rows, db), (q, of_noise, dq_of), (b, of_noise, db_of)]
-        rows, dr, _ = _by_token(np.concatenate([w1, w2]), np.concatenate([dh @ m.C1.T, dh @ m.C2.T]), None)
-        later += [("R", rows, dr), ("C1", slice(None), r1.T @ dh), ("C2", slice(None), r2.T @ dh)]
+            sorted_ = of.take(order)
+            cut = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+            dq = np.add.reduceat((h * g[:, None]).take(order, 0), cut, 0)
+            noise_rows, dq_of = _merged(drawn, dq_noise[at * k : at * k + k])
+            later += [(q, sorted_[cut], dq[:, :WIDTH]), (b, sorted_[cut], dq[:, WIDTH]), (q, noise_rows, dq_of[:, :WIDTH]), (b, noise_rows, dq_of[:, WIDTH])]
+        g1, g2 = sum1(dh), sum2(dh)
+        later += [("R", rows1, g1 @ m.C1.T), ("R", rows2, g2 @ m.C2.T), ("C1", slice(None), r1.T @ g1), ("C2", slice(None), r2.T @ g2)]
         for name, rows, grad in later:
             grad = grad * np.float32(1 / n)
             total = self.sums[name][rows] + grad * grad
@@ -177,21 +195,22 @@ class Trainer:
             getattr(m, name)[rows] += self.rate * grad / np.sqrt(total)
 
 
-def _by_token(at: np.ndarray, values: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Distinct tokens (below 2^16), the sums of their rows of values, and of more."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")  # 16 bits sort by radix
+def _distinct(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """Distinct tokens (below 2^16), the place of each token among them, and a function that sums rows by token."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
     own = at.take(order)
-    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    return own[cut], np.add.reduceat(values.take(order, 0), cut, 0), None if more is None else np.add.reduceat(more.take(order), cut)
+    new = np.append(True, own[1:] != own[:-1])
+    cut, back = np.flatnonzero(new), np.empty(len(at), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return own[cut], back, lambda values: np.add.reduceat(values.take(order, 0), cut, 0)
 
 
-def _merged(rows: np.ndarray, values: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and their sums, of a few that may repeat."""
     own, back = np.unique(rows, return_inverse=True)
-    sums, more_sums = np.zeros((len(own), values.shape[1]), np.float32), np.zeros(len(own), np.float32)
+    sums = np.zeros((len(own), values.shape[1]), np.float32)
     np.add.at(sums, back, values)
-    np.add.at(more_sums, back, more)
-    return own, sums, more_sums
+    return own, sums
 
 
 class Scorer:
@@ -247,29 +266,34 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     """key, ending, n of every token of the texts (one column, text), ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            ends, keys = [], []
-            for w in counts:
-                keys.append(_signed(xxhash.xxh3_64_intdigest(w)))
-                ends.append(ending(w) if w != b" " else -1)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ends, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["key", "ending", "n"])
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                counts.update(words_of(text))
-                counts[b" "] += 1
-                if len(counts) > 400_000:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+        held, ends = np.zeros((3, 0), np.int64), 0
+
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2])], ["key", "ending", "n"])
+
+        for b in text_slices(batches, 0, ROWS):
+            words, at, sizes = split_tokens(b.column(0))
+            ends += len(sizes)
+            held = np.concatenate([held, np.stack([word_keys(words), word_endings(words), np.bincount(at, minlength=len(words))])], 1)
+            if held.shape[1] > 1_000_000:
+                held = _summed(held)
+                if held.shape[1] > 500_000:
+                    yield out(held)
+                    held = held[:, :0]
+        if ends:
+            yield out(np.concatenate([_summed(held), [[_signed(END_KEY)], [-1], [ends]]], 1))
 
     rows = docs.mapInArrow(run, "key long, ending int, n long")
     return rows.groupBy("key").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows (key, ending, n) with one for each key."""
+    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    cut = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1])) if rows.shape[1] else np.zeros(0, np.int64)
+    return np.stack([rows[0, cut], rows[1, cut], np.add.reduceat(rows[2], cut)]) if len(cut) else rows
+
+
 def read_vocabulary(counts: DataFrame, head: int = HEAD, least: int = 1000, most_words: int = 32_768) -> Vocabulary:
     """At most `head` words' keys and counts, and the groups' totals, come to the driver."""
     total, distinct, end = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("ending") == -1, F.col("n"))), F.lit(0))).first()
@@ -303,8 +327,8 @@ def train_model(docs: DataFrame, vocabulary: Vocabulary, shared: Sent, rounds: i
             own = LogBilinear(v.unigram(), v.own)
             own.set_flat(begin.value)
             trainer, rng = own.trainer(), np.random.default_rng([seed, turn, part])
-            for b in text_slices(batches, 0):
-                w, sizes = v.token_numbers(b.column(0).to_pylist())
+            for b in text_slices(batches, 0, ROWS):
+                w, sizes = v.token_numbers(b.column(0))
                 w1, w2 = _contexts(w, sizes, v.start)
                 tokens += len(w)
                 steps = -(-len(w) // batch)
@@ -345,9 +369,9 @@ def score_texts(scratch: Scratch, docs: DataFrame, counts: DataFrame, shared: Se
         share[: v.own] = 0
         share[-1] = 0
         names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "key", "times"]
-        for part in text_slices(batches, 1):
-            found, sizes = v.tokens(part.column(1).to_pylist())
-            n, ids, w = len(sizes), found["id"], found["token"].astype(np.int64)
+        for part in text_slices(batches, 1, ROWS):
+            ids, all_keys, w, sizes = v.tokens(part.column(1))
+            n = len(sizes)
             w1, w2 = _contexts(w, sizes, v.start)
             log_p = scorer.log_p(w1, w2, w).astype(np.float64) / math.log(10)
             in_head = ids >= 0
@@ -363,7 +387,7 @@ def score_texts(scratch: Scratch, docs: DataFrame, counts: DataFrame, shared: Se
             )
             tail = np.flatnonzero(~in_head)
             if len(tail):
-                of, keys = np.repeat(own, sizes)[tail], found["key"][tail]
+                of, keys = np.repeat(own, sizes)[tail], all_keys[tail]
                 order = np.lexsort((keys, of))
                 of, keys = of[order], keys[order]
                 begin = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])))

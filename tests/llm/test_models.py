@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,10 +221,10 @@ def test_scores_are_the_sums_of_the_models_log_probabilities(spark):
             w1 = w2 = v.start
             total = 0.0
             for word in [*(t or "").split(), None]:
-                token = v.end if word is None else int(np.frombuffer(v.packed(word.encode()), lbl._WORD)["token"][0])
+                token = v.end if word is None else int(v.words(pa.array([word]))[2][0])
                 total += slow_log_p(m, w1, w2, token) / math.log(10)
                 if v.own <= token < v.end:
-                    group = [w for w in counts if int(np.frombuffer(v.packed(w.encode()), lbl._WORD)["token"][0]) == token]
+                    group = [w for w in counts if int(v.words(pa.array([w]))[2][0]) == token]
                     total += math.log10((counts[word] + 1) / (sum(counts[w] for w in group) + len(group) + 1))
                 w1, w2 = token, w1
             assert math.isclose(found[d], total, rel_tol=1e-4)
