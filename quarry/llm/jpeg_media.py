@@ -443,15 +443,23 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 FEATURES = "doc_id long, n_bytes long, width int, height int, n_images int, mean_hash string, gradient_hash string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, error string"
 
 
+def joined(thumbs: list[np.ndarray]) -> np.ndarray:
+    """All images' thumbnails one below the other; narrower ones are filled up with their last column."""
+    if len(thumbs) == 1:
+        return thumbs[0]
+    width = max(t.shape[1] for t in thumbs)
+    return np.concatenate([np.pad(t, ((0, 0), (0, width - t.shape[1])), "edge") for t in thumbs])
+
+
 def media_features(media: DataFrame, with_thumbnail: bool = False) -> DataFrame:
-    """Reads doc_id, n_bytes, media; returns dimensions (of the first image), hashes of its thumbnail, and what is read back.
+    """Reads doc_id, n_bytes, media; returns dimensions (of the first image), their number, hashes of all thumbnails, and what is read back.
 
     Null, empty or damaged media and JPEG that isn't baseline give null features and the reason in `error`; payload columns
     are null for images that hold no payload. With `with_thumbnail`, the first image's thumbnail is a binary column.
     """
 
     def row(raw: bytes, images: list[Image], thumbs: list[np.ndarray]) -> tuple:
-        mean, gradient = thumbnail_hashes(thumbs[0])
+        mean, gradient = thumbnail_hashes(joined(thumbs))
         payload = payload_of(images, thumbs)
         read = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         own = (images[0].width, images[0].height, len(images), mean, gradient, *read, len(raw), hashlib.sha256(raw).hexdigest(), None)
@@ -488,5 +496,5 @@ def op5_media(spark, sf_dir: str) -> DataFrame:
     from quarry.llm.common import documents
 
     found = media_features(text_media(documents(spark, sf_dir)))
-    feature = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit(":"), "mean_hash", F.lit(":"), "gradient_hash")
+    feature = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit("x"), F.col("n_images").cast("string"), F.lit(":"), "mean_hash", F.lit(":"), "gradient_hash")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

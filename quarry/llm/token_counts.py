@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm import bpe
+from quarry.llm.common import resident
 from quarry.llm.units import library_encoder
 
 RULES = ("first", "last", "majority")
@@ -62,8 +63,7 @@ def section_token_counts(
         raise ValueError(f"rule is one of {RULES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = library_encoder(tokenizer)
-        widths = np.array([len(s) for s in bpe.load(tokenizer).strings], np.int64)
+        enc, widths = resident(f"sections {tokenizer}", lambda: (library_encoder(tokenizer), np.array([len(s) for s in bpe.load(tokenizer).strings], np.int64)))
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -35,3 +35,17 @@ def test_stages(spark):
     assert set(seen["jaccard_join"]) == {c for _, c in components.values()}
     packed = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(seen["jaccard_join"])
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    """Every stage takes an empty table, int ids and columns with names that the operators use inside, and gives the same columns back."""
+    columns = "doc_id int, text string, lang string, source string, n_chars long, _id string, _map string, digest string"
+    folder = Scratch(spark, "pipeline-edge").path
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    data = [(k, f"plain words of text number {k} stand here", "en", "s", 30, "i", "m", "d") for k in range(6)]
+    for rows in ([], data):
+        docs = spark.createDataFrame(rows, columns)
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, folder)
+            assert out.schema == docs.schema and out.count() == len(rows)
+        assert corpus_pipeline.STAGES[4][1](spark, docs, folder).count() == len(rows)
