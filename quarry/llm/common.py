@@ -226,8 +226,8 @@ def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield key, pa.Table.from_batches(held)
 
 
-def sum_slices(df: DataFrame, dtype: str) -> dict[int, np.ndarray]:
-    """Sums, on the driver, the arrays of each slice in the rows (part int, slice int, counts binary of dtype).
+def sum_slices(df: DataFrame, dtype: str, compressed: bool = False) -> dict[int, np.ndarray]:
+    """Sums, on the driver, the arrays of each slice in the rows (part int, slice int, counts binary of dtype, by zlib if compressed).
 
     Rows are added as they stream by, first per slice and group of parts, then per slice, so no task holds more than
     two arrays. The caller bounds the number of slices and their length.
@@ -239,7 +239,7 @@ def sum_slices(df: DataFrame, dtype: str) -> dict[int, np.ndarray]:
 
             def out() -> pa.RecordBatch:
                 names = ["salt", "slice", "counts"]
-                return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names)
+                return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1) if compressed and n_keys == 2 else total.tobytes()], pa.binary())], names)
 
             for b in batches:
                 for salt, part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -247,7 +247,8 @@ def sum_slices(df: DataFrame, dtype: str) -> dict[int, np.ndarray]:
                         if key is not None:
                             yield out()
                         key, total = (salt, part), np.zeros(0, np.int64)
-                    counts = np.frombuffer(raw.as_buffer(), dtype if n_keys == 2 else "<i8")
+                    own = zlib.decompress(raw.as_buffer()) if compressed else raw.as_buffer()
+                    counts = np.frombuffer(own, dtype if n_keys == 2 else "<i8")
                     if len(counts) > len(total):
                         total = np.pad(total, (0, len(counts) - len(total)))
                     total[: len(counts)] += counts

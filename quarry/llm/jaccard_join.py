@@ -19,6 +19,7 @@ No step emits the pairs of a group, and no bucket or candidate list is capped.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,9 @@ from quarry.llm.common import KeyFilter, Scratch, connected_components, grouped,
 _K, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bits and words of the bitmaps that travel with a part.
 BITS = 512
-#: Parts have this many n-grams to twice as many.
-PART = 128
+#: Parts have this many n-grams to four times as many.
+PART = 64
+_EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 #: Sets below one leaf of a tree, and children of a node.
 FAN = 16
 SLICE = 1 << 14
@@ -232,22 +234,22 @@ def _sets(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
         if sketch.any():
             # counts of a task over 65535 are cut there; the order they give stays the same for all documents
             cuts = np.minimum(sketch, 65535).astype("<u2").reshape(-1, min(SLICE, len(sketch)))
-            yield _rows("sketch", part=np.full(len(cuts), part), slice=np.arange(len(cuts)), counts=[c.tobytes() for c in cuts])
+            yield _rows("sketch", part=np.full(len(cuts), part), slice=np.arange(len(cuts)), counts=[zlib.compress(c.tobytes(), 1) for c in cuts])
 
     return docs.mapInArrow(run, "doc_id long, n long, sid long, check long, entity long, bitmap binary, part int, slice int, counts binary, kind int")
 
 
 def size_classes(n: int, percent: int) -> list[int]:
     """The classes in which a set of n n-grams stands: its own, and the next if larger sets there may link to it."""
-    own = max(0, (n // PART).bit_length() - 1)
-    end = PART << (own + 1)
+    own = max(0, (n // PART).bit_length() - 1) // 2
+    end = PART << (2 * own + 2)
     return [own, own + 1] if 100 * n >= percent * end else [own]
 
 
 def set_parts(h: np.ndarray, sid: int, percent: int) -> Iterator[tuple[int, np.uint64, np.ndarray]]:
     """Entity number, a number for the class and part, and the hashes of each part in which the set is compared."""
     for c in size_classes(len(h), percent):
-        g = 1 << c
+        g = 1 << (2 * c)
         if g == 1:
             split = [h]
         else:
@@ -262,14 +264,14 @@ def set_parts(h: np.ndarray, sid: int, percent: int) -> Iterator[tuple[int, np.u
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, bits: int, levels, hot) -> DataFrame:
-    """Rows (key, salt, entity) of the parts' prefixes. salt is -1, or for keys that may be in many sets one of 64 numbers."""
+    """Rows (key, entity) of the parts' prefixes. An even key is an n-gram in a class and part; an odd one that of an n-gram that may be in many sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, is_hot, shift = levels.value, hot.value, np.uint64(64 - bits)
         seen: set[int] = set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
-                keys, salts, entities, counts = [], [], [], []
+                keys, entities, counts = [], [], []
                 for text in whole.column(1).slice(lo, 512).to_pylist():
                     h = shingles(text or "", words)
                     if len(h) < 3 or (sid := fingerprint(h)[0]) in seen:
@@ -279,22 +281,21 @@ def _prefixes(docs: DataFrame, words: int, percent: int, bits: int, levels, hot)
                         at = (own >> shift).astype(np.int64)
                         take = len(own) - -(-percent * len(own) // 100) + 1
                         first = np.argsort(level[at].astype(np.uint64) << np.uint64(58) | own >> np.uint64(6), kind="stable")[:take]
-                        keys.append(own[first] ^ seed)
-                        salts.append(np.where(is_hot[at[first]], entity & 63, -1).astype(np.int32))
+                        keys.append((own[first] ^ seed) & _EVEN | is_hot[at[first]].astype(np.uint64))
                         entities.append(entity)
                         counts.append(take)
                 if keys:
-                    columns = [np.concatenate(keys).view(np.int64), np.concatenate(salts), np.repeat(np.array(entities), counts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "salt", "entity"])
+                    columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(entities), counts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "entity"])
 
-    return docs.mapInArrow(run, "key long, salt int, entity long")
+    return docs.mapInArrow(run, "key long, entity long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows (hot, group, entity): of keys that several entities have.
 
     Keys with the same entities give one and the same group number, so that what is compared for one isn't compared again. Keys that
-    may be in many sets keep their own number and all their rows, and are dealt out by salt.
+    may be in many sets keep their own number and all their rows, and are dealt out by entity.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +316,11 @@ def _shared(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            key, salt, entity = (b.column(k).to_numpy() for k in range(3))
-            if (salt >= 0).any():
-                yield out(True, key[salt >= 0], entity[salt >= 0])
-            a = np.concatenate([held, np.stack([key, entity])[:, salt < 0]], 1)
+            key, entity = (b.column(k).to_numpy() for k in range(2))
+            hot = (key & 1).astype(bool)
+            if hot.any():
+                yield out(True, key[hot], entity[hot])
+            a = np.concatenate([held, np.stack([key, entity])[:, ~hot]], 1)
             if not a.shape[1]:
                 continue
             cut = int(np.searchsorted(a[0], a[0, -1], "left"))  # the last key may go on
@@ -328,7 +330,8 @@ def _shared(rows: DataFrame) -> DataFrame:
         if held.shape[1]:
             yield chosen(held)
 
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "entity").mapInArrow(run, "hot boolean, group long, entity long")
+    dealt = F.when(F.col("key").bitwiseAND(1) == 1, F.xxhash64("key", "entity")).otherwise(F.col("key"))  # a hot key's rows go to all tasks
+    return rows.repartition(dealt).sortWithinPartitions("key", "entity").mapInArrow(run, "hot boolean, group long, entity long")
 
 
 def _candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
@@ -420,25 +423,31 @@ def jaccard_components(
     bits = int(np.clip(np.ceil(np.log2(4 * max(docs.count(), 1))), 14, 24))
     all_rows = scratch.write(_sets(plain, words, percent, bits), "sets", "kind", compression="zstd")
     counts = np.zeros(1 << bits, np.int64)
-    for k, own in sum_slices(all_rows.where("kind = 2").select("part", "slice", "counts"), "<u2").items():
+    for k, own in sum_slices(all_rows.where("kind = 2").select("part", "slice", "counts"), "<u2", True).items():
         counts[k * SLICE : k * SLICE + len(own)] = own
     level = np.log2(counts + 1).astype(np.uint8)
     is_hot = counts > max(few, 4 * int(counts.mean()))
     levels, hot = context.broadcast(level), context.broadcast(is_hot)  # at most 2^24 bytes each
     rows = all_rows.where("kind = 0").select("doc_id", "n", "sid", "check")
-    parts = all_rows.where("kind = 1").select("entity", "sid", "n", "bitmap").dropDuplicates(["entity"])
+    parts = all_rows.where("kind = 1").select("entity", "sid", "n", "bitmap")
     names = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), (F.min("check") != F.max("check")).alias("clash"))
     names = scratch.write(names, "names")
     if not names.where("clash").isEmpty():
         raise ValueError("two different sets have one 64-bit name")
 
     shared = scratch.write(_shared(_prefixes(plain, words, percent, bits, levels, hot)), "shared", compression="zstd")
+    met = shared.agg(F.approx_count_distinct("entity")).first()[0]
+    parts = scratch.write(KeyFilter(shared.select("entity"), "entity", met).apply(parts, "entity").dropDuplicates(["entity"]), "parts", compression="zstd")
+    scratch.drop("sets/kind=1")
+    scratch.drop("sets/kind=2")
     groups = shared.where("not hot").select("group", "entity").distinct()
     edges = _candidate_edges(groups.join(parts, "entity").select("group", "sid", "n", "bitmap"), percent)
     common = shared.where("hot").select("group", "entity").join(parts.select("entity", "sid"), "entity").select("group", "sid")
     lowest = common.groupBy("group").agg(F.min("sid").alias("b"))
     edges = edges.union(common.join(lowest, "group").select(F.col("sid").alias("a"), "b").where("a <> b"))
     clusters = connected_components(scratch, edges, "candidates")
+    scratch.drop("shared")
+    scratch.drop("parts")
 
     members = clusters.join(names, F.col("node") == F.col("sid")).select("sid", F.col("root").alias("cluster"), "rep", names["n"])
     size = members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / block_shingles, F.count(F.lit(1)) / block_sets)).alias("blocks"))
