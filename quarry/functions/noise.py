@@ -1,53 +1,27 @@
-"""The noise predicate of draft entities. Its lists are configuration of one corpus; pass others for another."""
+"""The noise predicate of draft entities. Its lists are configuration."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@dataclass
+@dataclass(frozen=True)
 class NoiseRules:
-    """Slugs, patterns (on name or slug), brand prefixes and words that mark an entity as noise."""
-
-    slugs: list[str] = field(default_factory=lambda: [
-        "contact-form-7", "501-c-3", "gift-cards", "happy-hour", "sake", "sushi", "sashimi", "teppanyaki", "lifestyle-menu", "power-lunch", "power-lunch-menu",
-        "restaurant-week", "endless-holiday-menu", "dare-to-brunch", "magnum-mondays", "steak-night-america", "steak-night-milan", "las-vegas-steak-night", "denver-menu",
-    ])
-    patterns: list[str] = field(default_factory=lambda: [
-        "roll$", "soup$", "salad$", "bowl$", "bao$", "slider$", "burrito$", "meatloaf$", "salmon$", "steak$", "filet$", "lobster", "chicken$", "shrimp$", "gyoza$", "tempura",
-        "wagyu.*filet", "wagyu.*broil", "wagyu.*slider", "fried rice$", "ceviche$", "poke$", "wontons$", "katsu$", "teriyaki$", "ra-men$", "yakisoba$", "mochi$", "cr-me br-l-e$",
-        "hibachi.*chicken$", "hibachi.*shrimp$", "hibachi.*steak$", "hibachi.*supreme$", "hibachi.*chateaubriand$", "hibachi.*rice$", "hibachi.*filet", "hibachi.*burritos$",
-        "platter$", "punch bowl$",
-        "vodka$", "tequila$", "merlot$", "prosecco$", "pinot grigio$", "cabernet$", "sauvignon blanc$", "lager$", "ale$", "ipa$", "seltzer$", "ultra$", "martini$", "margarita$",
-        "lemonade$", "champagne$", "brut$", "sparkling$", "ros[eé]$", "plum wine$", "sake$", "nigori$", "ginjo$",
-    ])
-    prefixes: list[str] = field(default_factory=lambda: [
-        "absolut", "casamigos", "patron", "don-julio", "grey-goose", "reyka", "skyy", "corona", "sapporo", "asahi", "kirin", "stella-artois", "michelob", "high-noon", "hitachino",
-        "orion", "golden-road", "austin-beerworks", "athletic-golden", "hakutsuru", "hakkaisan", "heavensake", "kizakura", "amabuki", "kubota", "joto", "veuve-clicquot",
-        "laurent-perrier", "ferrari-brut", "ferrari-ros", "la-marca", "mionetto", "kim-crawford", "bonanza", "caposaldo", "santa-margherita", "woodbridge", "brush-creek",
-        "a-to-z-rose", "14-hands", "dom-perignon", "dom-p-rignon", "mo-t-chandon", "grand-marnier", "ancho-reyes", "monin", "maker", "poland-spring", "ramune",
-        "hana-flavored-sake", "kinsen-plum-wine", "mio-sparkling", "mio", "sho-chiku-bai", "shimizu-no-mai", "kawaba", "kyoto-matcha",
-    ])
-    slug_patterns: list[str] = field(default_factory=lambda: [
-        "^benihana-(fried-rice|ginger-sauce|garlic-sauce|yum-yum|onion-soup|mojito|plum|punch|sake|inspired)", "^kona-grill-(baltimore|huntsville|north-star|tampa)$",
-    ])
-    promotions: list[str] = field(default_factory=lambda: [
-        "ra-sushi-gift-cards", "benihana-gift-cards",
-        "be-the-chef", "taste-of-benihana", "taste-of-benihana-menu", "taste-of-kona", "kabuki-kids", "kabuki-kids-menu", "kabuki-sushi", "sushi-garden", "sushi-me",
-        "sushi-sake-101", "sushi-sake-201", "ocean-treasure", "rising-sun-platter", "tokyo-platter", "bounty-of-the-seven-seas", "wagyu-of-the-world", "fishbowl-cocktails",
-        "splash-n-meadow", "blue-ocean-punch-bowl", "blue-samurai-punch-bowl", "beni-tini", "tokyo-mule", "dirty-bull", "catch-me-if-you-can", "nectar-slider", "dojo-sushi",
-        "ra-ckin-for-nicky", "ra-ckin-roll", "salt-water-social", "26-steak-date", "3-6-9-happy-hour", "7-7-7-happy-hour", "samurai-restaurant", "hibachi-supreme",
-        "rooftop-by-stk", "vibe-dining", "stk-steakhouse-atlanta", "stk-steakhouse-niagara-fallsview",
-    ])
-    described: str = r"(menu item|cocktail|dish|appetizer|dessert|entrée|entree|beverage|drink|beer|wine|sake|spirit)"
-    real: list[str] = field(default_factory=lambda: ["organization", "person"])
-
-
-def is_noise(slug: Column, name: Column, type_: Column, description: Column, rules: NoiseRules | None = None) -> Column:
-    rules = rules or NoiseRules()
+    """Lists of one corpus: slugs and promotions (whole slugs), patterns (on name or slug), prefixes and patterns of slugs, a pattern of descriptions, and the types that it does not apply to."""
+
+    slugs: list[str]
+    patterns: list[str]
+    prefixes: list[str]
+    slug_patterns: list[str]
+    promotions: list[str]
+    described: str
+    real: list[str]
+
+
+def is_noise(slug: Column, name: Column, type_: Column, description: Column, rules: NoiseRules) -> Column:
     name, type_ = F.coalesce(name, F.lit("")), F.coalesce(type_, F.lit(""))
     either = "(?i)(?:" + "|".join(p.replace("$", r"\z") for p in rules.patterns) + ")"
     word = r"(?:^|[^A-Za-z0-9_])" + rules.described + r"(?:[^A-Za-z0-9_]|\z)"

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quarry.functions.text import let
+
 #: Scheme, authority, path, query, fragment.
 SHAPE = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#[\s\S]*)?\z"
 
@@ -60,8 +62,28 @@ def url_hash(url: Column) -> Column:
     return F.left(F.md5(url), F.lit(12))
 
 
+#: Parent segments that a path may have one after another.
+MOST_PARENTS = 16
+
+
+def without_dots(url: Column) -> Column:
+    """The URL with the dot segments of its path resolved, at most MOST_PARENTS parents deep; the query stays as it is."""
+    head, own = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*([\s\S]*)\z", 1)
+    site, where = F.regexp_extract(head, r"^([^/]*//[^/]*)", 1), F.regexp_extract(head, r"^[^/]*//[^/]*([\s\S]*)\z", 1)
+    for _ in range(2):  # segments that touch
+        where = F.regexp_replace(where, r"/\.(/|\z)", "/")
+    for _ in range(MOST_PARENTS):
+        where = F.regexp_replace(where, r"^((?:/[^/]+)*?)/(?!\.\.(?:/|\z))[^/]+/\.\.(?:/|\z)", "$1/")
+    where = F.regexp_replace(where, r"^(?:/\.\.(?=/|\z))+", "")
+    return F.when(F.instr(head, "/.") > 0, F.concat(site, F.when(where == "", F.lit("/")).otherwise(where), own)).otherwise(url)
+
+
 def resolved(href: Column, base: Column) -> Column:
-    """An absolute URL of a reference that is absolute, //host, /path, ?query or a plain relative path; others stay."""
+    """An absolute URL of a reference that is absolute, //host, /path, ?query or a relative path, with dot segments resolved."""
+    return let(_joined(href, base), without_dots)
+
+
+def _joined(href: Column, base: Column) -> Column:
     scheme, site = F.lower(part(base, 1)), F.concat(F.lower(part(base, 1)), F.lit("://"), authority(base))
     folder = F.regexp_extract(path(base), r"^([\s\S]*/)", 1)
     return (

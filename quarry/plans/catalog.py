@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import names, noise, render, text, urls
 from quarry.operators import corpus, crawl, drafts, extraction, mentions
+from quarry.plans.example_config import EXAMPLE
 from quarry.streaming import visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -609,7 +610,7 @@ def cross_batch_slugs(t: Tables) -> DataFrame:
 
 
 def _noise_sql(slug: str, name: str, type_: str, description: str) -> str:
-    r = noise.NoiseRules()
+    r = EXAMPLE
     either = "(?i)(?:" + "|".join(p.replace("$", "\\z") for p in r.patterns) + ")"
     word = r"(?:^|[^A-Za-z0-9_])" + r.described + r"(?:[^A-Za-z0-9_]|\z)"
     return (
@@ -626,7 +627,7 @@ _NOISY = "SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN {_qu
 @query(f"SELECT p_partkey FROM (SELECT *, {_SLUG('name')} AS slug FROM ({_NOISY})) WHERE {_noise_sql('slug', 'name', 'type', 'description')}")
 def noise_filter(t: Tables) -> DataFrame:
     rows = t.spark.sql(_NOISY.replace("FROM part", "FROM {part}"), part=t.part)
-    return rows.where(noise.is_noise(names.slug(C("name")), C("name"), C("type"), C("description"))).select("p_partkey")
+    return rows.where(noise.is_noise(names.slug(C("name")), C("name"), C("type"), C("description"), EXAMPLE)).select("p_partkey")
 
 
 _REFS = "SELECT l_orderkey, l_linenumber AS ord, 'e' || (l_partkey % 3) AS slug, l_returnflag AS role, l_partkey FROM lineitem"

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 import quarry
 from quarry.functions import names, noise, render, text, urls
 from quarry.operators import corpus, crawl, drafts, extraction, ingest, mentions, monitor
+from quarry.plans import example_config, views
 from quarry.plans import record_views as made
-from quarry.plans import views
 from quarry.plans.catalog import _CHECKS, _DAILY, _DRAFT, _HOST, _MOVES, _PATH, _RANK, _VISITS, S, Tables, _checks, _daily, _drafts, _quoted, _visits, norm_sql, query
 from quarry.sources import connectors, records
 from quarry.sources.shared import new_folder
@@ -446,6 +446,21 @@ def page_json_ld(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.json_ld(F.concat(own, "html")).alias("json_ld"))
 
 
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://e.org/a/x' WHEN 1 THEN 'http://e.org/a/b/y' WHEN 2 THEN 'http://e.org/z' WHEN 3 THEN 'http://e.org/up' WHEN 4 THEN 'http://e.org/a/b/?q=../1' ELSE 'http://e.org/a/b/d.e/..f' END AS link FROM pages""")
+def link_resolution(t: Tables) -> DataFrame:
+    """References with dot segments from http://e.org/a/b/c, by hand."""
+    href = F.element_at(F.array(*map(F.lit, ["../x", "./y", "../../../z", "/q/./../up", "?q=../1", "d.e/..f"])), (C("page_id") % 6 + 1).cast("int"))
+    base = F.when(C("page_id") % 6 == 4, F.lit("http://e.org/a/b/")).otherwise(F.lit("http://e.org/a/b/c"))
+    return t.pages.select("page_id", urls.resolved(href, base).alias("link"))
+
+
+@query("SELECT conv_id, turn, 'Name ' || conv_id || '=https://a.org/' || turn || ';https://b.net/=https://b.net/' AS links FROM conversations")
+def answer_links(t: Tables) -> DataFrame:
+    """Links of an answer's HTML: titled by their text, or by their URL; unwanted hosts and other schemes are left out."""
+    html = F.concat(F.lit('<p><a class="x" href="https://a.org/'), C("turn").cast("string"), F.lit('">Name '), C("conv_id").cast("string"), F.lit("</a> <a href='https://b.net/'> </a> <a href='https://www.perplexity.ai/x'>no</a> <a href='mailto:x'>no</a>"))
+    return t.conversations.select("conv_id", "turn", F.array_join(F.transform(mentions.html_links(html), lambda s: F.concat(s["title"], F.lit("="), s["url"])), ";").alias("links"))
+
+
 @query("SELECT page_id, 'https://example.com/a/c' || page_id || '?a=2&b=1' AS full_form FROM pages")
 def url_full_form(t: Tables) -> DataFrame:
     quarry.ship(t.spark)
@@ -616,6 +631,16 @@ def dedup_sink(t: Tables) -> DataFrame:
     return counts.union(kept)
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'the-one-group-hospitality' WHEN 1 THEN 'stk-steakhouse' WHEN 2 THEN 'dom-perignon' WHEN 3 THEN 'benihana' ELSE 'plain' END AS slug,
+ CASE p_partkey % 5 WHEN 0 THEN 'togrp.com' WHEN 1 THEN 'stksteakhouse.com' WHEN 3 THEN 'benihana.com' END AS home FROM part""")
+def config_maps(t: Tables) -> DataFrame:
+    """The example's merge map moves a slug one hop, and its home map names the batch that is preferred."""
+    slug = F.element_at(F.array(*map(F.lit, ["tog", "stk", "dom-p-rignon", "benihana", "plain"])), (C("p_partkey") % 5 + 1).cast("int"))
+    moves = t.spark.createDataFrame(example_config.MERGES, "variant string, canonical string")
+    homes = t.spark.createDataFrame(example_config.HOMES, "slug string, home string")
+    return drafts.remap(t.part.select("p_partkey", slug.alias("slug")), F.broadcast(moves), "slug").join(F.broadcast(homes), "slug", "left").select("p_partkey", "slug", "home")
+
+
 _NOISE_DISHES = ["Tuna Roll", "Plain name", "Gift Cards", "Kona Grill Tampa"]
 
 
@@ -623,7 +648,7 @@ _NOISE_DISHES = ["Tuna Roll", "Plain name", "Gift Cards", "Kona Grill Tampa"]
 def noise_by_hand(t: Tables) -> DataFrame:
     """Names whose verdict was read off the rules, not computed with them."""
     name = F.element_at(F.array(*map(F.lit, _NOISE_DISHES)), (C("p_partkey") % 4 + 1).cast("int"))
-    return t.part.select("p_partkey", noise.is_noise(names.slug(name), name, F.lit("organization"), F.lit("about it")).alias("noisy"))
+    return t.part.select("p_partkey", noise.is_noise(names.slug(name), name, F.lit("organization"), F.lit("about it"), example_config.EXAMPLE).alias("noisy"))
 
 
 @record_query("SELECT id, CASE WHEN NOT EXISTS (SELECT 1 FROM corpus_lines WHERE l_orderkey = k) THEN 'citations' ELSE '' END AS errors FROM claim")
