@@ -232,8 +232,7 @@ def _sets(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
                     entity, sid, n, maps = zip(*parts, strict=True)
                     yield _rows("part", entity=entity, sid=sid, n=n, bitmap=maps)
         if sketch.any():
-            # counts of a task over 65535 are cut there; the order they give stays the same for all documents
-            cuts = np.minimum(sketch, 65535).astype("<u2").reshape(-1, min(SLICE, len(sketch)))
+            cuts = sketch.astype("<u4").reshape(-1, min(SLICE, len(sketch)))
             yield _rows("sketch", part=np.full(len(cuts), part), slice=np.arange(len(cuts)), counts=[zlib.compress(c.tobytes(), 1) for c in cuts])
 
     return docs.mapInArrow(run, "doc_id long, n long, sid long, check long, entity long, bitmap binary, part int, slice int, counts binary, kind int")
@@ -423,7 +422,7 @@ def jaccard_components(
     bits = int(np.clip(np.ceil(np.log2(4 * max(docs.count(), 1))), 14, 24))
     all_rows = scratch.write(_sets(plain, words, percent, bits), "sets", "kind", compression="zstd")
     counts = np.zeros(1 << bits, np.int64)
-    for k, own in sum_slices(all_rows.where("kind = 2").select("part", "slice", "counts"), "<u2", True).items():
+    for k, own in sum_slices(all_rows.where("kind = 2").select("part", "slice", "counts"), "<u4", True).items():
         counts[k * SLICE : k * SLICE + len(own)] = own
     level = np.log2(counts + 1).astype(np.uint8)
     is_hot = counts > max(few, 4 * int(counts.mean()))
