@@ -167,20 +167,34 @@ def view_cross_references(t: Tables) -> DataFrame:
 _NATION = "SELECT 'nation-' || n_nationkey AS slug, n_name AS name, 'region ' || n_regionkey AS description, n_nationkey % 4 = 3 AS torn FROM nation"
 
 
-def _nation_files(t: Tables) -> str:
-    """Nations as topic files, every fourth of them torn."""
+def _nation_files(t: Tables, torn: bool = True, place: str = "topics", batches: int = 0) -> str:
+    """Nations as topic files, every fourth of them torn; with batches, dealt out to folders batch-k."""
     folder, key = new_folder(t.spark, "records"), C("n_nationkey")
     whole = F.to_json(F.struct(made.named("nation-", key).alias("slug"), C("n_name").alias("name"), F.lit("x").alias("unheard"), made.named("region ", C("n_regionkey")).alias("description")))
-    rows = t.nation.select(made.named("nation-", key).alias("slug"), F.when(key % 4 == 3, F.left(whole, F.lit(20))).otherwise(whole).alias("value"))
+    cut = F.when((key % 4 == 3) & F.lit(torn), F.left(whole, F.lit(20))).otherwise(whole)
+    rows = t.nation.select(made.named("nation-", key).alias("slug"), cut.alias("value"), (key % max(batches, 1)).alias("batch"))
     path = t.spark._jvm.org.apache.hadoop.fs.Path
-    at = path(f"{folder}/topics").getFileSystem(t.spark._jsc.hadoopConfiguration())
+    system = path(folder).getFileSystem(t.spark._jsc.hadoopConfiguration())
     for r in rows.collect():  # 25 files
-        out = at.create(path(f"{folder}/topics/{r['slug']}.json"))
+        out = system.create(path(f"{folder}/{f'batch-{r['batch']}/' if batches else ''}{place}/{r['slug']}.json"))
         out.write(bytearray(r["value"].encode()))
         out.close()
     return folder
 
 
+@query(f"SELECT slug, name, description FROM ({_NATION})")
+def scan_failing_fast(t: Tables) -> DataFrame:
+    """All files of a folder without torn ones; a folder that isn't there has no rows."""
+    folder = _nation_files(t, torn=False)
+    return records.scan(t.spark, folder, "topics").unionByName(records.scan(t.spark, new_folder(t.spark, "none"), "topics"))
+
+
+@query(f"SELECT 'batch-' || (n_nationkey % 3) AS batch, slug AS file_slug, CASE WHEN NOT torn THEN name END AS name, CASE WHEN torn THEN 'Could not parse ' || slug END AS warning FROM ({_NATION}) JOIN nation ON slug = 'nation-' || n_nationkey")
+def draft_inventory(t: Tables) -> DataFrame:
+    found = records.draft_inventory(t.spark, _nation_files(t, place="entities", batches=3))
+    return found.select("batch", "file_slug", C("entity.name").alias("name"), "warning")
+
+
 @query(f"SELECT slug, name, description FROM ({_NATION}) WHERE NOT torn")
 def scan_dropping(t: Tables) -> DataFrame:
     return records.scan(t.spark, _nation_files(t), "topics", "DROPMALFORMED")
@@ -780,6 +794,29 @@ def visit_list_range(t: Tables) -> DataFrame:
     return visits.decoded(visits.list_range(listed, [F.desc("ts"), F.desc("event_id")], 5, 14), "event_id long, crawler string")
 
 
+@query(f"""SELECT 'list' AS kind, event_id::VARCHAR AS item FROM (SELECT * FROM ({_VISITS}) WHERE crawler IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 3)
+ UNION ALL SELECT 'hash', crawler || '=' || count(*) FROM ({_VISITS}) WHERE crawler IS NOT NULL GROUP BY crawler
+ UNION ALL SELECT 'sorted set', day FROM (SELECT DISTINCT day FROM ({_CHECKS}) ORDER BY day DESC LIMIT 4 OFFSET 2) UNION ALL SELECT 'value', day || '=' || total_checks FROM ({_DAILY}) WHERE day = '2024-01-05'""")
+def store_reads(t: Tables) -> DataFrame:
+    """The reads of the visit store: a list's head, a hash, a range of a sorted set from its end, and a value by its key (and one that isn't there)."""
+    row = lambda df, kind, item: df.select(F.lit(kind).alias("kind"), item.alias("item"))
+    seen, days = _visits(t), _daily(t).select("day", "total_checks")
+    out = row(visits.list_range(seen, [F.desc("ts"), F.desc("event_id")], 0, 2), "list", C("event_id").cast("string"))
+    out = out.union(row(visits.counts(seen), "hash", F.concat(C("crawler"), F.lit("="), C("visits").cast("string"))))
+    out = out.union(row(visits.score_range(days, F.to_timestamp("day"), 2, 5, reverse=True), "sorted set", C("day")))
+    for day in ("2024-01-05", "1999-01-01"):
+        out = out.union(row(visits.value_of(days, "day", day), "value", F.concat(C("day"), F.lit("="), C("total_checks").cast("string"))))
+    return out
+
+
+@query("SELECT * FROM (VALUES ('given', 7, 3, 1000, true), ('plain', 50, 3, 1000, true), ('rude', 50, 0, 250, false)) v(name, max_pages, max_depth, delay_ms, respect_robots)")
+def config_defaults(t: Tables) -> DataFrame:
+    """Values that aren't given, or are given as none, are the usual ones."""
+    made_ = {"given": crawl.CrawlConfig.of("s", max_pages=7, max_depth=None), "plain": crawl.CrawlConfig.of("s"), "rude": crawl.CrawlConfig.of("s", max_depth=0, delay_ms=250, respect_robots=False)}
+    rows = [(k, c.max_pages, c.max_depth, c.delay_ms, c.respect_robots) for k, c in made_.items()]
+    return t.spark.createDataFrame(rows, "name string, max_pages int, max_depth int, delay_ms int, respect_robots boolean")
+
+
 @query("SELECT event_id, strftime(CASE WHEN ts <= m THEN m ELSE m + INTERVAL 7 DAY END, '%Y-%m-%d %H:%M') AS next_run FROM (SELECT event_id, ts, date_trunc('day', ts) + ((8 - dayofweek(ts)) % 7)::INT * INTERVAL 1 DAY + INTERVAL 9 HOUR AS m FROM events)")
 def weekly_schedule(t: Tables) -> DataFrame:
     """Mondays at nine, UTC; a run starts a streaming query that takes what has arrived and ends."""

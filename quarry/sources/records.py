@@ -83,11 +83,13 @@ def point(df: DataFrame, table: str, key: str) -> DataFrame:
 
 
 def draft_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Draft entities of all batches (folder/<batch>/entities/*.json): batch, slug (the file's name) and the record."""
-    schema = f"{SCHEMAS['entities']}, {DRAFT}"
-    found = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{folder}/[!.]*/entities/*.json")
-    path = F.split(F.col("_metadata.file_path"), "/")
-    return found.select(F.element_at(path, -3).alias("batch"), F.regexp_replace(F.element_at(path, -1), r"\.json\z", "").alias("file_slug"), F.struct(*found.columns).alias("entity"))
+    """Draft entities of all batches (folder/<batch>/entities/*.json): batch, slug (the file's name), the record, and a warning instead of a record for a file that doesn't parse."""
+    schema = f"{SCHEMAS['entities']}, {DRAFT}, _corrupt_record STRING"
+    found = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{folder}/[!.]*/entities/*.json")
+    path, torn = F.split(F.col("_metadata.file_path"), "/"), F.col("_corrupt_record").isNotNull()
+    entity = F.struct(*[c for c in found.columns if c != "_corrupt_record"])
+    slug = F.regexp_replace(F.element_at(path, -1), r"\.json\z", "")
+    return found.select(F.element_at(path, -3).alias("batch"), slug.alias("file_slug"), F.when(~torn, entity).alias("entity"), F.when(torn, F.concat(F.lit("Could not parse "), slug)).alias("warning"))
 
 
 def draft_batches(spark: SparkSession, folder: str) -> DataFrame:

@@ -118,6 +118,16 @@ def list_range(rows: DataFrame, newest: list[Column], first: int, last: int) ->
     return rows.orderBy(*newest).limit(last + 1).offset(first)
 
 
+def score_range(index: DataFrame, score: Column, first: int, last: int, reverse: bool = False) -> DataFrame:
+    """Members first to last (counted from 0, both included) of a set that is sorted by score; the highest first if reverse."""
+    return index.orderBy(score.desc() if reverse else score.asc()).limit(last + 1).offset(first)
+
+
+def value_of(table: DataFrame, column: str, key) -> DataFrame:
+    """The row of a key; no row for an unknown one."""
+    return table.where(F.col(column) == key).limit(1)
+
+
 def decoded(rows: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """A list's JSON values as columns; a value that doesn't parse has nulls."""
     return rows.select(F.from_json(column, schema).alias("v")).select("v.*")
