@@ -88,6 +88,13 @@ def test_toxicity_finds_a_copy_whose_words_are_in_one_example_only(spark):
         assert r["evidence"][0]["doc_id"] % 100 == r["doc_id"] % 100 and math.isclose(r["evidence"][0]["similarity"], 1, rel_tol=2e-6)
 
 
+def test_rows_that_repeat_an_id_are_one_example(spark):
+    docs = spark.createDataFrame([(1, "b words here"), (1, "a words here"), (2, "other text stands"), (None, "c")], "doc_id int, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels).open()
+    assert sorted(model.names) == [(1, 1), (2, 0)]
+
+
 def test_toxicity_without_examples_and_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(frame(spark), none)
@@ -151,6 +158,23 @@ def test_language_learns_from_the_whole_text(spark, monkeypatch):
     assert {w for s, _ in seen for w in s} == set(words) and {len(s) for s, _ in seen} == {language_crf.SEGMENT}
 
 
+def test_rows_that_repeat_an_id_teach_their_own_language(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_crf.LanguageCrf, "fit", lambda self, sequences, epochs, seed: seen.extend((self.languages[ls[0]], ws[0]) for ws, ls in sequences if len(set(ls)) == 1))
+    data = [(5, "house " * 40, "en", *[None] * 4, 1), (5, "maison " * 40, "fr", *[None] * 4, 1), (5, "zebra " * 40, "en", *[None] * 4, 1), (None, "nobody " * 40, "en", *[None] * 4, 1)]
+    language_crf.fit_language_crf(frame(spark, data))
+    assert set(seen) == {("en", "house"), ("fr", "maison")}  # of two English rows of one id the smaller text
+
+
+def test_languages_are_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_crf.LanguageCrf, "fit", lambda self, sequences, epochs, seed: seen.extend(ws[0] for ws, ls in sequences if len(set(ws)) == 1))
+    names = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(3000)]
+    docs = spark.createDataFrame([(k, f"{w} " * language_crf.SEGMENT, "en" if k % 3 else "de") for k, w in enumerate(names)], "doc_id int, text string, lang string")
+    language_crf.fit_language_crf(docs, rows_per_language=20)
+    assert len(seen) == len(set(seen)) == 40
+
+
 def test_a_text_of_three_languages_is_kept(spark):
     model = language_crf.fit_language_crf(frame(spark, language_rows()))
     docs = frame(spark, [(1, " ".join(WORDS[x] for x in ("en", "de", "fr")), *[None] * 5, 1)])
