@@ -15,9 +15,9 @@ def claim(k, status, entities, topics, sources, updated, versions=1):
 def corpus(spark):
     make = lambda rows, table: spark.createDataFrame(rows, SCHEMAS[table])
     claims = [
-        claim(1, "disputed", ["a", "b"], ["t"], ["src_00000001"], "2026-01-01T00:00:00.000Z", 3),
-        claim(2, "asserted", ["a", "a"], [], ["src_00000001", "src_00000009"], "2026-01-02T00:00:00.000Z"),
-        claim(3, "asserted", ["nobody"], ["t", "u"], ["src_00000002"], "2026-01-02T00:00:00.000Z", 2),
+        claim(1, "disputed", ["a", "b"], ["t"], ["src_00000001"], "2026-01-01", 3),
+        claim(2, "asserted", ["a", "a"], [], ["src_00000001", "src_00000009"], "2026-01-02"),
+        claim(3, "asserted", ["nobody"], ["t", "u"], ["src_00000002"], "2026-01-02", 2),
     ]
     entities = [("a", "Beta", "organization", "d", None, None, None), ("b", "alpha", "person", "d", None, "a", None), ("c", "Gamma", "place", "d", None, "gone", None)]
     sources = [(f"src_0000000{k}", f"S{k}", "P", f"https://e.org/{k}", f"2026-01-0{k}", "webpage", None, None, None if k == 1 else "ex", None, None) for k in (1, 2)]
