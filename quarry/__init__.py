@@ -7,8 +7,13 @@ import tempfile
 import zipfile
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark) -> None:
-    """Makes this package importable in the Python workers of the session's executors; once per session."""
+    """Makes this package importable in the Python workers of the session's executors, once per session, and bounds Arrow batches where the session doesn't."""
+    if spark.conf.get(ARROW_ROWS) == "10000":  # the default, for which a batch of long texts takes hundreds of MB on each side
+        spark.conf.set(ARROW_ROWS, "1024")
     context = spark.sparkContext
     if getattr(context, "_quarry_shipped", False):
         return
