@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import uuid
 import zlib
@@ -55,6 +57,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that one operator's peak isn't kept under the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 _open: dict[str, Any] = {}
 
 
@@ -62,6 +74,7 @@ def resident(key: str, make: Callable[[], Any]) -> Any:
     """make(), kept in this worker until another key is asked for: what one operator holds doesn't add up with the next one's."""
     if _open.get("key") != key:
         _open.clear()
+        trim()
         _open["thing"] = make()
         _open["key"] = key
     return _open["thing"]

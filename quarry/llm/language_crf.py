@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Sent, text_slices
+from quarry.llm.common import Sent, text_slices, trim
 from quarry.llm.units import Cache
 
 BUCKETS = 1 << 15
@@ -207,6 +207,9 @@ def fit_language_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         cut = int(rng.integers(4, SEGMENT - 4))
         halves.append((a[:cut] + b[cut:], la[:cut] + lb[cut:]))
     model.fit(sequences + halves, epochs, seed)
+    model.grams = Grams()
+    del rows, words, sequences, halves, counts
+    trim()
     return model
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, Sent, packed, sum_slices, text_slices, unpacked
+from quarry.llm.common import Scratch, Sent, packed, sum_slices, text_slices, trim, unpacked
 
 BLOCK, OTHER = 64, 0
 _POSTING = np.dtype([("at", "<i4"), ("v", "<f4")])
@@ -32,6 +32,8 @@ _POSTING = np.dtype([("at", "<i4"), ("v", "<f4")])
 COMMON, PIVOTAL = 4096, 1024
 #: Texts that visit the index together, and texts that are split into words at once.
 BATCH, ROWS = 256, 1024
+#: Texts whose rare terms are summed at once.
+RARE = 64
 #: Blocks of highest bound that a text visits before its other blocks are pruned.
 FIRST = 4
 #: Terms in one slice of the document frequencies; bytes in one piece of a packed model.
@@ -231,14 +233,7 @@ class NeighbourModel:
         own = column >= 0
         common = np.zeros((self.width, m), np.float32)
         common[column[own], of[own]] = q[own]
-        ids, q, of = ids[~own], q[~own], of[~own]
-        low = self.cut[ids]
-        times = self.cut[ids + 1] - low
-        ends = np.cumsum(times)
-        pick = np.repeat(low - ends + times, times)
-        pick += np.arange(len(pick))
-        posting = self.rare.view("<i8").take(pick, mode="clip").view(_POSTING)
-        part = np.bincount(posting["at"] + np.repeat(of * n, times), posting["v"] * np.repeat(q.astype(np.float32), times), m * n).astype(np.float32).reshape(m, self.n_blocks, BLOCK)
+        part = np.concatenate([self._rare(ids[cut], q[cut].astype(np.float32), of[cut] - lo, min(RARE, m - lo)) for lo in range(0, m, RARE) for cut in [~own & (of >= lo) & (of < lo + RARE)]])
         bounds = part.max(2) + common.T @ self.best
         order = np.argsort(-bounds, axis=1, kind="stable")
         falling = np.take_along_axis(bounds, order, 1)
@@ -269,6 +264,16 @@ class NeighbourModel:
             out.append((near[top], sims[top]))
         return out
 
+    def _rare(self, ids: np.ndarray, q: np.ndarray, of: np.ndarray, m: int) -> np.ndarray:
+        """Sums of the rare terms' postings, by text, block and entry."""
+        n, low = self.n_blocks * BLOCK, self.cut[ids].astype(np.int64)
+        times = self.cut[ids + 1] - low
+        pick = np.repeat(low - np.cumsum(times) + times, times)
+        pick += np.arange(len(pick))
+        posting = self.rare.view("<i8").take(pick, mode="clip").view(_POSTING)
+        np.add(posting["at"], np.repeat(of * n, times), out=pick)
+        return np.bincount(pick, posting["v"] * np.repeat(q, times), m * n).astype(np.float32).reshape(m, self.n_blocks, BLOCK)
+
     def votes_of(self, counts: list[Counts], without: list[tuple[int, float]] | None = None) -> list[tuple[float, list]]:
         """For each text the share of the distance-weighted votes for label 1, and the three nearest entries as evidence."""
         vectors, out = self.weights(counts), []
@@ -373,15 +378,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         weight *= leaning([label for _, label in found], counts, len(weight))
         model = NeighbourModel(own, weight, [(d, label, vote[label], c) for (d, label), c in zip(found, counts, strict=True)], k)
         raw = packed(model)
+        del model, counts, found, weight
+        trim()
         pieces = [raw[x : x + PIECE] for x in range(0, len(raw), PIECE)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["place", "piece"])
 
     one = examples.select("doc_id", "label", "text").repartition(1).sortWithinPartitions("doc_id")  # a bounded number of rows
     pieces = sorted((r["place"], r["piece"]) for r in one.mapInArrow(build, "place int, piece binary").collect())
-    raw = b"".join(bytes(x) for _, x in pieces) or packed(NeighbourModel(terms, np.zeros(width - 1), [], k))
+    raw = b"".join(x for _, x in pieces) or packed(NeighbourModel(terms, np.zeros(width - 1), [], k))
+    del pieces, terms, listed, df, found_df
     shared.destroy()
     idf.destroy()
     scratch.drop("examples")
+    trim()
     return Fitted(raw)
 
 
