@@ -182,8 +182,9 @@ def fit_language_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     known = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{lang_col}` as lang", f"`{text_col}` as text").dropna()
     plain = known.select("doc_id", "lang", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)).alias("u"))
+    # a row for each language, of which the model that is broadcast later has 128 KB of weights
     sizes = plain.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
-    low = plain.join(sizes, "lang").where(F.col("u") * F.col("n") < 4 * rows_per_language + 100).select("lang", "u", "doc_id").distinct()
+    low = plain.join(F.broadcast(sizes), "lang").where(F.col("u") * F.col("n") < 4 * rows_per_language + 100).select("lang", "u", "doc_id").distinct()
     first = Window.partitionBy("lang").orderBy("u", "doc_id")
     few = low.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang")
     texts = known.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
