@@ -13,8 +13,10 @@ join of the others to their entry may be split by adaptive skew handling.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,13 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+class Run(NamedTuple):
+    name: str
+    level: int
+    entries: DataFrame
+    known: KeyFilter
+
+
 class DigestIndex:
     """Runs of (digest, ident, copies) in levels below one folder, which can be opened again by another session.
 
@@ -37,7 +46,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 16, fan: int = 4):
         self.spark, self.folder, self.buckets, self.fan = spark, folder, buckets, fan
-        self.runs: list[tuple[int, DataFrame, KeyFilter]] = []  # level, entries, filter; oldest first
+        self.runs: list[Run] = []  # oldest first
 
     @classmethod
     def opened(cls, spark: SparkSession, folder: str) -> DigestIndex:
@@ -45,31 +54,26 @@ class DigestIndex:
         head = spark.read.json(f"{folder}/head").first()
         index = cls(spark, folder, head["buckets"], head["fan"])
         for r in head["runs"] or []:
-            name = f"quarry_run_{uuid.uuid4().hex}"
-            spark.sql(f"CREATE TABLE {name} ({cls.SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {index.buckets} BUCKETS LOCATION '{folder}/{r['run']}'")
-            index.runs.append((r["level"], spark.table(name), KeyFilter.opened(spark.read.parquet(f"{folder}/{r['run']}-filter"), r["bits"])))
-            index._names[r["run"]] = len(index.runs) - 1
+            table = f"quarry_run_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {table} ({cls.SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {index.buckets} BUCKETS LOCATION '{folder}/{r['run']}'")
+            known = KeyFilter.opened(spark.read.parquet(f"{folder}/{r['run']}-filter"), r["bits"])
+            index.runs.append(Run(r["run"], r["level"], spark.table(table), known))
         return index
 
-    @property
-    def _names(self) -> dict[str, int]:
-        return self.__dict__.setdefault("_run_names", {})
-
     def save(self) -> None:
         """Writes what `opened` reads; runs that compaction has merged are not part of it."""
-        rows = [(level, run, self.runs[k][2].bits) for run, k in sorted(self._names.items(), key=lambda x: x[1]) for level in [self.runs[k][0]]]
+        rows = [(r.level, r.name, r.known.bits) for r in self.runs]
         one = self.spark.createDataFrame([(self.buckets, self.fan, rows)], "buckets int, fan int, runs array<struct<level:int,run:string,bits:long>>")
         one.write.mode("overwrite").json(f"{self.folder}/head")
 
-    def _store(self, entries: DataFrame, level: int) -> tuple[int, DataFrame, KeyFilter]:
-        run = f"run-{uuid.uuid4().hex}"
-        name = f"quarry_{run.replace('-', '_')}"
+    def _store(self, entries: DataFrame, level: int) -> Run:
+        name = f"run-{uuid.uuid4().hex}"
+        table = f"quarry_{name.replace('-', '_')}"
         dealt = entries.repartition(self.buckets, "digest") if level == 0 else entries
-        dealt.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.folder}/{run}").saveAsTable(name)
-        table = self.spark.table(name)
-        made = KeyFilter(table.select("digest"), "digest", table.count()).stored(lambda maps: self._written(maps, f"{run}-filter"))
-        self._made = run
-        return level, table, made
+        dealt.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.folder}/{name}").saveAsTable(table)
+        stored = self.spark.table(table)
+        known = KeyFilter(stored.select("digest"), "digest", stored.count()).stored(lambda maps: self._written(maps, f"{name}-filter"))
+        return Run(name, level, stored, known)
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
@@ -78,38 +82,31 @@ class DigestIndex:
     def lookup(self, digests: DataFrame) -> DataFrame:
         """The rows of digests (one column) that some run has: those that its filter lets pass, joined with the run."""
         found = digests.where("false")
-        for _, table, known in self.runs:
-            found = found.unionByName(known.apply(digests, "digest").join(table.select("digest"), "digest", "left_semi"))
+        for run in self.runs:
+            found = found.unionByName(run.known.apply(digests, "digest").join(run.entries.select("digest"), "digest", "left_semi"))
         return found
 
     def add(self, log: DataFrame) -> DataFrame:
         """Flushes a memtable (rows ident, digest); the digests that were hit by it: repeated in it or found in an older run."""
-        entries = log.groupBy("digest").agg(F.min("ident").alias("ident"), F.count(F.lit(1)).alias("copies"))
-        level, table, known = self._store(entries, 0)
-        hits = table.where("copies > 1").select("digest").unionByName(self.lookup(table.select("digest")))
-        self.runs.append((level, table, known))
-        self._names[self._made] = len(self.runs) - 1
+        run = self._store(log.groupBy("digest").agg(F.min("ident").alias("ident"), F.count(F.lit(1)).alias("copies")), 0)
+        hits = run.entries.where("copies > 1").select("digest").unionByName(self.lookup(run.entries.select("digest")))
+        self.runs.append(run)
         hits = self._written(hits.distinct(), f"hits-{uuid.uuid4().hex}")
-        while len(last := [r for r in self.runs if r[0] == self.runs[-1][0]]) >= self.fan:
+        while len(last := [r for r in self.runs if r.level == self.runs[-1].level]) >= self.fan:
             self._merge(len(last))
         return hits
 
     def _merge(self, n: int) -> None:
         """The last n runs as one of the next level."""
-        merged = None
-        for _, table, _ in self.runs[-n:]:
-            merged = table if merged is None else _joined(merged, table)
-        stored = self._store(merged, max(r[0] for r in self.runs[-n:]) + 1)
-        gone = range(len(self.runs) - n, len(self.runs))
-        self.__dict__["_run_names"] = {run: k for run, k in self._names.items() if k not in gone}
-        self.runs[-n:] = [stored]
-        self._names[self._made] = len(self.runs) - 1
+        last = self.runs[-n:]
+        merged = functools.reduce(_joined, (r.entries for r in last))
+        self.runs[-n:] = [self._store(merged, max(r.level for r in last) + 1)]
 
     def entries(self) -> DataFrame:
         """One entry per digest, after merging all runs into one."""
         if len(self.runs) > 1:
             self._merge(len(self.runs))
-        return self.runs[0][1] if self.runs else self.spark.createDataFrame([], self.SCHEMA)
+        return self.runs[0].entries if self.runs else self.spark.createDataFrame([], self.SCHEMA)
 
 
 def _joined(a: DataFrame, b: DataFrame) -> DataFrame:

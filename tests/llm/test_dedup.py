@@ -84,7 +84,7 @@ def test_index_levels_and_lookup(spark):
         seen.update(own)
         for k, t in rows_:
             want[t] = min(k, want.get(t, k))
-    assert [level for level, _, _ in index.runs] == [2, 0]  # 4 runs of level 0 and one more
+    assert [r.level for r in index.runs] == [2, 0]  # 4 runs of level 0 and one more
     index.save()
     again = DigestIndex.opened(spark, index.folder)
     asked = spark.createDataFrame([("t1",), ("nowhere",), ("t2",)], "text string").select(sha256(F.col("text")).alias("digest"))
@@ -99,7 +99,7 @@ def test_a_merge_of_runs_shuffles_nothing(spark):
         index.add(spark.range(2000).select(F.col("id").alias("ident"), sha256((F.col("id") + k).cast("string")).alias("digest")))
     from quarry.llm.exact_dedup import _joined
 
-    plan = _joined(index.runs[0][1], index.runs[1][1])._jdf.queryExecution().executedPlan().toString()
+    plan = _joined(index.runs[0].entries, index.runs[1].entries)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan
 
 
