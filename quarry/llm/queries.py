@@ -3,7 +3,7 @@
 import functools
 
 from quarry import ship
-from quarry.llm import bpe, divergence, exact_dedup, jaccard_join, jpeg_media, language_crf, lbl, packing, spelling, token_binary, token_counts, toxicity
+from quarry.llm import bpe, divergence, exact_dedup, jaccard_join, jpeg_media, language_crf, lbl, packing, spelling, token_binary, token_counts, toxicity, warc
 
 
 def _shipped(query):
@@ -28,5 +28,6 @@ QUERIES = {
     "op10_language_id": _shipped(language_crf.op10_language_id),
     "op11_spelling_variants": _shipped(spelling.op11_spelling_variants),
     "op12_source_divergence": _shipped(divergence.op12_source_divergence),
+    "op13_warc": _shipped(warc.op13_warc),
 }
-SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op11_spelling_variants": spelling.OP11_SQL, "op12_source_divergence": divergence.OP12_SQL}
+SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op11_spelling_variants": spelling.OP11_SQL, "op12_source_divergence": divergence.OP12_SQL, "op13_warc": warc.OP13_SQL}
