@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from quarry.functions import names, noise, render, text, urls
 from quarry.operators import corpus, crawl, drafts, extraction, mentions
 from quarry.plans.example_config import EXAMPLE
-from quarry.streaming import visits
+from quarry.sources.shared import new_folder
+from quarry.streaming import batches, visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -376,10 +377,65 @@ def stream_daily_upsert(t: Tables) -> DataFrame:
         run = F.when(F.hour("ts") < 20, "a").otherwise("b")
         return s.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), run.alias("run"), C("event_type").alias("platform"), F.concat(F.lit("entity-"), "user_id").alias("entity"), cited.alias("cited"))
 
-    found = visits.upsert_daily_by_stream(t.spark, f"{t.sf_dir}/events.parquet", checks)
+    found = visits.upsert_daily_by_stream(t.spark, _event_files(t), checks, files=1)
     return found.select("day", "total_checks", "citations", F.array_join("cited_entities", ",").alias("cited_entities"))
 
 
+def _event_files(t: Tables, parts: list[int] | None = None, folder: str | None = None, n: int = 4) -> str:
+    """The events dealt out to n files by id, so that every day and run is in each of them; the files of `parts`, in this order."""
+    folder = folder or new_folder(t.spark, "events")
+    for k in range(n) if parts is None else parts:
+        t.events.where(C("event_id") % n == k).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _agents(s: DataFrame) -> DataFrame:
+    return visits.detected(s.withColumn("agent", F.expr(_AGENT))).select("event_id", "ts", "crawler")
+
+
+@query(f"""SELECT 'total' AS kind, crawler AS key, count(*) AS n FROM ({_VISITS}) WHERE crawler IS NOT NULL GROUP BY crawler
+ UNION ALL SELECT 'daily', strftime(ts, '%Y-%m-%d') || ' ' || crawler, count(*) FROM ({_VISITS}) WHERE crawler IS NOT NULL AND CAST(ts AS DATE) > (SELECT CAST(max(ts) AS DATE) - 20 FROM ({_VISITS}) WHERE crawler IS NOT NULL) GROUP BY ALL
+ UNION ALL SELECT 'recent', crawler, event_id FROM (SELECT * FROM ({_VISITS}) WHERE crawler IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 1000)""")
+def stream_visit_log(t: Tables) -> DataFrame:
+    """One log of list, totals and days over eight files, a batch each, in two runs, with folds between; days expire after 20."""
+    source, place = new_folder(t.spark, "events"), new_folder(t.spark, "visit-log")
+    log = visits.VisitLog(t.spark, place, 1000, 20)
+    for parts in ([0, 5, 2], [1, 3, 4, 7, 6]):
+        _event_files(t, parts, source, 8)
+        log.follow(_agents(batches.source(t.spark, source, 1)), fold_every=3)
+    day = log.daily().select(F.lit("daily").alias("kind"), F.concat("day", F.lit(" "), "crawler").alias("key"), C("visits").alias("n"))
+    return log.totals().select(F.lit("total").alias("kind"), C("crawler").alias("key"), C("visits").alias("n")).unionByName(day).unionByName(log.recent().select(F.lit("recent").alias("kind"), C("crawler").alias("key"), C("event_id").alias("n")))
+
+
+@query(f"SELECT crawler, count(*) AS visits, 4 AS batches FROM ({_VISITS}) WHERE crawler IS NOT NULL GROUP BY crawler")
+def stream_restarted(t: Tables) -> DataFrame:
+    """Counts in update mode over a run that ended after its first file and was started again with three more; a third run has nothing new."""
+    source, place = new_folder(t.spark, "events"), new_folder(t.spark, "restarted")
+    for parts in ([2], [0, 1, 3], []):
+        _event_files(t, parts, source)
+        found = visits.run_once(t.spark, source, lambda s: visits.counts(_agents(s)), "update", ["crawler"], place, 1)
+    n = len(batches.BatchLog(t.spark, f"{place}/log").batches())
+    return found.withColumn("batches", F.lit(n))
+
+
+#: Files of the late-data query: ten files by days, of which the eighth also has the rows of earlier days that came late.
+_LATE_SQL = "CASE WHEN event_id % 11 = 0 AND day(ts) < 22 THEN 8 ELSE (day(ts) - 1) // 3 END"
+
+
+@query(f"""WITH v AS (SELECT *, {_LATE_SQL} AS file FROM ({_VISITS}) WHERE crawler IS NOT NULL),
+ seen AS (SELECT file, max(ts) AS ts FROM v GROUP BY file), ends AS (SELECT (SELECT max(ts) FROM seen WHERE file <= 6) - INTERVAL 3 DAY AS late, (SELECT max(ts) FROM seen) - INTERVAL 3 DAY AS closed)
+ SELECT strftime(ts, '%Y-%m-%d') AS day, crawler, count(*) AS visits FROM v, ends WHERE (file <> 8 OR date_trunc('day', ts) + INTERVAL 1 DAY > late OR day(ts) >= 22) AND date_trunc('day', ts) + INTERVAL 1 DAY <= closed GROUP BY ALL""")
+def stream_late_visits(t: Tables) -> DataFrame:
+    """Days are given once, when the watermark of three days has passed them: what comes later than that counts no more, what comes late within it does."""
+    source = new_folder(t.spark, "events")
+    day = F.dayofmonth("ts")
+    file = F.when((C("event_id") % 11 == 0) & (day < 22), 8).otherwise(F.floor((day - 1) / 3))
+    for k in range(10):
+        t.events.where(file == k).coalesce(1).write.mode("append").parquet(source)
+    found = visits.run_once(t.spark, source, lambda s: visits.daily(_agents(s), "3 days"), "append", files=1)
+    return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "crawler", "visits")
+
+
 # --- corpus ----------------------------------------------------------------------------------------------------------
 
 _STATUS = {"F": "asserted", "O": "disputed", "P": "corrected"}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.mentions import crawler_of
 from quarry.sources.shared import new_folder
+from quarry.streaming import batches
 
 
 def detected(requests: DataFrame) -> DataFrame:
@@ -45,72 +46,125 @@ def retained(days: DataFrame, as_of: Column, keep: int) -> DataFrame:
     return days.where(F.col("day").cast("date") > F.date_sub(as_of, keep))
 
 
-def _source(spark: SparkSession, path: str) -> DataFrame:
-    """Files that arrive below path, as a stream; path may also be one file."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    is_dir = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jvm).isDirectory()
-    reader = spark.readStream.schema(schema)
-    return reader.parquet(path) if is_dir else reader.option("pathGlobFilter", name).parquet(folder)
+def run_once(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str, keys: list[str] | None = None, folder: str | None = None, files: int | None = None) -> DataFrame:
+    """Runs a streaming query over the files that are there and new to its folder, and returns its result so far; see `batches.result` for the modes."""
+    return batches.result(build(batches.source(spark, path, files)), mode, folder, keys)
 
 
-def _folder(spark: SparkSession) -> str:
-    return new_folder(spark, "stream")
+def _newest(rows: DataFrame, n: int) -> DataFrame:
+    return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+
+
+class VisitLog:
+    """The log of visits, kept by a stream: the last `n` visits, the visits of each crawler, and those of each day and crawler.
+
+    A batch adds its own newest visits and counts, all published together, so a batch that runs twice counts once. Folding keeps the list at n rows and one row for each count; with
+    `keep_days`, days that are that much older than the newest one go then and are left out of what is read before.
+    """
 
+    COUNTS, DAYS = "crawler string, visits long", "day string, crawler string, visits long"
 
-def run_once(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Runs a streaming query over all files that are there and returns its last result."""
-    place = _folder(spark)
+    def __init__(self, spark: SparkSession, folder: str, n: int = 1000, keep_days: int | None = None):
+        self.spark, self.folder, self.n, self.keep_days = spark, folder, n, keep_days
+        self.log = batches.BatchLog(spark, f"{folder}/log")
 
-    def keep(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{place}/out")
+    def follow(self, rows: DataFrame, fold_every: int = 16) -> VisitLog:
+        """Takes in what a stream of visits (event_id, ts, crawler, ...) has that is new to this folder."""
 
-    built = build(_source(spark, path))
-    built.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(built.schema).parquet(f"{place}/out")
+        def tables(df: DataFrame) -> batches.Tables:
+            day = df.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "crawler").agg(F.count(F.lit(1)).alias("visits"))
+            return {"recent": _newest(df, self.n), "counts": counts(df), "daily": day}
 
+        merges = {"recent": lambda df: _newest(df, self.n), "counts": self._summed("crawler"), "daily": lambda df: self._kept(self._summed("day", "crawler")(df))}
+        batches.follow(rows, self.folder, tables, merges=merges, fold_every=fold_every)
+        self.schema = rows.schema
+        return self
 
-def _upserted(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """Keeps a table by merging each batch into the one of the batch before; a batch that is run again writes the same."""
-    place, last = _folder(spark), {}
+    @staticmethod
+    def _summed(*keys: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda df: df.groupBy(*keys).agg(F.sum("visits").alias("visits"))
 
-    def keep(df: DataFrame, epoch: int) -> None:
-        session = df.sparkSession
-        old = session.read.parquet(f"{place}/v{epoch - 1}") if epoch else None
-        merge(old, df).write.mode("overwrite").parquet(f"{place}/v{epoch}")
-        last["epoch"] = epoch
+    def _kept(self, days: DataFrame) -> DataFrame:
+        if self.keep_days is None:
+            return days
+        newest = days.agg(F.max("day").cast("date").alias("_newest"))
+        return days.join(F.broadcast(newest)).where(F.col("day").cast("date") > F.date_sub("_newest", self.keep_days)).drop("_newest")  # one row
 
-    built = build(_source(spark, path))
-    built.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{place}/v{last['epoch']}")
+    def recent(self) -> DataFrame:
+        """The last n visits, newest first."""
+        return _newest(self.log.read("recent", self.schema).drop("batch"), self.n)
 
+    def totals(self) -> DataFrame:
+        return self._summed("crawler")(self.log.read("counts", self.COUNTS))
 
-def recent_by_stream(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
-    """The last n visits, newest first: a list that each batch is merged into and that is cut to n (its size is the feature)."""
-    newest = lambda df: df.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
-    return _upserted(spark, path, build, lambda old, new: newest(new if old is None else old.unionByName(new)))
+    def daily(self) -> DataFrame:
+        return self._kept(self._summed("day", "crawler")(self.log.read("daily", self.DAYS)))
 
 
-def upsert_daily_by_stream(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], keep_days: int | None = None) -> DataFrame:
-    """The daily aggregates of runs as they arrive: a table keyed by day in which the last run of a day replaces the ones before it.
+def recent_by_stream(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], n: int, folder: str | None = None, files: int | None = None) -> DataFrame:
+    """The last n visits, newest first (the list's size is the feature). Each batch adds its own newest visits; the list isn't rewritten but when batches are folded."""
+    log = batches.follow(rows := build(batches.source(spark, path, files)), folder or _folder(spark), lambda df: {"recent": _newest(df, n)}, merges={"recent": lambda df: _newest(df, n)})
+    return _newest(log.read("recent", rows.schema).drop("batch"), n)
 
-    build gives day, run (text that sorts by time) and the columns of daily_aggregates. A day's row holds that run alone. With keep_days, days that are
-    older than that before the newest day go.
+
+class DailyRuns:
+    """The daily aggregates of monitoring runs as they arrive: the checks of a run add up over all batches that have some, and the last run of a day replaces the ones before it.
+
+    Checks have day, run (text that sorts by time) and the columns of daily_aggregates. A batch publishes sums by day, run and platform, and the cited entities as rows; days are put together when they are read. Days
+    older than `keep_days` before the newest one go.
     """
 
-    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        last = new.groupBy("day").agg(F.max("run").alias("run"))
-        runs = new.join(last, ["day", "run"])
-        day = daily_aggregates(runs).join(last, "day")
-        both = day if old is None else old.unionByName(day)
-        best = both.groupBy("day").agg(F.max_by(F.struct(*[c for c in both.columns if c != "day"]), "run").alias("r")).select("day", "r.*")
-        if keep_days is None:
-            return best
-        newest = best.agg(F.max("day").cast("date").alias("_newest"))
-        return best.join(F.broadcast(newest)).where(F.col("day").cast("date") > F.date_sub("_newest", keep_days)).drop("_newest")  # one row
-
-    return _upserted(spark, path, build, merge)
+    SUMS = "day string, run string, platform string, checked long, cited long"
+    FOUND = "day string, run string, event_id long, entity string"
+
+    def __init__(self, spark: SparkSession, folder: str, keep_days: int | None = None):
+        self.spark, self.folder, self.keep_days = spark, folder, keep_days
+        self.log = batches.BatchLog(spark, f"{folder}/log")
+
+    def follow(self, checks: DataFrame, fold_every: int = 16) -> DailyRuns:
+        def tables(df: DataFrame) -> batches.Tables:
+            sums = df.groupBy("day", "run", "platform").agg(F.count(F.lit(1)).alias("checked"), F.count_if("cited").alias("cited"))
+            return {"sums": sums, "found": df.where("cited").select("day", "run", F.col("event_id").cast("long").alias("event_id"), "entity")}
+
+        batches.follow(checks, self.folder, tables, merges={"sums": self._sums, "found": self._found}, fold_every=fold_every)
+        return self
+
+    def _last(self) -> DataFrame:
+        """day, run: the last run of each day that is kept."""
+        last = self.log.read("sums", self.SUMS).groupBy("day").agg(F.max("run").alias("run"))
+        if self.keep_days is None:
+            return last
+        newest = last.agg(F.max("day").cast("date").alias("_newest"))
+        return last.join(F.broadcast(newest)).where(F.col("day").cast("date") > F.date_sub("_newest", self.keep_days)).drop("_newest")  # one row
+
+    def _sums(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self._last(), ["day", "run"], "left_semi").groupBy("day", "run", "platform").agg(F.sum("checked").alias("checked"), F.sum("cited").alias("cited"))
+
+    def _found(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self._last(), ["day", "run"], "left_semi")
+
+    def days(self, entities: bool = True) -> DataFrame:
+        """day, run, total_checks, citations, platforms and, for readers that show them, cited_entities in order of event_id."""
+        per = self._sums(self.log.read("sums", self.SUMS))
+        platforms = F.map_from_entries(F.collect_list(F.struct("platform", F.struct("checked", "cited"))))
+        day = per.groupBy("day", "run").agg(F.sum("checked").alias("total_checks"), F.sum("cited").alias("citations"), platforms.alias("platforms"))
+        if not entities:
+            return day
+        found = self._found(self.log.read("found", self.FOUND)).groupBy("day").agg(F.array_sort(F.collect_list(F.struct("event_id", "entity")))["entity"].alias("cited_entities"))
+        return day.join(found, "day", "left").withColumn("cited_entities", F.coalesce("cited_entities", F.array().cast("array<string>")))
+
+    def index(self) -> DataFrame:
+        """day, score: the kept days by the time of their last run, for ranges by score."""
+        return self._last().select("day", F.col("run").alias("score"))
+
+
+def upsert_daily_by_stream(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], keep_days: int | None = None, folder: str | None = None, files: int | None = None) -> DataFrame:
+    """The daily aggregates of the runs that have arrived by now, over all calls with this folder; see DailyRuns."""
+    return DailyRuns(spark, folder or _folder(spark), keep_days).follow(build(batches.source(spark, path, files))).days()
+
+
+def _folder(spark: SparkSession) -> str:
+    return new_folder(spark, "stream")
 
 
 def list_range(rows: DataFrame, newest: list[Column], first: int, last: int) -> DataFrame:
