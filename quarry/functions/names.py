@@ -1,10 +1,14 @@
-"""Names, slugs, ids and the noise predicate as column expressions."""
+"""Names, slugs and ids."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import written
+
 SUFFIX = r"(?i),?\s*(inc\.?|llc\.?|corp\.?|co\.?|ltd\.?|l\.?l\.?c\.?|incorporated|corporation|company)\z"
 DOMAIN_END = r"\.(com|org|net|io|co|ai)\z"
 
@@ -38,6 +42,30 @@ def short_id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(F.right(F.lower(F.conv(F.hex(F.xxhash64(key)), 16, 36)), F.lit(8)), 8, "0"))
 
 
+def assigned_ids(keys: DataFrame, prefix: str, key: str, taken: DataFrame | None = None, make: Callable[[str, Column], Column] = short_id) -> DataFrame:
+    """key, id of the distinct keys: the id that `make` gives, or another one where two keys would share it.
+
+    Of keys with one id the smallest keeps it, and the others are tried again with their attempt's number appended. taken (id, key) are ids that are given already: a key that is among them
+    keeps its id, and nobody else gets it. So the ids are the same in every run over the same keys. A null key has no id. There are as many rounds as the most keys that share an id, nearly always one.
+    """
+    own = keys.select(F.col(key).alias("key")).where("key IS NOT NULL").distinct()
+    held = taken.select("id", F.col("key").alias("key")) if taken is not None else None
+    if held is not None:
+        own = own.join(held.select("key"), "key", "left_anti")
+    done, attempt = held, 0
+    while True:
+        tried = own.withColumn("id", make(prefix, F.concat_ws("#", "key", F.lit(str(attempt))) if attempt else F.col("key")))
+        first = tried.groupBy("id").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+        if done is not None:
+            first = first.join(done.select("id"), "id", "left_anti")
+        done = first.select("id", "key") if done is None else done.unionByName(first.select("id", "key"))
+        # what lost is few, so it is written, and later rounds read no more than that
+        lost = written(tried.select("key").join(first.select("key"), "key", "left_anti"), "ids")
+        if lost.isEmpty():
+            return done.select("key", "id") if held is None else done.join(keys.select(F.col(key).alias("key")).distinct(), "key", "left_semi").select("key", "id")
+        own, attempt = lost, attempt + 1
+
+
 def alias_map(entities: DataFrame) -> DataFrame:
     """alias, slug: a slug and a normalised name lead to the latest entity that has them; a slug without its suffix only where nothing else does.
 
@@ -50,11 +78,14 @@ def alias_map(entities: DataFrame) -> DataFrame:
 
 
 def resolve_names(names: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
-    """names with `resolved`: by raw slug, then normalised name, then slug without suffix; else that last slug itself."""
-    raw = slug(F.col(name))
+    """names with `resolved`: by raw slug, then normalised name, then slug without suffix; else that last slug itself.
+
+    Distinct names are looked up, once each: their three forms are rows of one join, of which the first that is found counts.
+    """
+    raw = slug(F.col("_name"))
     cut = F.regexp_replace(without_suffix(raw), r"-s-[\s\S]*\z", "")
-    out = names.withColumn("_raw", raw).withColumn("_norm", normalized_name(F.col(name))).withColumn("_cut", cut)
-    for key in ("_raw", "_norm", "_cut"):
-        out = out.join(aliases.select(F.col("alias").alias(key), F.col("slug").alias(f"{key}_to")), key, "left")
-    found = F.coalesce("_raw_to", "_norm_to", "_cut_to", F.nullif("_cut", F.lit("")), "_raw")
-    return out.withColumn("resolved", found).select(*names.columns, "resolved")
+    one = names.select(F.col(name).alias("_name")).where("_name IS NOT NULL").distinct().select("_name", raw.alias("_raw"), normalized_name(F.col("_name")).alias("_norm"), cut.alias("_cut"))
+    forms = one.select("_name", F.posexplode(F.array("_raw", "_norm", "_cut")).alias("_turn", "alias"), F.coalesce(F.nullif("_cut", F.lit("")), "_raw").alias("_else"))
+    found = forms.join(aliases.select("alias", "slug"), "alias", "left").groupBy("_name").agg(F.min_by("slug", F.when(F.col("slug").isNotNull(), F.col("_turn"))).alias("_found"), F.first("_else").alias("_else"))
+    told = found.select("_name", F.coalesce("_found", "_else").alias("resolved"))
+    return names.join(told, F.col(name) == F.col("_name"), "left").select(*names.columns, "resolved")

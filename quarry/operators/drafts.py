@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.sources import records
+from quarry.sources.shared import written
+from quarry.sources.store import RecordStore
 
 CONFIDENCE = ["low", "medium", "high"]
 
@@ -75,6 +77,49 @@ def validate_drafts(df: DataFrame, rules: dict[str, Column], missing_sources: Da
     return out.withColumn("warnings", F.concat("warnings", low)).withColumn("valid", F.size("errors") == 0)
 
 
+def check_batch(store: RecordStore, folder: str, batch: str) -> dict[str, DataFrame]:
+    """The draft records of a batch by table, with valid, errors and warnings. Claims may cite and name what the store or the batch has."""
+    spark = store.spark
+    read = lambda table: records.read_batch(spark, folder, batch, table)
+    known = lambda table: store.read(table, records.SCHEMAS[table]).select(F.col(records.KEYS[table]).alias("ref")).union(read(table).select(records.KEYS[table])).distinct()
+    claims = read("claims")
+    cited = claims.select("id", F.explode("citations.sourceId").alias("ref")).distinct()
+    named = claims.select("id", F.explode("entities.slug").alias("ref")).distinct()
+    return {
+        "entities": validate_drafts(read("entities"), entity_rules()),
+        "sources": validate_drafts(read("sources"), source_rules()),
+        "claims": validate_drafts(claims, claim_rules(), cited.join(known("sources"), "ref", "left_anti"), named.join(known("entities"), "ref", "left_anti")),
+    }
+
+
+def approve_batch(store: RecordStore, folder: str, batch: str, at: str) -> bool:
+    """Moves the records of a draft batch into the store, all of them or, if one breaks a rule, none.
+
+    The new tables are committed at once, without draft fields, over the records of the same keys; then the batch is archived below folder. What fails before the commit changes nothing; what fails
+    after it leaves a batch whose approval can be repeated, with the same result.
+    """
+    checked = check_batch(store, folder, batch)
+    if any(not df.where("NOT valid").isEmpty() for df in checked.values()):
+        return False
+    new = {table: df.drop("valid", "errors", "warnings") for table, df in checked.items()}
+    store.commit({table: records.approve(store.read(table, records.SCHEMAS[table]), df, records.KEYS[table]) for table, df in new.items()})
+    records.archive_batch(store.spark, folder, batch, at)
+    return True
+
+
+def dedup_store(store: RecordStore, inventory: DataFrame, moves: DataFrame, homes: DataFrame, noise: Column) -> DataFrame:
+    """A dedup run over the store's own entities and claims, committed at once; the run's counts.
+
+    inventory: slug and what dedup_actions reads of each entity, in place of which the store's records of the slugs that stay are kept, with their parents moved.
+    """
+    entities, claims = store.read("entities"), store.read("claims")
+    stay, moved, counts = dedup_run(inventory, claims, moves, homes, noise)
+    kept = remap(entities.join(stay.select("slug").distinct(), "slug", "left_semi"), moves, "parentEntity").select(*entities.columns)
+    counts = written(counts, "dedup-counts")  # of the tables before they are replaced
+    store.commit({"entities": kept, "claims": moved.select(*claims.columns)})
+    return counts
+
+
 def strip_draft(df: DataFrame) -> DataFrame:
     return df.drop("_draft")
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import names, urls
-from quarry.sources.records import ENTITY_TYPES, SOURCE_TYPES
+from quarry.operators import drafts
+from quarry.sources.records import ENTITY_TYPES, SCHEMAS, SOURCE_TYPES
+from quarry.sources.shared import written
 
 LEVELS = ["high", "medium", "low"]
 #: Characters that a page must have, and that a prompt takes of it.
@@ -96,6 +98,41 @@ def claim_drafts(replies: DataFrame, aliases: DataFrame, today: str, primary: st
     )
 
 
+def _as_declared(df: DataFrame, table: str) -> DataFrame:
+    """df in the declared columns of a table, null where it has none, with _draft."""
+    want = df.sparkSession.createDataFrame([], SCHEMAS[table]).schema
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want], "_draft")
+
+
+def draft_tables(replies: DataFrame, aliases: DataFrame, today: str, model: str, at: str, primary: str | None = None, taken: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The draft records of a batch of replies (url, title, x), by table, each with `_draft`: confidence, the pages it comes from, the model and the time.
+
+    An entity of several pages is the first page's, with the best confidence and all pages. Two keys that would share an id get two; taken (id, key) are the sources' ids
+    (by URL) that are given already. Replies without a checked x give nothing.
+    """
+    good = written(replies.where("x IS NOT NULL").select("url", "title", "x"), "replies")  # parsed and checked once
+
+    def draft(pages: Column) -> Column:
+        null = F.lit(None).cast("string")
+        return F.struct(F.col("confidence"), pages.alias("sourcePages"), null.alias("notes"), F.lit(model).alias("model"), F.lit(at).alias("extractedAt"))
+
+    rows = written(entity_drafts(good, aliases).withColumn("place", F.struct("url", "pos")), "entity-drafts")
+    merged = drafts.merge_entities(rows.select("slug", "name", "confidence", F.col("url").alias("page"), "place"), "place")
+    facts = rows.groupBy("slug").agg(F.min_by(F.struct("type", "description", "officialSite", "parentEntity"), "place").alias("first"))
+    links = F.when(F.col("first.officialSite").isNotNull(), F.struct(F.col("first.officialSite").alias("officialSite"), *[F.lit(None).cast("string").alias(c) for c in ("wikipedia", "linkedin", "twitter", "crunchbase")]))
+    entities = merged.join(facts, "slug").select("slug", "name", F.col("first.type").alias("type"), F.col("first.description").alias("description"), links.alias("links"), F.col("first.parentEntity").alias("parentEntity"), draft(F.col("pages")).alias("_draft"))
+    page = F.array("url")
+    source_ids = names.assigned_ids(good.select("url"), "src_", "url", taken).select(F.col("key").alias("url"), F.col("id").alias("_id"))
+    sources = source_drafts(good, today).groupBy("url").agg(F.first(F.struct("title", "publisher", "accessDate", "type", "author", "publishedDate", "excerpt", "confidence")).alias("s")).select("url", "s.*")
+    sources = sources.join(source_ids, "url").withColumn("_draft", draft(page)).withColumnRenamed("_id", "id")
+    claims = claim_drafts(good, aliases, today, primary).withColumn("_key", F.concat_ws("#", "url", F.col("pos").cast("string")))
+    claims = written(claims, "claim-drafts")
+    claim_ids = names.assigned_ids(claims.select("_key"), "clm_", "_key").select(F.col("key").alias("_key"), F.col("id").alias("_own"))
+    cited = F.transform("citations", lambda c: F.struct(F.col("_id").alias("sourceId"), F.lit(None).cast("string").alias("locator"), c["quote"].alias("quote"), F.lit(None).cast("string").alias("note")))
+    claims = claims.drop("id").join(claim_ids, "_key").join(source_ids, "url").withColumn("citations", cited).withColumnRenamed("_own", "id").withColumn("_draft", draft(page))
+    return {"entities": _as_declared(entities, "entities"), "sources": _as_declared(sources, "sources"), "claims": _as_declared(claims, "claims")}
+
+
 def processing_stats(pages: DataFrame) -> DataFrame:
     """pages (text, x): pages in all, those that gave a reply, those skipped, and calls made (pages with enough text)."""
     done = F.count_if(F.col("x").isNotNull())

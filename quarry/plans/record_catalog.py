@@ -16,6 +16,7 @@ from quarry.plans import record_views as made
 from quarry.plans.catalog import _CHECKS, _DAILY, _DRAFT, _HOST, _MOVES, _PATH, _RANK, _VISITS, S, Tables, _checks, _daily, _drafts, _quoted, _visits, norm_sql, query
 from quarry.sources import connectors, records
 from quarry.sources.shared import new_folder
+from quarry.sources.store import RecordStore
 from quarry.streaming import visits
 
 C = F.col
@@ -705,6 +706,90 @@ def draft_claim_checks(t: Tables) -> DataFrame:
     return found.select("id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
 
 
+# --- from reply to record ---------------------------------------------------------------------------------------------
+
+_AT_DRAFT = "2026-01-01T00:00:00.000Z"
+
+
+def _saved_batch(t: Tables, folder: str, batch: str, replies: DataFrame) -> None:
+    tables = extraction.draft_tables(replies, _aliases(t), "2026-01-01", "model-1", _AT_DRAFT)
+    manifest = t.spark.createDataFrame([("www.site.org", batch, _AT_DRAFT, "model-1")], "domain string, crawlId string, createdAt string, model string")
+    records.save_batch(tables, folder, batch, manifest)
+
+
+@query(f"SELECT 'Claim ' || doc_id AS title, 'Title ' || doc_id AS source, {_ENT} || ',bigco,bigco' AS refs FROM ({_GOOD})")
+def reply_to_approved(t: Tables) -> DataFrame:
+    """Replies become a batch of drafts, which is checked, approved and archived; the store's folder is read back."""
+    folder, store = new_folder(t.spark, "drafts"), RecordStore(t.spark, new_folder(t.spark, "store"))
+    _saved_batch(t, folder, "b1", _replies(t))
+    if not drafts.approve_batch(store, folder, "b1", "1"):
+        raise AssertionError("a draft breaks a rule")
+    found = RecordStore(t.spark, store.folder)
+    sources = found.read("sources").select(C("id").alias("source_id"), C("title").alias("source"))
+    claims = found.read("claims").withColumn("source_id", C("citations")[0]["sourceId"])
+    return claims.join(sources, "source_id").select("title", "source", F.array_join("entities.slug", ",").alias("refs"))
+
+
+@query(f"SELECT 'b' || (doc_id % 2) AS batch, (count(DISTINCT {_ENT}) + count(*))::BIGINT AS n_entities, count(*) AS n_sources, count(*) AS n_claims, 'model-1' AS model FROM ({_GOOD}) GROUP BY 1, 5")
+def draft_manifest(t: Tables) -> DataFrame:
+    """What the manifests of two batches say; the second is saved twice, and replaces itself."""
+    folder, replies = new_folder(t.spark, "drafts"), _replies(t)
+    for k in (0, 1, 1):
+        _saved_batch(t, folder, f"b{k}", replies.where(C("doc_id") % 2 == k))
+    m = [records.read_batch(t.spark, folder, b["batch"], "manifest") for b in records.draft_batches(t.spark, folder).collect()]  # two
+    return m[0].unionByName(m[1]).select(C("crawlId").alias("batch"), C("n_entities").cast("long").alias("n_entities"), C("n_sources").cast("long").alias("n_sources"), C("n_claims").cast("long").alias("n_claims"), "model")
+
+
+@query(f"SELECT 'page ' || min(doc_id) AS first_page, count(*)::INT AS n_pages, {_ENT} AS slug, 'high' AS confidence FROM ({_GOOD}) GROUP BY 3")
+def draft_provenance(t: Tables) -> DataFrame:
+    """An entity of many pages keeps the best confidence and all its pages, in order of their URLs; the first is told by its smallest id here."""
+    tables = extraction.draft_tables(_replies(t), _aliases(t), "2026-01-01", "model-1", _AT_DRAFT)
+    ids = F.transform("_draft.sourcePages", lambda u: F.substring_index(u, "/", -1).cast("long"))
+    return tables["entities"].where("slug LIKE '%ent-%'").select(F.concat(F.lit("page "), F.array_min(ids).cast("string")).alias("first_page"), F.size("_draft.sourcePages").alias("n_pages"), "slug", "_draft.confidence")
+
+
+@record_query("SELECT slug, CASE WHEN k % 3 = 0 THEN 'new ' || name ELSE name END AS name FROM entity UNION ALL SELECT 'added-' || k, name FROM entity WHERE k % 7 = 0")
+def approve_commit(t: Tables) -> DataFrame:
+    """A batch with one bad record changes nothing; a good one replaces and adds entities of the very table it reads."""
+    folder, store = new_folder(t.spark, "drafts"), RecordStore(t.spark, new_folder(t.spark, "store"))
+    old, k = made.entities(t.customer), F.regexp_extract("slug", r"(\d+)\z", 1).cast("long")
+    store.commit({"entities": old})
+    draft = F.struct(F.lit("high").alias("confidence"))
+    one = t.spark.createDataFrame([("x",)], "crawlId string")
+    changed = old.where(k % 3 == 0).withColumn("name", F.concat(F.lit("new "), "name"))
+    added = old.where(k % 7 == 0).withColumn("slug", F.concat(F.lit("added-"), k.cast("string")))
+    good = changed.unionByName(added).withColumn("_draft", draft)
+    records.save_batch({"entities": good.unionByName(old.orderBy("slug").limit(1).withColumn("slug", F.lit("BAD")).withColumn("_draft", draft))}, folder, "bad", one)
+    records.save_batch({"entities": good}, folder, "good", one)
+    if drafts.approve_batch(store, folder, "bad", "1") or store.read("entities").count() != old.count():
+        raise AssertionError("a bad batch went in")
+    drafts.approve_batch(store, folder, "good", "1")
+    left = [r["batch"] for r in records.draft_batches(t.spark, folder).collect()]
+    if left != ["bad"]:
+        raise AssertionError(f"batches left: {left}")
+    return RecordStore(t.spark, store.folder).read("entities").select("slug", "name")
+
+
+@query(f"SELECT 'entity' AS kind, slug AS id, 'entity-2' AS refs FROM (SELECT DISTINCT slug FROM ({_ACTIONS}) WHERE action = 'keep') UNION ALL SELECT 'claim', id::VARCHAR, refs FROM ({_CLAIM_REFS})")
+def dedup_commit(t: Tables) -> DataFrame:
+    """A dedup run replaces the entities and claims that it reads; both are read back."""
+    store = RecordStore(t.spark, new_folder(t.spark, "store"))
+    entities = _inventory(t).select("slug").distinct().withColumn("parentEntity", F.lit("entity-1"))
+    store.commit({"entities": entities, "claims": _claim_refs(t)})
+    drafts.dedup_store(store, _inventory(t), *_config(t), F.expr(_NOISY))
+    kept = store.read("entities").select(F.lit("entity").alias("kind"), C("slug").alias("id"), C("parentEntity").alias("refs"))
+    return kept.unionByName(store.read("claims").select(F.lit("claim").alias("kind"), C("id").cast("string").alias("id"), F.array_join("entities.slug", ",").alias("refs")))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey % 5000 ORDER BY o_orderkey::VARCHAR) = 1 AS keeps, 1::BIGINT AS n FROM orders")
+def clashing_ids(t: Tables) -> DataFrame:
+    """Three keys and more to an id at first: the smallest keeps it, the others get new ones, and no id has two keys."""
+    plain = lambda prefix, key: F.when(key.contains("#"), names.short_id(prefix, key)).otherwise(F.concat(F.lit(prefix), (F.substring_index(key, "#", 1).cast("long") % 5000).cast("string")))
+    found = names.assigned_ids(t.orders.select(C("o_orderkey").cast("string").alias("k")), "src_", "k", make=plain)
+    owners = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(owners, "id").select(C("key").cast("long").alias("o_orderkey"), (F.length("id") < 12).alias("keeps"), "n")
+
+
 # --- monitoring ------------------------------------------------------------------------------------------------------
 
 

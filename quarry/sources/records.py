@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +106,31 @@ def save_drafts(df: DataFrame, folder: str) -> None:
     df.write.option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id", "kind").mode("overwrite").parquet(folder)
 
 
+def save_batch(tables: dict[str, DataFrame], folder: str, batch: str, manifest: DataFrame) -> None:
+    """A draft batch: <folder>/<batch>/<table> for each table, with the number of its records in the manifest (one row).
+
+    All is written beside the batch and moved there by one rename, so a batch is whole or isn't there; a batch that is saved again is replaced.
+    """
+    spark = manifest.sparkSession
+    beside = f"{folder}/.{batch}-{uuid.uuid4().hex}"
+    for table, df in tables.items():
+        df.write.parquet(f"{beside}/{table}")
+        manifest = manifest.withColumn(f"n_{table}", F.lit(spark.read.parquet(f"{beside}/{table}").count()))
+    manifest.write.parquet(f"{beside}/manifest")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(path(f"{folder}/{batch}"), True)
+    if not system.rename(path(beside), path(f"{folder}/{batch}")):
+        raise OSError(f"{beside} can't be moved to {folder}/{batch}")
+
+
+def read_batch(spark: SparkSession, folder: str, batch: str, table: str) -> DataFrame:
+    """A table of a draft batch, or its manifest; no rows for a table that the batch doesn't have."""
+    if not exists(spark, f"{folder}/{batch}/{table}"):
+        return spark.createDataFrame([], f"{SCHEMAS[table]}, {DRAFT}")
+    return spark.read.parquet(f"{folder}/{batch}/{table}")
+
+
 def archive_batch(spark: SparkSession, folder: str, batch: str, at: str) -> str:
     """Moves a batch below .archive, where scans don't look; the new place."""
     path = spark._jvm.org.apache.hadoop.fs.Path
