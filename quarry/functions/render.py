@@ -98,12 +98,13 @@ def topic_json_ld(slug: Column, name: Column, description: Column, base: str = B
     )
 
 
-def website_json_ld(name: str, description: str, base: str = BASE) -> Column:
-    publisher = F.struct(F.lit("Organization").alias("@type"), F.lit(name).alias("name"))
+def website_json_ld(name: str | Column, description: str | Column, base: str = BASE) -> Column:
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    publisher = F.struct(F.lit("Organization").alias("@type"), text(name).alias("name"))
     return F.to_json(
         F.struct(
-            F.lit("https://schema.org").alias("@context"), F.lit("WebSite").alias("@type"), F.lit(base).alias("@id"), F.lit(name).alias("name"),
-            F.lit(description).alias("description"), F.lit(base).alias("url"), publisher.alias("publisher"),
+            F.lit("https://schema.org").alias("@context"), F.lit("WebSite").alias("@type"), F.lit(base).alias("@id"), text(name).alias("name"),
+            text(description).alias("description"), F.lit(base).alias("url"), publisher.alias("publisher"),
         )
     )
 
@@ -144,6 +145,14 @@ def sitemap_index(kinds: list[str], base: str = BASE) -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="{SITEMAP}">{listed}</sitemapindex>'
 
 
+def sitemap_index_document(spark, counts: DataFrame, most: int = 50_000, base: str = BASE) -> DataFrame:
+    """The index of the sitemaps of each kind that has records (counts: kind, n); a kind of more than `most` entries has several, numbered from 1 after the first."""
+    files = counts.where("n > 0").select("kind", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))).alias("k"))
+    name = F.concat("kind", F.when(F.col("k") == 0, F.lit("")).otherwise(F.concat(F.lit("-"), F.col("k").cast("string"))))
+    line = F.concat(F.lit(f"<sitemap><loc>{base}/sitemaps/"), name, F.lit(".xml</loc></sitemap>"))
+    return document(spark, f'<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="{SITEMAP}">', files.select(F.struct("kind", "k").alias("order"), line.alias("line")), "</sitemapindex>")
+
+
 def llms_text(counts: DataFrame, title: str, about: str, base: str = BASE) -> DataFrame:
     """One row, body: what the site holds (counts: kind, n), where it is, and how its addresses are made."""
     lines = counts.agg(F.array_sort(F.collect_list(F.struct("kind", F.concat(F.lit("- "), F.col("n").cast("string"), F.lit(" "), F.col("kind")).alias("line"))))["line"].alias("lines"))

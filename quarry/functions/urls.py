@@ -41,7 +41,7 @@ def authority(url: Column) -> Column:
 
 def sorted_query(url: Column) -> Column:
     """The query with its parameters in order of their names; equal names keep their order."""
-    pairs = F.filter(F.split(F.substring(part(url, 4), 2, 1 << 20), "&"), lambda p: p != "")
+    pairs = F.filter(F.split(F.substr(part(url, 4), F.lit(2)), "&"), lambda p: p != "")
     keyed = F.transform(pairs, lambda p, i: F.struct(F.regexp_extract(p, r"^([^=]*)", 1).alias("k"), i.alias("i"), p.alias("p")))
     joined = F.array_join(F.transform(F.array_sort(keyed), lambda x: x["p"]), "&")
     return F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit("?"), joined))
@@ -97,7 +97,7 @@ def _joined(href: Column, base: Column) -> Column:
 
 def page_links(html: Column, url: Column) -> Column:
     """A struct of the distinct internal (normal form) and external links, in order."""
-    hrefs = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)href\s*=\s*[\"']([^\"'#]+)"), F.lit(1)), F.trim)
+    hrefs = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)href\s*=\s*[\"']([^\"'#]+)"), F.lit(1)), lambda h: F.trim(h))
     plain = F.filter(hrefs, lambda h: ~(h.startswith("javascript:") | h.startswith("mailto:") | h.startswith("tel:") | h.startswith("data:")))
     full = F.filter(F.transform(plain, lambda h: resolved(h, url)), lambda u: u.rlike(r"(?i)^https?://[^/?#]"))
     own = bare_host(url)
@@ -131,6 +131,14 @@ def normalized_full(url: pd.Series) -> pd.Series:
     return url.map(normalize_any, na_action="ignore")
 
 
+def host_text(url: str) -> str:
+    """The host of one URL, in lower case; empty for what is none."""
+    try:
+        return urlsplit(url).hostname or ""
+    except ValueError:
+        return ""
+
+
 def glob_pattern(glob: str) -> str:
     """A regular expression for a glob: ** is anything, * anything but a slash, ? one character but a slash."""
     out, k = "", 0
@@ -229,27 +237,52 @@ def robots_rows(text: pd.Series) -> pd.Series:
 
 
 def rule_pattern(pattern: Column) -> Column:
-    """robots_pattern of a column of patterns."""
+    """robots_pattern of a column of patterns: * is anything, a last $ the end, all else stands for itself."""
     end = pattern.endswith("$")
     body = F.when(end, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern)
-    quoted = F.array_join(F.transform(F.split(body, "\\*"), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), ".*")
-    return F.concat(F.lit("^"), quoted, F.when(end, F.lit("\\z")).otherwise(F.lit("")))
+    plain = F.regexp_replace(body, r"[\\\[\](){}+?.^$|]", r"\\$0")
+    return F.concat(F.lit("^"), F.replace(plain, F.lit("*"), F.lit(".*")), F.when(end, F.lit("\\z")).otherwise(F.lit("")))
 
 
-def robots_verdicts(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """pages (url, host and other columns) with `allowed`, by the rules of robots (host, text), one robots.txt a host.
+def robots_sites(robots: DataFrame, agent: str, configured: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """The rules that hold for the agent (host, allow, pattern), and of each host delay_ms and sitemaps; robots: host, text, one row a host.
 
-    The rules of the agent's group are rows that join on the host; a host without robots.txt, and a URL that no rule fits, is allowed.
+    The group with the longest agent name inside `agent` counts, else the first for all agents. A delay counts where it is longer than the configured one; sitemaps are
+    everybody's. A null or empty text allows all.
     """
     rows = robots.select("host", F.explode(F.pandas_udf(robots_rows, ROBOTS_ROWS)("text")).alias("r")).select("host", "r.*")
     fits = rows.withColumn("named", F.when(F.col("agent") == "*", F.lit(0)).when(F.lit(agent.lower()).contains(F.col("agent")), F.length("agent"))).where("named IS NOT NULL")
     best = fits.groupBy("host").agg(F.max_by("group", F.struct("named", -F.col("group"))).alias("group"))
-    rules = fits.join(best, ["host", "group"], "left_semi").where("pattern IS NOT NULL").select("host", "allow", "pattern").distinct()
-    rules = rules.select("host", "allow", rule_pattern(F.col("pattern")).alias("rule"), F.length(F.replace("pattern", F.lit("*"), F.lit(""))).alias("weight"))
-    per = rules.groupBy("host").agg(F.collect_list(F.struct("allow", "rule", "weight")).alias("rules"))  # a robots.txt each
-    subject = F.concat(path(F.col("url")), part(F.col("url"), 4))
-    best_of = lambda allow: F.coalesce(F.array_max(F.transform(F.filter("rules", lambda r: (r["allow"] == allow) & F.call_function("rlike", subject, r["rule"])), lambda r: r["weight"])), F.lit(-1))
-    return pages.join(per, "host", "left").withColumn("allowed", F.coalesce(best_of(True) >= best_of(False), F.lit(True))).drop("rules")
+    own = fits.join(best, ["host", "group"], "left_semi")
+    delays = own.groupBy("host").agg(F.max("delay").alias("delay"))
+    lines = F.regexp_extract_all(F.regexp_replace("text", r"#[^\n]*", ""), F.lit(r"(?im)^[ \t]*sitemap[ \t]*:([^\n]*)$"), F.lit(1))
+    maps = F.coalesce(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+    longer = F.greatest(F.lit(configured), F.floor(F.coalesce("delay", F.lit(0.0)) * 1000).cast("int"))
+    sites = robots.select("host", maps.alias("sitemaps")).join(delays, "host", "left").select("host", longer.alias("delay_ms"), "sitemaps")
+    return own.where("pattern IS NOT NULL").select("host", "allow", "pattern").distinct(), sites
+
+
+def rule_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """pages (url, host and other columns) with `allowed`, by rules (host, allow, pattern).
+
+    The rule with the most characters besides * that fits decides; allow wins ties; no rule allows; what is no URL is denied. A rule is a row of its literal beginning, and a URL's beginnings, of the lengths
+    that its host's rules have, are joined with them; only rules with a * or a last $ are then tried as expressions. So a host's many rules are looked up, not scanned.
+    """
+    first = F.regexp_extract("pattern", r"^([^*]*?)(?=\*|\$\z|\z)", 1)
+    rows = rules.where("pattern <> ''").select("host", "allow", first.alias("_begin"), F.when(F.length(first) < F.length("pattern"), rule_pattern(F.col("pattern"))).alias("_regex"), F.length(F.replace("pattern", F.lit("*"), F.lit(""))).alias("_weight"))
+    lengths = rows.groupBy("host").agg(F.collect_set(F.length("_begin")).alias("_lengths"))  # no more than the longest rule has characters
+    asked = pages.select("host", "url").where("url IS NOT NULL").distinct().withColumn("_subject", F.concat(path(F.col("url")), part(F.col("url"), 4)))
+    begun = asked.join(lengths, "host").select("host", "url", "_subject", F.explode(F.filter("_lengths", lambda n: n <= F.length("_subject"))).alias("_n"))
+    begun = begun.withColumn("_begin", F.left("_subject", F.col("_n")))
+    fits = begun.join(rows, ["host", "_begin"]).where(F.col("_regex").isNull() | F.call_function("rlike", F.col("_subject"), F.col("_regex")))
+    best = fits.groupBy("host", "url").agg(F.max(F.struct("_weight", "allow"))["allow"].alias("allowed"))
+    is_url = F.coalesce(F.col("url").rlike(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]"), F.lit(False))
+    return pages.join(best, ["host", "url"], "left").withColumn("allowed", is_url & F.coalesce("allowed", F.lit(True))).select(*pages.columns, "allowed")
+
+
+def robots_verdicts(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """pages (url, host and other columns) with `allowed`, by robots (host, text), one robots.txt a host; a host without one allows all."""
+    return rule_verdicts(pages, robots_sites(robots, agent)[0])
 
 
 def robots_allowed(url: Column, rules: list[tuple[bool, str]]) -> Column:

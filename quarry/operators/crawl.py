@@ -8,8 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import urls
-from quarry.sources.shared import new_folder
+from quarry.functions import text, urls
+from quarry.sources.shared import new_folder, written
 
 TYPES = ["homepage", "about", "team", "product", "news", "contact", "legal", "other"]
 
@@ -55,6 +55,7 @@ class CrawlConfig:
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     respect_robots: bool = True
+    started: str = ""
 
     @classmethod
     def of(cls, seed: str, **given) -> CrawlConfig:
@@ -65,12 +66,29 @@ class CrawlConfig:
         """With the robots.txt's delay where it is longer."""
         return replace(self, delay_ms=urls.crawl_delay_ms(urls.parse_robots(text), self.agent, self.delay_ms)) if self.respect_robots else self
 
+    def crawl_id(self) -> str:
+        """The folder's name for what this crawl gives: by its seed's host and, where it is told, its time."""
+        return f"{urls.host_text(self.seed)}_{self.started}" if self.started else urls.host_text(self.seed)
+
     def allows(self, url: Column, robots: str) -> Column:
         group = urls.robots_group(urls.parse_robots(robots), self.agent) if self.respect_robots else None
         rules = group["rules"] if group else []
         return urls.robots_allowed(url, rules) & urls.glob_allowed(url, list(self.include), list(self.exclude))
 
 
+def completed_configs(crawls: DataFrame) -> DataFrame:
+    """crawls (seed and any of a configuration's fields) with every field, the usual value where it is null or isn't there; others of its columns stay."""
+    usual = CrawlConfig("")
+    out = crawls
+    for name in ("max_pages", "max_depth", "delay_ms", "timeout_ms", "agent", "respect_robots"):
+        value = F.lit(getattr(usual, name))
+        out = out.withColumn(name, F.coalesce(F.col(name), value) if name in crawls.columns else value)
+    for name in ("include", "exclude"):
+        none = F.array().cast("array<string>")
+        out = out.withColumn(name, F.coalesce(F.col(name), none) if name in crawls.columns else none)
+    return out
+
+
 def error_status(error: Column) -> Column:
     """A status code for the text of an error."""
     out = F.when(error.contains("404"), 404)
@@ -91,6 +109,9 @@ def crawl(spark: SparkSession, pages: DataFrame, config: CrawlConfig, robots: st
     ends it after so many more.
     """
     folder = folder or new_folder(spark, "crawl")
+    # a URL that is recorded twice is one page: one that was fetched, if there is any
+    first = F.struct(F.col("error").isNotNull(), F.coalesce("error", F.lit("")), "links")
+    pages = pages.groupBy("url").agg(F.min_by(F.struct("error", "links"), first).alias("r")).select("url", "r.*")
     done, last = _levels(spark, folder), -1
     if done:
         last = max(done)
@@ -120,6 +141,100 @@ def crawl(spark: SparkSession, pages: DataFrame, config: CrawlConfig, robots: st
     return spark.read.schema(STATE).parquet(*[f"{folder}/level{d}" for d in done]) if done else spark.createDataFrame([], STATE)
 
 
+RUN_STATE = "url string, depth int, place array<int>, status int, ok boolean, error string, final_url string"
+#: URLs that a level asks for beyond those that the page limit still allows, in case some fail.
+SPARE = 32
+
+
+def crawl_run(spark: SparkSession, config: CrawlConfig, fetch: Callable[[DataFrame], DataFrame], folder: str, completed: str | None = None, levels: int | None = None) -> DataFrame:
+    """A crawl from its seed to stored pages and a manifest below folder; what it visited, as RUN_STATE.
+
+    fetch takes requests (url) and gives url, status, body, error, final_url and ms, a row for each; see `connectors.replay` and `connectors.live`. A level at a time: the robots.txt of hosts that are new are fetched, URLs that the rules or
+    the configuration forbid are passed over, the others are fetched in the order of the pages that link to them and of their links, and the pages' links make the next level. Failed pages
+    are kept with their error. The crawl ends with max_pages pages that were fetched, or max_depth levels.
+
+    Each level is written once: `level<d>` (state), `pages<d>` (html, text, metadata, links) and `hosts<d>` (robots text, delay, sitemaps); a call with a folder that has levels goes on after the last whole one, and only its pages and the
+    URLs of the others are read. `levels` ends the call after so many more.
+    """
+    done = _levels(spark, folder)
+    last = max(done, default=-1)
+    fetched = _state(spark, folder, done).where("ok").count()
+    for depth in range(last + 1, config.max_depth + 1 if levels is None else min(config.max_depth, last + levels) + 1):
+        if fetched >= config.max_pages:
+            break
+        if depth == 0:
+            queue = spark.createDataFrame([(config.seed, [0])], "url string, place array<int>").select(urls.normalized(F.col("url")).alias("url"), "place")
+        else:
+            parents = spark.read.parquet(f"{folder}/pages{depth - 1}").where("status = 200")
+            found = parents.select("place", F.posexplode("internal").alias("at", "url")).select("url", F.concat("place", F.array("at")).alias("place"))
+            queue = found.groupBy("url").agg(F.min("place").alias("place")).join(_state(spark, folder, done).select("url"), "url", "left_anti")
+        queue = written(_permitted(spark, config, queue, fetch, folder, depth, done), "queue")
+        got, after = None, None
+        while fetched < config.max_pages:
+            part = (queue if after is None else queue.where(F.col("place") > F.lit(after))).orderBy("place").limit(config.max_pages - fetched + SPARE)  # bounded by the page limit
+            part = written(part, "part")
+            if part.isEmpty():
+                break
+            pages = written(part.join(fetch(part.select("url")), "url"), "fetched")
+            ok = [r["place"] for r in pages.where("error IS NULL").orderBy("place").select("place").limit(config.max_pages - fetched).collect()]
+            if len(ok) == config.max_pages - fetched:
+                pages = pages.where(F.col("place") <= F.lit(ok[-1]))
+            fetched, after = fetched + len(ok), part.agg(F.max("place")).first()[0]
+            got = pages if got is None else got.unionByName(pages)
+        got = spark.createDataFrame([], "url string, place array<int>, status int, body string, error string, final_url string, ms long") if got is None else got
+        _page_rows(got, depth).write.mode("overwrite").parquet(f"{folder}/pages{depth}")
+        status = F.when(F.col("error").isNull(), 200).otherwise(F.when(F.col("status") > 0, F.col("status")).otherwise(error_status(F.col("error"))))
+        state = got.select("url", F.lit(depth).alias("depth"), "place", status.alias("status"), F.col("error").isNull().alias("ok"), "error", "final_url")
+        state.write.mode("overwrite").parquet(f"{folder}/level{depth}")
+        done.append(depth)
+        if state.isEmpty():
+            break
+    visited = _state(spark, folder, done)
+    pages = _read_levels(spark, folder, "pages", done)
+    if pages is not None:
+        entries = pages.select("urlHash", "url", "status", "type", F.col("metadata.title").alias("title"), "depth", "bytes", "ms")
+        site = manifest(entries, urls.host_text(config.seed), config.crawl_id(), completed)
+        errors = visited.where("NOT ok").agg(F.array_sort(F.collect_list(F.struct("url", "error", "status"))).alias("errors"))  # bounded like the pages
+        site.join(errors).write.mode("overwrite").parquet(f"{folder}/manifest")  # one row each
+    return visited
+
+
+def _read_levels(spark: SparkSession, folder: str, name: str, depths: list[int]) -> DataFrame | None:
+    return spark.read.parquet(*[f"{folder}/{name}{d}" for d in depths]) if depths else None
+
+
+def _state(spark: SparkSession, folder: str, depths: list[int]) -> DataFrame:
+    return spark.read.schema(RUN_STATE).parquet(*[f"{folder}/level{d}" for d in depths]) if depths else spark.createDataFrame([], RUN_STATE)
+
+
+def _permitted(spark: SparkSession, config: CrawlConfig, queue: DataFrame, fetch: Callable[[DataFrame], DataFrame], folder: str, depth: int, done: list[int]) -> DataFrame:
+    """The URLs of queue that the hosts' robots.txt and the configuration permit; hosts<depth> gets the hosts that are new."""
+    kept = queue.where(urls.glob_allowed(F.col("url"), list(config.include), list(config.exclude))).withColumn("host", urls.host(F.col("url")))
+    if not config.respect_robots:
+        return kept.drop("host")
+    sites = kept.groupBy("host").agg(F.min(F.concat(urls.part(F.col("url"), 1), F.lit("://"), urls.part(F.col("url"), 2), F.lit("/robots.txt"))).alias("url"))
+    old = _read_levels(spark, folder, "hosts", done)
+    if old is not None:
+        sites = sites.join(old.select("host"), "host", "left_anti")
+    got = sites.join(fetch(sites.select("url")), "url").select("host", F.when(F.col("error").isNull(), F.coalesce("body", F.lit(""))).otherwise("").alias("text"))
+    texts = written(got, "robots")
+    texts.join(urls.robots_sites(texts, config.agent, config.delay_ms)[1], "host").write.mode("overwrite").parquet(f"{folder}/hosts{depth}")
+    known = _read_levels(spark, folder, "hosts", [*done, depth]).select("host", "text")
+    return urls.robots_verdicts(kept, known, config.agent).where("allowed").drop("host", "allowed")
+
+
+def _page_rows(got: DataFrame, depth: int) -> DataFrame:
+    """What is kept of each page that was fetched, or tried: its parts are those of an empty page if it failed."""
+    html, url = F.coalesce("body", F.lit("")), F.col("url")
+    links = urls.page_links(html, url)
+    meta = text.page_metadata(html)
+    kind = F.when(F.col("error").isNull(), text.page_type(urls.path(url), text.page_title(html), text.meta_content(html, "og:type"))).otherwise("other")
+    return got.select(
+        urls.url_hash(url).alias("urlHash"), "url", "place", F.when(F.col("error").isNull(), 200).otherwise(F.col("status")).alias("status"), kind.alias("type"), meta.alias("metadata"), html.alias("html"), text.clean_text(html).alias("text"),
+        links.alias("links"), text.json_ld(html).alias("jsonLd"), F.lit(depth).alias("depth"), F.octet_length(html).cast("long").alias("bytes"), "ms", "error", "final_url",
+    ).select("*", "links.internal", "links.external").drop("links")
+
+
 def _levels(spark: SparkSession, folder: str) -> list[int]:
     """Depths whose level was written to its end."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)

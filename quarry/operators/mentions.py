@@ -62,7 +62,7 @@ def parse_chatgpt(content: Column) -> Column:
     """answer: the response text, else the text deltas of the event stream's data lines, else answer or response. There are no sources."""
     base = F.from_json(content, "response_text string, raw_response array<string>, answer string, response string")
     lines = F.filter(F.coalesce(base["raw_response"], F.array().cast("array<string>")), lambda x: x.startswith("data: ") & (x != "data: [DONE]"))
-    data = F.transform(lines, lambda x: F.substring(x, 7, 1 << 20))
+    data = F.transform(lines, lambda x: F.substr(x, F.lit(7)))
     parts = F.transform(data, lambda x: F.when(F.get_json_object(x, "$.v.message.author.role") == "assistant", F.array_join(F.from_json(F.get_json_object(x, "$.v.message.content.parts"), "array<string>"), "")).when(F.get_json_object(x, "$.v.message").isNull() & ~F.coalesce(F.get_json_object(x, "$.v"), F.lit("{")).startswith("{"), F.get_json_object(x, "$.v")).otherwise(""))
     return F.struct(_first_text(base["response_text"], F.array_join(parts, ""), base["answer"], base["response"]).alias("answer"), F.from_json(F.lit("[]"), "array<struct<title:string,url:string>>").alias("sources"))
 
@@ -90,12 +90,12 @@ def parse_note(text: Column) -> Column:
     starts = lambda x, p: F.lower(x).startswith(p)
     safe = lambda xs: F.when(F.size(xs) > 0, xs)
     heads = F.filter(lines, lambda x: x.startswith("# "))
-    first = F.array_position(F.transform(lines, lambda x: x.startswith("# ") & (F.trim(F.substring(x, 3, 1 << 20)) != "")), F.lit(True))
+    first = F.array_position(F.transform(lines, lambda x: x.startswith("# ") & (F.trim(F.substr(x, F.lit(3))) != "")), F.lit(True))
     after = F.when(first > 0, F.slice(lines, first.cast("int") + 1, F.greatest(F.size(lines), F.lit(1))))
     rest = F.filter(after, lambda x: ~(x.startswith("# ") | starts(x, "source:") | starts(x, "quote:")))
     return F.struct(
-        F.trim(F.substring(last(safe(heads)), 3, 1 << 20)).alias("title"),
+        F.trim(F.substr(last(safe(heads)), F.lit(3))).alias("title"),
         F.coalesce(F.trim(F.get(rest, F.lit(0))), F.lit("")).alias("statement"),
-        F.trim(F.substring(last(safe(F.filter(lines, lambda x: starts(x, "source:")))), 8, 1 << 20)).alias("source"),
-        F.regexp_replace(F.trim(F.substring(last(safe(F.filter(lines, lambda x: starts(x, "quote:")))), 7, 1 << 20)), r"^[\"']|[\"']\z", "").alias("quote"),
+        F.trim(F.substr(last(safe(F.filter(lines, lambda x: starts(x, "source:")))), F.lit(8))).alias("source"),
+        F.regexp_replace(F.trim(F.substr(last(safe(F.filter(lines, lambda x: starts(x, "quote:")))), F.lit(7))), r"^[\"']|[\"']\z", "").alias("quote"),
     )

@@ -14,7 +14,7 @@ from quarry.operators import corpus, crawl, drafts, extraction, ingest, mentions
 from quarry.plans import example_config, views
 from quarry.plans import record_views as made
 from quarry.plans.catalog import _CHECKS, _DAILY, _DRAFT, _HOST, _MOVES, _PATH, _RANK, _VISITS, S, Tables, _checks, _daily, _drafts, _quoted, _visits, norm_sql, query
-from quarry.sources import connectors, records
+from quarry.sources import connectors, documents, records
 from quarry.sources.shared import new_folder
 from quarry.sources.store import RecordStore
 from quarry.streaming import visits
@@ -372,13 +372,107 @@ def robots_by_host(t: Tables) -> DataFrame:
     return urls.robots_verdicts(pages, connectors.robots_fetch(t.pages.select("url"), rec), "quarry/1.0").select("page_id", "allowed")
 
 
-@query("SELECT * FROM (VALUES ('a', 2000, 'https://e.org/s.xml'), ('b', 1000, ''), ('c', 1500, '')) v(agent, delay_ms, sitemaps)")
+@query(f"""SELECT DISTINCT host, CASE length(host) % 4 WHEN 0 THEN 2000 WHEN 1 THEN 1500 ELSE 1000 END AS delay_ms, CASE length(host) % 4 WHEN 0 THEN 'https://' || host || '/s.xml,second' ELSE '' END AS sitemaps FROM (SELECT {_HOST} AS host FROM pages)""")
 def crawl_delays(t: Tables) -> DataFrame:
-    """A delay counts where it is longer than the configured second; `2s` is 2, a negative one and none don't count."""
-    body = "Sitemap: https://e.org/s.xml\nUser-agent: a\nCrawl-delay: 2s\nUser-agent: b\nCrawl-delay: -3\nDisallow: /x\nUser-agent: c\nCrawl-delay: 1.5 # seconds\n"
-    groups = urls.parse_robots(body)
-    rows = [(a, urls.crawl_delay_ms(groups, a, 1000), ",".join(urls.robots_sitemaps(body)) if a == "a" else "") for a in "abc"]
-    return t.spark.createDataFrame(rows, "agent string, delay_ms int, sitemaps string")
+    """A host's delay counts where it is longer than the configured second: `2s` is 2 seconds, 1.5 counts, a negative one and none don't. Sitemaps are listed in order."""
+    quarry.ship(t.spark)
+    hosts = t.pages.select(urls.host(C("url")).alias("host")).distinct()
+    kind = F.length("host") % 4
+    listed = F.concat(F.lit("Sitemap: https://"), "host", F.lit("/s.xml\nUser-agent: quarry\nCrawl-delay: 2s\n  sitemap :second # last\nsitemap:\n"))
+    text_ = F.when(kind == 0, listed).when(kind == 1, "User-agent: *\nCrawl-delay: 1.5 # seconds").when(kind == 2, "User-agent: *\nCrawl-delay: -3\nDisallow: /x")
+    return urls.robots_sites(hosts.withColumn("text", text_), "quarry/1.0")[1].select("host", "delay_ms", F.array_join("sitemaps", ",").alias("sitemaps"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, '/d/' || l_orderkey || '/' || l_linenumber AS subject FROM lineitem), r AS (SELECT '/d/' || o_orderkey AS p, o_custkey % 2 = 0 AS allow FROM orders WHERE o_orderkey % 3 <> 0)
+ SELECT s.l_orderkey, s.l_linenumber, coalesce(arg_max(r.allow, length(r.p)), true) AS allowed FROM s LEFT JOIN (SELECT l_orderkey, l_linenumber, substr(subject, 1, unnest(range(1, length(subject) + 1))) AS p FROM s) b USING (l_orderkey, l_linenumber) LEFT JOIN r USING (p) GROUP BY ALL""")
+def robots_many_rules(t: Tables) -> DataFrame:
+    """One host with a rule for two of three orders, and a URL for every line: /d/12 also fits what begins with /d/123."""
+    rules = t.orders.where("o_orderkey % 3 <> 0").select(F.lit("e.org").alias("host"), (C("o_custkey") % 2 == 0).alias("allow"), made.named("/d/", C("o_orderkey")).alias("pattern"))
+    pages = t.lineitem.select("l_orderkey", "l_linenumber", F.lit("e.org").alias("host"), F.concat(F.lit("https://e.org/d/"), C("l_orderkey").cast("string"), F.lit("/"), C("l_linenumber").cast("string")).alias("url"))
+    return urls.rule_verdicts(pages, rules).select("l_orderkey", "l_linenumber", "allowed")
+
+
+@query("SELECT page_id, page_id % 6 NOT IN (0, 2, 5) AS allowed FROM pages")
+def robots_plain_text(t: Tables) -> DataFrame:
+    """Characters of expressions stand for themselves in a rule; * and a last $ don't."""
+    subject = F.element_at(F.array(*map(F.lit, ["/a\\E(/x", "/a\\Exx", "/q?x=[1]", "/q?x=1", "/end$", "/end"])), (C("page_id") % 6 + 1).cast("int"))
+    rules = t.spark.createDataFrame([("e.org", False, p) for p in ("/a\\E(", "/q?x=[1]", "/end$", "/*\\E$")], "host string, allow boolean, pattern string")
+    pages = t.pages.select("page_id", F.lit("e.org").alias("host"), F.concat(F.lit("https://e.org"), subject, F.lit("")).alias("url"))
+    return urls.rule_verdicts(pages, rules).select("page_id", "allowed")
+
+
+_CHAINS = "SELECT page_id, page_id // 7 AS block, page_id % 7 AS k, page_id - page_id % 7 AS first FROM pages"
+
+
+@query(f"SELECT page_id, CASE WHEN block % 5 = 4 AND k > 0 THEN 'too many redirects' WHEN block % 3 = 1 THEN 'HTTP 404' END AS error, CASE WHEN NOT (block % 5 = 4 AND k > 0) AND block % 3 <> 1 THEN md5((SELECT html FROM pages p WHERE p.page_id = c.first)) END AS body_md5 FROM ({_CHAINS}) c")
+def redirected_fetch(t: Tables) -> DataFrame:
+    """Chains of up to six redirects to the first of seven pages; in every fifth block they run in a circle."""
+    k, block = C("page_id") % 7, F.floor(C("page_id") / 7)
+    own = lambda d: F.concat(F.lit("https://e.org/c/"), d.cast("string"))
+    before = F.when((block % 5 == 4) & (k == 1), C("page_id") + 5).otherwise(C("page_id") - 1)
+    status = F.when(k > 0, 302).when(block % 3 == 1, 404).otherwise(200)
+    rec = t.pages.select(own(C("page_id")).alias("url"), status.alias("status"), F.when(k > 0, F.concat(F.lit("../c/./"), before.cast("string"))).alias("location"), F.when(k == 0, C("html")).alias("body"))
+    ask = t.pages.select("page_id", own(C("page_id")).alias("url"))
+    got = connectors.replay(rec.unionByName(rec.where("status = 200")))(ask)  # some are recorded twice
+    return ask.join(got, "url").select("page_id", "error", F.md5("body").alias("body_md5"))
+
+
+_TREE_NAV = "'<a href=\"/p/' || (2 * k + 1) || '\">1</a><a href=\"/lost/' || k || '\">2</a><a href=''./' || (2 * k + 2) || '#x''>3</a><a href=\"/private/' || k || '\">4</a>'"
+_TREE = f"""page AS (SELECT page_id AS k, {_TREE_NAV} || replace(html, 'href', 'hfer') AS html, CASE WHEN page_id % 17 = 5 THEN 404 WHEN page_id % 25 = 7 THEN 0 ELSE 200 END AS status FROM (SELECT *, page_id AS k FROM pages)),
+ link AS (SELECT k AS src, 2 * k + 1 AS dst, 0 AS at FROM page UNION ALL SELECT k, -1 - k, 1 FROM page UNION ALL SELECT k, 2 * k + 2, 2 FROM page),
+ reach(k, depth, place) AS (SELECT 0::BIGINT, 0, [0] UNION ALL SELECT l.dst, r.depth + 1, list_append(r.place, l.at) FROM reach r JOIN page p ON p.k = r.k AND p.status = 200 JOIN link l ON l.src = r.k WHERE r.depth < 6),
+ tried AS (SELECT r.k, r.depth, r.place, coalesce(p.status, 0) AS status, p.html FROM reach r LEFT JOIN page p USING (k)),
+ counted AS (SELECT *, coalesce(sum(CASE WHEN status = 200 THEN 1 ELSE 0 END) OVER (ORDER BY depth, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tried),
+ run AS (SELECT * FROM counted WHERE before < 50)"""
+
+
+def _tree_recording(t: Tables) -> DataFrame:
+    """Pages as a site: page k links to 2k+1, a lost page, 2k+2 and a private one. Every tenth is reached over two redirects, some redirect to themselves, some fail."""
+    k = C("page_id")
+    nav = F.format_string("<a href=\"/p/%d\">1</a><a href=\"/lost/%d\">2</a><a href='./%d#x'>3</a><a href=\"/private/%d\">4</a>", 2 * k + 1, k, 2 * k + 2, k)
+    at = lambda kind: F.concat(F.lit(f"https://site.org/{kind}/"), k.cast("string"))
+    ok, none = (k % 17 != 5) & (k % 25 != 7), F.lit(None).cast("string")
+    row = lambda url, status, location, body: F.struct(url.alias("url"), status.alias("status"), location.alias("location"), body.alias("body"))
+    own = F.concat(nav, F.replace("html", F.lit("href"), F.lit("hfer")))
+    moved = k % 10 == 4
+    first = row(at("p"), F.when(k % 17 == 5, 404).when(~ok | moved, 301).otherwise(200), F.when(ok, at("hop")).otherwise(at("p")), F.when(ok & ~moved, own))
+    hops = [row(at("hop"), F.lit(302), F.concat(F.lit("../moved/"), k.cast("string")), none), row(at("moved"), F.lit(200), none, own)]
+    rows = t.pages.select(F.explode(F.when(moved & ok, F.array(first, *hops)).otherwise(F.array(first))).alias("r")).select("r.*")
+    robots = t.spark.createDataFrame([("https://site.org/robots.txt", 200, None, "User-agent: *\nDisallow: /private/\nCrawl-delay: 2\nSitemap: https://site.org/s.xml")], "url string, status int, location string, body string")
+    return rows.unionByName(robots)
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT CASE WHEN k < 0 THEN 'https://site.org/lost/' || (-1 - k) ELSE 'https://site.org/p/' || k END AS url, depth, status, CASE WHEN status = 200 THEN strlen(html) ELSE 0 END AS bytes, CASE WHEN status = 200 THEN md5(html) ELSE md5('') END AS html_md5 FROM run")
+def crawl_site(t: Tables) -> DataFrame:
+    """A crawl from raw html, stopped after two levels and taken up again: robots, redirects, lost pages, a page limit in the middle of a level."""
+    quarry.ship(t.spark)
+    config, folder = crawl.CrawlConfig.of("https://site.org/p/0", max_pages=50, max_depth=6), new_folder(t.spark, "crawl-run")
+    fetch = connectors.replay(_tree_recording(t))
+    for levels in (2, None):
+        found = crawl.crawl_run(t.spark, config, fetch, folder, levels=levels)
+    pages = t.spark.read.parquet(*[f"{folder}/pages{d}" for d in range(found.agg(F.max("depth")).first()[0] + 1)])
+    return pages.select("url", "depth", "status", "bytes", F.md5("html").alias("html_md5"))
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT 'site.org' AS domain, 'site.org_20260101_000000' AS crawl_id, 'completed' AS status, count(*) FILTER (status = 200) AS pages_ok, count(*) FILTER (status <> 200) AS pages_failed, sum(strlen(html)) FILTER (status = 200)::BIGINT AS total_bytes, (count(*) FILTER (status = 200))::INT AS listed, (count(*) FILTER (status <> 200))::INT AS errors, 2000 AS delay_ms FROM run")
+def crawl_site_manifest(t: Tables) -> DataFrame:
+    quarry.ship(t.spark)
+    config, folder = crawl.CrawlConfig.of("https://site.org/p/0", max_pages=50, max_depth=6, started="20260101_000000"), new_folder(t.spark, "crawl-run")
+    crawl.crawl_run(t.spark, config, connectors.replay(_tree_recording(t)), folder, "2026-01-02T00:00:00.000Z")
+    hosts = t.spark.read.parquet(f"{folder}/hosts0").select(C("host").alias("domain"), "delay_ms")
+    m = t.spark.read.parquet(f"{folder}/manifest").join(hosts, "domain")
+    return m.select("domain", C("crawlId").alias("crawl_id"), "status", "stats.pages_ok", "stats.pages_failed", "stats.total_bytes", F.size("pages").alias("listed"), F.size("errors").alias("errors"), "delay_ms")
+
+
+@query(f"SELECT page_id, {norm_sql('url')} AS full_form FROM pages")
+def url_full_forms(t: Tables) -> DataFrame:
+    """Other ways to write the pages' URLs, by turns: an upper-case scheme and host, a port, dot segments, a fragment, an escaped letter. The full form undoes them all."""
+    quarry.ship(t.spark)
+    url, site = C("url"), F.concat(urls.part(C("url"), 1), F.lit("://"), urls.part(C("url"), 2))
+    rest = F.substr("url", F.length(site) + 1)
+    port = F.when(url.startswith("https"), ":443").otherwise(":80")
+    ways = [url, F.concat(F.upper(site), rest), F.concat(site, port, rest), F.concat(site, F.lit("/./x/.."), rest), F.concat(site, F.lit("/a/b/../.."), rest), F.concat(F.lit(" "), F.substring_index(url, "#", 1), F.lit("#other "))]
+    return t.pages.select("page_id", urls.normalized_full(F.get(F.array(*ways), (C("page_id") % len(ways)).cast("int"))).alias("full_form"))
 
 
 def _linked(t: Tables) -> DataFrame:
@@ -894,12 +988,13 @@ def store_reads(t: Tables) -> DataFrame:
     return out
 
 
-@query("SELECT * FROM (VALUES ('given', 7, 3, 1000, true), ('plain', 50, 3, 1000, true), ('rude', 50, 0, 250, false)) v(name, max_pages, max_depth, delay_ms, respect_robots)")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::INT ELSE 50 END AS max_pages, 3 AS max_depth, CASE WHEN s_suppkey % 3 = 0 THEN 250 ELSE 1000 END AS delay_ms, 30000 AS timeout_ms, s_suppkey % 5 <> 0 AS respect_robots, CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 0 END AS n_exclude FROM supplier")
 def config_defaults(t: Tables) -> DataFrame:
-    """Values that aren't given, or are given as none, are the usual ones."""
-    made_ = {"given": crawl.CrawlConfig.of("s", max_pages=7, max_depth=None), "plain": crawl.CrawlConfig.of("s"), "rude": crawl.CrawlConfig.of("s", max_depth=0, delay_ms=250, respect_robots=False)}
-    rows = [(k, c.max_pages, c.max_depth, c.delay_ms, c.respect_robots) for k, c in made_.items()]
-    return t.spark.createDataFrame(rows, "name string, max_pages int, max_depth int, delay_ms int, respect_robots boolean")
+    """A table of crawls: values that are null, and fields that it doesn't have, are the usual ones."""
+    k = C("s_suppkey")
+    given = t.supplier.select("s_suppkey", F.when(k % 2 == 0, k.cast("int")).alias("max_pages"), F.when(k % 3 == 0, 250).alias("delay_ms"), F.when(k % 5 == 0, False).alias("respect_robots"), F.when(k % 7 == 0, F.array(F.lit("/x/**"))).alias("exclude"))
+    found = crawl.completed_configs(given)
+    return found.select("s_suppkey", "max_pages", "max_depth", "delay_ms", "timeout_ms", "respect_robots", F.size("exclude").alias("n_exclude"))
 
 
 @query("SELECT event_id, strftime(CASE WHEN ts <= m THEN m ELSE m + INTERVAL 7 DAY END, '%Y-%m-%d %H:%M') AS next_run FROM (SELECT event_id, ts, date_trunc('day', ts) + ((8 - dayofweek(ts)) % 7)::INT * INTERVAL 1 DAY + INTERVAL 9 HOUR AS m FROM events)")
@@ -916,9 +1011,9 @@ def topic_jsonld(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", render.topic_json_ld(made.named("p", C("p_partkey")), C("p_name"), C("p_brand")).alias("json"))
 
 
-@query(f"SELECT '<script type=\"application/ld+json\">{{\"@context\":\"https://schema.org\",\"@type\":\"WebSite\",\"@id\":\"{render.BASE}\",\"name\":\"corpus\",\"description\":\"about\",\"url\":\"{render.BASE}\",\"publisher\":{{\"@type\":\"Organization\",\"name\":\"corpus\"}}}}</script>' AS tag")
+@query(f"SELECT c_custkey, '<script type=\"application/ld+json\">{{\"@context\":\"https://schema.org\",\"@type\":\"WebSite\",\"@id\":\"{render.BASE}\",\"name\":\"' || c_name || '\",\"description\":\"' || c_mktsegment || '\",\"url\":\"{render.BASE}\",\"publisher\":{{\"@type\":\"Organization\",\"name\":\"' || c_name || '\"}}}}</script>' AS tag FROM customer")
 def website_jsonld(t: Tables) -> DataFrame:
-    return t.spark.range(1).select(render.script_tag(render.website_json_ld("corpus", "about")).alias("tag"))
+    return t.customer.select("c_custkey", render.script_tag(render.website_json_ld(C("c_name"), C("c_mktsegment"))).alias("tag"))
 
 
 @query(f"""SELECT 0 AS place, '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>T</title><link>{render.BASE}</link><description>D</description><language>en-us</language><lastBuildDate>Thu, 01 Jan 2026 00:00:00 GMT</lastBuildDate><atom:link href="{render.BASE}/rss.xml" rel="self" type="application/rss+xml"/>' AS line
@@ -936,9 +1031,26 @@ def sitemap_document(t: Tables) -> DataFrame:
     return render.sitemap_document(t.spark, "sources", entries).orderBy("place", "order").select("place", "line")
 
 
-@query(f"SELECT '<?xml version=\"1.0\" encoding=\"UTF-8\"?><sitemapindex xmlns=\"{render.SITEMAP}\"><sitemap><loc>{render.BASE}/sitemaps/claims.xml</loc></sitemap><sitemap><loc>{render.BASE}/sitemaps/topics.xml</loc></sitemap></sitemapindex>' AS body")
+_KINDS = "SELECT 'claims' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'entities', count(*) FROM customer UNION ALL SELECT 'sources', count(*) FROM supplier UNION ALL SELECT 'topics', count(*) FROM part"
+
+
+@query(f"""SELECT 0 AS place, '<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="{render.SITEMAP}">' AS line
+ UNION ALL SELECT 1, '<sitemap><loc>{render.BASE}/sitemaps/' || kind || CASE WHEN k = 0 THEN '' ELSE '-' || k END || '.xml</loc></sitemap>' FROM (SELECT kind, unnest(range((n + 99) // 100)) AS k FROM ({_KINDS})) UNION ALL SELECT 2, '</sitemapindex>'""")
 def sitemap_index(t: Tables) -> DataFrame:
-    return t.spark.range(1).select(F.lit(render.sitemap_index(["claims", "topics"])).alias("body"))
+    """Sitemaps of at most a hundred entries each."""
+    return render.sitemap_index_document(t.spark, views.counts(made.corpus(t)), 100).select("place", "line")
+
+
+@query(f"""SELECT '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>T</title><link>{render.BASE}</link><description>D</description><language>en-us</language><lastBuildDate>Thu, 01 Jan 2026 00:00:00 GMT</lastBuildDate><atom:link href="{render.BASE}/rss.xml" rel="self" type="application/rss+xml"/>' || chr(10)
+ || (SELECT string_agg('<item><title>Order ' || o_orderkey || '</title><link>{render.BASE}/claims/' || o_orderkey || '</link><guid isPermaLink="true">{render.BASE}/claims/' || o_orderkey || '</guid><description>' || o_orderpriority || '</description><pubDate>' || strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate><category>x</category></item>' || chr(10), '' ORDER BY o_orderdate DESC, o_orderkey) FROM orders) || '</channel></rss>' || chr(10) AS body""")
+def rss_file(t: Tables) -> DataFrame:
+    """The feed as one file, written twice and read back."""
+    item = render.rss_item(C("o_orderkey").cast("string"), made.named("Order ", C("o_orderkey")), C("o_orderpriority"), F.lit("x"), C("o_orderdate"))
+    items = t.orders.select(F.struct(-F.unix_micros(C("o_orderdate").cast("timestamp")), "o_orderkey").alias("order"), item.alias("line"))
+    path = f"{new_folder(t.spark, 'feeds')}/rss.xml"
+    for rows in (items.limit(3), items):
+        documents.write_document(render.rss_document(t.spark, rows, "T", "D", "Thu, 01 Jan 2026 00:00:00 GMT"), path)
+    return t.spark.read.text(path, wholetext=True).select(C("value").alias("body"))
 
 
 @query("SELECT chr(10) || '- ' || (SELECT count(*) FROM orders) || ' claims' || chr(10) || '- ' || (SELECT count(*) FROM customer) || ' entities' || chr(10) || '- ' || (SELECT count(*) FROM supplier) || ' sources' || chr(10) || '- ' || (SELECT count(*) FROM part) || ' topics' || chr(10) AS counted, '# corpus' AS head")
