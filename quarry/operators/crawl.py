@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text, urls
-from quarry.sources.shared import new_folder, written
+from quarry.sources.shared import exists, new_folder, written
 
 TYPES = ["homepage", "about", "team", "product", "news", "contact", "legal", "other"]
 
@@ -141,6 +141,7 @@ def crawl(spark: SparkSession, pages: DataFrame, config: CrawlConfig, robots: st
     return spark.read.schema(STATE).parquet(*[f"{folder}/level{d}" for d in done]) if done else spark.createDataFrame([], STATE)
 
 
+FETCHED = "url string, status int, body string, error string, final_url string, ms long"
 RUN_STATE = "url string, depth int, place array<int>, status int, ok boolean, error string, final_url string"
 #: URLs that a level asks for beyond those that the page limit still allows, in case some fail.
 SPARE = 32
@@ -158,7 +159,7 @@ def crawl_run(spark: SparkSession, config: CrawlConfig, fetch: Callable[[DataFra
     """
     done = _levels(spark, folder)
     last = max(done, default=-1)
-    fetched = _state(spark, folder, done).where("ok").count()
+    fetched, columns = _state(spark, folder, done).where("ok").count(), []
     for depth in range(last + 1, config.max_depth + 1 if levels is None else min(config.max_depth, last + levels) + 1):
         if fetched >= config.max_pages:
             break
@@ -169,25 +170,29 @@ def crawl_run(spark: SparkSession, config: CrawlConfig, fetch: Callable[[DataFra
             found = parents.select("place", F.posexplode("internal").alias("at", "url")).select("url", F.concat("place", F.array("at")).alias("place"))
             queue = found.groupBy("url").agg(F.min("place").alias("place")).join(_state(spark, folder, done).select("url"), "url", "left_anti")
         queue = written(_permitted(spark, config, queue, fetch, folder, depth, done), "queue")
-        got, after = None, None
-        while fetched < config.max_pages:
-            part = (queue if after is None else queue.where(F.col("place") > F.lit(after))).orderBy("place").limit(config.max_pages - fetched + SPARE)  # bounded by the page limit
-            part = written(part, "part")
-            if part.isEmpty():
-                break
+        got, after, rest = spark.createDataFrame([], f"place array<int>, {FETCHED}"), [], config.max_pages - fetched
+        while rest:
+            part = queue.where(F.size("place") > 0) if not after else queue.where(F.col("place") > F.lit(after))
+            part = part.orderBy("place").limit(rest + SPARE)  # bounded by the page limit
             pages = written(part.join(fetch(part.select("url")), "url"), "fetched")
-            ok = [r["place"] for r in pages.where("error IS NULL").orderBy("place").select("place").limit(config.max_pages - fetched).collect()]
-            if len(ok) == config.max_pages - fetched:
+            tried = sorted((r["place"], r["failed"]) for r in pages.select("place", F.col("error").isNotNull().alias("failed")).collect())
+            ok = [place for place, failed in tried if not failed][:rest]
+            if len(ok) == rest:
                 pages = pages.where(F.col("place") <= F.lit(ok[-1]))
-            fetched, after = fetched + len(ok), part.agg(F.max("place")).first()[0]
-            got = pages if got is None else got.unionByName(pages)
-        got = spark.createDataFrame([], "url string, place array<int>, status int, body string, error string, final_url string, ms long") if got is None else got
-        _page_rows(got, depth).write.mode("overwrite").parquet(f"{folder}/pages{depth}")
-        status = F.when(F.col("error").isNull(), 200).otherwise(F.when(F.col("status") > 0, F.col("status")).otherwise(error_status(F.col("error"))))
-        state = got.select("url", F.lit(depth).alias("depth"), "place", status.alias("status"), F.col("error").isNull().alias("ok"), "error", "final_url")
+            got = got.unionByName(pages) if after else pages
+            rest -= len(ok)
+            if len(tried) < len(ok) + rest + SPARE:
+                break
+            after = tried[-1][0]
+        fetched = config.max_pages - rest
+        # the depth is a column and no constant, so every level runs the code that was compiled for the first
+        columns = columns or _page_columns()
+        rows = got.join(F.broadcast(spark.createDataFrame([(depth,)], "depth int"))).select(*columns)  # one row
+        rows.select("*", "links.internal", "links.external").drop("links").write.mode("overwrite").parquet(f"{folder}/pages{depth}")
+        state = spark.read.parquet(f"{folder}/pages{depth}").select("url", "depth", "place", "status", F.col("error").isNull().alias("ok"), "error", "final_url")
         state.write.mode("overwrite").parquet(f"{folder}/level{depth}")
         done.append(depth)
-        if state.isEmpty():
+        if not tried:
             break
     visited = _state(spark, folder, done)
     pages = _read_levels(spark, folder, "pages", done)
@@ -213,26 +218,29 @@ def _permitted(spark: SparkSession, config: CrawlConfig, queue: DataFrame, fetch
     if not config.respect_robots:
         return kept.drop("host")
     sites = kept.groupBy("host").agg(F.min(F.concat(urls.part(F.col("url"), 1), F.lit("://"), urls.part(F.col("url"), 2), F.lit("/robots.txt"))).alias("url"))
-    old = _read_levels(spark, folder, "hosts", done)
-    if old is not None:
-        sites = sites.join(old.select("host"), "host", "left_anti")
-    got = sites.join(fetch(sites.select("url")), "url").select("host", F.when(F.col("error").isNull(), F.coalesce("body", F.lit(""))).otherwise("").alias("text"))
-    texts = written(got, "robots")
-    texts.join(urls.robots_sites(texts, config.agent, config.delay_ms)[1], "host").write.mode("overwrite").parquet(f"{folder}/hosts{depth}")
-    known = _read_levels(spark, folder, "hosts", [*done, depth]).select("host", "text")
-    return urls.robots_verdicts(kept, known, config.agent).where("allowed").drop("host", "allowed")
-
-
-def _page_rows(got: DataFrame, depth: int) -> DataFrame:
-    """What is kept of each page that was fetched, or tried: its parts are those of an empty page if it failed."""
+    had = [d for d in done if exists(spark, f"{folder}/hosts{d}")]  # levels that met new hosts
+    if had:
+        sites = sites.join(_read_levels(spark, folder, "hosts", had).select("host"), "host", "left_anti")
+    sites = written(sites, "sites")
+    if not sites.isEmpty():
+        got = sites.join(fetch(sites.select("url")), "url").select("host", F.when(F.col("error").isNull(), F.coalesce("body", F.lit(""))).otherwise("").alias("text"))
+        texts = written(got, "robots")
+        texts.join(urls.robots_sites(texts, config.agent, config.delay_ms)[1], "host").write.mode("overwrite").parquet(f"{folder}/hosts{depth}")
+        had.append(depth)
+    if not had:
+        return kept.drop("host")
+    return urls.robots_verdicts(kept, _read_levels(spark, folder, "hosts", had).select("host", "text"), config.agent).where("allowed").drop("host", "allowed")
+
+
+def _page_columns() -> list[Column]:
+    """What is kept of each page that was fetched or tried; a failed one has the parts of an empty page. The expressions are large, so a crawl makes them once."""
     html, url = F.coalesce("body", F.lit("")), F.col("url")
-    links = urls.page_links(html, url)
-    meta = text.page_metadata(html)
     kind = F.when(F.col("error").isNull(), text.page_type(urls.path(url), text.page_title(html), text.meta_content(html, "og:type"))).otherwise("other")
-    return got.select(
-        urls.url_hash(url).alias("urlHash"), "url", "place", F.when(F.col("error").isNull(), 200).otherwise(F.col("status")).alias("status"), kind.alias("type"), meta.alias("metadata"), html.alias("html"), text.clean_text(html).alias("text"),
-        links.alias("links"), text.json_ld(html).alias("jsonLd"), F.lit(depth).alias("depth"), F.octet_length(html).cast("long").alias("bytes"), "ms", "error", "final_url",
-    ).select("*", "links.internal", "links.external").drop("links")
+    status = F.when(F.col("error").isNull(), 200).otherwise(F.when(F.col("status") > 0, F.col("status")).otherwise(error_status(F.col("error"))))
+    return [
+        urls.url_hash(url).alias("urlHash"), url, F.col("place"), status.alias("status"), kind.alias("type"), text.page_metadata(html).alias("metadata"), html.alias("html"), text.clean_text(html).alias("text"),
+        urls.page_links(html, url).alias("links"), text.json_ld(html).alias("jsonLd"), F.col("depth"), F.octet_length(html).cast("long").alias("bytes"), F.col("ms"), F.col("error"), F.col("final_url"),
+    ]
 
 
 def _levels(spark: SparkSession, folder: str) -> list[int]:

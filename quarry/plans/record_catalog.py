@@ -384,7 +384,7 @@ def crawl_delays(t: Tables) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, '/d/' || l_orderkey || '/' || l_linenumber AS subject FROM lineitem), r AS (SELECT '/d/' || o_orderkey AS p, o_custkey % 2 = 0 AS allow FROM orders WHERE o_orderkey % 3 <> 0)
- SELECT s.l_orderkey, s.l_linenumber, coalesce(arg_max(r.allow, length(r.p)), true) AS allowed FROM s LEFT JOIN (SELECT l_orderkey, l_linenumber, substr(subject, 1, unnest(range(1, length(subject) + 1))) AS p FROM s) b USING (l_orderkey, l_linenumber) LEFT JOIN r USING (p) GROUP BY ALL""")
+ SELECT l_orderkey, l_linenumber, allowed FROM lineitem JOIN (SELECT l_orderkey, l_linenumber, coalesce(arg_max(r.allow, length(r.p)), true) AS allowed FROM (SELECT DISTINCT l_orderkey, l_linenumber, substr(subject, 1, unnest(range(1, length(subject) + 1))) AS p FROM s) b LEFT JOIN r USING (p) GROUP BY ALL) USING (l_orderkey, l_linenumber)""")
 def robots_many_rules(t: Tables) -> DataFrame:
     """One host with a rule for two of three orders, and a URL for every line: /d/12 also fits what begins with /d/123."""
     rules = t.orders.where("o_orderkey % 3 <> 0").select(F.lit("e.org").alias("host"), (C("o_custkey") % 2 == 0).alias("allow"), made.named("/d/", C("o_orderkey")).alias("pattern"))

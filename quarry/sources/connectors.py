@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import urls
 from quarry.operators import extraction
+from quarry.operators.crawl import FETCHED
 from quarry.sources.shared import written
 
-FETCHED = "url string, status int, body string, error string, final_url string, ms long"
-
 
 def fetch(requests: DataFrame, recording: DataFrame) -> DataFrame:
     """requests (url) with status, body and error; recording: url, status, body. A status of 400 or more, or no recording, is an error with status and text."""
