@@ -154,7 +154,7 @@ def crawl_run(spark: SparkSession, config: CrawlConfig, fetch: Callable[[DataFra
     the configuration forbid are passed over, the others are fetched in the order of the pages that link to them and of their links, and the pages' links make the next level. Failed pages
     are kept with their error. The crawl ends with max_pages pages that were fetched, or max_depth levels.
 
-    Each level is written once: `level<d>` (state), `pages<d>` (html, text, metadata, links) and `hosts<d>` (robots text, delay, sitemaps); a call with a folder that has levels goes on after the last whole one, and only its pages and the
+    Each level is written once: `level<d>` (state), `pages<d>` (html, text, metadata, links) and, of hosts that are new, `hosts<d>` (robots text, delay, sitemaps) and `rules<d>`; a call with a folder that has levels goes on after the last whole one, and only its pages and the
     URLs of the others are read. `levels` ends the call after so many more.
     """
     done = _levels(spark, folder)
@@ -225,11 +225,11 @@ def _permitted(spark: SparkSession, config: CrawlConfig, queue: DataFrame, fetch
     if not sites.isEmpty():
         got = sites.join(fetch(sites.select("url")), "url").select("host", F.when(F.col("error").isNull(), F.coalesce("body", F.lit(""))).otherwise("").alias("text"))
         texts = written(got, "robots")
-        texts.join(urls.robots_sites(texts, config.agent, config.delay_ms)[1], "host").write.mode("overwrite").parquet(f"{folder}/hosts{depth}")
+        rules, known = urls.robots_sites(texts, config.agent, config.delay_ms)
+        rules.write.mode("overwrite").parquet(f"{folder}/rules{depth}")
+        texts.join(known, "host").write.mode("overwrite").parquet(f"{folder}/hosts{depth}")
         had.append(depth)
-    if not had:
-        return kept.drop("host")
-    return urls.robots_verdicts(kept, _read_levels(spark, folder, "hosts", had).select("host", "text"), config.agent).where("allowed").drop("host", "allowed")
+    return urls.rule_verdicts(kept, _read_levels(spark, folder, "rules", had)).where("allowed").drop("host", "allowed") if had else kept.drop("host")
 
 
 def _page_columns() -> list[Column]:

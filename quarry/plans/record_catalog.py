@@ -420,10 +420,10 @@ def redirected_fetch(t: Tables) -> DataFrame:
 _TREE_NAV = "'<a href=\"/p/' || (2 * k + 1) || '\">1</a><a href=\"/lost/' || k || '\">2</a><a href=''./' || (2 * k + 2) || '#x''>3</a><a href=\"/private/' || k || '\">4</a>'"
 _TREE = f"""page AS (SELECT page_id AS k, {_TREE_NAV} || replace(html, 'href', 'hfer') AS html, CASE WHEN page_id % 17 = 5 THEN 404 WHEN page_id % 25 = 7 THEN 0 ELSE 200 END AS status FROM (SELECT *, page_id AS k FROM pages)),
  link AS (SELECT k AS src, 2 * k + 1 AS dst, 0 AS at FROM page UNION ALL SELECT k, -1 - k, 1 FROM page UNION ALL SELECT k, 2 * k + 2, 2 FROM page),
- reach(k, depth, place) AS (SELECT 0::BIGINT, 0, [0] UNION ALL SELECT l.dst, r.depth + 1, list_append(r.place, l.at) FROM reach r JOIN page p ON p.k = r.k AND p.status = 200 JOIN link l ON l.src = r.k WHERE r.depth < 6),
+ reach(k, depth, place) AS (SELECT 0::BIGINT, 0, [0] UNION ALL SELECT l.dst, r.depth + 1, list_append(r.place, l.at) FROM reach r JOIN page p ON p.k = r.k AND p.status = 200 JOIN link l ON l.src = r.k WHERE r.depth < 4),
  tried AS (SELECT r.k, r.depth, r.place, coalesce(p.status, 0) AS status, p.html FROM reach r LEFT JOIN page p USING (k)),
  counted AS (SELECT *, coalesce(sum(CASE WHEN status = 200 THEN 1 ELSE 0 END) OVER (ORDER BY depth, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tried),
- run AS (SELECT * FROM counted WHERE before < 50)"""
+ run AS (SELECT * FROM counted WHERE before < 20)"""
 
 
 def _tree_recording(t: Tables) -> DataFrame:
@@ -446,7 +446,7 @@ def _tree_recording(t: Tables) -> DataFrame:
 def crawl_site(t: Tables) -> DataFrame:
     """A crawl from raw html, stopped after two levels and taken up again: robots, redirects, lost pages, a page limit in the middle of a level."""
     quarry.ship(t.spark)
-    config, folder = crawl.CrawlConfig.of("https://site.org/p/0", max_pages=50, max_depth=6), new_folder(t.spark, "crawl-run")
+    config, folder = crawl.CrawlConfig.of("https://site.org/p/0", max_pages=20, max_depth=4), new_folder(t.spark, "crawl-run")
     fetch = connectors.replay(_tree_recording(t))
     for levels in (2, None):
         found = crawl.crawl_run(t.spark, config, fetch, folder, levels=levels)
@@ -457,7 +457,7 @@ def crawl_site(t: Tables) -> DataFrame:
 @query(f"WITH RECURSIVE {_TREE} SELECT 'site.org' AS domain, 'site.org_20260101_000000' AS crawl_id, 'completed' AS status, count(*) FILTER (status = 200) AS pages_ok, count(*) FILTER (status <> 200) AS pages_failed, sum(strlen(html)) FILTER (status = 200)::BIGINT AS total_bytes, (count(*) FILTER (status = 200))::INT AS listed, (count(*) FILTER (status <> 200))::INT AS errors, 2000 AS delay_ms FROM run")
 def crawl_site_manifest(t: Tables) -> DataFrame:
     quarry.ship(t.spark)
-    config, folder = crawl.CrawlConfig.of("https://site.org/p/0", max_pages=50, max_depth=6, started="20260101_000000"), new_folder(t.spark, "crawl-run")
+    config, folder = crawl.CrawlConfig.of("https://site.org/p/0", max_pages=20, max_depth=4, started="20260101_000000"), new_folder(t.spark, "crawl-run")
     crawl.crawl_run(t.spark, config, connectors.replay(_tree_recording(t)), folder, "2026-01-02T00:00:00.000Z")
     hosts = t.spark.read.parquet(f"{folder}/hosts0").select(C("host").alias("domain"), "delay_ms")
     m = t.spark.read.parquet(f"{folder}/manifest").join(hosts, "domain")

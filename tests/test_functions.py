@@ -99,3 +99,18 @@ def test_record_scans_and_connector(spark, tmp_path):
     recording = spark.createDataFrame([("u", 200, "x"), ("v", 404, "")], "url string, status int, body string")
     found = connectors.fetch(spark.createDataFrame([("u",), ("v",), ("w",)], "url string"), recording).collect()
     assert sorted((r["url"], r["status"], r["error"]) for r in found) == [("u", 200, None), ("v", 404, "HTTP 404"), ("w", 0, "not recorded")]
+
+
+def test_links_keep_their_digits(spark):
+    html = "".join(f'<a href=" /n/{k}0{k} ">x</a>' for k in range(12)) + "<a href='https://x.org/0'>"
+    links = spark.createDataFrame([(html, "https://e.org/")], "h string, u string").select(urls.page_links(F.col("h"), F.col("u")).alias("l")).first()["l"]
+    assert links["internal"] == [f"https://e.org/n/{k}0{k}" for k in range(12)] and links["external"] == ["https://x.org/0"]
+
+
+def test_long_values_are_whole(spark):
+    long = "v" * 1_100_000
+    assert one(spark, f"https://e.org/a?z=1&b={long}", urls.sorted_query) == f"?b={long}&z=1"
+    note = one(spark, f"# {long}\nsaid\nsource: {long}\nquote: '{long}'", mentions.parse_note)
+    assert (note["title"], note["source"], note["quote"], note["statement"]) == (long, long, long, "said")
+    event = json.dumps({"raw_response": ["data: " + json.dumps({"v": long}), "data: [DONE]"]})
+    assert one(spark, event, mentions.parse_chatgpt)["answer"] == long
