@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import written
+
 
 def references_per_key(keys: DataFrame, refs: DataFrame, key: str, item: str, name: str = "n_claims") -> DataFrame:
     """How many distinct items refer to each key; keys without any have 0."""
@@ -49,6 +51,22 @@ def newest_per_group(df: DataFrame, group: list[str], newest: list[Column], n: i
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*newest))).where(F.col("rank") <= n)
 
 
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """df with each row's place in an order, from 1, without a task that has all rows.
+
+    Rows are sorted by range and written with their place within their range; the sizes of the ranges, a row each, give where each begins. Rows that the order doesn't tell apart are numbered in any order. df has no
+    column _at or _before.
+    """
+    from pyspark.sql import Window
+
+    bits = 33  # of a row's place within its range in what monotonically_increasing_id gives
+    rows = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    sizes = rows.groupBy(F.shiftright("_at", bits).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    out = rows.withColumn("_range", F.shiftright("_at", bits)).join(F.broadcast(starts), "_range")  # a row a range
+    return out.withColumn(name, F.col("_at") - F.shiftleft("_range", bits) + F.col("_before") + 1).select(*df.columns, name)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """new, and the rows of old whose key new doesn't have."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))

@@ -15,7 +15,7 @@ from quarry.plans import example_config, views
 from quarry.plans import record_views as made
 from quarry.plans.catalog import _CHECKS, _DAILY, _DRAFT, _HOST, _MOVES, _PATH, _RANK, _VISITS, S, Tables, _checks, _daily, _drafts, _quoted, _visits, norm_sql, query
 from quarry.sources import connectors, documents, records
-from quarry.sources.shared import new_folder
+from quarry.sources.shared import new_folder, written
 from quarry.sources.store import RecordStore
 from quarry.streaming import visits
 
@@ -118,7 +118,7 @@ def view_topic_claims(t: Tables) -> DataFrame:
 @record_query("SELECT id, accessed AS accessDate, row_number() OVER (ORDER BY accessed DESC, id)::INT AS place FROM source")
 def view_sources_index(t: Tables) -> DataFrame:
     rows = views.sources_index(made.corpus(t)).select("id", "accessDate")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("accessDate"), "id")))  # an index page's order
+    return corpus.numbered(rows, [F.desc("accessDate"), "id"], "place").withColumn("place", C("place").cast("int"))
 
 
 @record_query(f"""SELECT id, title, coalesce(excerpt, 'Source from ' || publisher) AS description, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM claim WHERE claim.k IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = {KEY})), '') AS claims,
@@ -478,7 +478,7 @@ def url_full_forms(t: Tables) -> DataFrame:
 def _linked(t: Tables) -> DataFrame:
     """Pages by normal form, the first of each, with their links as a ring: every page leads to the next two and to one that isn't there."""
     first = t.pages.select("page_id", urls.normalized(C("url")).alias("url")).groupBy("url").agg(F.min("page_id").alias("page_id"))
-    placed = first.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("page_id")))  # the fixture's ring
+    placed = written(corpus.numbered(first, ["page_id"], "k"), "ring")
     to = lambda n, name: placed.select((C("k") - n).alias("k"), C("url").alias(name))
     both = placed.join(to(1, "a"), "k", "left").join(to(2, "b"), "k", "left")
     error = F.when(C("page_id") % 17 == 5, F.lit("HTTP 404")).when(C("page_id") % 17 == 6, F.lit("timeout"))

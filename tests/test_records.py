@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import urls
-from quarry.operators import crawl, drafts, extraction, ingest, monitor
+from quarry.operators import corpus, crawl, drafts, extraction, ingest, monitor
 from quarry.sources import connectors, records
 from quarry.sources.shared import new_folder
 from quarry.streaming import visits
@@ -113,6 +113,19 @@ def test_a_shared_folder_is_asked_for():
         new_folder(Session(), "x")
 
 
+def test_numbers_without_one_task(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("v"))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows are one range
+    try:
+        found = corpus.numbered(rows, [F.desc("v")], "place")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    values = sorted((r["v"] for r in rows.collect()), reverse=True)
+    assert {r["place"]: r["v"] for r in found.collect()} == dict(enumerate(values, 1))
+    assert corpus.numbered(rows.where("false"), ["v"], "place").collect() == []
+
+
 def test_load_json(spark):
     rows = spark.createDataFrame([('{"name": "a"}', "a"), ("{bad", None), ("[1]", None), (None, None)], "t string, want string")
     assert [r for r in rows.withColumn("got", records.load_json(F.col("t"), "name STRING")["name"]).collect() if r["got"] != r["want"]] == []
