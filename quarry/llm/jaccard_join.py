@@ -8,7 +8,9 @@
 3. Sets that share a prefix n-gram are compared in a signature tree: a node holds the OR of its members' bitmaps, their range of sizes
    and their most collisions, which bound the overlap of any pair below two nodes. Pairs of nodes that
    can't link are pruned. What is left connects sets to candidate clusters. For n-grams that the sketch doesn't show
-   to be in few sets, the sets are connected outright, by a minimum that combines on the map side.
+   to be in few sets, the sets are reduced to cells of equal size and equal number of n-grams from this one on, in order. Two sets whose first shared
+   n-gram is this one share no more than the smaller of these numbers, so cells are connected only where that can be enough: texts that share a
+   page's frame and no more aren't candidates.
 4. Each cluster's texts meet in blocks of bounded size. A tree over whole sets is traversed against itself, pairs already
    in one component are skipped, and the rest are compared exactly. In clusters of several blocks, the sets outside the
    largest component meet every other block.
@@ -19,6 +21,7 @@ No step emits the pairs of a group, and no bucket or candidate list is capped.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -67,6 +70,28 @@ def fingerprint(h: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+class Names:
+    """64-bit names of sets: the first half of the fingerprint, but for the sets that another set would share it with."""
+
+    def __init__(self, bits: int = 64):
+        self.bits = bits
+        self.other: dict[tuple[int, int], int] = {}
+
+    def of(self, h: np.ndarray) -> tuple[int, int]:
+        """Name and second half of the fingerprint."""
+        sid, check = fingerprint(h)
+        sid &= (1 << self.bits) - 1 if self.bits < 64 else -1
+        while (sid, check) in self.other:
+            sid = self.other[sid, check]
+        return sid, check
+
+    def part(self, pairs: list[tuple[int, int]]) -> None:
+        """Gives each of these (name, check) a name of its own."""
+        for sid, check in pairs:
+            d = hashlib.blake2b(f"{sid} {check} {len(self.other)}".encode(), digest_size=8).digest()
+            self.other[sid, check] = int.from_bytes(d, "little", signed=True)
+
+
 def overlap_needed(nx, ny, percent: int):
     """Fewest shared n-grams with which sets of these sizes link: 100 I >= percent U."""
     return -(-percent * (nx + ny) // (100 + percent))
@@ -202,7 +227,7 @@ def _rows(kind: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SETS], schema=_SETS)
 
 
-def _sets(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+def _sets(docs: DataFrame, words: int, percent: int, bits: int, names: Names) -> DataFrame:
     """In one pass: a row per document (doc_id, n, sid, check), a row per part of a set (entity, sid, n, bitmap), and each task's sketch in slices.
 
     Equal sets in one task give their parts once. Sets of one or two n-grams link to equal sets only and have no parts.
@@ -221,7 +246,7 @@ def _sets(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
                     sketch[at] += c
                 else:
                     sketch += np.bincount(own, minlength=len(sketch))
-                prints = [fingerprint(h) for h in found]
+                prints = [names.of(h) for h in found]
                 yield _rows("doc", doc_id=b.column(0).to_pylist(), n=[len(h) for h in found], sid=[p[0] for p in prints], check=[p[1] for p in prints])
                 parts = []
                 for h, (sid, _) in zip(found, prints, strict=True):
@@ -262,36 +287,41 @@ def set_parts(h: np.ndarray, sid: int, percent: int) -> Iterator[tuple[int, np.u
                 yield int(entities[k]), seeds[k], own
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int, bits: int, levels, hot) -> DataFrame:
-    """Rows (key, entity) of the parts' prefixes. An even key is an n-gram in a class and part; an odd one that of an n-gram that may be in many sets."""
+def _prefixes(docs: DataFrame, words: int, percent: int, bits: int, levels, hot, names: Names) -> DataFrame:
+    """Rows (key, entity, cell) of the parts' prefixes. An even key is an n-gram in a class and part; an odd one that of an n-gram that may be in many sets.
+
+    For an odd key, the cell is the part's size (high 32 bits) and how many of its n-grams, in order, the key and what follows it are; else 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, is_hot, shift = levels.value, hot.value, np.uint64(64 - bits)
         seen: set[int] = set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
-                keys, entities, counts = [], [], []
+                keys, entities, counts, cells = [], [], [], []
                 for text in whole.column(1).slice(lo, 512).to_pylist():
                     h = shingles(text or "", words)
-                    if len(h) < 3 or (sid := fingerprint(h)[0]) in seen:
+                    if len(h) < 3 or (sid := names.of(h)[0]) in seen:
                         continue
                     seen.add(sid)
                     for entity, seed, own in set_parts(h, sid, percent):
                         at = (own >> shift).astype(np.int64)
                         take = len(own) - -(-percent * len(own) // 100) + 1
                         first = np.argsort(level[at].astype(np.uint64) << np.uint64(58) | own >> np.uint64(6), kind="stable")[:take]
-                        keys.append((own[first] ^ seed) & _EVEN | is_hot[at[first]].astype(np.uint64))
+                        odd = is_hot[at[first]]
+                        keys.append((own[first] ^ seed) & _EVEN | odd.astype(np.uint64))
+                        cells.append(np.where(odd, len(own) << 32 | len(own) - np.arange(take), 0))
                         entities.append(entity)
                         counts.append(take)
                 if keys:
-                    columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(entities), counts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "entity"])
+                    columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(entities), counts), np.concatenate(cells)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "entity", "cell"])
 
-    return docs.mapInArrow(run, "key long, entity long")
+    return docs.mapInArrow(run, "key long, entity long, cell long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (hot, group, entity): of keys that several entities have.
+    """Rows (hot, group, entity, cell): of keys that several entities have.
 
     Keys with the same entities give one and the same group number, so that what is compared for one isn't compared again. Keys that
     may be in many sets keep their own number and all their rows, and are dealt out by entity.
@@ -307,18 +337,18 @@ def _shared(rows: DataFrame) -> DataFrame:
             size = np.diff(cut, append=len(key))
             number = np.add.reduceat(_mix(entity.view(np.uint64)), cut) ^ _mix(size.astype(np.uint64))
             keep = np.repeat(size > 1, size)
-            return out(False, np.repeat(number.view(np.int64), size)[keep], entity[keep])
+            return out(False, np.repeat(number.view(np.int64), size)[keep], entity[keep], np.zeros(int(keep.sum()), np.int64))
 
-        def out(flag: bool, group: np.ndarray, entity: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(group), flag)), pa.array(group), pa.array(entity)], ["hot", "group", "entity"])
+        def out(flag: bool, group: np.ndarray, entity: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(group), flag)), pa.array(group), pa.array(entity), pa.array(cell)], ["hot", "group", "entity", "cell"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            key, entity = (b.column(k).to_numpy() for k in range(2))
+            key, entity, cell = (b.column(k).to_numpy() for k in range(3))
             hot = (key & 1).astype(bool)
             if hot.any():
-                yield out(True, key[hot], entity[hot])
+                yield out(True, key[hot], entity[hot], cell[hot])
             a = np.concatenate([held, np.stack([key, entity])[:, ~hot]], 1)
             if not a.shape[1]:
                 continue
@@ -330,7 +360,47 @@ def _shared(rows: DataFrame) -> DataFrame:
             yield chosen(held)
 
     dealt = F.when(F.col("key").bitwiseAND(1) == 1, F.xxhash64("key", "entity")).otherwise(F.col("key"))  # a hot key's rows go to all tasks
-    return rows.repartition(dealt).sortWithinPartitions("key", "entity").mapInArrow(run, "hot boolean, group long, entity long")
+    return rows.repartition(dealt).sortWithinPartitions("key", "entity").mapInArrow(run, "hot boolean, group long, entity long, cell long")
+
+
+def join_cells(n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Per cell (size, n-grams from the shared one on) the first cell of its component, or -1 where no set in it can link to another by this n-gram.
+
+    Sets of two cells can link if the overlap that their sizes need is no more than either's rest; so can two sets of one cell.
+    """
+    sizes, of = np.unique(n, return_inverse=True)
+    top = np.full(len(sizes), -1, np.int64)
+    np.maximum.at(top, of, rest)
+    need = overlap_needed(sizes[:, None], sizes[None, :], percent)
+    fits = need <= np.minimum(top[:, None], top[None, :])
+    least = np.where(fits, need, np.iinfo(np.int64).max).min(1)  # cells of this size with so much left link to some cell
+    links = Links(len(sizes))
+    for x, y in zip(*np.nonzero(np.triu(fits, 1)), strict=True):
+        links.join(int(x), int(y))
+    joined = rest >= least[of]
+    root = np.array([links.find(k) for k in range(len(sizes))])[of]
+    first = np.full(len(sizes), len(n), np.int64)
+    np.minimum.at(first, root[joined], np.flatnonzero(joined))
+    return np.where(joined, first[root], -1)
+
+
+def _joined_cells(cells: DataFrame, percent: int) -> DataFrame:
+    """Rows (group, cell, root) from rows (group, cell, entity): an entity of the component for each cell whose sets may link to others by the group's n-gram.
+
+    A group has at most as many cells as there are sizes of parts times lengths of prefixes, however many sets it has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in grouped(batches, 1):
+            cell = table.column("cell").to_numpy()
+            first = join_cells(cell >> 32, cell & 0xFFFFFFFF, percent)
+            keep = first >= 0
+            if keep.any():
+                columns = [table.column("group").to_numpy()[keep], cell[keep], table.column("entity").to_numpy()[first[keep]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["group", "cell", "root"])
+
+    own = cells.repartition("group").sortWithinPartitions("group", "cell").select("group", "cell", "entity")
+    return own.mapInArrow(run, "group long, cell long, root long")
 
 
 def _candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
@@ -359,7 +429,7 @@ def _candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group").select("group", "sid", "n", "bitmap").mapInArrow(run, "a long, b long")
 
 
-def _link_blocks(rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _link_blocks(rows: DataFrame, words: int, percent: int, names: Names) -> DataFrame:
     """Edges (a, b) to each set's component within its group; rows (cluster, block, other, sid, root, text), where root is a component known before or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +441,7 @@ def _link_blocks(rows: DataFrame, words: int, percent: int) -> DataFrame:
             for sid, root, text in zip(*(table.column(c).to_pylist() for c in ("sid", "root", "text")), strict=True):
                 if sid not in place:
                     h = shingles(text or "", words)
-                    if fingerprint(h)[0] == sid:  # another row may repeat the id with another text
+                    if names.of(h)[0] == sid:  # another row may repeat the id with another text
                         place[sid] = len(sets)
                         sets.append(h)
                         roots.append(root)
@@ -405,6 +475,7 @@ def jaccard_components(
     block_shingles: int = 2_000_000,
     block_sets: int = 1024,
     few: int = 4096,
+    name_bits: int = 64,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
@@ -415,38 +486,46 @@ def jaccard_components(
 
     An n-gram is "in few sets" when its sketch count, which is never below its true count, is at most `few` or four times
     the mean, whichever is more; block_* bound what meets in one task. Hashes of n-grams have 64 bits and those of sets 128, of
-    which 64 name the set; two sets of one name are detected and refused.
+    which `name_bits` name the set. Where two sets have one name, all but one get other names, at the price of one more pass.
     """
     scratch, plain = Scratch(docs.sparkSession, "jaccard"), _docs(docs, id_col, text_col)
     context = docs.sparkSession.sparkContext
     bits = int(np.clip(np.ceil(np.log2(4 * max(docs.count(), 1))), 14, 24))
-    all_rows = scratch.write(_sets(plain, words, percent, bits), "sets", "kind", compression="zstd")
+    naming = Names(name_bits)
+    for turn in itertools.count():
+        all_rows = scratch.write(_sets(plain, words, percent, bits, naming), f"sets{turn}", "kind", compression="zstd")
+        rows = all_rows.where("kind = 0").select("doc_id", "n", "sid", "check")
+        names = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+        names = scratch.write(names, f"names{turn}")
+        twice = names.where("low <> high").select("sid", "low")
+        if twice.isEmpty():
+            break
+        # some n^2 / 2^65 names for n sets: a handful at 10^10
+        naming.part(sorted(tuple(r) for r in rows.where("n > 0").join(twice, "sid").where("check <> low").select("sid", "check").distinct().collect()))
+        scratch.drop(f"sets{turn}")
     counts = np.zeros(1 << bits, np.int64)
     for k, own in sum_slices(all_rows.where("kind = 2").select("part", "slice", "counts"), "<u4", True).items():
         counts[k * SLICE : k * SLICE + len(own)] = own
     level = np.log2(counts + 1).astype(np.uint8)
     is_hot = counts > max(few, 4 * int(counts.mean()))
     levels, hot = context.broadcast(level), context.broadcast(is_hot)  # at most 2^24 bytes each
-    rows = all_rows.where("kind = 0").select("doc_id", "n", "sid", "check")
     parts = all_rows.where("kind = 1").select("entity", "sid", "n", "bitmap")
-    names = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), (F.min("check") != F.max("check")).alias("clash"))
-    names = scratch.write(names, "names")
-    if not names.where("clash").isEmpty():
-        raise ValueError("two different sets have one 64-bit name")
-
-    shared = scratch.write(_shared(_prefixes(plain, words, percent, bits, levels, hot)), "shared", compression="zstd")
-    met = shared.agg(F.approx_count_distinct("entity")).first()[0]
-    parts = scratch.write(KeyFilter(shared.select("entity"), "entity", met).apply(parts, "entity").dropDuplicates(["entity"]), "parts", compression="zstd")
-    scratch.drop("sets/kind=1")
-    scratch.drop("sets/kind=2")
+    shared = scratch.write(_shared(_prefixes(plain, words, percent, bits, levels, hot, naming)), "shared", compression="zstd")
+    dense = shared.where("hot").select("group", "cell", "entity")
+    cells = _joined_cells(dense.groupBy("group", "cell").agg(F.min("entity").alias("entity")), percent)
+    dense = scratch.write(dense.join(cells, ["group", "cell"]).where("entity <> root").select("entity", "root").distinct(), "dense")
     groups = shared.where("not hot").select("group", "entity").distinct()
+    wanted = shared.where("not hot").select("entity").union(dense.select("entity")).union(dense.select("root"))
+    met = wanted.agg(F.approx_count_distinct("entity")).first()[0]
+    parts = scratch.write(KeyFilter(wanted, "entity", met).apply(parts, "entity").dropDuplicates(["entity"]), "parts", compression="zstd")
+    scratch.drop(f"sets{turn}/kind=1")
+    scratch.drop(f"sets{turn}/kind=2")
     edges = _candidate_edges(groups.join(parts, "entity").select("group", "sid", "n", "bitmap"), percent)
-    common = shared.where("hot").select("group", "entity").join(parts.select("entity", "sid"), "entity").select("group", "sid")
-    lowest = common.groupBy("group").agg(F.min("sid").alias("b"))
-    edges = edges.union(common.join(lowest, "group").select(F.col("sid").alias("a"), "b").where("a <> b"))
+    sids = parts.select("entity", F.col("sid").alias("a"))
+    edges = edges.union(dense.join(sids, "entity").select("a", "root").join(parts.select(F.col("entity").alias("root"), F.col("sid").alias("b")), "root").select("a", "b"))
     clusters = connected_components(scratch, edges, "candidates")
-    scratch.drop("shared")
-    scratch.drop("parts")
+    for done in ("shared", "dense", "parts"):
+        scratch.drop(done)
 
     members = clusters.join(names, F.col("node") == F.col("sid")).select("sid", F.col("root").alias("cluster"), "rep", names["n"])
     size = members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / block_shingles, F.count(F.lit(1)) / block_sets)).alias("blocks"))
@@ -454,10 +533,10 @@ def jaccard_components(
     texts = KeyFilter(members, "rep", members.count()).apply(plain, "doc_id").withColumnRenamed("doc_id", "rep")
     placed = members.join(texts, "rep").select("cluster", "blocks", "block", "sid", "text")
     none = F.lit(None).cast("long").alias("root")
-    links = scratch.write(_link_blocks(placed.select("cluster", "block", F.lit(0).alias("other"), "sid", none, "text"), words, percent), "links")
+    links = scratch.write(_link_blocks(placed.select("cluster", "block", F.lit(0).alias("other"), "sid", none, "text"), words, percent, naming), "links")
     split = members.where("blocks > 1").select("cluster", "block", "blocks", "sid", "rep")
     if not split.isEmpty():
-        links = links.union(scratch.write(_between_blocks(scratch, split, plain, connected_components(scratch, links, "within"), words, percent), "between"))
+        links = links.union(scratch.write(_between_blocks(scratch, split, plain, connected_components(scratch, links, "within"), words, percent, naming), "between"))
     found = connected_components(scratch, links, "components")
     named = names.join(found, names["sid"] == found["node"], "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
@@ -465,7 +544,7 @@ def jaccard_components(
     return rows.join(final, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _between_blocks(scratch: Scratch, split: DataFrame, plain: DataFrame, within: DataFrame, words: int, percent: int) -> DataFrame:
+def _between_blocks(scratch: Scratch, split: DataFrame, plain: DataFrame, within: DataFrame, words: int, percent: int, names: Names) -> DataFrame:
     """Links between the blocks of clusters of several blocks: the sets outside a cluster's largest component against each other block."""
     rooted = split.join(within, split["sid"] == within["node"], "left").select("cluster", "block", "blocks", "sid", "rep", F.coalesce("root", "sid").alias("root"))
     rooted = scratch.write(rooted, "rooted")
@@ -480,7 +559,7 @@ def _between_blocks(scratch: Scratch, split: DataFrame, plain: DataFrame, within
     guests = guests.select("cluster", F.col("target").alias("block"), "other", "sid", "rep", "root")
     both = inside.union(guests)
     texts = KeyFilter(split, "rep", split.count()).apply(plain, "doc_id").withColumnRenamed("doc_id", "rep")
-    return _link_blocks(both.join(texts, "rep").select("cluster", "block", "other", "sid", "root", "text"), words, percent)
+    return _link_blocks(both.join(texts, "rep").select("cluster", "block", "other", "sid", "root", "text"), words, percent, names)
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,12 +5,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Scratch, connected_components, without_rows
 from quarry.llm.exact_dedup import DigestIndex, drop_known, exact_duplicates, keep_one, sha256
-from quarry.llm.jaccard_join import jaccard_components, keep_one_of_each
+from quarry.llm import jaccard_join
+from quarry.llm.jaccard_join import jaccard_components, join_cells, keep_one_of_each, overlap_needed
 from tests.llm.texts import SCHEMA, frame, rows
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -176,7 +178,7 @@ def near_copies(n=260):
     return data
 
 
-@pytest.mark.parametrize("options", [{}, {"block_sets": 10}, {"few": 3, "block_sets": 7}])
+@pytest.mark.parametrize("options", [{}, {"block_sets": 10}, {"few": 3, "block_sets": 7}, {"name_bits": 5, "few": 3}])
 def test_jaccard_components(spark, options):
     data = near_copies()
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in data], "doc_id long, text string, sid string, n int").repartition(5)
@@ -190,3 +192,49 @@ def test_jaccard_edge_rows(spark):
     found = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect())
     assert found == [("3", 2, 3), ("3", 2, 3), ("9", 0, 9), ("None", 2, 3)]
     assert sorted(r["doc_id"] for r in keep_one_of_each(docs.where("doc_id is not null").distinct()).collect()) == [3, 9]
+
+
+def framed(n, own=8, frame=40):
+    """Pages of one frame and a few words of their own; every 50th is a near copy of the one before."""
+    rnd, shared = random.Random(n), [f"f{k}" for k in range(frame)]
+    data, last = [], []
+    for k in range(n):
+        last = [*last[:-1], "changed"] if k % 50 == 49 else shared + [f"o{rnd.randrange(10**9)}" for _ in range(own)]
+        data.append((k, " ".join(last)))
+    return data
+
+
+def test_pages_of_one_frame_are_not_candidates(spark, monkeypatch):
+    """Each text meets others at most once, however many pages share the frame; only near copies meet."""
+    sent, link_blocks = [], jaccard_join._link_blocks
+    monkeypatch.setattr(jaccard_join, "_link_blocks", lambda rows, *rest: sent.append(rows.count()) or link_blocks(rows, *rest))
+    data = framed(1200)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, few=20, block_sets=64).collect()}
+    assert found == {k: (44, k - (k % 50 == 49)) for k, _ in data}
+    assert sum(sent) == 2 * 1200 // 50
+
+
+def test_pages_of_one_frame_with_various_parts_of_their_own(spark):
+    rnd, data = random.Random(8), []
+    for k in range(150):
+        words = [f"f{j}" for j in range(rnd.choice([30, 30, 30, 28]))] + [f"o{rnd.randrange(10**6)}" for _ in range(rnd.randint(0, 16))]
+        data.append((k, " ".join(words)))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, few=5, block_sets=16).collect()}
+    assert found == brute(data)
+
+
+def test_join_cells_against_all_pairs():
+    rnd = random.Random(4)
+    for _ in range(200):
+        cells = sorted({(n, n - rnd.randint(0, n // 4)) for n in (rnd.choice([rnd.randint(1, 12), rnd.randint(40, 60)]) for _ in range(rnd.randint(1, 12)))})
+        links = jaccard_join.Links(len(cells))
+        alive = set()
+        for x, (n, r) in enumerate(cells):
+            for y, (m, q) in enumerate(cells):
+                if overlap_needed(n, m, 75) <= min(r, q):
+                    links.join(x, y)
+                    alive |= {x, y}
+        found = join_cells(*np.array(cells).T, 75)
+        assert found.tolist() == [links.find(k) if k in alive else -1 for k in range(len(cells))]
