@@ -40,6 +40,8 @@ BITS = 512
 #: Parts have this many n-grams to four times as many.
 PART = 64
 _EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
+#: Low bits of an odd key: size (14), place (12), mark.
+_CELL = np.uint64(27)
 #: Sets below one leaf of a tree, and children of a node.
 FAN = 16
 SLICE = 1 << 14
@@ -288,9 +290,10 @@ def set_parts(h: np.ndarray, sid: int, percent: int) -> Iterator[tuple[int, np.u
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, bits: int, levels, hot, names: Names) -> DataFrame:
-    """Rows (key, entity, cell) of the parts' prefixes. An even key is an n-gram in a class and part; an odd one that of an n-gram that may be in many sets.
+    """Rows (key, entity) of the parts' prefixes. An even key is an n-gram in a class and part; an odd one that of an n-gram that may be in many sets.
 
-    For an odd key, the cell is the part's size (high 32 bits) and how many of its n-grams, in order, the key and what follows it are; else 0.
+    The low 27 bits of an odd key are its cell: the part's size, the n-gram's place in the part's order, and the mark. N-grams that agree in the
+    other 37 bits are taken for one, which can only add candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +301,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, bits: int, levels, hot,
         seen: set[int] = set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
-                keys, entities, counts, cells = [], [], [], []
+                keys, entities, counts = [], [], []
                 for text in whole.column(1).slice(lo, 512).to_pylist():
                     h = shingles(text or "", words)
                     if len(h) < 3 or (sid := names.of(h)[0]) in seen:
@@ -308,20 +311,22 @@ def _prefixes(docs: DataFrame, words: int, percent: int, bits: int, levels, hot,
                         at = (own >> shift).astype(np.int64)
                         take = len(own) - -(-percent * len(own) // 100) + 1
                         first = np.argsort(level[at].astype(np.uint64) << np.uint64(58) | own >> np.uint64(6), kind="stable")[:take]
-                        odd = is_hot[at[first]]
-                        keys.append((own[first] ^ seed) & _EVEN | odd.astype(np.uint64))
-                        cells.append(np.where(odd, len(own) << 32 | len(own) - np.arange(take), 0))
+                        if len(own) >= 1 << 14:
+                            raise ValueError("a part of 256 n-grams in the mean has 16,384")
+                        key = own[first] ^ seed
+                        cell = np.uint64(len(own) << 13 | 1) | np.arange(take, dtype=np.uint64) << np.uint64(1)
+                        keys.append(np.where(is_hot[at[first]], key >> _CELL << _CELL | cell, key & _EVEN))
                         entities.append(entity)
                         counts.append(take)
                 if keys:
-                    columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(entities), counts), np.concatenate(cells)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "entity", "cell"])
+                    columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(entities), counts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "entity"])
 
-    return docs.mapInArrow(run, "key long, entity long, cell long")
+    return docs.mapInArrow(run, "key long, entity long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (hot, group, entity, cell): of keys that several entities have.
+    """Rows (hot, group, entity): of keys that several entities have.
 
     Keys with the same entities give one and the same group number, so that what is compared for one isn't compared again. Keys that
     may be in many sets keep their own number and all their rows, and are dealt out by entity.
@@ -337,18 +342,18 @@ def _shared(rows: DataFrame) -> DataFrame:
             size = np.diff(cut, append=len(key))
             number = np.add.reduceat(_mix(entity.view(np.uint64)), cut) ^ _mix(size.astype(np.uint64))
             keep = np.repeat(size > 1, size)
-            return out(False, np.repeat(number.view(np.int64), size)[keep], entity[keep], np.zeros(int(keep.sum()), np.int64))
+            return out(False, np.repeat(number.view(np.int64), size)[keep], entity[keep])
 
-        def out(flag: bool, group: np.ndarray, entity: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(group), flag)), pa.array(group), pa.array(entity), pa.array(cell)], ["hot", "group", "entity", "cell"])
+        def out(flag: bool, group: np.ndarray, entity: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(group), flag)), pa.array(group), pa.array(entity)], ["hot", "group", "entity"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            key, entity, cell = (b.column(k).to_numpy() for k in range(3))
+            key, entity = (b.column(k).to_numpy() for k in range(2))
             hot = (key & 1).astype(bool)
             if hot.any():
-                yield out(True, key[hot], entity[hot], cell[hot])
+                yield out(True, key[hot], entity[hot])
             a = np.concatenate([held, np.stack([key, entity])[:, ~hot]], 1)
             if not a.shape[1]:
                 continue
@@ -360,7 +365,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             yield chosen(held)
 
     dealt = F.when(F.col("key").bitwiseAND(1) == 1, F.xxhash64("key", "entity")).otherwise(F.col("key"))  # a hot key's rows go to all tasks
-    return rows.repartition(dealt).sortWithinPartitions("key", "entity").mapInArrow(run, "hot boolean, group long, entity long, cell long")
+    return rows.repartition(dealt).sortWithinPartitions("key", "entity").mapInArrow(run, "hot boolean, group long, entity long")
 
 
 def join_cells(n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
@@ -385,22 +390,22 @@ def join_cells(n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _joined_cells(cells: DataFrame, percent: int) -> DataFrame:
-    """Rows (group, cell, root) from rows (group, cell, entity): an entity of the component for each cell whose sets may link to others by the group's n-gram.
+    """Rows (group, root) from rows (group, entity) of odd keys: an entity of the component for each cell whose sets may link to others by the cell's n-gram.
 
-    A group has at most as many cells as there are sizes of parts times lengths of prefixes, however many sets it has.
+    An n-gram has at most as many cells as there are sizes of parts times lengths of prefixes, however many sets have it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in grouped(batches, 1):
-            cell = table.column("cell").to_numpy()
-            first = join_cells(cell >> 32, cell & 0xFFFFFFFF, percent)
+            group = table.column("group").to_numpy()
+            n = group >> 13 & 0x3FFF
+            first = join_cells(n, n - (group >> 1 & 0xFFF), percent)
             keep = first >= 0
             if keep.any():
-                columns = [table.column("group").to_numpy()[keep], cell[keep], table.column("entity").to_numpy()[first[keep]]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["group", "cell", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(group[keep]), pa.array(table.column("entity").to_numpy()[first[keep]])], ["group", "root"])
 
-    own = cells.repartition("group").sortWithinPartitions("group", "cell").select("group", "cell", "entity")
-    return own.mapInArrow(run, "group long, cell long, root long")
+    own = cells.select(F.shiftright("group", int(_CELL)).alias("gram"), "group", "entity")
+    return own.repartition("gram").sortWithinPartitions("gram", "group").mapInArrow(run, "group long, root long")
 
 
 def _candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
@@ -511,9 +516,9 @@ def jaccard_components(
     levels, hot = context.broadcast(level), context.broadcast(is_hot)  # at most 2^24 bytes each
     parts = all_rows.where("kind = 1").select("entity", "sid", "n", "bitmap")
     shared = scratch.write(_shared(_prefixes(plain, words, percent, bits, levels, hot, naming)), "shared", compression="zstd")
-    dense = shared.where("hot").select("group", "cell", "entity")
-    cells = _joined_cells(dense.groupBy("group", "cell").agg(F.min("entity").alias("entity")), percent)
-    dense = scratch.write(dense.join(cells, ["group", "cell"]).where("entity <> root").select("entity", "root").distinct(), "dense")
+    dense = shared.where("hot").select("group", "entity")
+    cells = _joined_cells(dense.groupBy("group").agg(F.min("entity").alias("entity")), percent)
+    dense = scratch.write(dense.join(cells, "group").where("entity <> root").select("entity", "root").distinct(), "dense")
     groups = shared.where("not hot").select("group", "entity").distinct()
     wanted = shared.where("not hot").select("entity").union(dense.select("entity")).union(dense.select("root"))
     met = wanted.agg(F.approx_count_distinct("entity")).first()[0]
