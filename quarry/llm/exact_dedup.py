@@ -7,6 +7,9 @@ a hit. When a level has `fan` runs, compaction merges them, bucket by bucket and
 the smallest identifier of each digest. Hits are verified on the bytes: the texts' binary minimum and maximum must be the same string.
 Digests that fail are resolved by grouping on digest and text together.
 
+Size: buckets and memtables grow with the number of rows, so that a bucket of the last run has some `BUCKET_ROWS` entries and a memtable
+`MEMTABLE_ROWS` rows. Runs that were merged are deleted, and a call leaves no table in the catalogue.
+
 Skew: every grouping combines on the map side, so a text that a third of the rows share arrives as one row a task. Rows without a hit stay where they are; the
 join of the others to their entry may be split by adaptive skew handling.
 """
@@ -21,15 +24,30 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import KeyFilter, Scratch, ascii_lower, quoted
+from quarry.llm.common import KeyFilter, Scratch, ascii_lower, delete, quoted
+
+#: Entries that a bucket of all rows' run should have, and the least number of buckets; Spark allows no more than MOST_BUCKETS.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 16, 100_000
+#: Rows of a memtable, and the least number of memtables.
+MEMTABLE_ROWS, LEAST_MEMTABLES = 1 << 30, 4
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+def buckets_for(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """The number of buckets for an index of so many rows."""
+    return min(max(LEAST_BUCKETS, -(-rows // bucket_rows)), MOST_BUCKETS)
+
+
+def memtables_for(rows: int, memtable_rows: int = MEMTABLE_ROWS) -> int:
+    return max(LEAST_MEMTABLES, -(-rows // memtable_rows))
+
+
 class Run(NamedTuple):
     name: str
+    table: str
     level: int
     entries: DataFrame
     known: KeyFilter
@@ -39,7 +57,10 @@ class DigestIndex:
     """Runs of (digest, ident, copies) in levels below one folder, which can be opened again by another session.
 
     A run is a Parquet table sorted and bucketed by digest; beside it is its filter. `buckets` is fixed when the index is made, and
-    bounds how much of a run one task merges or probes.
+    bounds how much of a run one task merges or probes: take `buckets_for` the rows that the index is to hold.
+
+    A merge deletes the runs that it has read, but for those that the stored index names: they go when `save` has named the new ones. So what
+    `lookup` and `entries` return is to be used before the next `add`. Runs are tables of the session's catalogue until `close`.
     """
 
     SCHEMA = "digest BINARY, ident BIGINT, copies BIGINT"
@@ -47,6 +68,8 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 16, fan: int = 4):
         self.spark, self.folder, self.buckets, self.fan = spark, folder, buckets, fan
         self.runs: list[Run] = []  # oldest first
+        self.saved: set[str] = set()  # runs that the stored index names
+        self.merged: list[Run] = []  # those of them that later runs have replaced
 
     @classmethod
     def opened(cls, spark: SparkSession, folder: str) -> DigestIndex:
@@ -57,14 +80,34 @@ class DigestIndex:
             table = f"quarry_run_{uuid.uuid4().hex}"
             spark.sql(f"CREATE TABLE {table} ({cls.SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {index.buckets} BUCKETS LOCATION '{folder}/{r['run']}'")
             known = KeyFilter.opened(spark.read.parquet(f"{folder}/{r['run']}-filter"), r["bits"])
-            index.runs.append(Run(r["run"], r["level"], spark.table(table), known))
+            index.runs.append(Run(r["run"], table, r["level"], spark.table(table), known))
+        index.saved = {r.name for r in index.runs}
         return index
 
     def save(self) -> None:
-        """Writes what `opened` reads; runs that compaction has merged are not part of it."""
+        """Writes what `opened` reads; runs that compaction has merged are not part of it, and are deleted."""
         rows = [(r.level, r.name, r.known.bits) for r in self.runs]
         one = self.spark.createDataFrame([(self.buckets, self.fan, rows)], "buckets int, fan int, runs array<struct<level:int,run:string,bits:long>>")
         one.write.mode("overwrite").json(f"{self.folder}/head")
+        self.saved = {r.name for r in self.runs}
+        for run in self.merged:
+            self._delete(run)
+        self.merged = []
+
+    def close(self) -> None:
+        """Takes the runs' tables out of the session's catalogue; their files stay."""
+        for run in self.runs + self.merged:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run.table}")
+
+    def discard(self) -> None:
+        """Closes the index and deletes its folder."""
+        self.close()
+        delete(self.spark, self.folder)
+
+    def _delete(self, run: Run) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run.table}")  # an external table: its files are not touched by that
+        delete(self.spark, f"{self.folder}/{run.name}")
+        delete(self.spark, f"{self.folder}/{run.name}-filter")
 
     def _store(self, entries: DataFrame, level: int) -> Run:
         name = f"run-{uuid.uuid4().hex}"
@@ -73,7 +116,7 @@ class DigestIndex:
         dealt.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.folder}/{name}").saveAsTable(table)
         stored = self.spark.table(table)
         known = KeyFilter(stored.select("digest"), "digest", stored.count()).stored(lambda maps: self._written(maps, f"{name}-filter"))
-        return Run(name, level, stored, known)
+        return Run(name, table, level, stored, known)
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
@@ -101,6 +144,8 @@ class DigestIndex:
         last = self.runs[-n:]
         merged = functools.reduce(_joined, (r.entries for r in last))
         self.runs[-n:] = [self._store(merged, max(r.level for r in last) + 1)]
+        for run in last:
+            self.merged.append(run) if run.name in self.saved else self._delete(run)
 
     def entries(self) -> DataFrame:
         """One entry per digest, after merging all runs into one."""
@@ -124,8 +169,8 @@ def exact_duplicates(
     keep: str = "largest",
     normalise: Callable[[Column], Column] = ascii_lower,
     digest: Callable[[Column], Column] = sha256,
-    memtables: int = 4,
-    buckets: int = 16,
+    memtables: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """doc_id, keep_id, group_size, kept, digest: one row for each input row, those that are dropped included.
 
@@ -133,9 +178,12 @@ def exact_duplicates(
     (or smallest) id stays. Rows with a null id are counted in their group, but only stay if it has no other ids.
     Rows that repeat an id with the same text stay or go together. An empty table gives an empty result; other columns
     of the input, whatever their names, are not looked at. Nothing is read by prefix: a text is hashed and compared whole.
+    Where `memtables` and `buckets` are not given, they follow from the number of rows.
     """
     spark, scratch, sign = docs.sparkSession, Scratch(docs.sparkSession, "exact"), -1 if keep == "largest" else 1
     rows = docs.select((F.col(quoted(id_col)).cast("long") * sign).alias("ident"), normalise(F.coalesce(F.col(quoted(text_col)), F.lit(""))).alias("norm"))
+    n = docs.count() if memtables is None or buckets is None else 0
+    memtables, buckets = memtables or memtables_for(n), buckets or buckets_for(n)
     memtable = F.pmod(F.xxhash64("ident"), F.lit(memtables)).cast("int").alias("memtable")
     log = scratch.write(rows.select("ident", digest(F.col("norm")).alias("digest"), memtable), "log", "memtable")
     index, hits = DigestIndex(spark, f"{scratch.path}/index", buckets), None
@@ -144,6 +192,7 @@ def exact_duplicates(
         hits = found if hits is None else hits.unionByName(found)
     entries = index.entries().withColumnRenamed("ident", "first")
     hit = scratch.write(entries.join(hits.distinct(), "digest", "left_semi"), "hit")
+    index.discard()
     n_hits = hit.count()
     known = KeyFilter(hit.select("digest"), "digest", n_hits)
     hashed = rows.withColumn("digest", digest(F.col("norm")))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Scratch, connected_components, without_rows
-from quarry.llm.exact_dedup import DigestIndex, drop_known, exact_duplicates, keep_one, sha256
+from quarry.llm.exact_dedup import DigestIndex, buckets_for, drop_known, exact_duplicates, keep_one, memtables_for, sha256
 from quarry.llm import jaccard_join
 from quarry.llm.jaccard_join import jaccard_components, join_cells, keep_one_of_each, overlap_needed
 from tests.llm.texts import SCHEMA, frame, rows
@@ -114,6 +114,56 @@ def test_a_second_batch_against_a_stored_index(spark):
     assert sorted(r["doc_id"] for r in drop_known(second, DigestIndex.opened(spark, index.folder)).collect()) == [6, 8]
 
 
+def test_an_index_has_as_many_buckets_and_memtables_as_its_rows_need(spark, monkeypatch):
+    assert [buckets_for(n) for n in (0, 64_000_000, 64_000_001, 10**10, 10**13)] == [16, 16, 17, 2500, 100_000]
+    assert [memtables_for(n) for n in (0, 1 << 32, (1 << 32) + 1)] == [4, 4, 5]
+    made, files, original = [], [], DigestIndex.add
+
+    def add(index, log):
+        hits = original(index, log)
+        made.append(index.buckets)
+        files.append(len(index.runs[-1].entries.inputFiles()))
+        return hits
+
+    monkeypatch.setattr(DigestIndex, "add", add)
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('t', id % 2500) as text")
+    want = {(k, max(x for x in range(k % 2500, 6000, 2500)), len(range(k % 2500, 6000, 2500))) for k in range(6000)}
+    monkeypatch.setattr("quarry.llm.exact_dedup.buckets_for", lambda n: buckets_for(n, 300))
+    monkeypatch.setattr("quarry.llm.exact_dedup.memtables_for", lambda n: memtables_for(n, 1200))
+    found = exact_duplicates(docs).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in found} == want and len(found) == 6000
+    assert made == [20] * 5 and set(files) == {20}
+
+
+def test_a_call_leaves_no_table_and_merged_runs_are_deleted(spark):
+    before = {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
+    assert exact_duplicates(frame(spark, rows())).count() == len(rows())
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == before
+
+    def folders(index):
+        return {r["path"].split("/run-")[1].split("/")[0].removesuffix("-filter") for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{index.folder}").select("path").collect() if "/run-" in r["path"]}
+
+    def log(k):
+        return spark.range(30).select((F.col("id") + k).alias("ident"), sha256((F.col("id") + k).cast("string")).alias("digest"))
+
+    index = DigestIndex(spark, Scratch(spark, "index").path, buckets=2, fan=2)
+    index.add(log(0))
+    index.add(log(20))
+    assert folders(index) == {r.name[4:] for r in index.runs} and len(index.runs) == 1
+    index.save()
+    old = index.runs[0].name[4:]
+    index.add(log(40))
+    index.add(log(60))
+    assert old in folders(index)  # the stored index still names it
+    assert DigestIndex.opened(spark, index.folder).entries().count() == 50
+    index.save()
+    assert old not in folders(index)
+    again = DigestIndex.opened(spark, index.folder)
+    assert again.entries().count() == 90
+    for x in (index, again):
+        x.discard()
+
+
 def test_exact_duplicates_runs_no_python(spark):
     plan = exact_duplicates(frame(spark, rows()))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
