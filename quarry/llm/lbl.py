@@ -35,6 +35,8 @@ END_KEY = xxhash.xxh3_64_intdigest(b" ")
 ROWS = 1024
 #: Parameters in one slice of the sums.
 PIECE = 16384
+#: Words that can be modelled by themselves: training sorts token numbers (these words, groups, end and start) by 16 bits.
+MOST_OWN = 65_000
 
 
 def _signed(x: int) -> int:
@@ -414,8 +416,10 @@ def language_model_scores(
     `learn` marks the rows to learn from (null: not). base_score is the add-one unigram log10 probability, score the model's. A null or
     empty text is its end alone. Repeated rows and null ids give their own rows; an empty table gives none. Without training texts
     the base gives every token probability 1 and the model keeps its starting weights. Words that occur `least` times or more are modelled by
-    themselves, at most `most_words` (below 65,000) of them and no more than the head.
+    themselves, at most `most_words` of them and no more than the head; a `most_words` beyond `MOST_OWN` is refused.
     """
+    if not 0 <= most_words <= MOST_OWN:
+        raise ValueError(f"most_words is {most_words}, not from 0 to {MOST_OWN}")
     scratch = Scratch(docs.sparkSession, "lbl")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learn.alias("learn"))
     training = plain.where("learn").select("text")

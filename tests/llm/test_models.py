@@ -267,6 +267,15 @@ def test_training_beats_the_unigram_on_text_with_structure(spark):
     assert found["s"] > 0.85 * found["b"]
 
 
+def test_more_words_than_training_can_sort_are_refused(spark):
+    for most in (-1, lbl.MOST_OWN + 1):
+        with pytest.raises(ValueError, match="most_words"):
+            lbl.language_model_scores(frame(spark), F.lit(True), most_words=most)
+    last = np.array([lbl.MOST_OWN + lbl.ENDINGS + 1, 1, 1, lbl.MOST_OWN + lbl.ENDINGS + 1])  # the largest token number: the start
+    tokens, back, sums = lbl._distinct(last)
+    assert tokens.tolist() == [1, last[0]] and back.tolist() == [1, 0, 0, 1] and sums(np.array([[1], [2], [3], [4]])).tolist() == [[5], [5]]
+
+
 def test_language_model_edge_tables(spark):
     assert lbl.language_model_scores(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     found = lbl.language_model_scores(frame(spark, [(1, None, *[None] * 5, 1), (None, "a", *[None] * 5, 1)]), F.lit(False)).collect()
