@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import names, urls
+from quarry.functions.text import let
 from quarry.operators import drafts
 from quarry.sources.records import ENTITY_TYPES, SCHEMAS, SOURCE_TYPES
 from quarry.sources.shared import written
@@ -44,9 +45,15 @@ def prompt(url: Column, title: Column, type_: Column, description: Column, text:
 
 
 def reply(answer: Column) -> Column:
-    """The checked reply of a model's answer: the first ```json block, else the whole text; null if any part breaks the schema, so one bad claim rejects the page."""
+    """The checked reply of a model's answer: the first ```json block, else the whole text; null if any part breaks the schema, so one bad claim rejects the page.
+
+    The parsed reply is bound to a variable: the checks name it more than twenty times, and each of these would parse the answer anew.
+    """
     block = F.regexp_extract(answer, r"```json\s*([\s\S]*?)\s*```", 1)
-    x = F.from_json(F.coalesce(F.nullif(block, F.lit("")), answer), REPLY)
+    return let(F.from_json(F.coalesce(F.nullif(block, F.lit("")), answer), REPLY), _checked_reply)
+
+
+def _checked_reply(x: Column) -> Column:
     some = lambda c: c.isNotNull()
     short = lambda c, n: F.length(c) <= n
     entity = lambda e: some(e["name"]) & e["type"].isin(ENTITY_TYPES) & some(e["description"]) & e["confidence"].isin(LEVELS)
@@ -56,8 +63,17 @@ def reply(answer: Column) -> Column:
     return F.when(good & some(s["title"]) & some(s["publisher"]) & s["type"].isin(SOURCE_TYPES) & s["confidence"].isin(LEVELS), x)
 
 
+def checked(replies: DataFrame) -> DataFrame:
+    """The replies with a checked x, written: they are parsed and checked once, where a filter on x would be pushed down and parse them again for each of its uses."""
+    return written(replies, "replies").where("x IS NOT NULL")
+
+
 def entity_drafts(replies: DataFrame, aliases: DataFrame) -> DataFrame:
     """replies (url, x: checked reply): url, pos, slug, name, type, description, officialSite, parentEntity (of organizations only), confidence."""
+    return _entity_drafts(checked(replies.select("url", "x")), aliases)
+
+
+def _entity_drafts(replies: DataFrame, aliases: DataFrame) -> DataFrame:
     rows = replies.select("url", F.posexplode("x.entities").alias("pos", "e")).select("url", "pos", "e.*")
     own = names.resolve_names(rows, aliases).withColumnRenamed("resolved", "slug")
     parents = own.where("type = 'organization' AND parentEntity <> ''").select("url", "pos", F.col("parentEntity").alias("name"))
@@ -77,6 +93,10 @@ def source_drafts(replies: DataFrame, today: str) -> DataFrame:
 
 def claim_drafts(replies: DataFrame, aliases: DataFrame, today: str, primary: str | None = None) -> DataFrame:
     """replies (url, x): a claim per row, with the primary entity first and then the related ones other than it, repeats kept."""
+    return _claim_drafts(checked(replies.select("url", "x")), aliases, today, primary)
+
+
+def _claim_drafts(replies: DataFrame, aliases: DataFrame, today: str, primary: str | None) -> DataFrame:
     rows = replies.select("url", F.posexplode("x.claims").alias("pos", "c"), F.get("x.entities", F.lit(0))["name"].alias("first_name"))
     rows = rows.withColumn("name", F.coalesce(F.lit(primary).cast("string"), "first_name"))
     rows = names.resolve_names(rows, aliases).withColumn("main", F.coalesce("resolved", F.lit("unknown")))
@@ -110,13 +130,13 @@ def draft_tables(replies: DataFrame, aliases: DataFrame, today: str, model: str,
     An entity of several pages is the first page's, with the best confidence and all pages. Two keys that would share an id get two; taken (id, key) are the sources' ids
     (by URL) that are given already. Replies without a checked x give nothing.
     """
-    good = written(replies.where("x IS NOT NULL").select("url", "title", "x"), "replies")  # parsed and checked once
+    good = checked(replies.select("url", "title", "x"))
 
     def draft(pages: Column) -> Column:
         null = F.lit(None).cast("string")
         return F.struct(F.col("confidence"), pages.alias("sourcePages"), null.alias("notes"), F.lit(model).alias("model"), F.lit(at).alias("extractedAt"))
 
-    rows = written(entity_drafts(good, aliases).withColumn("place", F.struct("url", "pos")), "entity-drafts")
+    rows = written(_entity_drafts(good, aliases).withColumn("place", F.struct("url", "pos")), "entity-drafts")
     merged = drafts.merge_entities(rows.select("slug", "name", "confidence", F.col("url").alias("page"), "place"), "place")
     facts = rows.groupBy("slug").agg(F.min_by(F.struct("type", "description", "officialSite", "parentEntity"), "place").alias("first"))
     links = F.when(F.col("first.officialSite").isNotNull(), F.struct(F.col("first.officialSite").alias("officialSite"), *[F.lit(None).cast("string").alias(c) for c in ("wikipedia", "linkedin", "twitter", "crunchbase")]))
@@ -125,7 +145,7 @@ def draft_tables(replies: DataFrame, aliases: DataFrame, today: str, model: str,
     source_ids = names.assigned_ids(good.select("url"), "src_", "url", taken).select(F.col("key").alias("url"), F.col("id").alias("_id"))
     sources = source_drafts(good, today).groupBy("url").agg(F.first(F.struct("title", "publisher", "accessDate", "type", "author", "publishedDate", "excerpt", "confidence")).alias("s")).select("url", "s.*")
     sources = sources.join(source_ids, "url").withColumn("_draft", draft(page)).withColumnRenamed("_id", "id")
-    claims = claim_drafts(good, aliases, today, primary).withColumn("_key", F.concat_ws("#", "url", F.col("pos").cast("string")))
+    claims = _claim_drafts(good, aliases, today, primary).withColumn("_key", F.concat_ws("#", "url", F.col("pos").cast("string")))
     claims = written(claims, "claim-drafts")
     claim_ids = names.assigned_ids(claims.select("_key"), "clm_", "_key").select(F.col("key").alias("_key"), F.col("id").alias("_own"))
     cited = F.transform("citations", lambda c: F.struct(F.col("_id").alias("sourceId"), F.lit(None).cast("string").alias("locator"), c["quote"].alias("quote"), F.lit(None).cast("string").alias("note")))

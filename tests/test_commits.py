@@ -101,3 +101,13 @@ def test_clashing_ids(spark):
     later = {r["key"]: r["id"] for r in names.assigned_ids(keys, "x_", "key", taken, one_digit).collect()}
     assert set(later) == set(ids) and later["k4"] == "x_0.5" and plain["k3"] not in later.values() and len(set(later.values())) == 9
     assert {r["key"]: r["id"] for r in names.assigned_ids(keys, "src_", "key").collect()} == {r["key"]: r["id"] for r in keys.where("key IS NOT NULL").distinct().select("key", names.short_id("src_", F.col("key")).alias("id")).collect()}
+
+
+def test_replies_are_parsed_once(spark):
+    replies = spark.createDataFrame([("https://e.org/1", reply()), ("https://e.org/2", "no json")], "url string, answer string").withColumn("x", extraction.reply(F.col("answer")))
+    assert replies._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    aliases = names.alias_map(spark.createDataFrame([], "slug string, name string, ord int"))
+    entities, claims = extraction.entity_drafts(replies, aliases), extraction.claim_drafts(replies, aliases, "2026-01-01")
+    for found in (entities, claims):
+        assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString()  # no use of x parses again
+    assert entities.count() == 2 and claims.count() == 1
