@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quarry.functions.text import let
+from quarry.sources.shared import written
 
 #: Scheme, authority, path, query, fragment.
 SHAPE = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#[\s\S]*)?\z"
@@ -262,22 +263,43 @@ def robots_sites(robots: DataFrame, agent: str, configured: int = 1000) -> tuple
     return own.where("pattern IS NOT NULL").select("host", "allow", "pattern").distinct(), sites
 
 
+def robots_subject(url: Column) -> Column:
+    """Path with query, which rules are about."""
+    raw = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?([^?#]*(?:\?[^#]*)?)(?:#[\s\S]*)?\z", 1)
+    return let(raw, lambda x: F.when((x == "") | x.startswith("?"), F.concat(F.lit("/"), x)).otherwise(x))
+
+
 def rule_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages (url, host and other columns) with `allowed`, by rules (host, allow, pattern).
 
-    The rule with the most characters besides * that fits decides; allow wins ties; no rule allows; what is no URL is denied. A rule is a row of its literal beginning, and a URL's beginnings, of the lengths
-    that its host's rules have, are joined with them; only rules with a * or a last $ are then tried as expressions. So a host's many rules are looked up, not scanned.
+    The rule with the most characters besides * that fits decides; allow wins ties; no rule allows; what is no URL is denied. A rule is a row of its literal beginning, and beginnings of URLs, of the lengths
+    that their host's rules have, are joined with them. So a host's many rules are looked up, not scanned. URLs of one host that are alike up to its longest rule without a * or a last $ have the same
+    rules of this kind, so each such head is looked up once; rules with one, if there are any, are tried as expressions on distinct URLs. Rules and their lengths are written, so that
+    the lengths of a few hosts are known to be few and URLs aren't shuffled by their host.
     """
     first = F.regexp_extract("pattern", r"^([^*]*?)(?=\*|\$\z|\z)", 1)
     rows = rules.where("pattern <> ''").select("host", "allow", first.alias("_begin"), F.when(F.length(first) < F.length("pattern"), rule_pattern(F.col("pattern"))).alias("_regex"), F.length(F.replace("pattern", F.lit("*"), F.lit(""))).alias("_weight"))
-    lengths = rows.groupBy("host").agg(F.collect_set(F.length("_begin")).alias("_lengths"))  # no more than the longest rule has characters
-    asked = pages.select("host", "url").where("url IS NOT NULL").distinct().withColumn("_subject", F.concat(path(F.col("url")), part(F.col("url"), 4)))
-    begun = asked.join(lengths, "host").select("host", "url", "_subject", F.explode(F.filter("_lengths", lambda n: n <= F.length("_subject"))).alias("_n"))
-    begun = begun.withColumn("_begin", F.left("_subject", F.col("_n")))
-    fits = begun.join(rows, ["host", "_begin"]).where(F.col("_regex").isNull() | F.call_function("rlike", F.col("_subject"), F.col("_regex")))
-    best = fits.groupBy("host", "url").agg(F.max(F.struct("_weight", "allow"))["allow"].alias("allowed"))
+    rows = written(rows.withColumnRenamed("host", "_host"), "rules")
+    lengths = rows.groupBy(F.col("_host").alias("host"), F.col("_regex").isNull().alias("_plain")).agg(F.collect_set(F.length("_begin")).alias("_lengths"))  # no more than the longest rule has characters
+    lengths = written(lengths.where("host IS NOT NULL"), "rule-lengths")
+    of = {own: lengths.where(F.col("_plain") == own).drop("_plain") for own in (True, False)}
+
+    def best(asked: DataFrame, text: str, plain: bool) -> DataFrame:
+        """host, text, and the best of its host's rules that begin it and fit it."""
+        begun = asked.select("host", text).distinct().join(of[plain], "host").select("host", text, F.explode("_lengths").alias("_n")).where(F.col("_n") <= F.length(text))
+        found = begun.join(rows.where(F.col("_regex").isNull() == plain), (F.col("host") == F.col("_host")) & (F.left(text, F.col("_n")) == F.col("_begin")))
+        fits = found if plain else found.where(F.call_function("rlike", F.col(text), F.col("_regex")))
+        return fits.groupBy("host", text).agg(F.max(F.struct("_weight", "allow")).alias(f"{text}_best"))
+
     is_url = F.coalesce(F.col("url").rlike(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]"), F.lit(False))
-    return pages.join(best, ["host", "url"], "left").withColumn("allowed", is_url & F.coalesce("allowed", F.lit(True))).select(*pages.columns, "allowed")
+    longest = of[True].select("host", F.array_max("_lengths").alias("_longest"))
+    asked = pages.join(longest, "host", "left").withColumn("_subject", robots_subject(F.col("url"))).withColumn("_ok", is_url)
+    asked = asked.withColumn("_head", F.when(F.col("_longest").isNull(), F.col("_subject")).otherwise(F.left("_subject", F.col("_longest"))))
+    found, verdicts = asked.join(best(asked, "_head", True), ["host", "_head"], "left"), [F.col("_head_best")]
+    if not of[False].isEmpty():
+        found, verdicts = found.join(best(asked, "_subject", False), ["host", "_subject"], "left"), [*verdicts, F.col("_subject_best")]
+    decided = F.greatest(*verdicts)["allow"] if len(verdicts) > 1 else verdicts[0]["allow"]
+    return found.withColumn("allowed", F.col("_ok") & F.coalesce(decided, F.lit(True))).select(*pages.columns, "allowed")
 
 
 def robots_verdicts(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:

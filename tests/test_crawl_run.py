@@ -142,3 +142,18 @@ def test_live_requests_a_host_at_a_time(spark, server):
     assert all(found[x][0] == 0 and found[x][2] for x in ("http://127.0.0.1:9/x", "nonsense")) and {a for _, _, a in asked} == {"quarry-test"}
     first = [t for t, p, _ in asked if p in ("/ok", "/r1", "/down")]
     assert max(first) - min(first) > 0.25
+
+
+def rows_out(node, name):
+    """Rows that the named operators of an executed plan gave."""
+    kind = node.getClass().getSimpleName()
+    inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return (node.metrics().apply("numOutputRows").value() if kind == name else 0) + sum(rows_out(n, name) for n in inner)
+
+
+def test_urls_that_rules_cannot_tell_apart_are_looked_up_once(spark):
+    pages = spark.createDataFrame([("h", f"https://h/d/{k % 10}/{k}") for k in range(1000)], "host string, url string")
+    rules = spark.createDataFrame([("h", k % 2 == 0, "/d/" + str(k)) for k in range(5)] + [("h", False, "/")], "host string, allow boolean, pattern string")
+    found = urls.rule_verdicts(pages, rules)
+    assert all(r["allowed"] == (r["url"][len("https://h/d/")] in "024") for r in found.collect())
+    assert rows_out(found._jdf.queryExecution().executedPlan(), "GenerateExec") == 20  # ten heads, two lengths
