@@ -48,22 +48,26 @@ def assigned_ids(keys: DataFrame, prefix: str, key: str, taken: DataFrame | None
     Of keys with one id the smallest keeps it, and the others are tried again with their attempt's number appended. taken (id, key) are ids that are given already: a key that is among them
     keeps its id, and nobody else gets it. So the ids are the same in every run over the same keys. A null key has no id. There are as many rounds as the most keys that share an id, nearly always one.
     """
-    own = keys.select(F.col(key).alias("key")).where("key IS NOT NULL").distinct()
-    held = taken.select("id", F.col("key").alias("key")) if taken is not None else None
-    if held is not None:
+    asked = keys.select(F.col(key).alias("key")).where("key IS NOT NULL").distinct()
+    own, held = asked, None
+    if taken is not None:
+        held = taken.select("id", "key")
         own = own.join(held.select("key"), "key", "left_anti")
-    done, attempt = held, 0
+    # written once: each round reads it twice
+    own, done, attempt = written(own, "keys"), held, 0
     while True:
         tried = own.withColumn("id", make(prefix, F.concat_ws("#", "key", F.lit(str(attempt))) if attempt else F.col("key")))
         first = tried.groupBy("id").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
         if done is not None:
-            first = first.join(done.select("id"), "id", "left_anti")
-        done = first.select("id", "key") if done is None else done.unionByName(first.select("id", "key"))
-        # what lost is few, so it is written, and later rounds read no more than that
-        lost = written(tried.select("key").join(first.select("key"), "key", "left_anti"), "ids")
-        if lost.isEmpty():
-            return done.select("key", "id") if held is None else done.join(keys.select(F.col(key).alias("key")).distinct(), "key", "left_semi").select("key", "id")
-        own, attempt = lost, attempt + 1
+            first = first.join(done.select("id", F.lit(True).alias("_given")), "id", "left").select("id", F.when(F.col("_given").isNull(), F.col("key")).alias("key"), F.when(F.col("_given").isNull(), F.col("n")).alias("n"))
+        first = written(first, "ids")
+        won = first.where("key IS NOT NULL").select("id", "key")
+        done = won if done is None else done.unionByName(won)
+        # only ids of several keys, or given ones, have losers; they are few, and later rounds read no more than that
+        clashes = first.where("n > 1 OR n IS NULL").select("id", F.col("key").alias("_winner"))
+        if clashes.isEmpty():
+            return done.select("key", "id") if held is None else done.join(asked, "key", "left_semi").select("key", "id")
+        own, attempt = written(tried.join(clashes, "id").where("_winner IS NULL OR key <> _winner").select("key"), "keys"), attempt + 1
 
 
 def alias_map(entities: DataFrame) -> DataFrame:

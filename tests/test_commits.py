@@ -111,3 +111,10 @@ def test_replies_are_parsed_once(spark):
     for found in (entities, claims):
         assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString()  # no use of x parses again
     assert entities.count() == 2 and claims.count() == 1
+
+
+def test_keys_are_read_once_for_their_ids(spark):
+    keys = spark.createDataFrame([(f"k{k}",) for k in range(20)], "key string")
+    found = names.assigned_ids(keys, "x_", "key", make=lambda prefix, key: F.concat(F.lit(prefix), F.pmod(F.xxhash64(key), F.lit(1000)).cast("string")))
+    assert "LogicalRDD" not in found._jdf.queryExecution().optimizedPlan().toString()  # rounds read what is written, not the keys again
+    assert found.select("id").distinct().count() == 20
