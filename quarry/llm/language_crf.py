@@ -109,13 +109,20 @@ class LanguageCrf:
         some = [w for w in new if has_letter(w)]
         cache.update(dict.fromkeys(set(new).difference(some), b""))
         if some:
+            forms = {w: letters(w) for w in some}  # a word's weights are those of its letters, which spellings with capitals, digits and marks share
+            fresh = [f for f in dict.fromkeys(forms.values()) if not cache.get(f)]
             flat, ends = [], []
-            for w in some:
-                flat += word_features(w, self.lexicon, self.grams)
+            for f in fresh:
+                flat += word_features(f, self.lexicon, self.grams)
                 ends.append(len(flat))
-            sums = np.add.reduceat(self.weights[flat], [0, *ends[:-1]], 0).astype("<f4")
-            width, raw = 4 * sums.shape[1], sums.tobytes()
-            cache.update((w, raw[k * width : (k + 1) * width]) for k, w in enumerate(some))
+            made = {}
+            if fresh:
+                sums = np.add.reduceat(self.weights[flat], [0, *ends[:-1]], 0).astype("<f4")
+                width, raw = 4 * sums.shape[1], sums.tobytes()
+                made = {f: raw[k * width : (k + 1) * width] for k, f in enumerate(fresh)}
+            cache.update([(w, made.get(f) or cache[f]) for w, f in forms.items()])
+            if len(cache) + len(made) <= cache.most:
+                cache.update(made)
 
     def fit(self, sequences: list[tuple[list[str], list[int]]], epochs: int, seed: int, rate: float = 0.05, decay: float = 1e-4) -> None:
         """Adam on the conditional likelihood of sequences of exactly SEGMENT words."""
@@ -254,7 +261,7 @@ def identify_language(docs: DataFrame, model: LanguageCrf | None, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.open(_Tagger)
-        for b in text_slices(batches, 1):
+        for b in text_slices(batches, 1, 1024):
             langs, scores, marginals = tagger.tag(b.column(1).to_pylist())
             spans = pa.array([tagger.spans(p) for p in marginals], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
@@ -269,7 +276,7 @@ def keep_identified(docs: DataFrame, model: LanguageCrf | None, least: float = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.open(_Tagger)
-        for b in text_slices(batches, place):
+        for b in text_slices(batches, place, 1024):
             langs, _, marginals = tagger.tag(b.column(place).to_pylist())
             yield b.filter(pa.array([x != "und" and float(p.max(1).mean()) >= least for x, p in zip(langs, marginals, strict=True)], pa.bool_()))
 

@@ -280,3 +280,17 @@ def test_language_model_edge_tables(spark):
     assert lbl.language_model_scores(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     found = lbl.language_model_scores(frame(spark, [(1, None, *[None] * 5, 1), (None, "a", *[None] * 5, 1)]), F.lit(False)).collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in found) == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
+
+
+def test_spellings_of_a_word_share_its_weights(monkeypatch):
+    from quarry.llm import language_crf
+    from quarry.llm.units import Cache
+
+    model, asked, own = language_crf.LanguageCrf(["a", "b"], {"word"}), [], language_crf.word_features
+    model.weights[:] = np.random.default_rng(1).normal(size=model.weights.shape)
+    monkeypatch.setattr(language_crf, "word_features", lambda w, *more: asked.append(w) or own(w, *more))
+    cache = Cache(model.emission, 100)
+    model.fill(cache, {"Word", "word,", "WORD1", "12"})
+    assert asked == ["word"] and cache["Word"] == cache["word,"] == cache["WORD1"] == cache["word"] and cache["12"] == b""
+    model.fill(cache, {"(word)", "Other"})
+    assert asked == ["word", "other"] and np.allclose(np.frombuffer(cache["(word)"], "<f4"), np.frombuffer(model.emission("word"), "<f4"))
