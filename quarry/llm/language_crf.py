@@ -8,6 +8,7 @@ their mean is the document's. Documents of like length run in step in numpy.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ BUCKETS = 1 << 15
 SEGMENT = 32
 #: Words (with padding) that run in step at once.
 CELLS = 200_000
+#: Code points whose n-grams are hashed at once, and words whose features are listed at once.
+CODES, WORDS = 1 << 18, 1 << 14
 
 
 def has_letter(word: str) -> bool:
@@ -56,6 +59,94 @@ def word_features(word: str, lexicon: frozenset[str] | set[str], grams: Grams) -
     return list(found)
 
 
+#: What a byte does to the register of a CRC-32.
+_CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)
+
+
+def _byte(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return _CRC[(state ^ byte) & 0xFF] ^ (state >> 8)
+
+
+def _code(state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The registers after the UTF-8 bytes of one code point each."""
+    out = _byte(state, codes)
+    wide = np.flatnonzero(codes > 0x7F)
+    if len(wide):
+        c, s = codes[wide], np.broadcast_to(state, codes.shape)[wide]
+        size = 2 + (c > 0x7FF) + (c > 0xFFFF)
+        s = _byte(s, np.choose(size - 2, [0xC0 | c >> 6, 0xE0 | c >> 12, 0xF0 | c >> 18]))
+        for later in (2, 1, 0):
+            s = np.where(size > later + 1, _byte(s, 0x80 | c >> 6 * later & 0x3F), s)
+        out[wide] = s
+    return out
+
+
+def _begun(kind: str) -> np.ndarray:
+    return np.array(zlib.crc32(kind.encode()) ^ 0xFFFFFFFF, np.uint32)
+
+
+def all_features(forms: list[str], lexicon: frozenset[str] | set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of words that are letters already, one word's after another's and each in ascending order, and where each word's begin.
+
+    The same buckets as word_features, which takes a word at a time: the CRCs of all n-grams are taken together.
+    """
+    n = len(forms)
+    codes = np.frombuffer("".join([f"^{f}$" for f in forms]).encode("utf-32-le") + bytes(8), "<u4")
+    end = np.cumsum(np.fromiter(map(len, forms), np.int64, n) + 2) - 1
+    first, own = np.append(0, end[:-1] + 1), np.arange(n)
+    places: list[np.ndarray] = []
+
+    def add(word: np.ndarray, state: np.ndarray) -> None:
+        places.append(word * BUCKETS + (~state & BUCKETS - 1))
+
+    long = end - first > 2  # a word of one letter has no more than three marked characters
+    p = _code(_code(_begun("p"), codes[first]), codes[first + 1])
+    add(own, p)
+    p = _code(p, codes[first + 2])
+    add(own, p)
+    add(own[long], _code(p, codes[first + 3])[long])
+    for k in (1, 2, 3):
+        some = own if k < 3 else own[long]
+        s = _begun("s")
+        for back in range(k, -1, -1):
+            s = _code(s, codes[end[some] - back])
+        add(some, s)
+    known = [k for k, f in enumerate(forms) if f in lexicon]
+    places.append(np.array(known, np.int64) * BUCKETS + np.array([zlib.crc32(f"w{forms[k]}".encode()) % BUCKETS for k in known], np.int64))
+    found = [np.concatenate(places)]
+    for lo in range(0, len(codes) - 2, CODES):
+        hi = min(lo + CODES, len(codes) - 2)
+        word = np.searchsorted(end, np.arange(lo, hi))
+        rest = end[word] - np.arange(lo, hi)
+        two = _code(_code(_begun("n"), codes[lo:hi]), codes[lo + 1 : hi + 1])
+        three = _code(two, codes[lo + 2 : hi + 2])
+        found.append(_different(np.concatenate([(word * BUCKETS + (~x & BUCKETS - 1))[rest >= k] for k, x in ((1, two), (2, three))])))
+    word, buckets = np.divmod(_different(np.concatenate(found)), BUCKETS)
+    return buckets, np.searchsorted(word, own)
+
+
+def _different(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+@functools.cache
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def all_letters(words: list[str]) -> list[str]:
+    """`letters` of each word, '' for a word without a letter; words have no white space."""
+    if not words:
+        return []
+    codes = np.frombuffer("\n".join(words).lower().encode("utf-32-le"), "<u4")
+    letter, ends = _is_letter()[codes], codes == 10
+    some = np.zeros(len(words), bool)
+    some[np.cumsum(ends)[letter]] = True
+    forms = codes[letter | ends | (codes == 39) | (codes == 45)].tobytes().decode("utf-32-le").split("\n")
+    return [f if s else "" for f, s in zip(forms, some.tolist(), strict=True)]
+
+
 def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, lengths: np.ndarray, with_transitions: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word marginals (time, sequence, label), and, if asked for, the expected transitions summed over all sequences.
 
@@ -128,11 +219,16 @@ class LanguageCrf:
         """Adam on the conditional likelihood of sequences of exactly SEGMENT words."""
         rng, k = np.random.default_rng(seed), len(self.languages)
         vocab: dict[str, int] = {}
-        words = np.array([[vocab.setdefault(w, len(vocab)) for w in ws] for ws, _ in sequences])
-        labels = np.array([ls for _, ls in sequences])
-        feats = [word_features(w, self.lexicon, self.grams) for w in vocab]
-        width = np.array([len(f) for f in feats])
-        flat, begin = np.concatenate([np.array(f, np.int64) for f in feats]), np.cumsum(width) - width
+        words = np.fromiter((vocab.setdefault(w, len(vocab)) for ws, _ in sequences for w in ws), np.int32).reshape(-1, SEGMENT)
+        labels = np.fromiter((x for _, ls in sequences for x in ls), np.int32).reshape(-1, SEGMENT)
+        forms, flat, width = all_letters(list(vocab)), [], []
+        for lo in range(0, len(forms), WORDS):
+            some, begin = all_features(forms[lo : lo + WORDS], self.lexicon)
+            flat.append(some.astype(np.int32))
+            width.append(np.diff(begin, append=len(some)))
+        flat, width = np.concatenate(flat), np.concatenate(width)
+        begin = np.cumsum(width) - width
+        del vocab, forms
         params = [self.weights.astype(np.float64), self.transition, self.start]
         m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(epochs):
@@ -196,27 +292,30 @@ def fit_language_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     few = low.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang")
     texts = known.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = sorted({(r["doc_id"], r["lang"], r["text"]) for r in texts.collect()})
-    words = [([w for w in text.split() if has_letter(w)], lang) for _, lang, text in rows]
+    one: dict[str, str] = {}  # a word that occurs again is the same object, so that the driver holds each once
+    words = [([one.setdefault(w, w) for w in text.split() if has_letter(w)], lang) for _, lang, text in rows]
     words = [(w, lang) for w, lang in words if w]
     if not words:
         return None
     languages = sorted({lang for _, lang in words})
-    counts = Counter(word for w, _ in words for word in {letters(x) for x in w})
+    form = dict(zip(one, all_letters(list(one)), strict=True))
+    counts = Counter(word for w, _ in words for word in {form[x] for x in w})
     model = LanguageCrf(languages, {w for w, n in counts.items() if n >= 3})
+    del rows, one, form, counts
     rng = np.random.default_rng(seed)
     sequences, halves = [], []
     for w, lang in words:
-        label = languages.index(lang)
+        label = [languages.index(lang)] * SEGMENT
         w = w * -(-SEGMENT // len(w)) if len(w) < SEGMENT else w  # short texts are repeated to one sequence
         for k in sorted({*range(0, len(w) - SEGMENT + 1, SEGMENT), len(w) - SEGMENT}):  # the last may overlap the one before
-            sequences.append((w[k : k + SEGMENT], [label] * SEGMENT))
+            sequences.append((w[k : k + SEGMENT], label))
     for _ in range(len(sequences) // 4):
         (a, la), (b, lb) = (sequences[i] for i in rng.integers(0, len(sequences), 2))
         cut = int(rng.integers(4, SEGMENT - 4))
         halves.append((a[:cut] + b[cut:], la[:cut] + lb[cut:]))
     model.fit(sequences + halves, epochs, seed)
     model.grams = Grams()
-    del rows, words, sequences, halves, counts
+    del words, sequences, halves
     trim()
     return model
 

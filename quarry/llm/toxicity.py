@@ -37,7 +37,9 @@ RARE = 64
 #: Blocks of highest bound that a text visits before its other blocks are pruned.
 FIRST = 4
 #: Terms in one slice of the document frequencies; bytes in one piece of a packed model.
-SLICE, PIECE = 1 << 16, 1 << 22
+SLICE, PIECE = 1 << 16, 1 << 18
+#: Pieces in one file; the driver takes a few files at a time.
+PER_FILE = 8
 #: Examples by which each term's frequency in a label is smoothed.
 SMOOTH = 4.0
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’…"
@@ -319,7 +321,7 @@ def leaning(labels: list[int], counts: list[tuple[np.ndarray, np.ndarray]], n_te
 class Fitted:
     """A packed model, as it travels: the driver doesn't open it."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes | bytearray):
         self.raw = raw
 
     def open(self) -> NeighbourModel:
@@ -384,12 +386,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["place", "piece"])
 
     one = examples.select("doc_id", "label", "text").repartition(1).sortWithinPartitions("doc_id")  # a bounded number of rows
-    pieces = sorted((r["place"], r["piece"]) for r in one.mapInArrow(build, "place int, piece binary").collect())
-    raw = b"".join(x for _, x in pieces) or packed(NeighbourModel(terms, np.zeros(width - 1), [], k))
-    del pieces, terms, listed, df, found_df
+    built = scratch.write(one.mapInArrow(build, "place int, piece binary"), "model", maxRecordsPerFile=str(PER_FILE))
+    raw = bytearray(built.agg(F.sum(F.length("piece"))).first()[0] or 0)
+    for r in built.toLocalIterator():  # a partition after the other: neither the JVM nor Python holds the model twice
+        raw[r["place"] * PIECE : (r["place"] + 1) * PIECE] = r["piece"]
+    raw = raw or packed(NeighbourModel(terms, np.zeros(width - 1), [], k))
+    del terms, listed, df, found_df
     shared.destroy()
     idf.destroy()
     scratch.drop("examples")
+    scratch.drop("model")
     trim()
     return Fitted(raw)
 

@@ -294,3 +294,35 @@ def test_spellings_of_a_word_share_its_weights(monkeypatch):
     assert asked == ["word"] and cache["Word"] == cache["word,"] == cache["WORD1"] == cache["word"] and cache["12"] == b""
     model.fill(cache, {"(word)", "Other"})
     assert asked == ["word", "other"] and np.allclose(np.frombuffer(cache["(word)"], "<f4"), np.frombuffer(model.emission("word"), "<f4"))
+
+
+def odd_forms(n=300):
+    rnd = random.Random(5)
+    letters = [chr(c) for c in (*range(97, 123), 0xDF, 0xE9, 0x3C2, 0x430, 0x5D0, 0x4E2D, 0x10400, 0x20000)]
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.choice([1, 1, 2, 3, 5, 12]))) for _ in range(n)] + ["o'x", "a-b", "-a", "x" * 300]
+    return [language_crf.letters(w) for w in words]
+
+
+def test_features_of_many_words_are_those_of_each(monkeypatch):
+    forms = odd_forms()
+    grams, lexicon = language_crf.Grams(), set(forms[::3])
+    for codes in (1 << 18, 7):
+        monkeypatch.setattr(language_crf, "CODES", codes)
+        buckets, begin = language_crf.all_features(forms, lexicon)
+        assert [x.tolist() for x in np.split(buckets, begin[1:])] == [sorted(language_crf.word_features(f, lexicon, grams)) for f in forms]
+    words = ["Word,", "12", "İx", "ΑΣ", "'-", "O'X!", "ß9"]
+    assert language_crf.all_letters(words) == [language_crf.letters(w) if language_crf.has_letter(w) else "" for w in words]
+
+
+def test_learning_takes_little_of_the_drivers_memory():
+    import tracemalloc
+
+    rnd, n = random.Random(2), language_crf.SEGMENT
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(5000 * n)]
+    sequences = [(words[k : k + n], [k // n % 2] * n) for k in range(0, len(words), n)]
+    tracemalloc.start()
+    try:
+        language_crf.LanguageCrf(["a", "b"], set()).fit(sequences, 1, 7)
+        assert tracemalloc.get_traced_memory()[1] < 90e6
+    finally:
+        tracemalloc.stop()
