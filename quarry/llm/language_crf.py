@@ -3,7 +3,7 @@
 A word's features are its beginnings, endings and inner n-grams and, if it is frequent in the examples, the word itself (lexicon);
 transitions between the languages of neighbouring words are learned too, from examples that are also
 joined into code-switched sequences. Forward-backward over the whole text gives each word's language probabilities;
-their mean is the document's. Documents of like length run in step in numpy.
+their mean is the document's. Documents of like length run in step in numpy, and the distinct words of a slice of documents get their features and weights together.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ BUCKETS = 1 << 15
 SEGMENT = 32
 #: Words (with padding) that run in step at once.
 CELLS = 200_000
-#: Code points whose n-grams are hashed at once, and words whose features are listed at once.
+#: Code points whose n-grams are hashed at once, and words whose weights are summed at once.
 CODES, WORDS = 1 << 18, 1 << 14
 
 
@@ -147,6 +148,15 @@ def all_letters(words: list[str]) -> list[str]:
     return [f if s else "" for f, s in zip(forms, some.tolist(), strict=True)]
 
 
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of all the texts, split as str.split does, the number of each word in order, and the text of each; null is empty."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    words, of = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    some = pc.greater(pc.binary_length(words), 0)
+    words = words.filter(some).dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(), of.filter(some).to_numpy()
+
+
 def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, lengths: np.ndarray, with_transitions: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word marginals (time, sequence, label), and, if asked for, the expected transitions summed over all sequences.
 
@@ -191,6 +201,18 @@ class LanguageCrf:
         """A word's label weights as packed 32-bit floats; none for a word without letters."""
         return self.weights[word_features(word, self.lexicon, self.grams)].sum(0).astype("<f4").tobytes() if has_letter(word) else b""
 
+    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Label weights of all the words (words x labels) as 32-bit floats, and whether each has a letter; zeros for one without."""
+        out, some = np.zeros((len(words), len(self.languages)), np.float32), np.zeros(len(words), bool)
+        for lo in range(0, len(words), WORDS):
+            forms = all_letters(words[lo : lo + WORDS])
+            at = np.array([k for k, f in enumerate(forms) if f], np.int64)
+            if len(at):
+                buckets, begin = all_features([f for f in forms if f], self.lexicon)
+                out[lo + at] = np.add.reduceat(self.weights[buckets], begin, 0)
+                some[lo + at] = True
+        return out, some
+
     def fill(self, cache: Cache, words: set[str]) -> None:
         """Puts the words that the cache lacks into it, all in one sum."""
         new = list(words.difference(cache))
@@ -322,18 +344,19 @@ def fit_language_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 class _Tagger:
     def __init__(self, model: LanguageCrf | None):
-        self.model, self.cache = model, Cache(model.emission, 300_000) if model else None
+        self.model = model
 
-    def tag(self, texts: list[str | None]) -> tuple[list[str], list[float], list[np.ndarray]]:
+    def tag(self, texts: pa.Array) -> tuple[list[str], list[float], list[np.ndarray]]:
         """Language, score and word marginals of each text."""
         n, own = len(texts), self.model
         langs, scores = ["und"] * n, [0.0] * n
         if not own:
             return langs, scores, [np.zeros((0, 1))] * n
-        words = [(t or "").split() for t in texts]
-        own.fill(self.cache, set().union(*words))
-        weights = [np.frombuffer(b"".join(map(self.cache.__getitem__, w)), "<f4").reshape(-1, len(own.languages)) for w in words]
-        marginals = own.marginals(weights)
+        words, at, of = split_words(texts)
+        weights, some = own.emissions(words)
+        some = some[at]
+        at, cut = at[some], np.searchsorted(of[some], np.arange(n + 1)).tolist()
+        marginals = own.marginals([weights[at[lo:hi]] for lo, hi in zip(cut, cut[1:], strict=False)])
         for i, p in enumerate(marginals):
             if len(p):
                 mean = p.mean(0, dtype=np.float64)
@@ -361,7 +384,7 @@ def identify_language(docs: DataFrame, model: LanguageCrf | None, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.open(_Tagger)
         for b in text_slices(batches, 1, 1024):
-            langs, scores, marginals = tagger.tag(b.column(1).to_pylist())
+            langs, scores, marginals = tagger.tag(b.column(1))
             spans = pa.array([tagger.spans(p) for p in marginals], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
 
@@ -376,7 +399,7 @@ def keep_identified(docs: DataFrame, model: LanguageCrf | None, least: float = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.open(_Tagger)
         for b in text_slices(batches, place, 1024):
-            langs, _, marginals = tagger.tag(b.column(place).to_pylist())
+            langs, _, marginals = tagger.tag(b.column(place))
             yield b.filter(pa.array([x != "und" and float(p.max(1).mean()) >= least for x, p in zip(langs, marginals, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -326,3 +326,16 @@ def test_learning_takes_little_of_the_drivers_memory():
         assert tracemalloc.get_traced_memory()[1] < 90e6
     finally:
         tracemalloc.stop()
+
+
+def test_words_of_a_slice_are_weighted_together(monkeypatch):
+    forms = odd_forms(100)
+    model = language_crf.LanguageCrf(["a", "b"], set(forms[::2]))
+    model.weights[:] = np.random.default_rng(1).normal(size=model.weights.shape)
+    each = np.stack([np.frombuffer(model.emission(f), "<f4") for f in forms])
+    monkeypatch.setattr(language_crf, "word_features", None)  # takes a word at a time
+    monkeypatch.setattr(language_crf, "WORDS", 9)
+    found, some = model.emissions([*forms, "12"])
+    assert np.allclose(found[:-1], each, atol=1e-5) and some.tolist() == [True] * len(forms) + [False]
+    langs, scores, marginals = language_crf._Tagger(model).tag(pa.array([None, " ", f"{forms[0]}  12\x1c{forms[1]}\n", "1 2"]))
+    assert langs[0] == langs[1] == langs[3] == "und" and langs[2] in "ab" and [len(m) for m in marginals] == [0, 0, 2, 0] and scores[2] > 0
