@@ -20,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, text_slices
 from quarry.llm.units import library_encoder
 
 #: Pieces that a task packs at once.
 CHUNK = 16384
+#: Pieces that a task hands over at once.
+SENT = 1024
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -83,9 +85,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                 if len(rows) >= CHUNK:
                     out, made = packed(rows, task, made)
                     rows = []
-                    yield out
+                    yield from text_slices([out], 5, SENT)
         if rows:
-            yield packed(rows, task, made)[0]
+            yield from text_slices([packed(rows, task, made)[0]], 5, SENT)
 
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, bin long, offset long, bin_fill long"

@@ -157,3 +157,24 @@ def test_section_counts_follow_the_rule(spark, rule):
 def test_section_counts_refuse_an_unknown_rule(spark):
     with pytest.raises(ValueError):
         token_counts.section_token_counts(frame(spark), BYTE, "nearest")
+
+
+def test_a_chunk_of_pieces_is_handed_over_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from quarry.llm import packing
+
+    class Docs:
+        selectExpr = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    class Encoder:
+        dtype = np.dtype("<u2")
+        packed = staticmethod(lambda text: text.encode("utf-16-le"))
+
+    monkeypatch.setattr(packing, "library_encoder", lambda path: Encoder)
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
+    run = packing.tokenised_pieces(Docs(), "", 8, 0, "doc_id", "text")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array(["abc"] * 2500)], ["doc_id", "text"])
+    found = list(run([batch]))
+    assert [b.num_rows for b in found] == [1024, 1024, 452] and [d for b in found for d in b.column(0).to_pylist()] == list(range(2500))
