@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import urls
 from quarry.operators import corpus, crawl, drafts, extraction, ingest, monitor
-from quarry.sources import connectors, records
+from quarry.plans import record_catalog
+from quarry.sources import connectors, documents, records
 from quarry.sources.shared import new_folder
 from quarry.streaming import visits
 
@@ -129,3 +130,21 @@ def test_numbers_without_one_task(spark):
 def test_load_json(spark):
     rows = spark.createDataFrame([('{"name": "a"}', "a"), ("{bad", None), ("[1]", None), (None, None)], "t string, want string")
     assert [r for r in rows.withColumn("got", records.load_json(F.col("t"), "name STRING")["name"]).collect() if r["got"] != r["want"]] == []
+
+
+def test_a_document_is_handed_on_once(spark):
+    path = f"{new_folder(spark, 'document')}/x.txt"
+    documents.write_document(spark.createDataFrame([(1, 2, "é"), (1, 1, ""), (0, None, "a\tb")], "place int, order int, line string"), path)
+    found = documents.read_document(spark, path)
+    assert [tuple(r) for r in found.collect()] == [("a\tb\n\né\n",)]
+    assert found.columns == ["body"]
+
+
+def test_the_feed_is_not_copied_beside_its_reader(spark):
+    folder = new_folder(spark, "feed")
+    spark.sql("SELECT id AS o_orderkey, 'LOW' AS o_orderpriority, TIMESTAMP '2026-01-01 00:00:00' AS o_orderdate FROM range(5)").write.parquet(f"{folder}/orders.parquet")
+    feed = record_catalog.rss_file(record_catalog.Tables(spark, folder))
+    plan = feed._jdf.queryExecution().sparkPlan().toString()
+    assert "Project" not in plan  # it builds the row again while the reader holds it
+    assert "Exchange SinglePartition" in plan  # the task that uses the row isn't the reader's
+    assert feed.count() == 1 and feed.first()["body"].count("<item>") == 5
