@@ -140,6 +140,19 @@ def test_a_document_is_handed_on_once(spark):
     assert found.columns == ["body"]
 
 
+def test_a_document_beyond_a_value_is_refused_before_it_is_read(spark, tmp_path):
+    path = tmp_path / "x.txt"
+    for size in (2**31 - 1, 2**31, 2_340_239_022):
+        with path.open("ab") as file:
+            file.truncate(size)  # takes no space on the disk
+        if size < 2**31:
+            assert documents.read_document(spark, str(path)).columns == ["body"]
+        else:
+            with pytest.raises(ValueError, match=str(size)):
+                documents.read_document(spark, str(path))
+    assert path.stat().st_size == size
+
+
 def test_the_feed_is_not_copied_beside_its_reader(spark):
     folder = new_folder(spark, "feed")
     spark.sql("SELECT id AS o_orderkey, 'LOW' AS o_orderpriority, TIMESTAMP '2026-01-01 00:00:00' AS o_orderdate FROM range(5)").write.parquet(f"{folder}/orders.parquet")
